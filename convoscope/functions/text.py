@@ -97,7 +97,7 @@ def fuzzy_contains(pattern, text) -> Column:
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: F.exists(
             F.sequence(F.greatest(m - k, F.lit(0)), m + k),
-            lambda ln: F.levenshtein(p, F.substring(t, i, ln), k) >= 0,
+            lambda ln: F.call_function("levenshtein", p, F.substring(t, i, ln), k) >= 0,
         ),
     )
     return F.when(p.isNull(), F.lit(None).cast("boolean")).otherwise(

@@ -13,29 +13,30 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
     Spark still plans a hash or sort-merge join on null-safe keys (it joins on
     ``coalesce(k, default), isnull(k)`` pairs).  The key columns appear once in
-    the output, taken from the left side (from the right one for right joins).
+    the output, taken from the left side (from the right one for right joins,
+    from either for full joins).  Keys are renamed on both sides and referenced
+    by name, so joining two frames derived from one scan is unambiguous.
     """
-    r = right
-    renamed = {}
-    for k in keys:
-        nk = f"__r_{k}"
-        r = r.withColumnRenamed(k, nk)
-        renamed[k] = nk
+    keys = list(keys)
+    lk = {k: f"__l_{k}" for k in keys}
+    rk = {k: f"__r_{k}" for k in keys}
+    lft = left.select(*[F.col(c).alias(lk[c]) if c in lk else F.col(c) for c in left.columns])
+    rgt = right.select(*[F.col(c).alias(rk[c]) if c in rk else F.col(c) for c in right.columns])
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(r[renamed[k]])
+        c = F.col(lk[k]).eqNullSafe(F.col(rk[k]))
         cond = c if cond is None else cond & c
-    j = left.join(r, cond, how)
+    j = lft.join(rgt, cond, how)
+    if how in ("left_semi", "semi", "left_anti", "anti"):
+        return j.select(*[F.col(lk[c]).alias(c) if c in lk else F.col(c) for c in left.columns])
     if how in ("right", "right_outer"):
-        out = [F.col(renamed[k]).alias(k) for k in keys]
+        out = [F.col(rk[k]).alias(k) for k in keys]
     elif how in ("full", "full_outer", "outer"):
-        out = [F.coalesce(left[k], F.col(renamed[k])).alias(k) for k in keys]
-    elif how in ("left_semi", "semi", "left_anti", "anti"):
-        return j
+        out = [F.coalesce(F.col(lk[k]), F.col(rk[k])).alias(k) for k in keys]
     else:
-        out = [left[k] for k in keys]
-    rest_l = [left[c] for c in left.columns if c not in keys]
-    rest_r = [F.col(c) for c in r.columns if c not in renamed.values()]
+        out = [F.col(lk[k]).alias(k) for k in keys]
+    rest_l = [F.col(c) for c in left.columns if c not in lk]
+    rest_r = [F.col(c) for c in right.columns if c not in rk]
     return j.select(*out, *rest_l, *rest_r)
 
 
