@@ -1 +1,202 @@
-"""Query keys (filled in as operators land)."""
+"""Image-set query keys over ``sets_f`` (members with vectors) and
+``shapes_f`` (items to sample from)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from convoscope.operators import sets as so
+from convoscope.plans import fixtures as fx
+from convoscope.plans.registry import register
+from convoscope.session import shared_path
+from convoscope.sources import batches as bt
+
+N_SETS = 100  # sets generated per type (the default job size)
+SET_SIZE = 16
+BATCH_SIZE = 25
+LOOKUP = (3, 5, 2)  # set 3, pair (5, 2) -> normalised to (2, 5)
+SAMPLE_N = 10
+
+
+def pairs_df(spark, sf_dir):
+    return so.set_pairs(fx.sets_f(spark, sf_dir), max_size=SET_SIZE)
+
+
+_PAIRS_SQL = """, pairs AS (SELECT a.set_id, a.set_type, a.idx AS i, b.idx AS j,
+   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+   FROM sets_f a JOIN sets_f b ON a.set_id = b.set_id AND a.idx < b.idx),
+ mx AS (SELECT set_id, set_type, max(similarity) AS max_similarity FROM pairs GROUP BY set_id, set_type),
+ med AS (SELECT set_type, round(median(max_similarity), 6) AS median_max FROM mx GROUP BY set_type),
+ sel AS (SELECT mx.*, med.median_max, mx.max_similarity < med.median_max AS kept FROM mx JOIN med USING (set_type))
+"""
+
+
+def _sql(body: str) -> str:
+    return fx.with_views("", "sets_f").rstrip() + _PAIRS_SQL + body
+
+
+@register("set_pairs", _sql("SELECT * FROM pairs"), bench=True)
+def q_set_pairs(spark, sf_dir):
+    return pairs_df(spark, sf_dir)
+
+
+@register(
+    "set_ranked_pairs",
+    _sql(
+        """SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY similarity DESC, i, j) AS rank_desc,
+  row_number() OVER (PARTITION BY set_id ORDER BY similarity ASC, i, j) AS rank_asc FROM pairs"""
+    ),
+)
+def q_set_ranked_pairs(spark, sf_dir):
+    return so.ranked_pairs(pairs_df(spark, sf_dir))
+
+
+@register(
+    "set_topk_pairs",
+    _sql(
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY similarity DESC, i, j) AS rank FROM pairs) WHERE rank <= 2"
+    ),
+)
+def q_set_topk_pairs(spark, sf_dir):
+    return so.topk_pairs(pairs_df(spark, sf_dir), n=2)
+
+
+@register(
+    "set_pair_lookup",
+    _sql(f"SELECT * FROM pairs WHERE set_id = {LOOKUP[0]} AND i = {min(LOOKUP[1:])} AND j = {max(LOOKUP[1:])}"),
+)
+def q_set_pair_lookup(spark, sf_dir):
+    return so.pair_lookup(pairs_df(spark, sf_dir), *LOOKUP)
+
+
+_SUMMARY_SQL = """SELECT set_id, set_type, count(*) AS n_pairs, round(avg(similarity), 6) AS mean_similarity, min(similarity) AS min_similarity,
+  max(similarity) AS max_similarity, quantile_disc(similarity, 0.5) AS median_similarity FROM pairs GROUP BY set_id, set_type"""
+
+
+@register("set_summary", _sql(_SUMMARY_SQL))
+def q_set_summary(spark, sf_dir):
+    return so.set_summary(pairs_df(spark, sf_dir))
+
+
+@register(
+    "global_pair_median",
+    _sql("SELECT set_type, count(*) AS n_pairs, round(quantile_disc(similarity, 0.5), 6) AS median_similarity FROM pairs GROUP BY set_type"),
+)
+def q_global_pair_median(spark, sf_dir):
+    return so.global_pair_median(pairs_df(spark, sf_dir))
+
+
+@register(
+    "sim_histogram",
+    _sql(
+        """, rng AS (SELECT set_type, min(max_similarity) AS vmin, max(max_similarity) AS vmax FROM mx GROUP BY set_type),
+ c AS (SELECT m.set_type, CAST(CASE WHEN (r.vmax - r.vmin) / 10.0 = 0 THEN 0 ELSE least(floor((m.max_similarity - r.vmin) / ((r.vmax - r.vmin) / 10.0)), 9) END AS INTEGER) AS bin, count(*) AS count
+   FROM mx m JOIN rng r USING (set_type) GROUP BY ALL),
+ g AS (SELECT set_type, vmin, vmax, CAST(unnest(range(0, 10)) AS INTEGER) AS bin FROM rng)
+SELECT g.set_type, g.bin, round(g.vmin + g.bin * ((g.vmax - g.vmin) / 10.0), 6) AS lo, round(g.vmin + (g.bin + 1) * ((g.vmax - g.vmin) / 10.0), 6) AS hi,
+  coalesce(c.count, 0) AS count FROM g LEFT JOIN c ON g.set_type = c.set_type AND g.bin = c.bin"""
+    ),
+)
+def q_sim_histogram(spark, sf_dir):
+    return so.histogram(so.set_maxima(pairs_df(spark, sf_dir)), "max_similarity", "set_type", bins=10)
+
+
+@register("set_select", _sql("SELECT * FROM sel"))
+def q_set_select(spark, sf_dir):
+    return so.set_select(pairs_df(spark, sf_dir))
+
+
+@register(
+    "set_kept_stats",
+    _sql(
+        """SELECT set_type, CAST(count_if(kept) AS BIGINT) AS n_kept, CAST(count_if(NOT kept) AS BIGINT) AS n_rejected,
+  round(avg(CASE WHEN kept THEN max_similarity END), 6) AS mean_kept_max, min(CASE WHEN kept THEN max_similarity END) AS min_kept_max,
+  max(CASE WHEN kept THEN max_similarity END) AS max_kept_max FROM sel GROUP BY set_type"""
+    ),
+)
+def q_set_kept_stats(spark, sf_dir):
+    return so.kept_stats(so.set_select(pairs_df(spark, sf_dir)))
+
+
+@register(
+    "set_sample",
+    _sql(
+        f"""SELECT set_type, set_id, rank FROM (SELECT set_type, set_id, row_number() OVER (PARTITION BY set_type ORDER BY md5('42:' || CAST(set_id AS VARCHAR)), set_id) AS rank
+  FROM sel WHERE kept) WHERE rank <= {SAMPLE_N}"""
+    ),
+)
+def q_set_sample(spark, sf_dir):
+    return so.sample_sets(so.set_select(pairs_df(spark, sf_dir)), n=SAMPLE_N)
+
+
+def _written_summaries(spark, sf_dir):
+    """Set summaries written batch by batch to the shared folder (idempotent
+    per batch), then read back from storage."""
+    summ = so.set_summary(pairs_df(spark, sf_dir)).withColumn("batch_id", so.batch_of("set_id", BATCH_SIZE))
+    root = shared_path(spark, "set_batches", uuid.uuid4().hex)
+    bt.write_batches(summ, root)
+    return bt.read_batches(spark, root)
+
+
+@register(
+    "set_batches",
+    _sql(
+        f""", b AS (SELECT CAST(floor(set_id / {BATCH_SIZE}) AS INTEGER) AS batch_id, set_id FROM (SELECT DISTINCT set_id FROM pairs))
+SELECT batch_id, count(*) AS n_sets, min(set_id) AS first_set, max(set_id) AS last_set, (SELECT max(batch_id) FROM b) AS newest_batch FROM b GROUP BY batch_id"""
+    ),
+)
+def q_set_batches(spark, sf_dir):
+    back = _written_summaries(spark, sf_dir)
+    per = back.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_sets"), F.min("set_id").alias("first_set"), F.max("set_id").alias("last_set")
+    )
+    one = F.lit(1).alias("_one")
+    newest = bt.newest_batch(back).select("*", one)
+    return per.select("*", one).join(newest, "_one").drop("_one")
+
+
+@register(
+    "set_pending_batches",
+    _sql(
+        f""", planned AS (SELECT CAST(range AS INTEGER) AS batch_id, CAST(least({BATCH_SIZE}, {N_SETS} - range * {BATCH_SIZE}) AS BIGINT) AS expected
+   FROM range(0, {(N_SETS + BATCH_SIZE - 1) // BATCH_SIZE})),
+ have AS (SELECT CAST(floor(set_id / {BATCH_SIZE}) AS INTEGER) AS batch_id, count(DISTINCT set_id) AS have FROM pairs GROUP BY ALL)
+SELECT p.batch_id, p.expected FROM planned p LEFT JOIN have h USING (batch_id) WHERE h.have IS NULL OR h.have <> p.expected"""
+    ),
+)
+def q_set_pending_batches(spark, sf_dir):
+    back = _written_summaries(spark, sf_dir)
+    planned = bt.planned_batches(spark, N_SETS, BATCH_SIZE)
+    return bt.pending_batches(planned, back)
+
+
+def _gen_sql(kind: str) -> str:
+    q = 4 if kind == "comp" else SET_SIZE
+    k = 2 * q
+    seed = f"42{kind}"
+    head = fx.with_views("", "shapes_f").rstrip()
+    ranked = f""", r AS (SELECT set_id, item_id, row_number() OVER (PARTITION BY set_id ORDER BY h, item_id) AS rk FROM
+   (SELECT CAST(s.range AS INTEGER) AS set_id, p.item_id, md5('{seed}:' || CAST(s.range AS VARCHAR) || ':' || CAST(p.item_id AS VARCHAR)) AS h
+    FROM range(0, {N_SETS}) s CROSS JOIN shapes_f p)),
+ tops AS (SELECT set_id, item_id AS top, rk AS ti FROM r WHERE rk <= {q}),
+ bottoms AS (SELECT set_id, item_id AS bottom, rk - {q} AS bi FROM r WHERE rk > {q} AND rk <= {k})
+"""
+    if kind == "comp":
+        body = f"""SELECT t.set_id, CAST((t.ti - 1) * {q} + (b.bi - 1) AS INTEGER) AS idx, t.top, b.bottom,
+  CAST(t.top AS VARCHAR) || '_' || CAST(b.bottom AS VARCHAR) || '.png' AS image FROM tops t JOIN bottoms b ON t.set_id = b.set_id"""
+    else:
+        body = f"""SELECT t.set_id, CAST(t.ti - 1 AS INTEGER) AS idx, t.top, b.bottom,
+  CAST(t.top AS VARCHAR) || '_' || CAST(b.bottom AS VARCHAR) || '.png' AS image FROM tops t JOIN bottoms b ON t.set_id = b.set_id AND t.ti = b.bi"""
+    return head + ranked + body
+
+
+@register("gen_sets_comp", _gen_sql("comp"))
+def q_gen_sets_comp(spark, sf_dir):
+    return so.gen_sets_comp(fx.shapes_f(spark, sf_dir), N_SETS, SET_SIZE, seed="42comp")
+
+
+@register("gen_sets_noncomp", _gen_sql("noncomp"))
+def q_gen_sets_noncomp(spark, sf_dir):
+    return so.gen_sets_noncomp(fx.shapes_f(spark, sf_dir), N_SETS, SET_SIZE, seed="42noncomp")
