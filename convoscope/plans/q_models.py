@@ -1 +1,182 @@
-"""Query keys (filled in as operators land)."""
+"""Model query keys over words per trial (and convention occurrence)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from convoscope.operators import chat
+from convoscope.operators import models as md
+from convoscope.plans import fixtures as fx
+from convoscope.plans.q_conventions import occ_turn
+from convoscope.plans.q_star import _STAR_SQL
+from convoscope.plans.q_text import _MERGED_SQL, merged_stage_one
+from convoscope.plans.registry import register
+
+K_FOLDS = 5
+GRID_N = 6
+
+
+def rep_df(spark, sf_dir):
+    return chat.words_per_trial(merged_stage_one(spark, sf_dir))
+
+
+_REP_SQL = """, rep AS (SELECT * FROM (SELECT dataset_id, condition_id, game_id, trial_num, rep_num, target, group_size, structure, option_size, stage_num,
+   CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS total_num_words
+ FROM mm WHERE role = 'describer' AND NOT coalesce(message_irrelevant, false) AND text IS NOT NULL
+ GROUP BY dataset_id, condition_id, game_id, trial_num, rep_num, target, group_size, structure, option_size, stage_num)
+ WHERE total_num_words IS NOT NULL),
+ repl AS (SELECT *, ln(CAST(rep_num AS DOUBLE)) AS log_rep, ln(CAST(trial_num AS DOUBLE)) AS log_trial FROM rep)
+"""
+
+
+def _sql(body: str) -> str:
+    head = fx.with_views("", "conditions_f", "trials_f", "messages_f").rstrip()
+    return head + _STAR_SQL + _MERGED_SQL + _REP_SQL + body
+
+
+def _fit_cte(name: str, x1: str, x2: str, src: str) -> str:
+    m = md.moment_sql(x1, x2, "total_num_words")
+    e = md.ols3_exprs()
+    mom = ", ".join(f"{v} AS {k}" for k, v in m.items())
+    fit = ", ".join(f"{v} AS {k}" for k, v in e.items())
+    return f", {name}_m AS (SELECT {mom} FROM {src}),\n {name} AS (SELECT n, {fit} FROM {name}_m)\n"
+
+
+def _coef_sql(fit: str, model: str, names) -> str:
+    parts = [
+        f"SELECT '{model}' AS model, '{nm}' AS term, round(b{i}, 6) AS estimate, round(se{i}, 6) AS std_error, CAST(n AS BIGINT) AS n, round(r2, 6) AS r2 FROM {fit}"
+        for i, nm in enumerate(names)
+    ]
+    return "\nUNION ALL ".join(parts)
+
+
+LIN_TERMS = ["intercept", "rep_num", "trial_num"]
+LOG_TERMS = ["intercept", "log_rep", "log_trial"]
+
+
+@register("form_lin_fit", _sql(_fit_cte("lin", "rep_num", "trial_num", "rep") + _coef_sql("lin", "linear", LIN_TERMS)), bench=True)
+def q_form_lin_fit(spark, sf_dir):
+    return md.coef_table(md.ols3_fit(rep_df(spark, sf_dir), "rep_num", "trial_num", "total_num_words"), "linear", LIN_TERMS)
+
+
+@register("form_log_fit", _sql(_fit_cte("lg", "log_rep", "log_trial", "repl") + _coef_sql("lg", "logarithmic", LOG_TERMS)))
+def q_form_log_fit(spark, sf_dir):
+    d = md.with_log_terms(rep_df(spark, sf_dir))
+    return md.coef_table(md.ols3_fit(d, "log_rep", "log_trial", "total_num_words"), "logarithmic", LOG_TERMS)
+
+
+def _pred_sql(fit: str, model: str, x1: str, x2: str) -> str:
+    q = (
+        f"(f.i00 + 2 * f.i01 * {x1} + 2 * f.i02 * {x2} + f.i11 * {x1} * {x1} + 2 * f.i12 * {x1} * {x2} + f.i22 * {x2} * {x2})"
+    )
+    fitv = f"(f.b0 + f.b1 * {x1} + f.b2 * {x2})"
+    se = f"sqrt(f.sigma2 * {q})"
+    return f"""SELECT '{model}' AS model, g.rep_num, round(g.trial_num, 6) AS trial_num, round({fitv}, 6) AS estimate,
+  round({fitv} - {md.Z95} * {se}, 6) AS q2_5, round({fitv} + {md.Z95} * {se}, 6) AS q97_5 FROM grid g JOIN {fit} f ON true"""
+
+
+_GRID_SQL = f""", grid AS (SELECT CAST(range + 1 AS INTEGER) AS rep_num, 6.0::DOUBLE + range * (60.0::DOUBLE / {GRID_N - 1}) AS trial_num FROM range(0, {GRID_N}))
+"""
+
+
+@register(
+    "form_pred_grid",
+    _sql(
+        _fit_cte("lin", "rep_num", "trial_num", "rep")
+        + _fit_cte("lg", "log_rep", "log_trial", "repl")
+        + _GRID_SQL
+        + _pred_sql("lin", "linear", "CAST(g.rep_num AS DOUBLE)", "g.trial_num")
+        + "\nUNION ALL "
+        + _pred_sql("lg", "logarithmic", "ln(CAST(g.rep_num AS DOUBLE))", "ln(g.trial_num)")
+    ),
+)
+def q_form_pred_grid(spark, sf_dir):
+    d = rep_df(spark, sf_dir)
+    grid = md.pred_grid(spark, GRID_N)
+    lin = md.predict(md.ols3_fit(d, "rep_num", "trial_num", "total_num_words"), grid,
+                     F.col("rep_num").cast("double"), F.col("trial_num"), "linear")
+    dl = md.with_log_terms(d)
+    lg = md.predict(md.ols3_fit(dl, "log_rep", "log_trial", "total_num_words"), grid,
+                    F.ln(F.col("rep_num").cast("double")), F.ln(F.col("trial_num")), "logarithmic")
+    return lin.unionByName(lg)
+
+
+def _cv_sql(model: str, x1: str, x2: str, src: str) -> str:
+    m = md.moment_sql(x1, x2, "total_num_words")
+    e = md.ols3_exprs()
+    cols = list(m)
+    mom = ", ".join(f"{v} AS {k}" for k, v in m.items())
+    tot = ", ".join(f"sum({c}) OVER () - {c} AS {c}" for c in cols)
+    fit = ", ".join(f"{e[c]} AS {c}" for c in ("b0", "b1", "b2", "sigma2"))
+    d = f"(SELECT *, CAST(((CAST(trial_num AS BIGINT) * 2654435761) % {K_FOLDS}) AS INTEGER) AS fold FROM {src})"
+    r = f"(CAST(x.total_num_words AS DOUBLE) - (c.b0 + c.b1 * x.{x1} + c.b2 * x.{x2}))"
+    return f"""SELECT '{model}' AS model, x.fold, count(*) AS n_test, round(sqrt(avg({r} * {r})), 6) AS rmse,
+  round(sum(-0.5 * ln(2 * pi() * c.sigma2) - {r} * {r} / (2 * c.sigma2)), 6) AS log_density
+FROM {d} x JOIN (SELECT fold, {fit} FROM (SELECT fold, {tot} FROM (SELECT fold, {mom} FROM {d} GROUP BY fold))) c ON x.fold = c.fold
+GROUP BY x.fold"""
+
+
+@register(
+    "form_compare",
+    _sql(_cv_sql("linear", "rep_num", "trial_num", "rep") + "\nUNION ALL " + _cv_sql("logarithmic", "log_rep", "log_trial", "repl")),
+)
+def q_form_compare(spark, sf_dir):
+    d = rep_df(spark, sf_dir)
+    lin = md.cross_validate(d, "rep_num", "trial_num", "total_num_words", "linear", "trial_num", K_FOLDS)
+    lg = md.cross_validate(md.with_log_terms(d), "log_rep", "log_trial", "total_num_words", "logarithmic", "trial_num", K_FOLDS)
+    return lin.unionByName(lg)
+
+
+@register(
+    "group_shrinkage",
+    _sql(
+        """, g AS (SELECT * FROM (SELECT dataset_id, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+   regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy
+   FROM (SELECT dataset_id, CAST(rep_num AS DOUBLE) AS x, CAST(total_num_words AS DOUBLE) AS y FROM rep) GROUP BY dataset_id)
+   WHERE n > 2 AND sxx > 0),
+ gv AS (SELECT *, ((syy - slope * sxy) / (n - 2)) / sxx AS slope_var FROM g),
+ gp AS (SELECT * FROM gv WHERE slope_var > 0),
+ pool AS (SELECT sum(slope / slope_var) / sum(1 / slope_var) AS pooled_slope, coalesce(greatest(var_samp(slope) - avg(slope_var), 0.0), 0.0) AS tau2 FROM gp),
+ w AS (SELECT gp.*, pool.pooled_slope, pool.tau2, pool.tau2 / (pool.tau2 + gp.slope_var) AS weight FROM gp JOIN pool ON true)
+SELECT dataset_id, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(slope_var, 6) AS slope_var,
+  round(pooled_slope, 6) AS pooled_slope, round(tau2, 6) AS tau2, round(weight, 6) AS weight,
+  round(pooled_slope + weight * (slope - pooled_slope), 6) AS shrunk_slope FROM w"""
+    ),
+)
+def q_group_shrinkage(spark, sf_dir):
+    return md.group_shrinkage(rep_df(spark, sf_dir), "dataset_id", "rep_num", "total_num_words")
+
+
+@register("form_quad_fit")
+def q_form_quad_fit(spark, sf_dir):
+    d = rep_df(spark, sf_dir)
+    # centre before squaring for conditioning (same fitted values as raw powers)
+    mu = d.agg(F.avg("rep_num").alias("mr"), F.avg("trial_num").alias("mt"))
+    one = F.lit(1).alias("_one")
+    d = d.select("*", one).join(mu.select("*", one), "_one")
+    d = d.select(
+        (F.col("rep_num") - F.col("mr")).alias("rep_c"),
+        ((F.col("rep_num") - F.col("mr")) ** 2).alias("rep_c2"),
+        (F.col("trial_num") - F.col("mt")).alias("trial_c"),
+        ((F.col("trial_num") - F.col("mt")) ** 2).alias("trial_c2"),
+        "total_num_words",
+    )
+    return md.linear_fit_ml(d, ["rep_c", "rep_c2", "trial_c", "trial_c2"], "total_num_words", "quadratic")
+
+
+@register("form_interactions")
+def q_form_interactions(spark, sf_dir):
+    d = rep_df(spark, sf_dir).where(F.col("structure").isNotNull() & (F.col("total_num_words") > 0))
+    d = d.withColumn("log_words", F.ln(F.col("total_num_words").cast("double"))).withColumn(
+        "group_size", F.col("group_size").cast("double")
+    ).withColumn("rep_num", F.col("rep_num").cast("double"))
+    return md.formula_fit(d, "log_words ~ rep_num * target * group_size * structure", "interactions")
+
+
+@register("occurrence_logit")
+def q_occurrence_logit(spark, sf_dir):
+    from convoscope.operators.conventions import with_progress
+
+    occ = with_progress(occ_turn(spark, sf_dir).where(F.col("role") == "describer"))
+    occ = occ.withColumn("grp", F.concat(F.col("structure"), F.col("group_size").cast("string")))
+    return md.logit_by_group(occ, "grp", "frac", "fuzzy_regex")
