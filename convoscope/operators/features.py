@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoscope.functions import lexicon as lx
-from convoscope.functions.text import first_token, phrase_count, sentences, tokens
+from convoscope.functions.text import phrase_count, sentences, tokens, with_first_token
 
 Tagger = Callable[[Column], Column]
 
@@ -28,7 +28,11 @@ def describer_messages(messages: DataFrame, trials: DataFrame, keys=("dataset_id
 
 
 def with_hedges(df: DataFrame, phrases: Iterable[str] = lx.HEDGES, text: str = "text") -> DataFrame:
-    return df.withColumn("hedge_count", phrase_count(text, phrases))
+    """Add ``hedge_count``.  The lower-cased text is its own projection, so it
+    is computed once and not inlined into every phrase count."""
+    cols = df.columns
+    low = df.select("*", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
+    return low.select(*cols, phrase_count("__low", phrases).alias("hedge_count"))
 
 
 def mean_by(df: DataFrame, value: str, alias: str, keys=("rep_num",), digits: int = 6) -> DataFrame:
@@ -51,21 +55,29 @@ def default_tagger(tok: Column) -> Column:
     return lx.pos_of(tok)
 
 
-def with_token_features(df: DataFrame, text: str = "text", tagger: Tagger = default_tagger) -> DataFrame:
-    """Add per-message ``pronoun_count``, ``num_nominals``, ``num_non_nominals``
-    computed over the message's own token array (no explode, no shuffle)."""
-    toks = tokens(text)
-    tagged = F.transform(toks, lambda t: tagger(t))
+def message_token_counts(df: DataFrame, keys, text: str = "text", tagger: Tagger = default_tagger) -> DataFrame:
+    """Per message (``keys`` identify it): ``pronoun_count``, ``num_nominals``,
+    ``num_non_nominals``.  Tokens are exploded and tagged with the codegen'd
+    CASE expression; the per-message ``groupBy`` aggregates partially inside the
+    task that produced the tokens (they are contiguous), so the shuffle carries
+    one row per message, not one per token.  Messages without tokens count 0."""
+    keys = list(keys)
+    t = df.select(*keys, F.explode_outer(tokens(text)).alias("tok"))
+    t = t.select(*keys, tagger(F.col("tok")).alias("pos"))
+    pos = F.col("pos")
     nominal = lx.NOMINAL_POS
-    return df.select(
-        "*",
-        F.size(F.filter(tagged, lambda p: p == "PRON")).cast("bigint").alias("pronoun_count"),
-        F.size(F.filter(tagged, lambda p: p.isin(nominal))).cast("bigint").alias("num_nominals"),
+    return t.groupBy(*keys).agg(
+        F.count_if(pos == "PRON").alias("pronoun_count"),
+        F.count_if(pos.isin(nominal)).alias("num_nominals"),
         # every token of ``tokens`` is alphabetic, so is_alpha holds for all
-        F.size(F.filter(tagged, lambda p: ~p.isin(nominal))).cast("bigint").alias("num_non_nominals"),
+        F.count_if(~pos.isin(nominal)).alias("num_non_nominals"),
     )
 
 
+def with_token_features(df: DataFrame, keys=("doc_id", "rep_num"), text: str = "text", tagger: Tagger = default_tagger) -> DataFrame:
+    return message_token_counts(df, keys, text, tagger)
+
+
 def token_table(docs: DataFrame, doc_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per token: doc id, 1-based sentence id, 1-based token id (restarting
     per sentence), lower-cased token."""
@@ -88,10 +100,12 @@ def firstword_tags(describers: DataFrame, tagger: Tagger = default_tagger, text:
     """Class flags of the first token of the first sentence.  Messages whose
     first sentence has no token keep NULL flags (the right join of the token
     table back onto all describer messages)."""
-    tok = first_token(text)
-    pos = tagger(tok)
-    return describers.select(
-        "*",
+    cols = describers.columns
+    d = with_first_token(describers, text, "__first")
+    d = d.select("*", tagger(F.col("__first")).alias("__pos"))
+    tok, pos = F.col("__first"), F.col("__pos")
+    return d.select(
+        *cols,
         (pos == "VERB").alias("V_first"),
         tok.isin(lx.DEFINITE_WORDS).alias("the_first"),
         tok.isin(lx.INDEFINITE_WORDS).alias("indef_first"),
@@ -145,13 +159,13 @@ def firstword_props(tagged: DataFrame) -> DataFrame:
 
 # --- pronouns, nominals, panel --------------------------------------------------
 
-def pronoun_by_rep(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
-    f = with_token_features(describers, tagger=tagger)
+def pronoun_by_rep(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
+    f = message_token_counts(describers, keys, tagger=tagger)
     return mean_by(f, "pronoun_count", "avg_pronoun_count")
 
 
-def nominal_messages(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
-    f = with_token_features(describers, tagger=tagger)
+def nominal_messages(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
+    f = message_token_counts(describers, keys, tagger=tagger)
     f = f.withColumn("total", F.col("num_nominals") + F.col("num_non_nominals")).where(F.col("total") > 0)
     return f.withColumn("prop_nominal", F.col("num_nominals") / F.col("total"))
 
@@ -177,12 +191,12 @@ def nominal_rolling(describers: DataFrame, tagger: Tagger = default_tagger) -> D
     return centred_rolling_mean(per_rep, "prop_nominal", "rep_num")
 
 
-def feature_panel(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
+def feature_panel(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
     """Three metrics per round: pronoun mean over all describer messages; the
     nominal proportion and the hedge mean over messages with at least one
     classified token."""
-    f = with_token_features(describers.withColumn("text", F.coalesce("text", F.lit(""))), tagger=tagger)
-    f = with_hedges(f)
+    h = with_hedges(describers.withColumn("text", F.coalesce("text", F.lit(""))))
+    f = message_token_counts(h, list(keys) + ["hedge_count"], tagger=tagger)
     f = f.withColumn("total", F.col("num_nominals") + F.col("num_non_nominals"))
     pron = mean_by(f, "pronoun_count", "value").withColumn("metric", F.lit("Pronoun Count"))
     nz = f.where(F.col("total") > 0).withColumn("prop_nominal", F.col("num_nominals") / F.col("total"))

@@ -74,6 +74,10 @@ def exact_quantiles(
     if whole:  # one group: a constant key keeps every join an equi-join
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     base = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    # every pass reads the (keys, value) projection: write it once to the
+    # checkpoint folder so the passes neither recompute its lineage nor
+    # depend on cached blocks of a lost executor
+    base = base.checkpoint()
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")
     )

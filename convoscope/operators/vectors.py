@@ -16,11 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from convoscope.functions.vectors import dot_literal, minus_combination
+from convoscope.functions.vectors import dot_literal
 
 MAX_ANCHOR_ROWS = 100_000  # steps x dims collected to the driver
 
@@ -124,11 +126,24 @@ def anchor_project(emb: DataFrame, plan: AnchorPlan, key: str = "vec_id", vec: s
 
 
 def anchor_residuals(emb: DataFrame, plan: AnchorPlan, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Vectors after deflating every accepted step: x - sum_t (x.b_t) a_t."""
+    """Vectors after deflating every accepted step: R = X - (X B_k^T) A_k.
+
+    Dense linear algebra on a batch of vectors: an Arrow-batched pandas UDF
+    does one matrix product per batch (the k x d constants travel with the
+    function).  Spark still partitions the rows; nothing is collected."""
     kept = [i for i, k in enumerate(plan.keep) if k]
-    proj = anchor_projections(emb, plan, key=key, vec=vec)
-    res = minus_combination(vec, [F.col(f"p_{plan.steps[i]}") for i in kept], [plan.anchors[i] for i in kept])
-    return proj.select(key, res.alias("residual"))
+    a_k = plan.anchors[kept]
+    b_k = plan.b[kept]
+
+    @pandas_udf("array<double>")
+    def deflate(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack([np.asarray(e, dtype=np.float64) for e in v])
+        r = x - (x @ b_k.T) @ a_k if kept else x
+        return pd.Series(list(r))
+
+    return emb.select(key, deflate(F.col(vec)).alias("residual"))
 
 
 def similarity_to_anchors(emb: DataFrame, plan: AnchorPlan, key: str = "vec_id", vec: str = "embedding") -> DataFrame:

@@ -90,7 +90,7 @@ def q_token_pos(spark, sf_dir):
 
 
 _FIRST_SQL = f""", ftk AS (SELECT *, {first_token_sql('text')} AS tok FROM d),
- fw AS (SELECT doc_id, dataset_id, role, text, rep_num, target,
+ fw AS MATERIALIZED (SELECT doc_id, dataset_id, role, text, rep_num, target,
    ({lx.pos_sql('tok')}) = 'VERB' AS V_first,
    tok IN ({in_list(lx.DEFINITE_WORDS)}) AS the_first,
    tok IN ({in_list(lx.INDEFINITE_WORDS)}) AS indef_first,
