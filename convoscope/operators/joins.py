@@ -49,3 +49,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def attach_row(df: DataFrame, one_row: DataFrame, columns=None) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row of ``df`` as
+    scalar subqueries (evaluated once, no join)."""
+    cols = list(columns or one_row.columns)
+    packed = one_row.select(F.struct(*cols).alias("r")).scalar()
+    return df.select("*", *[packed.getField(c).alias(c) for c in cols])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convoscope.operators.joins import attach_row
+
 TERMS = ("intercept", "x1", "x2")
 Z95 = 1.959963984540054
 
@@ -109,10 +111,9 @@ def pred_grid(spark, n: int = 6, trial_from: float = 6.0, trial_to: float = 66.0
 
 def predict(fit: DataFrame, grid: DataFrame, x1, x2, model: str) -> DataFrame:
     """Fitted mean with a 95% interval, fit +- z * sqrt(sigma2 * x'(X'X)^-1 x).
-    The one-row fit joins the grid on a constant key."""
-    one = F.lit(1).alias("_one")
-    g = grid.select("*", x1.alias("x1"), x2.alias("x2"), one)
-    j = g.join(fit.select("*", one), "_one")
+    The one-row fit is attached as a scalar subquery."""
+    g = grid.select("*", x1.alias("x1"), x2.alias("x2"))
+    j = attach_row(g, fit)
     fit_v = F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2")
     q = (
         F.col("i00") + 2 * F.col("i01") * F.col("x1") + 2 * F.col("i02") * F.col("x2")
@@ -140,11 +141,8 @@ def cross_validate(df: DataFrame, x1: str, x2: str, y: str, model: str, fold_key
     d = df.withColumn("fold", fold_of(fold_key, k))
     fm = d.groupBy("fold").agg(*moment_aggs(x1, x2, y))
     cols = ["n", "s1", "s2", "s11", "s22", "s12", "sy", "s1y", "s2y", "syy"]
-    one = F.lit(1).alias("_one")
-    tot = fm.agg(*[F.sum(c).alias(f"t_{c}") for c in cols]).select("*", one)
-    train = fm.select("*", one).join(tot, "_one").select(
-        "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in cols]
-    )
+    tot = fm.agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
+    train = attach_row(fm, tot).select("fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in cols])
     e = ols3_exprs()
     coefs = train.select("fold", *[F.expr(e[c]).alias(c) for c in ("b0", "b1", "b2", "sigma2")])
     j = d.join(F.broadcast(coefs), "fold")  # k rows, bounded by the fold count
@@ -176,13 +174,12 @@ def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     v = ((F.col("syy") - F.col("slope") * F.col("sxy")) / (F.col("n") - 2)) / F.col("sxx")
     g = g.withColumn("slope_var", v).where(F.col("slope_var") > 0)
     # pooled slope and between-group variance: a one-row aggregate over the
-    # per-group table, joined back on a constant key
-    one = F.lit(1).alias("_one")
+    # per-group table, attached as a scalar subquery
     pool = g.agg(
         (F.sum(F.col("slope") / F.col("slope_var")) / F.sum(1 / F.col("slope_var"))).alias("pooled_slope"),
         F.coalesce(F.greatest(F.var_samp("slope") - F.avg("slope_var"), F.lit(0.0)), F.lit(0.0)).alias("tau2"),
-    ).select("*", one)
-    g = g.select("*", one).join(pool, "_one").drop("_one")
+    )
+    g = attach_row(g, pool)
     wt = F.col("tau2") / (F.col("tau2") + F.col("slope_var"))
     g = g.withColumn("weight", wt).withColumn(
         "shrunk_slope", F.col("pooled_slope") + F.col("weight") * (F.col("slope") - F.col("pooled_slope"))

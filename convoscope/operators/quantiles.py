@@ -14,7 +14,8 @@ memory.  Here a quantile is found by *histogram refinement* instead:
    sorted to pick the exact element.
 
 Every step is a deterministic aggregation, so a lost executor just recomputes
-its part; the small per-target state is checkpointed between passes.
+its part; the input projection and the small per-target state are
+checkpointed between passes.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from convoscope.operators.joins import join_null_safe
 
 
 def _ranks(stats: DataFrame, keys: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
-    """Target (0-based) ranks per group: one row per (group, tgt) with ``r``."""
+    """Target (0-based) ranks per group: one row per (group, q, side) with ``r``."""
     n = F.col("n")
     rows = []
     for name, p in probs.items():
         if method == "lower":
-            r = F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)).cast("long")
-            rows.append((name, "lo", r))
+            rows.append((name, "lo", F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)).cast("long")))
         elif method == "linear":
             pos = F.lit(p) * (n - 1)
             rows.append((name, "lo", F.floor(pos).cast("long")))
@@ -60,78 +60,81 @@ def exact_quantiles(
     method: str = "linear",
     buckets: int = 4096,
     band: int = 20000,
-    max_passes: int = 8,
+    max_passes: int = 16,
 ) -> DataFrame:
-    """One row per group with a column per entry of ``probs``.
+    """One row per group: the keys, ``n`` and a column per entry of ``probs``.
 
     ``method='linear'``: R type 7 / ``percentile_cont`` (interpolated).
     ``method='lower'``: ``percentile_disc`` -- the smallest value whose
     cumulative share reaches p (for p=0.5 and even n, the lower middle).
     NULL values are ignored; NULL keys form their own group (null-safe joins).
+    With no keys the whole frame is one group; its few target ranges are then
+    attached to the rows as a scalar subquery instead of a join.
     """
     keys = list(keys)
-    whole = not keys
-    if whole:  # one group: a constant key keeps every join an equi-join
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     base = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     # every pass reads the (keys, value) projection: write it once to the
     # checkpoint folder so the passes neither recompute its lineage nor
     # depend on cached blocks of a lost executor
     base = base.checkpoint()
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax")
-    )
+    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     tk = keys + ["q", "side"]
     state = _ranks(stats, keys, probs, method).select(
         *tk, "n", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), F.col("r").alias("r_rel"), F.col("n").alias("cnt")
-    )
-    state = state.checkpoint()
+    ).checkpoint()
 
     def in_range(st: DataFrame) -> DataFrame:
-        j = join_null_safe(base, st.select(*tk, "lo", "hi", "r_rel"), keys)
+        """Rows of ``base`` inside each target's current [lo, hi] range."""
+        cols = [*tk, "n", "lo", "hi", "r_rel"]
+        if keys:
+            j = join_null_safe(base, st.select(*cols), keys)
+        else:
+            ranges = st.select(F.collect_list(F.struct(*cols)).alias("t")).scalar()  # one entry per target
+            hit = F.filter(ranges, lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
+            j = base.select("v", F.explode(hit).alias("t")).select("v", *[F.col("t")[c].alias(c) for c in cols])
         return j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
 
+    open_cond = (F.col("cnt") > band) & (F.col("lo") < F.col("hi"))
     for _ in range(max_passes):
-        open_ = state.where((F.col("cnt") > band) & (F.col("lo") < F.col("hi")))
+        open_ = state.where(open_cond)
         if open_.limit(1).count() == 0:
             break
-        settled = state.where(~((F.col("cnt") > band) & (F.col("lo") < F.col("hi"))))
+        settled = state.where(~open_cond)
         rows = in_range(open_)
         width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
         b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
-        hist = rows.withColumn("b", b).groupBy(*tk, "b", "r_rel").agg(
+        hist = rows.withColumn("b", b).groupBy(*tk, "n", "b", "r_rel").agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax")
         )
+        # per target at most ``buckets`` rows: a small window
         w = Window.partitionBy(*tk).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
         pick = hist.where((F.col("r_rel") >= F.col("before")) & (F.col("r_rel") < F.col("before") + F.col("c")))
-        n_of = state.select(*tk, "n")
         picked = pick.select(
-            *tk, F.col("bmin").alias("lo"), F.col("bmax").alias("hi"), (F.col("r_rel") - F.col("before")).alias("r_rel"), F.col("c").alias("cnt")
+            *tk, "n", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
+            (F.col("r_rel") - F.col("before")).alias("r_rel"), F.col("c").alias("cnt"),
         )
-        picked = join_null_safe(n_of, picked, tk)
-        state = settled.unionByName(picked.select(*state.columns)).checkpoint()
+        state = settled.unionByName(picked).checkpoint()
 
-    single = state.where(F.col("lo") == F.col("hi")).select(*tk, F.col("lo").alias("val"))
+    single = state.where(F.col("lo") == F.col("hi")).select(*tk, "n", F.col("lo").alias("val"))
     multi = state.where(F.col("lo") < F.col("hi"))
-    bands = in_range(multi).groupBy(*tk, "r_rel").agg(F.sort_array(F.collect_list("v")).alias("vals"))
-    picked = bands.select(*tk, F.element_at("vals", (F.col("r_rel") + 1).cast("int")).alias("val"))
+    bands = in_range(multi).groupBy(*tk, "n", "r_rel").agg(F.sort_array(F.collect_list("v")).alias("vals"))
+    picked = bands.select(*tk, "n", F.element_at("vals", (F.col("r_rel") + 1).cast("int")).alias("val"))
     vals = single.unionByName(picked)
 
     wide = vals.groupBy(*keys).pivot("q", list(probs)).agg(
+        F.first("n").alias("n"),
         F.first(F.when(F.col("side") == "lo", F.col("val")), ignorenulls=True).alias("lo"),
         F.first(F.when(F.col("side") == "hi", F.col("val")), ignorenulls=True).alias("hi"),
     )
+    first_q = next(iter(probs))
     out_cols = []
     for name, p in probs.items():
         lo = F.col(f"{name}_lo")
         if method == "linear":
             hi = F.col(f"{name}_hi")
-            pos = F.lit(p) * (F.col("n") - 1)
-            frac = pos - F.floor(pos)
-            out_cols.append((lo + (hi - lo) * frac).alias(name))
+            pos = F.lit(p) * (F.col(f"{name}_n") - 1)
+            out_cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
         else:
             out_cols.append(lo.alias(name))
-    counts = stats.select(*keys, "n")
-    j = join_null_safe(counts, wide, keys).select(*keys, "n", *out_cols)
-    return j.drop("_all") if whole else j
+    return wide.select(*keys, F.col(f"{first_q}_n").alias("n"), *out_cols)

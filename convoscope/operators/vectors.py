@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from convoscope.functions.vectors import dot_literal
+from convoscope.operators.joins import attach_row
 
 MAX_ANCHOR_ROWS = 100_000  # steps x dims collected to the driver
 
@@ -106,9 +107,9 @@ def anchor_variance(emb: DataFrame, plan: AnchorPlan, vec: str = "embedding") ->
     long = vars_.unpivot([], [f"v_{s}" for s in plan.steps], "col", "var").select(
         F.regexp_extract("col", r"v_(\d+)", 1).cast("int").alias("step"), "var"
     )
-    # k rows joined to the one-row total on a constant key, then to the k-row step table
-    one = F.lit(1).alias("_one")
-    j = long.select("*", one).join(total.select("*", one), "_one").join(F.broadcast(meta), "step")
+    # the one-row total is attached as a scalar subquery; the k-row step
+    # table (a parameter) is broadcast
+    j = attach_row(long, total).join(F.broadcast(meta), "step")
     ve = F.col("var") / F.col("total_variance")
     w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return j.select(

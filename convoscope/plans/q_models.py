@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convoscope.operators import chat
 from convoscope.operators import models as md
+from convoscope.operators.joins import attach_row
 from convoscope.plans import fixtures as fx
 from convoscope.plans.q_conventions import occ_turn
 from convoscope.plans.q_star import _STAR_SQL
@@ -152,8 +153,7 @@ def q_form_quad_fit(spark, sf_dir):
     d = rep_df(spark, sf_dir)
     # centre before squaring for conditioning (same fitted values as raw powers)
     mu = d.agg(F.avg("rep_num").alias("mr"), F.avg("trial_num").alias("mt"))
-    one = F.lit(1).alias("_one")
-    d = d.select("*", one).join(mu.select("*", one), "_one")
+    d = attach_row(d, mu)
     d = d.select(
         (F.col("rep_num") - F.col("mr")).alias("rep_c"),
         ((F.col("rep_num") - F.col("mr")) ** 2).alias("rep_c2"),
@@ -170,7 +170,10 @@ def q_form_interactions(spark, sf_dir):
     d = d.withColumn("log_words", F.ln(F.col("total_num_words").cast("double"))).withColumn(
         "group_size", F.col("group_size").cast("double")
     ).withColumn("rep_num", F.col("rep_num").cast("double"))
-    return md.formula_fit(d, "log_words ~ rep_num * target * group_size * structure", "interactions")
+    # a factor with a single level has no contrast: it leaves the formula
+    levels = d.agg(*[F.countDistinct(c).alias(c) for c in ("target", "structure", "group_size")]).collect()[0]
+    terms = ["rep_num"] + [c for c in ("target", "group_size", "structure") if levels[c] >= 2]
+    return md.formula_fit(d, "log_words ~ " + " * ".join(terms), "interactions")
 
 
 @register("occurrence_logit")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from convoscope.operators import sets as so
+from convoscope.operators.joins import attach_row
 from convoscope.plans import fixtures as fx
 from convoscope.plans.registry import register
 from convoscope.session import shared_path
@@ -152,9 +153,7 @@ def q_set_batches(spark, sf_dir):
     per = back.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_sets"), F.min("set_id").alias("first_set"), F.max("set_id").alias("last_set")
     )
-    one = F.lit(1).alias("_one")
-    newest = bt.newest_batch(back).select("*", one)
-    return per.select("*", one).join(newest, "_one").drop("_one")
+    return attach_row(per, bt.newest_batch(back))
 
 
 @register(
