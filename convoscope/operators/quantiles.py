@@ -90,8 +90,7 @@ def exact_quantiles(
             j = join_null_safe(base, st.select(*cols), keys)
         else:
             ranges = st.select(F.collect_list(F.struct(*cols)).alias("t")).scalar()  # one entry per target
-            hit = F.filter(ranges, lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
-            j = base.select("v", F.explode(hit).alias("t")).select("v", *[F.col("t")[c].alias(c) for c in cols])
+            j = base.select("v", F.explode(ranges).alias("t")).select("v", *[F.col("t")[c].alias(c) for c in cols])
         return j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
 
     open_cond = (F.col("cnt") > band) & (F.col("lo") < F.col("hi"))

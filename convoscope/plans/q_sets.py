@@ -199,3 +199,17 @@ def q_gen_sets_comp(spark, sf_dir):
 @register("gen_sets_noncomp", _gen_sql("noncomp"))
 def q_gen_sets_noncomp(spark, sf_dir):
     return so.gen_sets_noncomp(fx.shapes_f(spark, sf_dir), N_SETS, SET_SIZE, seed="42noncomp")
+
+
+@register("set_summary_stream", _sql(_SUMMARY_SQL))
+def q_set_summary_stream(spark, sf_dir):
+    """The set summaries computed incrementally: members staged as files of
+    whole sets in the shared folder, consumed by a file-source stream
+    (one file per micro-batch, availableNow), summaries written per batch."""
+    from convoscope.streaming.set_stream import run_to_completion, stage_members, start_set_summaries
+
+    root = shared_path(spark, "set_stream", uuid.uuid4().hex)
+    stage_members(fx.sets_f(spark, sf_dir), f"{root}/members", sets_per_file=BATCH_SIZE)
+    q = start_set_summaries(spark, f"{root}/members", f"{root}/summaries", f"{root}/_checkpoint", max_set_size=SET_SIZE)
+    run_to_completion(q)
+    return bt.read_batches(spark, f"{root}/summaries").drop("batch_id")
