@@ -253,3 +253,20 @@ def gender_by_target(describers: DataFrame, targets=lx.TARGETS_A_L) -> DataFrame
     # counts are aggregated onto that same grid, so they are bounded by it too
     out = grid.join(F.broadcast(counts), ["target", "category"], "left")
     return out.select("target", "category", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "target_ord", "category_ord")
+
+
+def tag_with_model(tokens_df: DataFrame, load_model, token: str = "token", out: str = "pos") -> DataFrame:
+    """Plug in a trained tagger: ``load_model()`` returns a function from a
+    list of tokens to a list of tags.  It runs once per task (the model is
+    loaded on the executor, not shipped per row) over Arrow batches."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType(list(tokens_df.schema.fields) + [StructField(out, StringType(), True)])
+
+    def run(batches):
+        model = load_model()
+        for pdf in batches:
+            pdf[out] = model(pdf[token].tolist())
+            yield pdf
+
+    return tokens_df.mapInPandas(run, schema=schema)

@@ -265,3 +265,17 @@ def logit_by_group(df: DataFrame, group: str, x: str, flag: str) -> DataFrame:
     ).where(F.col("grp").isNotNull())
     out = c.groupBy("grp").applyInPandas(_irls, "grp string, intercept double, slope double, n long")
     return out.select("grp", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), "n")
+
+
+def fit_or_load(estimator, data: DataFrame, path: str, model_cls):
+    """Reuse a fitted model saved at ``path``; otherwise fit and save it there
+    (the path should be on shared storage)."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    try:
+        return model_cls.load(path)
+    except (AnalysisException, Py4JJavaError, OSError):
+        model = estimator.fit(data)
+        model.write().overwrite().save(path)
+        return model

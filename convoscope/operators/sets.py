@@ -49,6 +49,20 @@ def topk_pairs(pairs: DataFrame, n: int = 2, reverse: bool = False) -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def topk_pairs_mirrored(members: DataFrame, n: int = 2, key: str = "idx", vec: str = "embedding") -> DataFrame:
+    """The k largest entries of the full similarity matrix minus the identity:
+    every pair appears as (i, j) and (j, i), and the diagonal enters with its
+    self-similarity minus 1.  (``topk_pairs`` is the de-duplicated form.)"""
+    pairs = set_pairs(members, key=key, vec=vec)
+    swapped = pairs.select("set_id", "set_type", F.col("j").alias("i"), F.col("i").alias("j"), "similarity")
+    diag = members.select(
+        "set_id", "set_type", F.col(key).alias("i"), F.col(key).alias("j"), F.round(dot(vec, vec) - 1, 6).alias("similarity")
+    )
+    full = pairs.unionByName(swapped).unionByName(diag)
+    w = Window.partitionBy("set_id").orderBy(F.desc("similarity"), "i", "j")
+    return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def pair_lookup(pairs: DataFrame, set_id: int, i: int, j: int) -> DataFrame:
     lo, hi = min(i, j), max(i, j)
     return pairs.where((F.col("set_id") == set_id) & (F.col("i") == lo) & (F.col("j") == hi))

@@ -43,3 +43,13 @@ def pending_batches(planned: DataFrame, finished_sets: DataFrame, set_col: str =
     have = finished_sets.groupBy(batch_col).agg(F.countDistinct(set_col).alias("have"))
     done = planned.join(have, batch_col).where(F.col("have") == F.col("expected")).select(batch_col)
     return planned.join(done, batch_col, "left_anti")
+
+
+def write_sets_json(members: DataFrame, path: str, keep=("idx", "image"), set_cols=("set_id", "set_type")) -> None:
+    """One JSON record per set with its members in index order.  Sets are
+    bounded by their size parameter, so one record per set is bounded too."""
+    cols = [c for c in keep if c in members.columns]
+    rec = members.groupBy(*[c for c in set_cols if c in members.columns]).agg(
+        F.array_sort(F.collect_list(F.struct(*cols))).alias("members")
+    )
+    rec.write.mode("overwrite").json(path)
