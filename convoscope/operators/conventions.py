@@ -179,7 +179,9 @@ def convention_rounds(earliest_rows: DataFrame) -> DataFrame:
 
 def conv_status(to_next: DataFrame, earliest_rows: DataFrame) -> DataFrame:
     """pre / form / post for every adjacent-round similarity row."""
-    e = convention_rounds(earliest_rows)
+    # one row per game: small, used twice below -- checkpoint it so the
+    # matching pipeline behind it runs once
+    e = convention_rounds(earliest_rows).checkpoint()
     formed = e.select(*STATUS_KEYS, F.col("rep_num").alias("later"), F.lit(1).alias("convention_formed"))
     s = join_null_safe(to_next, formed, STATUS_KEYS + ["later"], "left")
     # forward fill in round order per (game, target, stage): a game's rounds
@@ -230,8 +232,11 @@ def sim_boxplot(status: DataFrame) -> DataFrame:
     """Box-plot statistics of ``sim`` per (structure, status): quartiles
     (type 7), whiskers at the most extreme values within 1.5 IQR, outlier count."""
     keys = ["structure", "convention_status"]
-    q = exact_quantiles(status, keys, "sim", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method="linear")
-    j = join_null_safe(status.select(*keys, "sim"), q, keys, "inner")
+    # the (keys, sim) projection is read by every quantile pass and by the
+    # whisker pass: write it once
+    vals = status.select(*keys, "sim").checkpoint()
+    q = exact_quantiles(vals, keys, "sim", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method="linear", checkpointed=True)
+    j = join_null_safe(vals, q, keys, "inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     agg = j.groupBy(*keys, "n", "q1", "median", "q3").agg(

@@ -128,8 +128,11 @@ def firstword_audit(tagged: DataFrame) -> DataFrame:
 
 
 def firstword_long(tagged: DataFrame, ids=("doc_id", "rep_num")) -> DataFrame:
-    t = tagged.where(F.col("V_first").isNotNull())
-    long = t.unpivot(list(ids), FLAGS, "first_type", "value")
+    """One row per true class flag.  Untagged messages have all flags NULL, so
+    the ``value`` filter drops them too; no filter sits on the derived flags
+    themselves (pushed below the projection it would inline the whole
+    first-token and tagger chain)."""
+    long = tagged.unpivot(list(ids), FLAGS, "first_type", "value")
     return long.where(F.col("value")).drop("value")
 
 
@@ -138,11 +141,12 @@ def firstword_counts(tagged: DataFrame) -> DataFrame:
 
 
 def firstword_props(tagged: DataFrame) -> DataFrame:
-    t = tagged.where(F.col("V_first").isNotNull())
-    agg = t.groupBy("rep_num").agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    # tagged messages only: count non-NULL flags in the aggregate (a filter on
+    # the derived flag would be pushed into the projection chain)
+    agg = tagged.groupBy("rep_num").agg(
+        F.count(F.col("V_first")).alias("total_rows"),
         *[F.sum(F.col(f).cast("int")).cast("bigint").alias(f"{f}_true") for f in FLAGS],
-    )
+    ).where(F.col("total_rows") > 0)
     kinds = {
         "proportion_v_first": "V_first_true",
         "proportion_the_first": "the_first_true",

@@ -56,4 +56,6 @@ def attach_row(df: DataFrame, one_row: DataFrame, columns=None) -> DataFrame:
     scalar subqueries (evaluated once, no join)."""
     cols = list(columns or one_row.columns)
     packed = one_row.select(F.struct(*cols).alias("r")).scalar()
-    return df.select("*", *[packed.getField(c).alias(c) for c in cols])
+    # one subquery column, then its fields (the subquery runs once)
+    with_row = df.select("*", packed.alias("__row"))
+    return with_row.select(*df.columns, *[F.col("__row").getField(c).alias(c) for c in cols])

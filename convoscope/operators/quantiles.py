@@ -61,6 +61,7 @@ def exact_quantiles(
     buckets: int = 4096,
     band: int = 20000,
     max_passes: int = 16,
+    checkpointed: bool = False,
 ) -> DataFrame:
     """One row per group: the keys, ``n`` and a column per entry of ``probs``.
 
@@ -70,13 +71,15 @@ def exact_quantiles(
     NULL values are ignored; NULL keys form their own group (null-safe joins).
     With no keys the whole frame is one group; its few target ranges are then
     attached to the rows as a scalar subquery instead of a join.
+    ``checkpointed=True`` when ``df`` is already materialised (no second write).
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     # every pass reads the (keys, value) projection: write it once to the
     # checkpoint folder so the passes neither recompute its lineage nor
     # depend on cached blocks of a lost executor
-    base = base.checkpoint()
+    if not checkpointed:
+        base = base.checkpoint()
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     tk = keys + ["q", "side"]
     state = _ranks(stats, keys, probs, method).select(

@@ -140,7 +140,9 @@ FROM (SELECT structure, group_size, CASE WHEN rep_num > 6 THEN '7+' ELSE CAST(re
     ),
 )
 def q_first_share(spark, sf_dir):
-    occ = occ_turn(spark, sf_dir)
+    # three earliest-round variants read the same occurrence table: write it
+    # once rather than run the matching three times
+    occ = occ_turn(spark, sf_dir).checkpoint()
     parts = [
         ("any_base", cv.earliest(occ, "base_regex", False)),
         ("any_fuzzy", cv.earliest(occ, "fuzzy_regex", False)),
