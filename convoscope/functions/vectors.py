@@ -32,16 +32,3 @@ def norm(a) -> Column:
 def normalize(a) -> Column:
     n = norm(a)
     return F.transform(_c(a), lambda x: x.cast("double") / n)
-
-
-def minus_combination(a, coefs: Sequence[Column], vecs: Sequence[Sequence[float]]) -> Column:
-    """``a - sum_t coefs[t] * vecs[t]`` with constant vectors."""
-    lits = [F.array(*[F.lit(float(v)) for v in vec]) for vec in vecs]
-
-    def f(x, i):
-        acc = x.cast("double")
-        for c, lv in zip(coefs, lits):
-            acc = acc - c * F.element_at(lv, i + 1)
-        return acc
-
-    return F.transform(_c(a), f)

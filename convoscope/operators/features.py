@@ -198,15 +198,19 @@ def nominal_rolling(describers: DataFrame, tagger: Tagger = default_tagger) -> D
 def feature_panel(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
     """Three metrics per round: pronoun mean over all describer messages; the
     nominal proportion and the hedge mean over messages with at least one
-    classified token."""
+    classified token.  One aggregation computes all three (conditional
+    averages skip the other messages), then an unpivot makes the long panel."""
     h = with_hedges(describers.withColumn("text", F.coalesce("text", F.lit(""))))
     f = message_token_counts(h, list(keys) + ["hedge_count"], tagger=tagger)
-    f = f.withColumn("total", F.col("num_nominals") + F.col("num_non_nominals"))
-    pron = mean_by(f, "pronoun_count", "value").withColumn("metric", F.lit("Pronoun Count"))
-    nz = f.where(F.col("total") > 0).withColumn("prop_nominal", F.col("num_nominals") / F.col("total"))
-    nom = mean_by(nz, "prop_nominal", "value").withColumn("metric", F.lit("Nominal Proportion"))
-    hed = mean_by(nz, "hedge_count", "value").withColumn("metric", F.lit("Hedge Count"))
-    return pron.unionByName(nom).unionByName(hed).select("rep_num", "metric", "value")
+    total = F.col("num_nominals") + F.col("num_non_nominals")
+    nz = total > 0
+    agg = f.where(F.col("rep_num").isNotNull()).groupBy("rep_num").agg(
+        F.round(F.avg("pronoun_count"), 6).alias("Pronoun Count"),
+        F.round(F.avg(F.when(nz, F.col("num_nominals") / total)), 6).alias("Nominal Proportion"),
+        F.round(F.avg(F.when(nz, F.col("hedge_count"))), 6).alias("Hedge Count"),
+    )
+    long = agg.unpivot(["rep_num"], ["Pronoun Count", "Nominal Proportion", "Hedge Count"], "metric", "value")
+    return long.where(F.col("value").isNotNull()).select("rep_num", "metric", "value")
 
 
 def _category_map() -> Column:

@@ -17,11 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from convoscope.operators.joins import attach_row
 
-TERMS = ("intercept", "x1", "x2")
 Z95 = 1.959963984540054
 
 

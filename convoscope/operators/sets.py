@@ -29,8 +29,11 @@ def set_pairs(members: DataFrame, max_size: int = 16, key: str = "idx", vec: str
     """All unordered pairs i<j within each set with their dot-product similarity
     (vectors are used as given, like a plain matrix product)."""
     check_set_sizes(members, max_size)
-    a = members.select("set_id", "set_type", F.col(key).alias("i"), F.col(vec).alias("va"))
-    b = members.select(F.col("set_id").alias("set_id_b"), F.col(key).alias("j"), F.col(vec).alias("vb"))
+    # one hash exchange on set_id feeds both sides of the self-join (the
+    # join then needs no shuffle of its own)
+    m = members.select("set_id", "set_type", key, vec).repartition("set_id")
+    a = m.select("set_id", "set_type", F.col(key).alias("i"), F.col(vec).alias("va"))
+    b = m.select(F.col("set_id").alias("set_id_b"), F.col(key).alias("j"), F.col(vec).alias("vb"))
     p = a.join(b, (F.col("set_id") == F.col("set_id_b")) & (F.col("i") < F.col("j")), "inner")
     return p.select("set_id", "set_type", "i", "j", F.round(dot("va", "vb"), 6).alias("similarity"))
 

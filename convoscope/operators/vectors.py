@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from convoscope.functions.vectors import dot_literal
-from convoscope.operators.joins import attach_row
+from convoscope.operators.joins import attach_row, broadcast_if_small
 
 MAX_ANCHOR_ROWS = 100_000  # steps x dims collected to the driver
 
@@ -46,9 +46,7 @@ def anchor_vectors(emb: DataFrame, anchors: DataFrame, label: str = "label", vec
     """Per step: mean of the member vectors, divided by its norm; long form
     (step, name, dim, value).  The anchor definition table is a parameter
     (steps x labels), broadcast behind a size check."""
-    a = anchors.select("step", "name", label)
-    if a.limit(MAX_ANCHOR_ROWS + 1).count() <= MAX_ANCHOR_ROWS:
-        a = F.broadcast(a)
+    a = broadcast_if_small(anchors.select("step", "name", label), MAX_ANCHOR_ROWS)
     m = emb.select(label, F.posexplode(vec).alias("dim", "value")).join(a, label)
     mean = m.groupBy("step", "name", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"))
     w = Window.partitionBy("step")
