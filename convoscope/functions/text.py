@@ -4,10 +4,14 @@ JVM-side); no Python runs per row."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def _c(x) -> Column:
@@ -88,6 +92,23 @@ def fuzzy_k(pattern) -> Column:
     return F.ceil(F.length(_c(pattern)) * F.lit(0.1)).cast("int")
 
 
+def fuzzy_quick(pattern, text) -> Column:
+    """The cheap part of approximate containment: TRUE when the pattern occurs
+    exactly or is no longer than its edit budget, FALSE when no pigeonhole
+    piece occurs (then no match is possible), NULL when undecided."""
+    p, t = _c(pattern), F.coalesce(_c(text), F.lit(""))
+    m = F.length(p)
+    k = fuzzy_k(p)
+
+    def piece(j):
+        start = F.floor(j * m / (k + 1)).cast("int")
+        end = F.floor((j + 1) * m / (k + 1)).cast("int")
+        return F.substring(p, start + 1, end - start)
+
+    pigeonhole = F.exists(F.sequence(F.lit(0), k), lambda j: F.contains(t, piece(j)))
+    return F.when(F.contains(t, p) | (m <= k), F.lit(True)).when(~pigeonhole, F.lit(False))
+
+
 def fuzzy_contains(pattern, text) -> Column:
     """True when some substring of ``text`` is within Levenshtein distance
     k = ceil(0.1 * len(pattern)) of ``pattern`` (approximate containment, all
@@ -139,3 +160,58 @@ def fuzzy_contains_reference(pattern: str, text: str) -> bool:
         best = min(best, cur[m])
         prev = cur
     return best <= k
+
+
+def approx_within(pattern: str, text: str, k: int) -> bool:
+    """Is some substring of ``text`` within edit distance ``k`` of ``pattern``?
+    Myers' bit-parallel algorithm (search form: a match may start anywhere),
+    one machine-word-style step per text character on Python integers, so a
+    pattern of any length costs O(len(text) * len(pattern) / 64)."""
+    m = len(pattern)
+    if m <= k:
+        return True
+    peq: dict[str, int] = {}
+    for i, ch in enumerate(pattern):
+        peq[ch] = peq.get(ch, 0) | (1 << i)
+    mask = (1 << m) - 1
+    high = 1 << (m - 1)
+    pv, mv, score = mask, 0, m
+    for ch in text:
+        eq = peq.get(ch, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & mask)
+        mh = pv & xh
+        if ph & high:
+            score += 1
+        elif mh & high:
+            score -= 1
+        ph = (ph << 1) & mask
+        mh = (mh << 1) & mask
+        pv = mh | (~(xv | ph) & mask)
+        mv = ph & xv
+        if score <= k:
+            return True
+    return False
+
+
+def _fuzzy_long_batch(pattern: pd.Series, text: pd.Series) -> pd.Series:
+    out = []
+    for p, t in zip(pattern, text):
+        if p is None:
+            out.append(None)
+        else:
+            out.append(approx_within(p, t if isinstance(t, str) else "", math.ceil(0.1 * len(p))))
+    return pd.Series(out, dtype=object)
+
+
+_FUZZY_LONG = None
+
+
+def fuzzy_contains_long(pattern, text) -> Column:
+    """Approximate containment for long patterns, Arrow-batched: same rule as
+    ``fuzzy_contains`` (k = ceil(0.1 * len)), decided by ``approx_within``."""
+    global _FUZZY_LONG
+    if _FUZZY_LONG is None:  # built on first use: a UDF needs a live session
+        _FUZZY_LONG = pandas_udf(_fuzzy_long_batch, "boolean")
+    return _FUZZY_LONG(_c(pattern), _c(text))

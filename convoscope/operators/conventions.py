@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoscope.functions.text import clean_text, fuzzy_contains
+from convoscope.functions.text import clean_text, fuzzy_contains, fuzzy_contains_long, fuzzy_quick
 from convoscope.operators.joins import join_null_safe
 from convoscope.operators.quantiles import exact_quantiles
 
@@ -46,24 +46,38 @@ def conventions(base: DataFrame) -> DataFrame:
     return out.where(F.col("convention") != "")
 
 
-def _flags(joined: DataFrame, dedupe: bool = True) -> DataFrame:
+FUZZY_UDF_MIN_LEN = 64
+
+
+def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_MIN_LEN) -> DataFrame:
     """Exact and approximate containment of the convention in the text.
 
     With ``dedupe`` the (text, convention) pairs are matched once and joined
     back: short utterances repeat a lot, and the approximate test is the
-    expensive part of the plan."""
+    expensive part of the plan.  Pairs settled by the cheap checks (exact
+    occurrence, pigeonhole filter) and short patterns are decided by built-in
+    expressions; the undecided pairs with patterns of ``udf_min_len`` or more
+    characters -- where the window search grows roughly with m^3 -- go to the
+    bit-parallel matcher in an Arrow-batched UDF (linear in the text)."""
     if not dedupe:
         return joined.withColumn("base_regex", F.contains("text", "convention").cast("int")).withColumn(
             "fuzzy_regex", fuzzy_contains(F.col("convention"), F.col("text")).cast("int")
         )
     pairs = joined.select("text", "convention").distinct()
-    pairs = pairs.select(
-        "text",
-        "convention",
+    pre = pairs.select(
+        "text", "convention",
         F.contains("text", "convention").cast("int").alias("base_regex"),
-        fuzzy_contains(F.col("convention"), F.col("text")).cast("int").alias("fuzzy_regex"),
+        fuzzy_quick(F.col("convention"), F.col("text")).alias("quick"),
+    )
+    short = pre.where(F.col("quick").isNotNull() | (F.length("convention") < udf_min_len)).select(
+        "text", "convention", "base_regex",
+        F.coalesce(F.col("quick"), fuzzy_contains(F.col("convention"), F.col("text"))).cast("int").alias("fuzzy_regex"),
+    )
+    long = pre.where(F.col("quick").isNull() & (F.length("convention") >= udf_min_len)).select(
+        "text", "convention", "base_regex",
+        fuzzy_contains_long(F.col("convention"), F.col("text")).cast("int").alias("fuzzy_regex"),
     )
-    return joined.join(pairs, ["text", "convention"], "inner")
+    return joined.join(short.unionByName(long), ["text", "convention"], "inner")
 
 
 def occurrence_per_message(base: DataFrame, conv: DataFrame, dedupe: bool = True) -> DataFrame:

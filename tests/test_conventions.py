@@ -42,3 +42,21 @@ def test_first_share_sums_to_one(spark):
     tot = {(r[0], r[1]): r[2] for r in s.groupBy("structure", "group_size").agg(F.sum("share")).collect()}
     assert all(abs(v - 1) < 1e-9 for v in tot.values())
     assert {r["first"] for r in s.collect()} == {"1", "2", "7+", "3"}
+
+
+def test_long_pattern_route_equals_dynamic_programming(spark):
+    import random
+
+    from convoscope.functions.text import fuzzy_contains_reference
+
+    random.seed(5)
+    rows = []
+    for _ in range(300):
+        p = "".join(random.choice("ab ") for _ in range(random.randint(1, 40))).strip() or "a"
+        t = "".join(random.choice("ab ") for _ in range(random.randint(0, 60)))
+        rows.append((t, p, int(fuzzy_contains_reference(p, t))))
+    df = spark.createDataFrame(rows, "text string, convention string, expected int")
+    for min_len in (0, 10, 1000):  # everything long / mixed / everything short
+        got = cv._flags(df, udf_min_len=min_len)
+        assert got.where(F.col("fuzzy_regex") != F.col("expected")).count() == 0
+        assert got.count() == len(rows)
