@@ -220,9 +220,12 @@ def event_time_fit(et: DataFrame) -> DataFrame:
     """Least-squares line of sim on event time per (structure x group size, side);
     event time 0 belongs to both sides."""
     g = F.concat(F.col("structure"), F.col("group_size").cast("string"))
-    pre = et.where(F.col("event_time") <= 0).withColumn("side", F.lit("pre"))
-    post = et.where(F.col("event_time") >= 0).withColumn("side", F.lit("post"))
-    both = pre.unionByName(post).withColumn("grp", g)
+    # each row lands on its side(s) by one explode, not two filtered copies
+    sides = F.filter(
+        F.array(F.when(F.col("event_time") <= 0, F.lit("pre")), F.when(F.col("event_time") >= 0, F.lit("post"))),
+        lambda s: s.isNotNull(),
+    )
+    both = et.select("*", F.explode(sides).alias("side")).withColumn("grp", g)
     x, y = F.col("event_time").cast("double"), F.col("sim")
     agg = both.groupBy("grp", "side").agg(
         F.regr_count(y, x).alias("n"),

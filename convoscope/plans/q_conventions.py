@@ -64,7 +64,11 @@ def _conv(spark, sf_dir):
 
 
 def occ_turn(spark, sf_dir):
-    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir))
+    """The per-turn occurrence table, written once to the checkpoint folder:
+    every consumer (earliest rows, survival, progress, status) reads it from
+    two or more plan branches, and the matching behind it is the expensive
+    part; materialised, it also survives lost executors."""
+    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir)).checkpoint()
 
 
 @register("conv_end", _sql("SELECT * FROM conv"))
@@ -140,9 +144,8 @@ FROM (SELECT structure, group_size, CASE WHEN rep_num > 6 THEN '7+' ELSE CAST(re
     ),
 )
 def q_first_share(spark, sf_dir):
-    # three earliest-round variants read the same occurrence table: write it
-    # once rather than run the matching three times
-    occ = occ_turn(spark, sf_dir).checkpoint()
+    # the three earliest-round variants read the same (checkpointed) table
+    occ = occ_turn(spark, sf_dir)
     parts = [
         ("any_base", cv.earliest(occ, "base_regex", False)),
         ("any_fuzzy", cv.earliest(occ, "fuzzy_regex", False)),
