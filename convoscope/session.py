@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the folder is configured by the operator and is read from the
-    session. Only when it is unset (tests, the local bench) do we create one.
+    session; without it this raises. Only in local mode (tests, the bench) is a
+    missing folder created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -45,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="convoscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -55,3 +59,24 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder, for tables a job writes and reads back."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return "/".join([base.rstrip("/"), *parts])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark application.
+
+    The driver serves one zip of the package's modules; executors need no
+    install and no shared code folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_convoscope_shipped", None) == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="convoscope-ship-"), "convoscope.zip")
+    with zipfile.ZipFile(name, "w") as out:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(name)
+    sc._convoscope_shipped = sc.applicationId
