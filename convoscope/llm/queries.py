@@ -7,22 +7,81 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoscope.llm import langid_crf, toxicity
+from convoscope.llm.minhash import near_duplicates
 from convoscope.llm.substring_dedup import remove_repeated_windows
 from convoscope.sources.tables import table
 
 SPAN_WORDS = "aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)"
 
 
+def _remainder(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid_crf.fit(docs.where(_remainder(4) != 2))
+    out = langid_crf.predict(docs, model)
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "shares")
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+    out = toxicity.toxicity(docs, model)
+    return out.select(
+        "doc_id",
+        (_remainder(3) == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        "abuse",
+        "quotation",
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", F.expr(SPAN_WORDS).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_minhash_near_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN list_aggregate(words, 'string_agg', ' ')
+           ELSE list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ') END AS h
+  FROM w, unnest(generate_series(1, greatest(1, len(words) - 4))) AS g(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+  FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, e.v FROM reach r JOIN edges e ON e.u = r.b),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN low ON low.a = d.doc_id
+""",
     "op10_substring_dedup": """
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,
