@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoscope.llm import langid_crf, toxicity
+from convoscope.llm import decontaminate, langid_crf, mixing, mtree, secret_ledger, toxicity, url_filter
 from convoscope.llm.minhash import near_duplicates
 from convoscope.llm.substring_dedup import remove_repeated_windows
+from convoscope.session import shared_path
 from convoscope.sources.tables import table
 
 SPAN_WORDS = "aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)"
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vector = F.when(usable, F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)))
+    return mtree.top_k(rows.select("vec_id", vector.alias("vector")), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), cap=3)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def _remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
@@ -26,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "shares")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -44,19 +68,99 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = shared_path(spark, "llm", f"secret-ledger-{uuid.uuid4().hex}")  # a new ledger: every blob is unseen
+    out = secret_ledger.scan(table(spark, sf_dir, "documents"), ledger)
+    base = F.filter("found", lambda s: s.kind.isin(*secret_ledger.BASE))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(
+        "doc_id", *(count(k) for k in secret_ledger.BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans")
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", F.expr(SPAN_WORDS).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree_top_k": op1_mtree_top_k,
+    "op3_source_mix": op3_source_mix,
+    "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mtree_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+""",
+    "op3_source_mix": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'),
+           lambda x: x <> '')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, (SELECT sum(source_size) FROM s) AS total, 3 * source_size AS most,
+         coalesce(sum(3 * source_size) OVER w, 0) AS held,
+         (SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER w, 0) AS rest
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max(CAST(total - held AS DOUBLE) / CAST(rest AS DOUBLE)) AS x FROM c),
+t AS (
+  SELECT source, source_size, documents, least(CAST(most AS DOUBLE), x * weight) AS target,
+         CAST('0x' || substr(md5('mix|' || coalesce('=' || source, '')), 1, 6) AS BIGINT) AS off
+  FROM c, level),
+e AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.off,
+         CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216) ELSE 0 END AS BIGINT) AS each,
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) % CAST(ceil(documents / 1000) AS BIGINT) AS block
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, off + CAST(sum(each) OVER (PARTITION BY source ORDER BY block, size, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e)
+SELECT doc_id, size, source_size, target, ((stop >> 24) - ((stop - each) >> 24)) * size AS taken FROM p
+""",
+    "op6_decontamination": """
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 3]), (1, [0, 1, 3, 5]), (2, [0, 2, 3, 6])) m(mask, pick)),
+ds AS (
+  SELECT doc_id, p, mask, concat_ws(' ', w[p + pick[1]], w[p + pick[2]], w[p + pick[3]], w[p + pick[4]]) AS seed
+  FROM dw, unnest(generate_series(1, len(w))) AS g(p), m WHERE p + pick[4] <= len(w)),
+si AS (
+  SELECT item_id, p, mask, concat_ws(' ', w[p + pick[1]], w[p + pick[2]], w[p + pick[3]], w[p + pick[4]]) AS seed,
+         greatest(0, least(p - 1 - 3, len(w) - 13)) AS low, least(13, len(w)) AS compared
+  FROM iw, unnest(generate_series(1, len(w))) AS g(p), m WHERE len(w) >= 4 AND p + pick[4] <= len(w)),
+hits AS (
+  SELECT doc_id, item_id, ds.p - si.p AS shift, low, compared,
+         greatest(CAST(ceil(compared * 80 / 100.0) AS INT), least(compared, 7)) AS needed
+  FROM ds JOIN si USING (mask, seed)),
+v AS (
+  SELECT doc_id, item_id, compared, needed,
+         (SELECT count(*) FROM unnest(generate_series(1, compared)) AS o(j)
+          WHERE low + j + shift >= 1 AND dw.w[low + j + shift] = iw.w[low + j]) AS matched
+  FROM hits JOIN dw USING (doc_id) JOIN iw USING (item_id))
+SELECT doc_id, item_id, CAST(max(matched) AS INT) AS matched, CAST(max(compared) AS INT) AS compared, count(*) AS hits
+FROM v WHERE matched >= needed GROUP BY doc_id, item_id
+""",
     "op7_minhash_near_dedup": """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
