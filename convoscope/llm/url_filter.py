@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAMS = (3, 4, 5)
-SLOTS = 1 << 14
+SLOTS = 1 << 18
 RIDGE = 0.003
+#: How much more an allowed row of the labelled table weighs: most URLs on the web are not to be blocked.
+PRIOR = 4.0
 
 #: Default labelled URLs (fixed values).
 BLOCKED = """
@@ -111,8 +113,9 @@ def labelled_urls(spark: SparkSession, blocked: Sequence[str] = BLOCKED, allowed
 def train(labelled: DataFrame) -> LogisticRegressionModel:
     """Ridge logistic regression from labelled(url, label: 1 blocks); the table is small by contract."""
     host, path = host_and_path(F.col("url"))
-    rows = _hashed(labelled.select(host.alias("host"), path.alias("path"), "label")).select("_features", "label")
-    lr = LogisticRegression(featuresCol="_features", labelCol="label", regParam=RIDGE, standardization=False, maxIter=60)
+    rows = _hashed(labelled.select(host.alias("host"), path.alias("path"), "label"))
+    rows = rows.select("_features", "label", F.when(F.col("label") == 1, 1.0).otherwise(PRIOR).alias("_weight"))
+    lr = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", regParam=RIDGE, standardization=False, maxIter=60)
     return lr.fit(rows)
 
 
