@@ -154,6 +154,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs(centre, node) with 100 * intersection >= percent * union."""
+    sets = sets.hint("merge")
     member = pairs.join(sets.withColumnRenamed("doc_id", "node").withColumnRenamed("shingle_set", "a"), "node")
     both = member.join(sets.withColumnRenamed("doc_id", "centre").withColumnRenamed("shingle_set", "b"), "centre")
 
@@ -189,7 +190,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
     # the order in which a bucket's members become centres: most collisions, then smallest id
     members = members.join(degree, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("low")).alias("rank"))
     members = stored(members, "ranked")
-    sets = full_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    # both grow with the corpus, so they are merged, never broadcast
+    nodes = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
+    sets = full_sets(docs.join(nodes, "doc_id", "left_semi"), width)
     sets = stored(sets, "sets")
 
     links = labels = tested = None
