@@ -15,8 +15,8 @@
    centre gets its star; rounds go on until one finds no new link.
 6. Components come from the confirmed links.
 
-With 20 bands of 6 bins a pair at similarity 0.85 shares no band with
-probability (1 - 0.85**6)**20, under 1e-4; a pair at 0.9 under 1e-6.
+With 24 bands of 5 bins a pair at similarity 0.85 shares no band with
+probability (1 - 0.85**5)**24, about 1e-6.
 
 Defined results: a null or blank text has no shingles, n_shingles 0, and is its
 own component; a text shorter than the shingle is one shingle; a null doc_id
@@ -39,7 +39,7 @@ from convoscope.llm.components import components
 from convoscope.llm.tables import stored
 
 SHINGLE = 5
-BANDS, ROWS = 20, 6
+BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
 PIECE = 2 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
