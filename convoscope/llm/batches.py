@@ -19,7 +19,7 @@ BATCH_BYTES = 4 << 20
 BUCKET_HASHES = 400_000
 
 REQUEST = "bucket long, batch long, hashes binary, twice binary"
-ANSWER = "batch long, bucket long, repeated binary"
+ANSWER = "batch long, bucket long, repeated binary, hot binary"
 
 
 def batch_of(count: int, *cols: Column) -> Column:
@@ -64,42 +64,39 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    batch = table["batch"].to_numpy()
+def _answer(table: pa.Table, hot_from: int) -> pa.Table:
     raw = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
     flags = [
         np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)
         for x, h in zip(table["twice"].to_pylist(), raw, strict=True)
     ]
-    every = np.concatenate(raw)
-    own = np.concatenate(flags)
-    order = np.argsort(every, kind="stable")
-    sorted_ = every[order]
-    same = sorted_[1:] == sorted_[:-1]
-    dup = np.zeros(len(every), bool)
-    dup[1:] |= same
-    dup[:-1] |= same
-    repeated = own.copy()
-    repeated[order] |= dup
+    _, which, holders = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+    own = np.zeros(len(holders), bool)
+    own[which[np.concatenate(flags)]] = True
     ends = np.cumsum([len(x) for x in raw])
-    bits = [np.packbits(repeated[b - len(x) : b]).tobytes() for x, b in zip(raw, ends, strict=True)]
+    bits = lambda marks: pa.array([np.packbits(marks[which[b - len(x) : b]]).tobytes() for x, b in zip(raw, ends, strict=True)], pa.binary())
     return pa.table(
-        {"batch": pa.array(batch, pa.int64()), "bucket": table["bucket"], "repeated": pa.array(bits, pa.binary())}
+        {"batch": table["batch"], "bucket": table["bucket"], "repeated": bits(own | (holders > 1)), "hot": bits(holders >= hot_from)}
     )
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """For every request row, one bit per hash: is it in another batch, or twice in its own?"""
-    return asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
+def answers(asked: DataFrame, hot_from: int = 1 << 62) -> DataFrame:
+    """For every request row, one bit per hash: is it in another batch, or twice in some batch?
+    And one more: do at least ``hot_from`` batches have it?"""
 
+    def run(table: pa.Table) -> pa.Table:
+        return _answer(table, hot_from)
 
-def repeated_hashes(hashes: np.ndarray, answer: pa.Table, buckets: int) -> np.ndarray:
-    """Flags for a batch's distinct hashes from the rows that came back for it."""
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def repeated_hashes(hashes: np.ndarray, answer: pa.Table, buckets: int, which: str = "repeated") -> np.ndarray:
+    """Flags (repeated or hot) for a batch's distinct hashes from the rows that came back for it."""
     bucket = bucket_of(hashes, buckets)
     order = np.lexsort((hashes, bucket))
     ordered = bucket[order]
     flags = np.zeros(len(hashes), bool)
-    for k, bits in zip(answer["bucket"].to_pylist(), answer["repeated"].to_pylist(), strict=True):
+    for k, bits in zip(answer["bucket"].to_pylist(), answer[which].to_pylist(), strict=True):
         a, b = np.searchsorted(ordered, [k, k + 1])
         flags[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return flags

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from convoscope.llm import decontaminate, langid_crf, mixing, mtree, secret_ledger, toxicity, url_filter
 from convoscope.llm.minhash import near_duplicates
+from convoscope.llm.suffix_dedup import remove_repeats
 from convoscope.llm.substring_dedup import remove_repeated_windows
 from convoscope.session import shared_path
 from convoscope.sources.tables import table
 
-SPAN_WORDS = "aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)"
+SPAN_TOTAL = "aggregate(spans, 0L, (n, s) -> n + s.end - s.begin)"
 
 
 def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,17 @@ def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(rows.select("vec_id", vector.alias("vector")), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), width=50)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.expr(SPAN_TOTAL).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), cap=3)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -81,11 +93,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"), width=35)
-    return out.select("doc_id", "n_words", F.expr(SPAN_WORDS).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", F.expr(SPAN_TOTAL).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_top_k": op1_mtree_top_k,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
