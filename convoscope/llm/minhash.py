@@ -232,3 +232,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each group of near-duplicates, the one with the
+    smallest id; all columns stay.  Rows without an id go by a hash of their text."""
+    name = "_row_key"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    judged = near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"), percent, width)
+    kept = judged.where("kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = stored(kept, "kept").hint("merge")  # grows with the corpus: never broadcast
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

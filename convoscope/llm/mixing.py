@@ -128,3 +128,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     end = F.col("_start") + F.col("_offset") + F.col("_end")
     copies = F.shiftright(end, UNIT_BITS) - F.shiftright(end - F.col("_each"), UNIT_BITS)
     return rows.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
+
+
+def emitted(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The mix itself: docs' rows once per copy, with ``copy`` (from 1)."""
+    mixed = mix(docs, weights, cap).where("copies > 0")
+    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))

@@ -107,7 +107,8 @@ def scan(docs: DataFrame, path: str) -> DataFrame:
     if before is not None:
         wanted = wanted.join(before.where(F.col("rules") == VERSION), "blob", "left_anti")
     # joined on the holder, so that a blob with very many holders is read once, not gathered
-    new = _scanned(rows.join(wanted, ["holder", "blob"], "left_semi"))
+    # (both sides grow with the corpus: merged, never broadcast)
+    new = _scanned(rows.join(wanted.hint("merge"), ["holder", "blob"], "left_semi"))
     new.withColumn("rules", F.lit(VERSION)).write.mode("append").parquet(path)
     known = spark.read.parquet(path).where((F.col("rules") == VERSION) & (F.size("found") > 0))
     # rows that repeat under one id can have the same blob scanned twice
@@ -136,7 +137,7 @@ def redacted(docs: DataFrame, path: str, mask: str = "[secret]") -> DataFrame:
     text_at = schema.fieldNames().index("text")
     keyed = docs.withColumn(f"{name}_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     known = known.select(F.col("blob").alias(f"{name}_blob"), F.col("found").alias(name))
-    joined = keyed.join(known, f"{name}_blob", "left").drop(f"{name}_blob")
+    joined = keyed.join(known.hint("merge"), f"{name}_blob", "left").drop(f"{name}_blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -212,15 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, machine, logistic(x, y))
 
 
+def _scores(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    x = features(texts, model.machine)
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(model.weights[0] + x @ model.weights[1:]))), x
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score, abuse, quotation (logs of one plus weighed hits)."""
-    machine, weights = model.machine, model.weights
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            x = features(batch.column("text").to_pylist(), machine)
-            with np.errstate(over="ignore"):
-                score = 1 / (1 + np.exp(-(weights[0] + x @ weights[1:])))
+            score, x = _scores(batch.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array(x[:, 0] + x[:, 2]), pa.array(x[:, 1] + x[:, 3])],
                 ["doc_id", "score", "abuse", "quotation"],
@@ -228,3 +231,15 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, score double, abuse double, quotation double")
+
+
+def without_toxic(docs: DataFrame, model: Model, reject_at: float = 0.7) -> DataFrame:
+    """docs(text, ...) without the rows that score ``reject_at`` or more; all columns stay."""
+    at = docs.columns.index("text")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            score, _ = _scores(batch.column(at).to_pylist(), model)
+            yield batch.filter(pa.array(score < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
