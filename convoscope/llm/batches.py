@@ -31,9 +31,9 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0])
 
 
-def text_batches(docs: DataFrame, size: int, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
+def text_batches(docs: DataFrame, size: int) -> DataFrame:
     """(batch, doc_id, text) from docs(doc_id, text); ``size``: bytes of all texts."""
-    count = -(-max(1, size) // bytes_per_batch)
+    count = -(-max(1, size) // BATCH_BYTES)
     return docs.select(batch_of(count, F.col("doc_id"), F.col("text")).alias("batch"), "doc_id", "text")
 
 
@@ -49,7 +49,7 @@ def requests(batch: int, hashes: np.ndarray, twice: np.ndarray, buckets: int) ->
     order = np.lexsort((hashes, bucket))
     bucket, hashes, twice = bucket[order], hashes[order], twice[order]
     used, first = np.unique(bucket, return_index=True)
-    ends = [*first[1:], len(bucket)]
+    ends = np.append(first[1:], len(bucket))[: len(first)]
     return pa.table(
         {
             "bucket": pa.array(used, pa.int64()),

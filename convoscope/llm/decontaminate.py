@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoscope.llm.tables import stored
+from convoscope.llm.tables import row_key, stored
 
 #: 1: the word counts, 0: it may differ (fixed values).
 MASKS = ("1111", "110101", "1011001")
@@ -94,7 +94,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name = "_row_key"
     while name in [c.lower() for c in docs.columns]:
         name += "_"
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn(name, key)
+    keyed = docs.withColumn(name, row_key())
     bad = overlaps(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
     return keyed.join(stored(bad, "contaminated"), name, "left_anti").select(*docs.columns)

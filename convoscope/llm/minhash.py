@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from convoscope.llm import tokens
 from convoscope.llm.components import components
-from convoscope.llm.tables import stored
+from convoscope.llm.tables import row_key, stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -236,11 +236,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text, ...) with one row of each group of near-duplicates, the one with the
-    smallest id; all columns stay.  Rows without an id go by a hash of their text."""
+    smallest id; all columns stay.  Rows without an id go by their text, after all others."""
     name = "_row_key"
     while name in [c.lower() for c in docs.columns]:
         name += "_"
-    keyed = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    keyed = docs.withColumn(name, row_key())
     judged = near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"), percent, width)
     kept = judged.where("kept").select(F.col("doc_id").alias(name)).distinct()
     kept = stored(kept, "kept").hint("merge")  # grows with the corpus: never broadcast

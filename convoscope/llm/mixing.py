@@ -122,7 +122,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
         ),
         "starts",
     )
-    run = Window.partitionBy("source", "_block").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    # sizes rise in one block and fall in the next, so that what is drawn stays near the expected words throughout
+    swing = F.when(F.col("_block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    run = Window.partitionBy("source", "_block").orderBy(swing, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed(sized).withColumn("_end", F.sum("_each").over(run))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s_source")) & (F.col("_block") == F.col("_s_block")))
     end = F.col("_start") + F.col("_offset") + F.col("_end")

@@ -148,7 +148,7 @@ e AS (
          CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216) ELSE 0 END AS BIGINT) AS each,
          CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) % CAST(ceil(documents / 1000) AS BIGINT) AS block
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, off + CAST(sum(each) OVER (PARTITION BY source ORDER BY block, size, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e)
+p AS (SELECT *, off + CAST(sum(each) OVER (PARTITION BY source ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e)
 SELECT doc_id, size, source_size, target, ((stop >> 24) - ((stop - each) >> 24)) * size AS taken FROM p
 """,
     "op6_decontamination": """

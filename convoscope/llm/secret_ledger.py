@@ -74,6 +74,11 @@ def ledger(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def findings(spark: SparkSession, path: str) -> DataFrame:
+    """(blob, found) of the blobs with findings under these rules."""
+    return spark.read.parquet(path).where((F.col("rules") == VERSION) & (F.size("found") > 0)).select("blob", "found")
+
+
 def _holders(docs: DataFrame) -> DataFrame:
     """Rows with their blob and a key that spreads rows without an id."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -109,11 +114,9 @@ def scan(docs: DataFrame, path: str) -> DataFrame:
     # joined on the holder, so that a blob with very many holders is read once, not gathered
     # (both sides grow with the corpus: merged, never broadcast)
     new = _scanned(rows.join(wanted.hint("merge"), ["holder", "blob"], "left_semi"))
-    new.withColumn("rules", F.lit(VERSION)).write.mode("append").parquet(path)
-    known = spark.read.parquet(path).where((F.col("rules") == VERSION) & (F.size("found") > 0))
-    # rows that repeat under one id can have the same blob scanned twice
-    known = known.select("blob", "found").dropDuplicates(["blob"])
-    out = paths.join(stored(known, "findings"), "blob", "left")
+    # rows that repeat under one id can bring a blob twice
+    new.dropDuplicates(["blob"]).withColumn("rules", F.lit(VERSION)).write.mode("append").parquet(path)
+    out = paths.join(findings(spark, path), "blob", "left")
     return out.select(
         "doc_id",
         F.lower(F.hex("blob")).alias("blob"),
@@ -128,8 +131,7 @@ def redacted(docs: DataFrame, path: str, mask: str = "[secret]") -> DataFrame:
     """
     spark = docs.sparkSession
     scan(docs.select("doc_id", "text"), path)
-    known = spark.read.parquet(path).where((F.col("rules") == VERSION) & (F.size("found") > 0))
-    known = stored(known.select("blob", "found").dropDuplicates(["blob"]), "findings")
+    known = findings(spark, path)
     name = "_found"
     while name in [c.lower() for c in docs.columns]:
         name += "_"

@@ -257,7 +257,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         batch, (start, count, _, _, bucket, instance, single, least) = known(table, answer)
         rows: dict[str, list] = {"bucket": [], "batch": [], "contexts": []}
         used, first = np.unique(bucket, return_index=True)
-        for k, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+        ends = np.append(first[1:], len(bucket))[: len(first)]
+        for k, a, b in zip(used.tolist(), first.tolist(), ends.tolist(), strict=True):
             begin, size = start[instance[a:b]], count[instance[a:b]] + width - 1
             raw = batch.data[lyndon._ranges(begin, size)]
             rows["bucket"].append(k)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoscope.llm import letters, levenshtein, tokens
+from convoscope.llm.minhash import shingles
 from convoscope.llm.tables import stored
 
 #: Labelled rows that lexicon and weights are fitted on, at most (about; chosen by a hash of the id).
@@ -85,18 +86,18 @@ def stem_rows(sample: DataFrame, only: frozenset[str] | None = None) -> DataFram
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, toxic and two least word hashes: near copies share them."""
+    """doc_id, text, toxic and the least of two hashes of four-word shingles: near copies share them."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             data, offsets = tokens.flat(batch.column("text"))
-            starts, ends, begin = tokens.word_bounds(tokens.LOWER[data], offsets)
-            words = tokens.word_hashes(tokens.LOWER[data], starts, ends)
-            out = []
-            for salt in (1, 2):
-                mixed = np.append(tokens.mix(words, salt) >> np.uint64(1), np.uint64(0))
-                least = np.minimum.reduceat(mixed, begin[:-1]) if len(begin) > 1 else np.zeros(0, np.uint64)
-                out.append(pa.array(np.where(np.diff(begin) > 0, least, np.uint64(0)).astype(np.int64)))
+            out: list[list[np.ndarray]] = [[], []]
+            for a, b in tokens.pieces(offsets, 2 << 20):
+                keys, begin = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 4)
+                for salt, least in enumerate(out):
+                    mixed = np.append(tokens.mix(keys, salt) >> np.uint64(1), np.uint64(0))
+                    least.append(np.where(np.diff(begin) > 0, np.minimum.reduceat(mixed, begin[:-1]), np.uint64(0)).astype(np.int64))
+            out = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "sig1", "sig2"])
 
     return docs.mapInArrow(run, "doc_id long, text string, toxic int, sig1 long, sig2 long")
@@ -191,7 +192,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.001, steps: int = 50
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon and weights from docs(doc_id, text) and labels(doc_id, toxic)."""
-    sample = sample_rows(docs, labels)
+    sample = sample_rows(docs.select("doc_id", "text"), labels)
     terms = lexicon(sample)
     machine = levenshtein.compile_trie(terms)
 

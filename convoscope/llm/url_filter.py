@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 GRAMS = (3, 4, 5)
 SLOTS = 1 << 18
-RIDGE = 0.003
+RIDGE = 0.0005
 #: How much more an allowed row of the labelled table weighs: most URLs on the web are not to be blocked.
-PRIOR = 4.0
+PRIOR = 3.0
 
 #: Default labelled URLs (fixed values).
 BLOCKED = """
