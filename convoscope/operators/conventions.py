@@ -14,24 +14,33 @@ instead of landing in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoscope.functions.text import clean_text, fuzzy_contains, fuzzy_contains_long, fuzzy_quick
-from convoscope.operators.joins import join_null_safe
+from convoscope.operators.joins import broadcast_if_small, join_null_safe
 from convoscope.operators.quantiles import exact_quantiles
+from convoscope.operators.star import last_round
 
 GAME_KEYS = ["game_id", "target", "paper_id", "structure", "group_size"]
-TURN_KEYS = ["game_id", "player_num", "target", "stage_num", "rep_num", "paper_id", "role", "structure", "group_size"]
-
-
-def base_messages(rounds: DataFrame, exclude_papers: Sequence[str] = ("p1",), last_rep: int = 6) -> DataFrame:
-    """Drop excluded papers and rows without a player; missing text -> ''."""
+TURN_KEYS = ["game_id", "player_num", "target", "stage_num", "rep_num", "trial_num", "paper_id", "role", "structure", "group_size"]
+
+
+def base_messages(
+    rounds: DataFrame,
+    exclude_papers: Sequence[str] = ("p1",),
+    last_rep: int = 6,
+    by_paper: Mapping[str, int] | None = None,
+    by_structure: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Drop excluded papers and rows without a player; missing text -> ''; the last
+    round by paper, else by structure, else ``last_rep``."""
     df = rounds.where(~F.col("paper_id").isin(list(exclude_papers))).where(F.col("player_num").isNotNull())
-    return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("last_rep", F.lit(last_rep).cast("int"))
+    last = last_round("paper_id", "structure", by_paper or {}, by_structure or {}, last_rep)
+    return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("last_rep", last)
 
 
 def conventions(base: DataFrame) -> DataFrame:
@@ -49,9 +58,11 @@ def conventions(base: DataFrame) -> DataFrame:
 FUZZY_UDF_MIN_LEN = 64
 
 
-def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_MIN_LEN) -> DataFrame:
+def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_MIN_LEN, fuzzy: bool = True) -> DataFrame:
     """Exact and approximate containment of the convention in the text.
 
+    Without ``fuzzy`` only the exact flag, a built-in expression in the row.
+
     With ``dedupe`` the (text, convention) pairs are matched once and joined
     back: short utterances repeat a lot, and the approximate test is the
     expensive part of the plan.  Pairs settled by the cheap checks (exact
@@ -59,6 +70,8 @@ def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_
     expressions; the undecided pairs with patterns of ``udf_min_len`` or more
     characters -- where the window search grows roughly with m^3 -- go to the
     bit-parallel matcher in an Arrow-batched UDF (linear in the text)."""
+    if not fuzzy:
+        return joined.withColumn("base_regex", F.contains("text", "convention").cast("int"))
     if not dedupe:
         return joined.withColumn("base_regex", F.contains("text", "convention").cast("int")).withColumn(
             "fuzzy_regex", fuzzy_contains(F.col("convention"), F.col("text")).cast("int")
@@ -80,22 +93,30 @@ def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_
     return joined.join(short.unionByName(long), ["text", "convention"], "inner")
 
 
+def _same(joined: DataFrame) -> DataFrame:
+    """``same``: the speaker is the convention's own describer."""
+    return joined.withColumn("same", F.col("conv_desc") == F.col("player_num"))
+
+
 def occurrence_per_message(base: DataFrame, conv: DataFrame, dedupe: bool = True) -> DataFrame:
     m = base.select(
-        "game_id", "target", "stage_num", "rep_num", "message_number", clean_text("text").alias("text"),
+        "game_id", "target", "stage_num", "trial_num", "rep_num", "message_number", clean_text("text").alias("text"),
         "role", "player_num", "structure", "paper_id", "group_size",
     )
-    return _flags(join_null_safe(m, conv, GAME_KEYS, "inner"), dedupe)
+    return _flags(_same(join_null_safe(m, conv, GAME_KEYS, "inner")), dedupe)
 
 
-def occurrence_per_turn(base: DataFrame, conv: DataFrame, dedupe: bool = True) -> DataFrame:
-    """Texts of one speaker in one round concatenated (message order), then
-    cleaned, then matched."""
+def occurrence_per_turn(base: DataFrame, conv: DataFrame, dedupe: bool = True, fuzzy: bool = True, role: str | None = None) -> DataFrame:
+    """Texts of one speaker in one trial concatenated (message order), then
+    cleaned, then matched; exactly only without ``fuzzy``, of one role if given
+    (a filter that reaches the scan)."""
+    if role is not None:
+        base = base.where(F.col("role") == role)
     t = base.groupBy(*TURN_KEYS).agg(
         F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY message_number)").alias("raw")
     )
     t = t.select(*TURN_KEYS, clean_text("raw").alias("text"))
-    return _flags(join_null_safe(t, conv, GAME_KEYS, "inner"), dedupe)
+    return _flags(_same(join_null_safe(t, conv, GAME_KEYS, "inner")), dedupe, fuzzy=fuzzy)
 
 
 def earliest(occ: DataFrame, flag: str, describer_only: bool) -> DataFrame:
@@ -146,9 +167,9 @@ def first_share(earliest_rows: DataFrame) -> DataFrame:
 
 def with_progress(occ: DataFrame) -> DataFrame:
     """``frac`` = round / highest round within (structure, group_size): the max
-    is a grouped aggregate joined back (a window would put a whole structure in
-    one task)."""
-    mx = occ.groupBy("structure", "group_size").agg(F.max("rep_num").alias("__max"))
+    is a grouped aggregate, one row per condition, broadcast after a count (a window,
+    or a shuffle on so few keys, would put a whole structure in one task)."""
+    mx = broadcast_if_small(occ.groupBy("structure", "group_size").agg(F.max("rep_num").alias("__max")))
     j = join_null_safe(occ, mx, ["structure", "group_size"], "inner")
     return j.withColumn("frac", F.col("rep_num") / F.col("__max")).drop("__max")
 
@@ -183,19 +204,20 @@ def occurrence_by_target(occ: DataFrame, targets: Sequence[str]) -> DataFrame:
 STATUS_KEYS = ["game_id", "target", "stage_num", "structure", "group_size", "paper_id"]
 
 
-def convention_rounds(earliest_rows: DataFrame) -> DataFrame:
+def convention_rounds(earliest_rows: DataFrame, fan_out: bool = False) -> DataFrame:
     """Distinct (game keys, round) of the earliest describer match.  The
     selected columns carry only the round, so duplicate rows (ties, several
     final describers) are exact copies; they are dropped rather than fanning
-    out the similarity rows."""
-    return earliest_rows.select(*STATUS_KEYS, "rep_num").distinct()
+    out the similarity rows, unless ``fan_out`` asks for one row each."""
+    out = earliest_rows.select(*STATUS_KEYS, "rep_num")
+    return out if fan_out else out.distinct()
 
 
-def conv_status(to_next: DataFrame, earliest_rows: DataFrame) -> DataFrame:
+def conv_status(to_next: DataFrame, earliest_rows: DataFrame, fan_out: bool = False) -> DataFrame:
     """pre / form / post for every adjacent-round similarity row."""
     # one row per game: small, used twice below -- checkpoint it so the
     # matching pipeline behind it runs once
-    e = convention_rounds(earliest_rows).checkpoint()
+    e = convention_rounds(earliest_rows, fan_out).checkpoint()
     formed = e.select(*STATUS_KEYS, F.col("rep_num").alias("later"), F.lit(1).alias("convention_formed"))
     s = join_null_safe(to_next, formed, STATUS_KEYS + ["later"], "left")
     # forward fill in round order per (game, target, stage): a game's rounds
@@ -209,8 +231,10 @@ def conv_status(to_next: DataFrame, earliest_rows: DataFrame) -> DataFrame:
     return s.drop("convention_first").withColumn("convention_status", status).withColumn("status_ord", order.cast("int"))
 
 
-def event_time(to_next: DataFrame, earliest_rows: DataFrame, exclude_structure: str = "network-swap") -> DataFrame:
-    e = convention_rounds(earliest_rows).withColumnRenamed("rep_num", "convention_round")
+def event_time(
+    to_next: DataFrame, earliest_rows: DataFrame, exclude_structure: str = "network-swap", fan_out: bool = False
+) -> DataFrame:
+    e = convention_rounds(earliest_rows, fan_out).withColumnRenamed("rep_num", "convention_round")
     t = to_next.where(F.col("structure") != exclude_structure)
     j = join_null_safe(t, e, STATUS_KEYS, "left")
     return j.withColumn("event_time", F.col("later") - F.col("convention_round"))

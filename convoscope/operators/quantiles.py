@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoscope.operators.joins import join_null_safe
+from convoscope.operators.joins import broadcast_if_small, join_null_safe
 
 
 def _ranks(stats: DataFrame, keys: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
@@ -90,7 +90,8 @@ def exact_quantiles(
         """Rows of ``base`` inside each target's current [lo, hi] range."""
         cols = [*tk, "n", "lo", "hi", "r_rel"]
         if keys:
-            j = join_null_safe(base, st.select(*cols), keys)
+            # a few rows per group: broadcast after a count, so that rows of few groups aren't shuffled by group
+            j = join_null_safe(base, broadcast_if_small(st.select(*cols)), keys)
         else:
             ranges = st.select(F.collect_list(F.struct(*cols)).alias("t")).scalar()  # one entry per target
             j = base.select("v", F.explode(ranges).alias("t")).select("v", *[F.col("t")[c].alias(c) for c in cols])
@@ -117,6 +118,9 @@ def exact_quantiles(
             (F.col("r_rel") - F.col("before")).alias("r_rel"), F.col("c").alias("cnt"),
         )
         state = settled.unionByName(picked).checkpoint()
+    else:
+        if state.where(open_cond).limit(1).count():
+            raise RuntimeError(f"a quantile's band still holds over {band} rows after {max_passes} passes")
 
     single = state.where(F.col("lo") == F.col("hi")).select(*tk, "n", F.col("lo").alias("val"))
     multi = state.where(F.col("lo") < F.col("hi"))

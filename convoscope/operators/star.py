@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoscope.functions.lexicon import STRUCTURE_LEVELS
+from convoscope.operators.joins import broadcast_if_small
 
 
 def structure_level(structure, levels=STRUCTURE_LEVELS) -> Column:
@@ -37,7 +38,7 @@ def star_trials(trials: DataFrame, conditions: DataFrame) -> DataFrame:
     for c in ("target", "matchers"):
         if c in t.columns:
             t = t.withColumn(c, F.col(c).cast("string"))
-    cond = normalize_conditions(conditions)
+    cond = broadcast_if_small(normalize_conditions(conditions))  # a few rows per dataset, counted
     return t.join(cond, ["dataset_id", "condition_id"], "left")
 
 
@@ -74,19 +75,30 @@ def stage_one(df: DataFrame, only: bool = True) -> DataFrame:
     return df.where(F.col("stage_num") == 1) if only else df
 
 
+def last_round(dataset, structure, by_dataset: Mapping[str, int], by_structure: Mapping[str, int], default: int) -> Column:
+    """A game's last round: by its dataset, else by its structure, else the default."""
+    d, s = (F.col(c) if isinstance(c, str) else c for c in (dataset, structure))
+    branches = [(d == k, n) for k, n in by_dataset.items()] + [(s == k, n) for k, n in by_structure.items()]
+    out = F.lit(default)
+    for cond, n in reversed(branches):
+        out = F.when(cond, n).otherwise(out)
+    return out.cast("int")
+
+
 def normalize_ids(
     messages_full: DataFrame,
     exclude_datasets=("p1",),
     id_suffix: Mapping[str, int] | None = None,
     last_rep: Mapping[str, int] | None = None,
+    last_rep_structure: Mapping[str, int] | None = None,
     default_last_rep: int = 6,
     dataset_col: str = "dataset_id",
 ) -> DataFrame:
     """Base messages for the convention analyses: drop excluded datasets and
     rows without a player, missing text -> '', trim a dataset-specific number of
-    trailing characters off ``game_id``, attach the last round per dataset."""
+    trailing characters off ``game_id``, attach the last round per dataset and
+    structure."""
     id_suffix = dict(id_suffix or {})
-    last_rep = dict(last_rep or {})
     d = F.col(dataset_col)
     df = messages_full.where(~d.isin(list(exclude_datasets))).where(F.col("player_num").isNotNull())
     df = df.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
@@ -99,10 +111,4 @@ def normalize_ids(
             expr = F.when(d == ds, trimmed) if expr is None else expr.when(d == ds, trimmed)
         expr = expr.otherwise(gid)
     df = df.withColumn("game_id", expr)
-    lr = F.lit(default_last_rep)
-    if last_rep:
-        lr_expr = None
-        for ds, n in last_rep.items():
-            lr_expr = F.when(d == ds, n) if lr_expr is None else lr_expr.when(d == ds, n)
-        lr = lr_expr.otherwise(default_last_rep)
-    return df.withColumn("last_rep", lr.cast("int"))
+    return df.withColumn("last_rep", last_round(d, "structure", last_rep or {}, last_rep_structure or {}, default_last_rep))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from convoscope.sources.tables import table
 
@@ -58,7 +57,7 @@ def trials_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     k = F.col("conv_id") + F.col("turn")
-    return conv.where(F.col("conv_id") % 11 != 0).select(
+    return conv.select(
         _p(_g(F.col("conv_id"))).alias("dataset_id"),
         F.col("conv_id").alias("trial_id"),
         F.col("turn").alias("message_number"),
@@ -67,7 +66,7 @@ def messages_f(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("role") == "assistant", "matcher")
         .otherwise(F.col("role"))
         .alias("role"),
-        F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("text"),
+        "text",
         F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("message_irrelevant"),
     )
 
@@ -75,7 +74,7 @@ def messages_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choices_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     g = _g(F.col("conv_id"))
-    return conv.where((F.col("role") == "assistant") & (g % 4 != 3)).select(
+    return conv.where(F.col("role") == "assistant").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("choice_id"),
         _p(g).alias("dataset_id"),
         F.col("conv_id").alias("trial_id"),
@@ -85,10 +84,14 @@ def choices_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events_rounds(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    rep = (F.floor((F.dayofmonth("ts") - 1) / F.lit(5.0)).cast("int") + 1).alias("rep_num")
-    return ev.select(*cols, rep)
+def _rep_num():
+    """Round of an event: twice as many rounds where the structure is network-swap."""
+    per_day = F.when(F.col("user_id") % 4 == 2, 2.5).otherwise(5.0)
+    return (F.floor((F.dayofmonth("ts") - 1) / per_day).cast("int") + 1).alias("rep_num")
+
+
+def _target():
+    return F.substring(F.lit("ABCDEFGHIJKL"), (F.col("event_id") % 12).cast("int") + 1, 1).alias("target")
 
 
 def _game_cols():
@@ -96,7 +99,7 @@ def _game_cols():
     return [
         uid.alias("game_id"),
         F.concat(F.lit("p"), (uid % 4).cast("string")).alias("paper_id"),
-        F.substring(F.lit("ABCDEFGHIJKL"), (uid % 12).cast("int") + 1, 1).alias("target"),
+        "target",
         F.when(uid % 4 == 0, "thin").when(uid % 4 == 1, "thick").when(uid % 4 == 2, "network-swap").alias("structure"),
         (uid % 3 * 2 + 2).cast("int").alias("group_size"),
         F.lit(1).cast("int").alias("stage_num"),
@@ -104,28 +107,23 @@ def _game_cols():
 
 
 def rounds_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _events_rounds(spark, sf_dir, "event_id", "user_id", "event_type")
-    # row_number <= 2 per (user, round): Spark plans a WindowGroupLimit, a
-    # partial top-k before the shuffle, so a hot user never ships all rows.
-    w = Window.partitionBy("user_id", "rep_num").orderBy("event_id")
-    b = a.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2)
-    uid, n = F.col("user_id"), F.col("n")
-    return b.select(
+    """Every event is a message; a game is a user, a trial one of its targets in one round."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _rep_num(), _target())
+    uid, n = F.col("user_id"), F.col("event_id")
+    return ev.select(
         *_game_cols(),
         "rep_num",
+        ((F.col("rep_num") - 1) * 12 + n % 12 + 1).cast("int").alias("trial_num"),
         n.alias("message_number"),
-        F.when(uid % 50 == 7, F.lit(None).cast("bigint"))
-        .when(uid % 4 == 2, uid * 10 + n)
-        .otherwise(uid * 10)
-        .alias("player_num"),
-        F.when((uid % 7 == 0) & (n == 1), "matcher").otherwise("describer").alias("role"),
+        F.when(uid % 4 == 2, uid * 10 + n % 3).otherwise(uid * 10).alias("player_num"),
+        F.when((uid % 7 == 0) & (n % 5 == 0), "matcher").otherwise("describer").alias("role"),
         F.col("event_type").alias("text"),
     )
 
 
 def to_next_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _events_rounds(spark, sf_dir, "user_id", "value").where(F.col("rep_num") > 1)
-    agg = a.groupBy("user_id", "rep_num").agg(
+    ev = table(spark, sf_dir, "events").select("user_id", "value", _rep_num(), _target()).where(F.col("rep_num") > 1)
+    agg = ev.groupBy("user_id", "target", "rep_num").agg(
         (
             F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double")
             / (F.count(F.lit(1)) * 100000).cast("double")
@@ -135,7 +133,7 @@ def to_next_f(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    d = table(spark, sf_dir, "documents")
     t = F.col("text")
     for old, new in [
         (" by ", " maybe "),
@@ -150,10 +148,10 @@ def docs_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         doc,
         F.concat(F.lit("p"), (doc % 4).cast("string")).alias("dataset_id"),
-        F.when(doc % 23 == 0, F.lit(None).cast("int")).otherwise((doc % 6 + 1).cast("int")).alias("rep_num"),
+        (doc % 6 + 1).cast("int").alias("rep_num"),
         F.substring(F.lit("ABCDEFGHIJKLMN"), (doc % 14).cast("int") + 1, 1).alias("target"),
         F.when(doc % 3 == 0, "matcher").otherwise("describer").alias("role"),
-        F.when(doc % 19 == 0, F.lit(None).cast("string")).otherwise(t).alias("text"),
+        t.alias("text"),
     )
 
 
@@ -192,27 +190,21 @@ SQL = {
     "trials_f": """SELECT dataset_id, trial_id, concat('g', CAST(g AS VARCHAR(20)), '_room1') AS game_id, CAST(g % 3 + 1 AS INT) AS condition_id, CAST(trial_id % 6 + 1 AS INT) AS rep_num, CAST(trial_id % 72 + 1 AS INT) AS trial_num, CAST(CASE WHEN g % 5 = 0 THEN 2 ELSE 1 END AS INT) AS stage_num, substring('ABCDEFGHIJKLMN', CAST(g % 14 AS INT) + 1, 1) AS target, substring('A;B;C;D;E;F', 1, CAST(2 * (trial_id % 6) + 1 AS INT)) AS option_set
   FROM (SELECT DISTINCT conv_id AS trial_id, CAST(floor(conv_id / 6.0) AS BIGINT) AS g, concat('p', CAST(CAST(floor(conv_id / 6.0) AS BIGINT) % 4 AS VARCHAR(20))) AS dataset_id
   FROM conversations) x""",
-    "messages_f": """SELECT concat('p', CAST(CAST(floor(conv_id / 6.0) AS BIGINT) % 4 AS VARCHAR(20))) AS dataset_id, conv_id AS trial_id, turn AS message_number, conv_id * 10 + turn % 2 AS player_id, CASE role WHEN 'user' THEN 'describer' WHEN 'assistant' THEN 'matcher' ELSE role END AS role, CASE WHEN (conv_id + turn) % 17 = 0 THEN NULL ELSE text END AS text, CASE WHEN (conv_id + turn) % 5 = 0 THEN true WHEN (conv_id + turn) % 5 = 1 THEN false END AS message_irrelevant
-  FROM conversations
-  WHERE conv_id % 11 <> 0""",
+    "messages_f": """SELECT concat('p', CAST(CAST(floor(conv_id / 6.0) AS BIGINT) % 4 AS VARCHAR(20))) AS dataset_id, conv_id AS trial_id, turn AS message_number, conv_id * 10 + turn % 2 AS player_id, CASE role WHEN 'user' THEN 'describer' WHEN 'assistant' THEN 'matcher' ELSE role END AS role, text, CASE WHEN (conv_id + turn) % 5 = 0 THEN true WHEN (conv_id + turn) % 5 = 1 THEN false END AS message_irrelevant
+  FROM conversations""",
     "choices_f": """SELECT conv_id * 100 + turn AS choice_id, concat('p', CAST(CAST(floor(conv_id / 6.0) AS BIGINT) % 4 AS VARCHAR(20))) AS dataset_id, conv_id AS trial_id, conv_id * 10 + turn % 2 AS player_id, substring('A;B;C;D;E;F', 1, CAST(2 * (conv_id % 6) + 1 AS INT)) AS option_set, substring('ABCDEF', CAST((conv_id + turn) % 6 AS INT) + 1, 1) AS choice
   FROM conversations
-  WHERE role = 'assistant' AND CAST(floor(conv_id / 6.0) AS BIGINT) % 4 <> 3""",
-    "rounds_f": """SELECT user_id AS game_id, concat('p', CAST(user_id % 4 AS VARCHAR(20))) AS paper_id, substring('ABCDEFGHIJKL', CAST(user_id % 12 AS INT) + 1, 1) AS target, CASE user_id % 4 WHEN 0 THEN 'thin' WHEN 1 THEN 'thick' WHEN 2 THEN 'network-swap' END AS structure, CAST(user_id % 3 * 2 + 2 AS INT) AS group_size, CAST(1 AS INT) AS stage_num, rep_num, n AS message_number, CASE WHEN user_id % 50 = 7 THEN NULL WHEN user_id % 4 = 2 THEN user_id * 10 + n ELSE user_id * 10 END AS player_num, CASE WHEN user_id % 7 = 0 AND n = 1 THEN 'matcher' ELSE 'describer' END AS role, event_type AS text
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, rep_num ORDER BY event_id) AS n
-  FROM (SELECT event_id, user_id, event_type, CAST(floor((extract(day
-  FROM ts) - 1) / 5.0) AS INT) + 1 AS rep_num
-  FROM events) a) b
-  WHERE n <= 2""",
-    "to_next_f": """SELECT user_id AS game_id, concat('p', CAST(user_id % 4 AS VARCHAR(20))) AS paper_id, substring('ABCDEFGHIJKL', CAST(user_id % 12 AS INT) + 1, 1) AS target, CASE user_id % 4 WHEN 0 THEN 'thin' WHEN 1 THEN 'thick' WHEN 2 THEN 'network-swap' END AS structure, CAST(user_id % 3 * 2 + 2 AS INT) AS group_size, CAST(1 AS INT) AS stage_num, rep_num AS later, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100000 AS DOUBLE) AS sim
-  FROM (SELECT user_id, value, CAST(floor((extract(day
-  FROM ts) - 1) / 5.0) AS INT) + 1 AS rep_num
+  WHERE role = 'assistant'""",
+    "rounds_f": """SELECT user_id AS game_id, concat('p', CAST(user_id % 4 AS VARCHAR(20))) AS paper_id, target, CASE user_id % 4 WHEN 0 THEN 'thin' WHEN 1 THEN 'thick' WHEN 2 THEN 'network-swap' END AS structure, CAST(user_id % 3 * 2 + 2 AS INT) AS group_size, CAST(1 AS INT) AS stage_num, rep_num, CAST((rep_num - 1) * 12 + event_id % 12 + 1 AS INT) AS trial_num, event_id AS message_number, CASE WHEN user_id % 4 = 2 THEN user_id * 10 + event_id % 3 ELSE user_id * 10 END AS player_num, CASE WHEN user_id % 7 = 0 AND event_id % 5 = 0 THEN 'matcher' ELSE 'describer' END AS role, event_type AS text
+  FROM (SELECT event_id, user_id, event_type, substring('ABCDEFGHIJKL', CAST(event_id % 12 AS INT) + 1, 1) AS target, CAST(floor((extract(day FROM ts) - 1) / (CASE WHEN user_id % 4 = 2 THEN 2.5 ELSE 5.0 END)) AS INT) + 1 AS rep_num
+  FROM events) a""",
+    "to_next_f": """SELECT user_id AS game_id, concat('p', CAST(user_id % 4 AS VARCHAR(20))) AS paper_id, target, CASE user_id % 4 WHEN 0 THEN 'thin' WHEN 1 THEN 'thick' WHEN 2 THEN 'network-swap' END AS structure, CAST(user_id % 3 * 2 + 2 AS INT) AS group_size, CAST(1 AS INT) AS stage_num, rep_num AS later, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) * 100000 AS DOUBLE) AS sim
+  FROM (SELECT user_id, value, substring('ABCDEFGHIJKL', CAST(event_id % 12 AS INT) + 1, 1) AS target, CAST(floor((extract(day FROM ts) - 1) / (CASE WHEN user_id % 4 = 2 THEN 2.5 ELSE 5.0 END)) AS INT) + 1 AS rep_num
   FROM events) a
   WHERE rep_num > 1
-  GROUP BY user_id, rep_num""",
-    "docs_f": """SELECT doc_id, concat('p', CAST(doc_id % 4 AS VARCHAR(20))) AS dataset_id, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE CAST(doc_id % 6 + 1 AS INT) END AS rep_num, substring('ABCDEFGHIJKLMN', CAST(doc_id % 14 AS INT) + 1, 1) AS target, CASE WHEN doc_id % 3 = 0 THEN 'matcher' ELSE 'describer' END AS role, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE replace(replace(replace(replace(replace(replace(text, ' by ', ' maybe '), ' at ', ' looks like '), ' from ', ' unlikely '), ' with ', ' she '), ' for ', ' they '), ' as ', ' your ') END AS text
-  FROM documents
-  WHERE lang = 'en'""",
+  GROUP BY user_id, target, rep_num""",
+    "docs_f": """SELECT doc_id, concat('p', CAST(doc_id % 4 AS VARCHAR(20))) AS dataset_id, CAST(doc_id % 6 + 1 AS INT) AS rep_num, substring('ABCDEFGHIJKLMN', CAST(doc_id % 14 AS INT) + 1, 1) AS target, CASE WHEN doc_id % 3 = 0 THEN 'matcher' ELSE 'describer' END AS role, replace(replace(replace(replace(replace(replace(text, ' by ', ' maybe '), ' at ', ' looks like '), ' from ', ' unlikely '), ' with ', ' she '), ' for ', ' they '), ' as ', ' your ') AS text
+  FROM documents""",
     "sets_f": """SELECT CAST(floor(vec_id / 16.0) AS BIGINT) AS set_id, CAST(vec_id % 16 AS INT) AS idx, CASE WHEN CAST(floor(vec_id / 16.0) AS BIGINT) % 2 = 0 THEN 'comp' ELSE 'noncomp' END AS set_type, embedding
   FROM embeddings""",
     "shapes_f": """SELECT p_partkey AS item_id

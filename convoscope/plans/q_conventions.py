@@ -11,7 +11,7 @@ from convoscope.plans.registry import register
 from convoscope.plans.sqlparts import clean_sql, fuzzy_sql, in_list
 
 EXCLUDED = ("p1",)
-LAST_REP = 6
+LAST_REP, LAST_BY_PAPER, LAST_BY_STRUCTURE = 6, {"p3": 5}, {"network-swap": 12}
 
 G5 = ["game_id", "target", "paper_id", "structure", "group_size"]
 
@@ -20,18 +20,22 @@ def _ns(a: str, b: str, keys) -> str:
     return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
 
 
-_BASE_SQL = f""", base AS (SELECT game_id, paper_id, target, structure, group_size, stage_num, rep_num, message_number, player_num, role,
-   coalesce(text, '') AS text, {LAST_REP} AS last_rep FROM rounds_f WHERE paper_id NOT IN ({in_list(EXCLUDED)}) AND player_num IS NOT NULL),
+_LAST_SQL = " ".join(
+    [f"WHEN paper_id = '{k}' THEN {n}" for k, n in LAST_BY_PAPER.items()]
+    + [f"WHEN structure = '{k}' THEN {n}" for k, n in LAST_BY_STRUCTURE.items()]
+)
+_BASE_SQL = f""", base AS (SELECT game_id, paper_id, target, structure, group_size, stage_num, rep_num, trial_num, message_number, player_num, role,
+   coalesce(text, '') AS text, CASE {_LAST_SQL} ELSE {LAST_REP} END AS last_rep FROM rounds_f WHERE paper_id NOT IN ({in_list(EXCLUDED)}) AND player_num IS NOT NULL),
  conv AS (SELECT * FROM (SELECT game_id, target, paper_id, structure, group_size, player_num AS conv_desc,
    {clean_sql("string_agg(text, ' ' ORDER BY message_number)")} AS convention
    FROM base WHERE role = 'describer' AND rep_num = last_rep GROUP BY game_id, target, rep_num, paper_id, structure, group_size, player_num) WHERE convention <> ''),
- om AS (SELECT m.*, c.conv_desc, c.convention FROM (SELECT game_id, target, stage_num, rep_num, message_number, {clean_sql('text')} AS text, role, player_num, structure, paper_id, group_size FROM base) m
+ om AS (SELECT m.*, c.conv_desc, c.convention, c.conv_desc = m.player_num AS same FROM (SELECT game_id, target, stage_num, trial_num, rep_num, message_number, {clean_sql('text')} AS text, role, player_num, structure, paper_id, group_size FROM base) m
    JOIN conv c ON {_ns('m', 'c', G5)}),
  occ_msg AS (SELECT *, CAST(contains(text, convention) AS INTEGER) AS base_regex, CAST({fuzzy_sql('convention', 'text')} AS INTEGER) AS fuzzy_regex FROM om),
- tt AS (SELECT game_id, player_num, target, stage_num, rep_num, paper_id, role, structure, group_size,
+ tt AS (SELECT game_id, player_num, target, stage_num, rep_num, trial_num, paper_id, role, structure, group_size,
    {clean_sql("string_agg(text, ' ' ORDER BY message_number)")} AS text FROM base
-   GROUP BY game_id, player_num, target, stage_num, rep_num, paper_id, role, structure, group_size),
- ot AS (SELECT t.*, c.conv_desc, c.convention FROM tt t JOIN conv c ON {_ns('t', 'c', G5)}),
+   GROUP BY game_id, player_num, target, stage_num, rep_num, trial_num, paper_id, role, structure, group_size),
+ ot AS (SELECT t.*, c.conv_desc, c.convention, c.conv_desc = t.player_num AS same FROM tt t JOIN conv c ON {_ns('t', 'c', G5)}),
  occ AS (SELECT *, CAST(contains(text, convention) AS INTEGER) AS base_regex, CAST({fuzzy_sql('convention', 'text')} AS INTEGER) AS fuzzy_regex FROM ot)
 """
 
@@ -56,19 +60,24 @@ def _sql(body: str, *views: str) -> str:
 
 
 def _base(spark, sf_dir):
-    return cv.base_messages(fx.rounds_f(spark, sf_dir), EXCLUDED, LAST_REP)
+    return cv.base_messages(fx.rounds_f(spark, sf_dir), EXCLUDED, LAST_REP, LAST_BY_PAPER, LAST_BY_STRUCTURE)
 
 
 def _conv(spark, sf_dir):
     return cv.conventions(_base(spark, sf_dir))
 
 
-def occ_turn(spark, sf_dir):
+def occ_turn(spark, sf_dir, role=None):
     """The per-turn occurrence table, written once to the checkpoint folder:
     every consumer (earliest rows, survival, progress, status) reads it from
     two or more plan branches, and the matching behind it is the expensive
     part; materialised, it also survives lost executors."""
-    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir)).checkpoint()
+    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir), role=role).checkpoint()
+
+
+def occ_exact(spark, sf_dir, role=None):
+    """Per turn with the exact flag only: built-in expressions, nothing written."""
+    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir), fuzzy=False, role=role)
 
 
 @register("conv_end", _sql("SELECT * FROM conv"))
@@ -83,17 +92,17 @@ def q_conv_occurrence_msg(spark, sf_dir):
 
 @register("conv_occurrence", _sql("SELECT * FROM occ"), bench=True)
 def q_conv_occurrence(spark, sf_dir):
-    return occ_turn(spark, sf_dir)
+    return cv.occurrence_per_turn(_base(spark, sf_dir), _conv(spark, sf_dir))
 
 
 @register("earliest_describer_fuzzy", _sql("SELECT * FROM e_desc_fuzzy"))
 def q_earliest_describer_fuzzy(spark, sf_dir):
-    return cv.earliest(occ_turn(spark, sf_dir), "fuzzy_regex", True)
+    return cv.earliest(occ_turn(spark, sf_dir, "describer"), "fuzzy_regex", True)
 
 
-@register("earliest_describer_base", _sql("SELECT * FROM e_desc_base"))
+@register("earliest_describer_base", _sql("SELECT * EXCLUDE (fuzzy_regex) FROM e_desc_base"))
 def q_earliest_describer_base(spark, sf_dir):
-    return cv.earliest(occ_turn(spark, sf_dir), "base_regex", True)
+    return cv.earliest(occ_exact(spark, sf_dir, "describer"), "base_regex", True)
 
 
 @register("earliest_any_fuzzy", _sql("SELECT * FROM e_any_fuzzy"))
@@ -101,9 +110,9 @@ def q_earliest_any_fuzzy(spark, sf_dir):
     return cv.earliest(occ_turn(spark, sf_dir), "fuzzy_regex", False)
 
 
-@register("earliest_any_base", _sql("SELECT * FROM e_any_base"))
+@register("earliest_any_base", _sql("SELECT * EXCLUDE (fuzzy_regex) FROM e_any_base"))
 def q_earliest_any_base(spark, sf_dir):
-    return cv.earliest(occ_turn(spark, sf_dir), "base_regex", False)
+    return cv.earliest(occ_exact(spark, sf_dir), "base_regex", False)
 
 
 @register(
@@ -114,7 +123,7 @@ def q_earliest_any_base(spark, sf_dir):
     ),
 )
 def q_survival_locf(spark, sf_dir):
-    return cv.survival_locf(occ_turn(spark, sf_dir))
+    return cv.survival_locf(occ_turn(spark, sf_dir, "describer"))
 
 
 @register(
@@ -125,7 +134,7 @@ def q_survival_locf(spark, sf_dir):
     ),
 )
 def q_survival_ever(spark, sf_dir):
-    return cv.survival_ever(occ_turn(spark, sf_dir))
+    return cv.survival_ever(occ_turn(spark, sf_dir, "describer"))
 
 
 def _share_sql(src: str, cte: str) -> str:
@@ -173,7 +182,7 @@ FROM dp GROUP BY structure, group_size, frac"""
     ),
 )
 def q_occurrence_mean_se(spark, sf_dir):
-    return cv.occurrence_mean_se(occ_turn(spark, sf_dir))
+    return cv.occurrence_mean_se(occ_turn(spark, sf_dir, "describer"))
 
 
 @register(
@@ -185,7 +194,7 @@ FROM dp WHERE target IN ({in_list(lx.TARGETS_A_L)}) GROUP BY target, round(frac,
     ),
 )
 def q_occurrence_by_target(spark, sf_dir):
-    return cv.occurrence_by_target(occ_turn(spark, sf_dir), lx.TARGETS_A_L)
+    return cv.occurrence_by_target(occ_turn(spark, sf_dir, "describer"), lx.TARGETS_A_L)
 
 
 # --- status / event time ----------------------------------------------------------
@@ -209,12 +218,12 @@ def _to_next(spark, sf_dir):
 
 
 def status_df(spark, sf_dir):
-    e = cv.earliest(occ_turn(spark, sf_dir), "fuzzy_regex", True)
+    e = cv.earliest(occ_turn(spark, sf_dir, "describer"), "fuzzy_regex", True)
     return cv.conv_status(_to_next(spark, sf_dir), e)
 
 
 def event_time_df(spark, sf_dir):
-    e = cv.earliest(occ_turn(spark, sf_dir), "fuzzy_regex", True)
+    e = cv.earliest(occ_turn(spark, sf_dir, "describer"), "fuzzy_regex", True)
     return cv.event_time(_to_next(spark, sf_dir), e)
 
 

@@ -151,13 +151,13 @@ def _trim_sql():
     _views(
         _SM_SQL
         + f"""SELECT dataset_id, condition_id, trial_id, {_trim_sql()} AS game_id, rep_num, trial_num, stage_num, target, option_set,
-  group_size, structure, language, message_number, player_num, role, coalesce(text, '') AS text, message_irrelevant, CAST(6 AS INTEGER) AS last_rep
+  group_size, structure, language, message_number, player_num, role, coalesce(text, '') AS text, message_irrelevant, CAST(CASE WHEN dataset_id = 'p3' THEN 5 WHEN structure = 'network-swap' THEN 12 ELSE 6 END AS INTEGER) AS last_rep
 FROM sm WHERE dataset_id NOT IN ({in_list(EXCLUDED)}) AND player_num IS NOT NULL""",
         "messages_f",
     ),
 )
 def q_normalize_ids(spark, sf_dir):
-    return st.normalize_ids(messages_full(spark, sf_dir), exclude_datasets=EXCLUDED, id_suffix=ID_SUFFIX)
+    return st.normalize_ids(messages_full(spark, sf_dir), exclude_datasets=EXCLUDED, id_suffix=ID_SUFFIX, last_rep={"p3": 5}, last_rep_structure={"network-swap": 12})
 
 
 @register("scan_csv_roundtrip", _views("SELECT * FROM st"))
