@@ -78,7 +78,7 @@ def group(codes: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndar
             lead = np.flatnonzero(_leads(p))
             up, times = p[lead], np.diff(np.append(lead, len(p)))
             home = of[up]
-            by = np.lexsort((times, home))
+            by = np.argsort((home.astype(np.int64) << 32) | times)
             up, times, home = up[by], times[by], home[by]
             h = np.flatnonzero(_leads(home))
             k = np.diff(np.append(h, len(home)))

@@ -11,9 +11,13 @@ with a smaller id; what remains is the rest of the bytes.
    batch however many copies the batch holds, to the bucket of its key.  A key
    that more than ``HOT`` batches have sends single windows, dealt by their own
    hash, so that a phrase which everybody uses doesn't fill one bucket.
-3. Suffix arrays.  A bucket lays the contexts of each key side by side in short
-   texts and sorts their suffixes by linear grouping construction (``lyndon``).
-   Equal windows are then neighbours; each gets the smallest id that has it.
+3. Suffix arrays.  A bucket collapses equal contexts under their smallest id and
+   lays the different contexts of each key side by side in a short text, whose
+   suffixes are sorted by linear grouping construction (``lyndon``).  Equal
+   windows are then neighbours; each gets the smallest id that has it.  A key
+   with one context has nothing to sort; one with over ``CROWD`` different
+   contexts has its windows collapsed instead of its contexts, as texts that long
+   would take as many steps.
 4. Each document removes the bytes of its windows that a smaller id has.
 
 Defined results: a null or empty text, or one shorter than ``width``, loses
@@ -37,10 +41,10 @@ from convoscope.llm import batches, lyndon, tokens
 GRAM = 24
 #: Batches that share a key before its windows travel singly.
 HOT = 1_000
-#: Different contexts of a key before a bucket lays out their windows singly.
+#: Different contexts of a key whose suffixes are sorted together, at most.
 CROWD = 32
 #: Bytes of a text whose suffixes are sorted, about, and of all texts sorted together.
-LANE, TOGETHER = 1_500, 2_000_000
+LANE, TOGETHER = 200, 1_000_000
 BUCKET_BYTES = 8 << 20
 PIECE = 1 << 20
 LAST = np.int64(0x7FFFFFFFFFFFFFFF)  # stands for a null id
@@ -115,23 +119,23 @@ class Batch:
         none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else none
         self.start, self.count, self.key, self.doc = cols
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys and whether two documents of this batch have them."""
-        order = np.lexsort((self.ids[self.doc], self.key))
-        key, doc = self.key[order], self.ids[self.doc][order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        unique, docs = np.unique(key[fresh], return_counts=True)
-        return unique, docs > 1
-
-    def contexts(self, keys: np.ndarray, shared: np.ndarray, hot: np.ndarray, buckets: int):
+        #: distinct keys, and which of them each stretch has
+        self.keys, self.which = np.unique(self.key, return_inverse=True)
+
+    def twice(self) -> np.ndarray:
+        """For every distinct key, whether two documents of this batch have it."""
+        ids = self.ids[self.doc]
+        least, most = np.full(len(self.keys), LAST), np.full(len(self.keys), -LAST)
+        np.minimum.at(least, self.which, ids)
+        np.maximum.at(most, self.which, ids)
+        return least < most
+
+    def contexts(self, shared: np.ndarray, hot: np.ndarray, buckets: int):
         """The stretches with a shared key, those of hot keys as single windows; returns start,
         count and doc of each, the distinct context it is an instance of, and of the distinct
         contexts in the order they are sent: bucket, an instance, single or not, least id."""
-        which = np.searchsorted(keys, self.key)
-        keep = np.flatnonzero(shared[which]) if len(keys) else np.zeros(0, np.int64)
-        single = hot[which[keep]] if len(keep) else np.zeros(0, bool)
+        keep = np.flatnonzero(shared[self.which])
+        single = hot[self.which[keep]]
         times = np.where(single, self.count[keep], 1)
         within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         start = np.repeat(self.start[keep], times) + within
@@ -184,13 +188,17 @@ def smallest_ids(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: n
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + LANE, side="right")) - 1)
         lanes.append(int(edges[b]))
         a = b
-    lanes_at = np.array(lanes)
-    total = np.append(0, np.cumsum(length))[lanes_at]
+    # lanes of about the same length go together, as a chunk takes as many steps as its longest
+    lane_at, held = np.array(lanes[:-1], np.int64), np.diff(lanes)
+    long = np.diff(np.append(0, np.cumsum(length))[lanes])
+    by = np.argsort(long, kind="stable")
+    total = np.append(0, np.cumsum(long[by]))
     a = 0
-    while a < len(lanes_at) - 1:
+    while a < len(by):
         b = max(a + 1, int(np.searchsorted(total, total[a] + TOGETHER, side="right")) - 1)
-        mine = order[lanes_at[a] : lanes_at[b]]
-        lane_of = np.repeat(np.arange(b - a), np.diff(lanes_at[a : b + 1]))
+        pick = by[a:b]
+        mine = order[lyndon._ranges(lane_at[pick], held[pick])]
+        lane_of = np.repeat(np.arange(b - a), held[pick])
         _judge(data, start[mine], size[mine], lane_of, ids[mine], first[mine], width, out)
         a = b
     return out
@@ -243,15 +251,14 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     dealt = batches.text_batches(docs, size)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, twice = Batch(table, width).keys()
-        return batches.requests(key[0].as_py(), keys, twice, key_buckets)
+        batch = Batch(table, width)
+        return batches.requests(key[0].as_py(), batch.keys, batch.twice(), key_buckets)
 
     def known(table: pa.Table, answer: pa.Table):
         batch = Batch(table, width)
-        keys = np.unique(batch.key)
-        shared = batches.repeated_hashes(keys, answer, key_buckets)
-        hot = batches.repeated_hashes(keys, answer, key_buckets, "hot")
-        return batch, batch.contexts(keys, shared, hot, buckets)
+        shared = batches.repeated_hashes(batch.keys, answer, key_buckets)
+        hot = batches.repeated_hashes(batch.keys, answer, key_buckets, "hot")
+        return batch, batch.contexts(shared, hot, buckets)
 
     def send(key: tuple, table: pa.Table, answer: pa.Table) -> pa.Table:
         batch, (start, count, _, _, bucket, instance, single, least) = known(table, answer)
@@ -284,20 +291,19 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         begin, length = start[instance], size[instance]
         group = np.where(single, name, first_keys(data, start, width))[instance]
         _, at, crowd = np.unique(group, return_inverse=True, return_counts=True)
-        crowded = crowd[at] > CROWD
-        answer = np.empty(int((length - width + 1).sum()), np.int64)
         windows = length - width + 1
         first = np.cumsum(windows) - windows
-        few = np.flatnonzero(~crowded)
+        answer = np.repeat(least, windows)
+        few = np.flatnonzero((crowd[at] > 1) & (crowd[at] <= CROWD))
         if len(few):
             answer[lyndon._ranges(first[few], windows[few])] = smallest_ids(data, begin[few], length[few], group[few], least[few], width)
-        many = np.flatnonzero(crowded)
-        if len(many):  # window by window, equal windows in one lane
+        many = np.flatnonzero(crowd[at] > CROWD)
+        if len(many):
             one = lyndon._ranges(begin[many], windows[many])
-            wide = np.full(len(one), width)
-            answer[lyndon._ranges(first[many], windows[many])] = smallest_ids(
-                data, one, wide, string_hashes_in_parts(data, one, wide), np.repeat(least[many], windows[many]), width
-            )
+            _, same = np.unique(string_hashes_in_parts(data, one, np.full(len(one), width)), return_inverse=True)
+            smallest = np.full(len(one), LAST)
+            np.minimum.at(smallest, same, np.repeat(least[many], windows[many]))
+            answer[lyndon._ranges(first[many], windows[many])] = smallest[same]
         # back to each batch: runs of windows with the same smallest id
         lead = np.ones(len(answer), bool)
         lead[1:] = answer[1:] != answer[:-1]

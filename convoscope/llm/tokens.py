@@ -7,6 +7,8 @@ text byte, so callers pass columns of a few MB.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,11 +33,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[:n]
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; short tables are kept for the next call."""
+    if n > 1 << 22:
+        return _powers.__wrapped__(base, n)
+    return _powers(base, 1 << max(10, (n - 1).bit_length()))[:n]
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
