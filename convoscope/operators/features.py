@@ -20,11 +20,21 @@ from convoscope.functions.text import phrase_count, sentences, tokens, with_firs
 Tagger = Callable[[Column], Column]
 
 
-def describer_messages(messages: DataFrame, trials: DataFrame, keys=("dataset_id", "trial_id"), cols=("rep_num",)) -> DataFrame:
-    """messages ⟕ trials[keys + cols], then keep describers.  The role filter
-    sits above the join; Catalyst pushes it into the messages scan."""
-    t = trials.select(*keys, *cols)
-    return messages.join(t, list(keys), "left").where(F.col("role") == "describer")
+def describer_messages(
+    messages: DataFrame,
+    trials: DataFrame,
+    keys=("dataset_id", "trial_id"),
+    cols=("rep_num",),
+    feature: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Describers' messages ⟕ trials[keys + cols].
+
+    ``feature`` reduces the messages first (it must keep ``keys``), so that the
+    join carries counts and flags instead of text."""
+    m = messages.where(F.col("role") == "describer")
+    if feature is not None:
+        m = feature(m)
+    return m.join(trials.select(*keys, *cols), list(keys), "left")
 
 
 def with_hedges(df: DataFrame, phrases: Iterable[str] = lx.HEDGES, text: str = "text") -> DataFrame:
@@ -45,8 +55,9 @@ def mean_by(df: DataFrame, value: str, alias: str, keys=("rep_num",), digits: in
     return df.where(cond).groupBy(*k).agg(F.round(F.avg(value), digits).alias(alias))
 
 
-def hedge_by_rep(describers: DataFrame, phrases: Iterable[str] = lx.HEDGES, keys=("rep_num",)) -> DataFrame:
-    return mean_by(with_hedges(describers, phrases), "hedge_count", "hedge_count", keys)
+def hedge_by_rep(hedged: DataFrame, keys=("rep_num",)) -> DataFrame:
+    """Mean ``hedge_count`` (see ``with_hedges``) per key."""
+    return mean_by(hedged, "hedge_count", "hedge_count", keys)
 
 
 # --- tagging ------------------------------------------------------------------
@@ -74,10 +85,6 @@ def message_token_counts(df: DataFrame, keys, text: str = "text", tagger: Tagger
     )
 
 
-def with_token_features(df: DataFrame, keys=("doc_id", "rep_num"), text: str = "text", tagger: Tagger = default_tagger) -> DataFrame:
-    return message_token_counts(df, keys, text, tagger)
-
-
 def token_table(docs: DataFrame, doc_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per token: doc id, 1-based sentence id, 1-based token id (restarting
     per sentence), lower-cased token."""
@@ -163,19 +170,21 @@ def firstword_props(tagged: DataFrame) -> DataFrame:
 
 # --- pronouns, nominals, panel --------------------------------------------------
 
-def pronoun_by_rep(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
-    f = message_token_counts(describers, keys, tagger=tagger)
-    return mean_by(f, "pronoun_count", "avg_pronoun_count")
+def pronoun_by_rep(counted: DataFrame) -> DataFrame:
+    """Mean pronouns per message (``message_token_counts`` with rounds attached)."""
+    return mean_by(counted, "pronoun_count", "avg_pronoun_count")
 
 
-def nominal_messages(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
-    f = message_token_counts(describers, keys, tagger=tagger)
-    f = f.withColumn("total", F.col("num_nominals") + F.col("num_non_nominals")).where(F.col("total") > 0)
+def nominal_messages(counted: DataFrame) -> DataFrame:
+    f = counted.withColumn("total", F.col("num_nominals") + F.col("num_non_nominals")).where(F.col("total") > 0)
     return f.withColumn("prop_nominal", F.col("num_nominals") / F.col("total"))
 
 
-def nominal_share(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
-    return mean_by(nominal_messages(describers, tagger), "prop_nominal", "prop_nominal")
+def nominal_share(counted: DataFrame, digits: int | None = 6) -> DataFrame:
+    f = nominal_messages(counted)
+    if digits is None:
+        return f.where(F.col("rep_num").isNotNull()).groupBy("rep_num").agg(F.avg("prop_nominal").alias("prop_nominal"))
+    return mean_by(f, "prop_nominal", "prop_nominal", digits=digits)
 
 
 def centred_rolling_mean(df: DataFrame, value: str, order: str, width: int = 3, alias: str = "rolling") -> DataFrame:
@@ -190,18 +199,24 @@ def centred_rolling_mean(df: DataFrame, value: str, order: str, width: int = 3,
     )
 
 
-def nominal_rolling(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
-    per_rep = nominal_share(describers, tagger)
-    return centred_rolling_mean(per_rep, "prop_nominal", "rep_num")
+def nominal_rolling(counted: DataFrame) -> DataFrame:
+    """Rolling mean of the unrounded shares; both are rounded in the output only."""
+    out = centred_rolling_mean(nominal_share(counted, digits=None), "prop_nominal", "rep_num")
+    return out.withColumn("prop_nominal", F.round("prop_nominal", 6))
+
 
+def panel_counts(messages: DataFrame, keys=("doc_id",), tagger: Tagger = default_tagger) -> DataFrame:
+    """Per message: hedges beside the token counts."""
+    h = with_hedges(messages.withColumn("text", F.coalesce("text", F.lit(""))))
+    return message_token_counts(h, [*keys, "hedge_count"], tagger=tagger)
 
-def feature_panel(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id", "rep_num")) -> DataFrame:
+
+def feature_panel(f: DataFrame) -> DataFrame:
     """Three metrics per round: pronoun mean over all describer messages; the
     nominal proportion and the hedge mean over messages with at least one
     classified token.  One aggregation computes all three (conditional
-    averages skip the other messages), then an unpivot makes the long panel."""
-    h = with_hedges(describers.withColumn("text", F.coalesce("text", F.lit(""))))
-    f = message_token_counts(h, list(keys) + ["hedge_count"], tagger=tagger)
+    averages skip the other messages), then an unpivot makes the long panel.
+    Input: ``panel_counts`` with rounds attached."""
     total = F.col("num_nominals") + F.col("num_non_nominals")
     nz = total > 0
     agg = f.where(F.col("rep_num").isNotNull()).groupBy("rep_num").agg(
@@ -218,41 +233,58 @@ def _category_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def pronoun_tokens(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
+def pronoun_tokens(describers: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id",)) -> DataFrame:
     """Tokens kept for pronoun categories: tagged PRON or in the dictionary;
     category from the dictionary, default ``other``."""
     d = lx.pronoun_categories()
-    t = describers.select("rep_num", F.explode(tokens("text")).alias("token"))
+    t = describers.select(*keys, F.explode(tokens("text")).alias("token"))
     t = t.where((tagger(F.col("token")) == "PRON") | F.col("token").isin(list(d)))
     return t.withColumn("category", F.coalesce(F.try_element_at(_category_map(), F.col("token")), F.lit("other")))
 
 
-def pronoun_categories(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
+def message_categories(messages: DataFrame, tagger: Tagger = default_tagger, keys=("doc_id",)) -> DataFrame:
+    """Per message: ``categories``, its pronoun tokens by category as (category, count) pairs.
+    Tokens are counted inside the task that splits the text; messages without any keep none."""
+    counts = pronoun_tokens(messages, tagger, keys).groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("count"))
+    # at most one entry per category of the dictionary, and ``other``
+    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("category", "count")).alias("categories"))
+    return messages.select(*keys).join(lists, list(keys), "left")
+
+
+def pronoun_categories(categorised: DataFrame) -> DataFrame:
     """Per (round, category): token count, describer messages of the round, and
-    the rate per message.  Rounds with a NULL number drop out."""
-    counts = pronoun_tokens(describers, tagger).where(F.col("rep_num").isNotNull())
-    counts = counts.groupBy("rep_num", "category").agg(F.count(F.lit(1)).alias("count"))
-    n = describers.where(F.col("rep_num").isNotNull()).groupBy("rep_num").agg(F.count(F.lit(1)).alias("n_messages"))
+    the rate per message (``message_categories`` with rounds attached).  Rounds
+    with a NULL number drop out."""
+    d = categorised.where(F.col("rep_num").isNotNull())
+    t = d.select("rep_num", F.explode("categories").alias("c")).select("rep_num", "c.category", "c.count")
+    counts = t.groupBy("rep_num", "category").agg(F.sum("count").alias("count"))
+    n = d.groupBy("rep_num").agg(F.count(F.lit(1)).alias("n_messages"))
     j = counts.join(n, "rep_num")
     return j.withColumn("avg_count_per_msg", F.round(F.col("count") / F.col("n_messages"), 6))
 
 
 def personal_pronouns(describers: DataFrame, tagger: Tagger = default_tagger) -> DataFrame:
+    """Personal pronouns by frequency, the most frequent first."""
     t = pronoun_tokens(describers, tagger).where(F.col("category") == "personal")
-    return t.groupBy(F.col("token").alias("pronoun")).agg(F.count(F.lit(1)).alias("count"))
+    out = t.groupBy(F.col("token").alias("pronoun")).agg(F.count(F.lit(1)).alias("count"))
+    return out.orderBy(F.desc("count"), "pronoun")
 
 
-def gender_by_target(describers: DataFrame, targets=lx.TARGETS_A_L) -> DataFrame:
-    """Gendered-term counts per (target, category) over targets A-L, with the
-    full target x category grid (missing combinations count 0)."""
+def message_genders(messages: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Per (message, category): gendered terms, counted inside the task that splits the text."""
     g = lx.gender_of()
     gmap = F.create_map(*[F.lit(x) for kv in g.items() for x in kv])
-    d = describers.where(F.col("target").isin(list(targets)))
-    t = d.select("target", F.explode(tokens("text")).alias("token")).where(F.col("token").isin(list(g)))
-    counts = t.groupBy("target", F.try_element_at(gmap, F.col("token")).alias("category")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    spark = describers.sparkSession
+    t = messages.select(*keys, F.explode(tokens("text")).alias("token")).where(F.col("token").isin(list(g)))
+    return t.groupBy(*keys, F.try_element_at(gmap, F.col("token")).alias("category")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def gender_by_target(gendered: DataFrame, targets=lx.TARGETS_A_L) -> DataFrame:
+    """Gendered-term counts per (target, category) over targets A-L, with the
+    full target x category grid (missing combinations count 0).  Input:
+    ``message_genders`` with targets attached."""
+    d = gendered.where(F.col("target").isin(list(targets)))
+    counts = d.groupBy("target", "category").agg(F.sum("count").alias("count"))
+    spark = gendered.sparkSession
     # the grid is parameter-sized (targets x 3 categories): a fixed literal
     grid = spark.createDataFrame(
         [(t_, c, ti + 1, ci + 1) for ti, t_ in enumerate(targets) for ci, c in enumerate(lx.GENDER_ORDER)],

@@ -128,8 +128,9 @@ def predict(fit: DataFrame, grid: DataFrame, x1, x2, model: str) -> DataFrame:
 
 
 def fold_of(key, k: int = 5) -> F.Column:
+    """Fold of a row by a hash of its own key, which no model uses as a predictor."""
     c = F.col(key) if isinstance(key, str) else key
-    return F.pmod(c.cast("long") * F.lit(2654435761), F.lit(k)).cast("int")
+    return (F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
 def cross_validate(df: DataFrame, x1: str, x2: str, y: str, model: str, fold_key: str, k: int = 5) -> DataFrame:
@@ -158,7 +159,11 @@ def cross_validate(df: DataFrame, x1: str, x2: str, y: str, model: str, fold_key
 def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Per-group slope of y on x, shrunk toward the precision-weighted pooled
     slope (two-level normal model, method-of-moments between-group variance):
-    w_g = tau2 / (tau2 + v_g), shrunk = pooled + w_g (slope_g - pooled)."""
+    w_g = tau2 / (tau2 + v_g), shrunk = pooled + w_g (slope_g - pooled).
+
+    Every group stays: one whose slope can't be estimated (two rows or fewer, or
+    a constant x) has weight 0 and takes the pooled slope; one that its line
+    fits exactly keeps its own, but doesn't enter the pooled moments."""
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     g = df.groupBy(group).agg(
         F.regr_count(Y, X).alias("n"),
@@ -168,20 +173,18 @@ def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
         F.regr_syy(Y, X).alias("syy"),
         F.regr_sxy(Y, X).alias("sxy"),
     )
-    g = g.where((F.col("n") > 2) & (F.col("sxx") > 0))
     v = ((F.col("syy") - F.col("slope") * F.col("sxy")) / (F.col("n") - 2)) / F.col("sxx")
-    g = g.withColumn("slope_var", v).where(F.col("slope_var") > 0)
+    g = g.withColumn("slope_var", F.when((F.col("n") > 2) & (F.col("sxx") > 0), F.greatest(v, F.lit(0.0))))
     # pooled slope and between-group variance: a one-row aggregate over the
     # per-group table, attached as a scalar subquery
-    pool = g.agg(
+    pool = g.where(F.col("slope_var") > 0).agg(
         (F.sum(F.col("slope") / F.col("slope_var")) / F.sum(1 / F.col("slope_var"))).alias("pooled_slope"),
         F.coalesce(F.greatest(F.var_samp("slope") - F.avg("slope_var"), F.lit(0.0)), F.lit(0.0)).alias("tau2"),
     )
     g = attach_row(g, pool)
-    wt = F.col("tau2") / (F.col("tau2") + F.col("slope_var"))
-    g = g.withColumn("weight", wt).withColumn(
-        "shrunk_slope", F.col("pooled_slope") + F.col("weight") * (F.col("slope") - F.col("pooled_slope"))
-    )
+    wt = F.when(F.col("slope_var") > 0, F.col("tau2") / (F.col("tau2") + F.col("slope_var"))).when(F.col("slope_var") == 0, 1.0).otherwise(0.0)
+    own = F.when(wt > 0, wt * (F.col("slope") - F.col("pooled_slope"))).otherwise(0.0)
+    g = g.withColumn("weight", wt).withColumn("shrunk_slope", F.col("pooled_slope") + own)
     return g.select(
         group, "n",
         *[F.round(c, 6).alias(c) for c in ["slope", "intercept", "slope_var", "pooled_slope", "tau2", "weight", "shrunk_slope"]],
@@ -229,12 +232,13 @@ def formula_fit(df: DataFrame, formula: str, model: str) -> DataFrame:
 def _irls(pdf: pd.DataFrame) -> pd.DataFrame:
     """Binomial GLM (logit) by iteratively reweighted least squares on a
     collapsed group: rows (x, trials, hits).  Small per group: one row per
-    distinct x."""
+    distinct x.  ``converged`` is false where the likelihood has no maximum
+    (all hits or none, or a step function of x) or a step was singular."""
     x = pdf["frac"].to_numpy(float)
     n = pdf["trials"].to_numpy(float)
     h = pdf["hits"].to_numpy(float)
     X = np.column_stack([np.ones_like(x), x])
-    beta = np.zeros(2)
+    beta, converged = np.zeros(2), False
     for _ in range(50):
         eta = X @ beta
         mu = 1 / (1 + np.exp(-eta))
@@ -248,10 +252,12 @@ def _irls(pdf: pd.DataFrame) -> pd.DataFrame:
         except np.linalg.LinAlgError:
             break
         if np.max(np.abs(new - beta)) < 1e-10:
-            beta = new
+            beta, converged = new, True
             break
         beta = new
-    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "intercept": [beta[0]], "slope": [beta[1]], "n": [int(n.sum())]})
+    return pd.DataFrame(
+        {"grp": [pdf["grp"].iloc[0]], "intercept": [beta[0]], "slope": [beta[1]], "n": [int(n.sum())], "converged": [converged]}
+    )
 
 
 def logit_by_group(df: DataFrame, group: str, x: str, flag: str) -> DataFrame:
@@ -261,8 +267,8 @@ def logit_by_group(df: DataFrame, group: str, x: str, flag: str) -> DataFrame:
     c = df.groupBy(F.col(group).alias("grp"), F.col(x).cast("double").alias("frac")).agg(
         F.count(F.lit(1)).cast("double").alias("trials"), F.sum(F.col(flag).cast("double")).alias("hits")
     ).where(F.col("grp").isNotNull())
-    out = c.groupBy("grp").applyInPandas(_irls, "grp string, intercept double, slope double, n long")
-    return out.select("grp", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), "n")
+    out = c.groupBy("grp").applyInPandas(_irls, "grp string, intercept double, slope double, n long, converged boolean")
+    return out.select("grp", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), "n", "converged")
 
 
 def fit_or_load(estimator, data: DataFrame, path: str, model_cls):

@@ -1,10 +1,9 @@
 """Generated item sets: sampling, pairwise similarity inside a set, ranking,
 per-set summaries, keep/reject selection, batches.
 
-Sets have a fixed size by construction (``set_size`` members, so at most
-set_size*(set_size-1)/2 pairs); ``check_set_sizes`` enforces that bound before
-any pair is emitted, so the self-join on ``set_id`` never grows quadratically
-with the data.
+A set's members and pairs are one task's work, as its size is a parameter of
+how sets are generated; ``check_set_sizes`` enforces a bound where the caller
+names one.
 """
 
 from __future__ import annotations
@@ -16,26 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convoscope.functions.vectors import dot
+from convoscope.operators.joins import broadcast_if_small
+from convoscope.operators.numbering import numbered
 from convoscope.operators.quantiles import exact_quantiles
 
 
 def check_set_sizes(members: DataFrame, max_size: int, set_col: str = "set_id") -> None:
+    """Raise if a set has more members than the caller allows."""
     big = members.groupBy(set_col).count().where(F.col("count") > max_size)
     if big.limit(1).count():
         raise ValueError(f"a set has more than {max_size} members; pairs would not be bounded")
 
 
-def set_pairs(members: DataFrame, max_size: int = 16, key: str = "idx", vec: str = "embedding") -> DataFrame:
+def set_pairs(members: DataFrame, max_size: int | None = None, key: str = "idx", vec: str = "embedding") -> DataFrame:
     """All unordered pairs i<j within each set with their dot-product similarity
-    (vectors are used as given, like a plain matrix product)."""
-    check_set_sizes(members, max_size)
-    # one hash exchange on set_id feeds both sides of the self-join (the
-    # join then needs no shuffle of its own)
-    m = members.select("set_id", "set_type", key, vec).repartition("set_id")
-    a = m.select("set_id", "set_type", F.col(key).alias("i"), F.col(vec).alias("va"))
-    b = m.select(F.col("set_id").alias("set_id_b"), F.col(key).alias("j"), F.col(vec).alias("vb"))
-    p = a.join(b, (F.col("set_id") == F.col("set_id_b")) & (F.col("i") < F.col("j")), "inner")
-    return p.select("set_id", "set_type", "i", "j", F.round(dot("va", "vb"), 6).alias("similarity"))
+    (vectors are used as given, like a plain matrix product).
+
+    Sets may have any size; a caller who wants a bound passes ``max_size``.  The
+    members of a set meet by one shuffle and one scan: a set is gathered once
+    and each member is laid beside the later ones."""
+    if max_size is not None:
+        check_set_sizes(members, max_size)
+    gathered = members.groupBy("set_id", "set_type").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")))).alias("m"))
+    first = gathered.select("set_id", "set_type", "m", F.posexplode("m").alias("at", "a"))
+    later = F.slice("m", F.col("at") + 2, F.size("m"))
+    p = first.select("set_id", "set_type", "a", F.explode(later).alias("b")).where("a.k < b.k")
+    return p.select(
+        "set_id", "set_type", F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.round(dot("a.v", "b.v"), 6).alias("similarity")
+    )
 
 
 def ranked_pairs(pairs: DataFrame) -> DataFrame:
@@ -52,11 +59,13 @@ def topk_pairs(pairs: DataFrame, n: int = 2, reverse: bool = False) -> DataFrame
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def topk_pairs_mirrored(members: DataFrame, n: int = 2, key: str = "idx", vec: str = "embedding") -> DataFrame:
+def topk_pairs_mirrored(
+    members: DataFrame, n: int = 2, key: str = "idx", vec: str = "embedding", max_size: int | None = None
+) -> DataFrame:
     """The k largest entries of the full similarity matrix minus the identity:
     every pair appears as (i, j) and (j, i), and the diagonal enters with its
     self-similarity minus 1.  (``topk_pairs`` is the de-duplicated form.)"""
-    pairs = set_pairs(members, key=key, vec=vec)
+    pairs = set_pairs(members, max_size, key=key, vec=vec)
     swapped = pairs.select("set_id", "set_type", F.col("j").alias("i"), F.col("i").alias("j"), "similarity")
     diag = members.select(
         "set_id", "set_type", F.col(key).alias("i"), F.col(key).alias("j"), F.round(dot(vec, vec) - 1, 6).alias("similarity")
@@ -99,7 +108,8 @@ def set_select(pairs: DataFrame) -> DataFrame:
     the maxima of its set type."""
     mx = set_maxima(pairs)
     med = exact_quantiles(mx, ["set_type"], "max_similarity", {"median_max": 0.5}, method="linear")
-    j = mx.join(med.select("set_type", F.round("median_max", 6).alias("median_max")), "set_type")
+    med = broadcast_if_small(med.select("set_type", F.round("median_max", 6).alias("median_max")))
+    j = mx.join(med, "set_type")
     return j.withColumn("kept", F.col("max_similarity") < F.col("median_max"))
 
 
@@ -117,7 +127,7 @@ def kept_stats(selected: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: str, group: str, bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins between the group's min and max, the last bin
     closed; empty bins reported with 0."""
-    rng = df.groupBy(group).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
+    rng = broadcast_if_small(df.groupBy(group).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax")))
     w = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
     b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(value) - F.col("vmin")) / w), F.lit(bins - 1)))
     counted = df.join(rng, group).select(group, b.cast("int").alias("bin")).groupBy(group, "bin").agg(
@@ -142,40 +152,35 @@ def hash_key(seed: str, *cols) -> F.Column:
     return F.md5(F.concat(*parts))
 
 
-def sample_per_set(items: DataFrame, n_sets: int, k: int, seed: str, item: str = "item_id", oversample: float = 4.0) -> DataFrame:
-    """For each set 0..n_sets-1, the k items with the smallest hash(seed, set,
-    item): a repeatable sample without replacement.
+def sample_per_set(items: DataFrame, n_sets: int, k: int, seed: str, item: str = "item_id", draws: int | None = None) -> DataFrame:
+    """For each set 0..n_sets-1, k different items in random order: a repeatable
+    sample without replacement.
 
-    No set x item product is formed: each item lists only the sets for which
-    its hash falls under a threshold chosen to give ~``oversample`` * k
-    candidates per set; the k smallest candidates are then the k smallest
-    overall.  Sets left with fewer than k candidates are redone with a higher
-    threshold (keeping only the still-missing sets), so the result is exact."""
-    n_items = items.count()
+    Items are numbered once; each set draws positions ``md5(seed:set:draw) mod
+    n`` and keeps the first k different ones, so n_sets x draws small rows are
+    made and joined to the items by position.  Sets with fewer than k different
+    positions draw on."""
+    places = numbered(items.select(item), item)
+    n_items = places.count()
     if n_items < k:
         raise ValueError(f"cannot sample {k} of {n_items} items without replacement")
-    frac = min(1.0, oversample * k / n_items)
-    done: DataFrame | None = None
-    n_done = 0
+    draws = draws or 4 * k
+    sets = items.sparkSession.range(n_sets).select(F.col("id").cast("int").alias("set_id"))
+    drawn: DataFrame | None = None
+    first = 0
     while True:
-        thr = "ffffffff" if frac >= 1.0 else f"{int(frac * 0xFFFFFFFF):08x}"
-        sets = F.sequence(F.lit(0), F.lit(n_sets - 1))
-        keep = lambda s: F.substring(hash_key(seed, s, F.col(item)), 1, 8) <= F.lit(thr)
-        cand = items.select(F.col(item), F.explode(F.filter(sets, keep)).alias("set_id"))
-        cand = cand.withColumn("h", hash_key(seed, F.col("set_id"), F.col(item)))
-        if done is not None:
-            cand = cand.join(done.select("set_id").distinct(), "set_id", "left_anti")
-        w = Window.partitionBy("set_id").orderBy("h", item)
-        ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = ranked.groupBy("set_id").count().where(F.col("count") == k).select("set_id")
-        got = ranked.join(full, "set_id", "left_semi").select("set_id", item, "rank")
-        done = got if done is None else done.unionByName(got)
-        done = done.checkpoint()  # cut lineage between rounds; bounded: n_sets x k rows
-        n_done = done.select("set_id").distinct().count()
-        if n_done == n_sets or frac >= 1.0:
+        at = sets.select("set_id", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))).alias("draw"))
+        place = F.conv(F.substring(hash_key(seed, F.col("set_id"), F.col("draw")), 1, 12), 16, 10).cast("long") % n_items
+        new = at.select("set_id", place.alias("place"), "draw")
+        drawn = new if drawn is None else drawn.unionByName(new)
+        drawn = drawn.groupBy("set_id", "place").agg(F.min("draw").alias("draw")).checkpoint()  # a few rows per set
+        short = drawn.groupBy("set_id").count().where(F.col("count") < k).select("set_id").checkpoint()
+        if short.isEmpty():
             break
-        frac = min(1.0, frac * 4)
-    return done
+        sets, first, draws = short, first + draws, draws * 2
+    w = Window.partitionBy("set_id").orderBy("draw")
+    ranked = drawn.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(places, "place").select("set_id", item, "rank")
 
 
 def gen_sets_comp(items: DataFrame, n_sets: int, set_size: int = 16, seed: str = "42comp", item: str = "item_id") -> DataFrame:

@@ -11,13 +11,27 @@ from convoscope.plans.registry import register
 from convoscope.plans.sqlparts import first_token_sql, hedge_sql, in_list, sentences_sql, tokens_sql
 
 
-def describers_from_docs(spark, sf_dir):
-    """docs_f split into a message side and a trial side, re-joined (J4), then
-    the describer filter."""
+def messages_of_docs(spark, sf_dir):
+    """Describers' messages alone: what needs no column of the trials needs no join."""
+    d = fx.docs_f(spark, sf_dir)
+    return d.select("doc_id", "dataset_id", "role", "text").where(F.col("role") == "describer")
+
+
+def describers_from_docs(spark, sf_dir, feature=None):
+    """docs_f split into a message side and a trial side, re-joined (J4); with
+    ``feature`` the messages are reduced to it before the join."""
     d = fx.docs_f(spark, sf_dir)
     msgs = d.select("doc_id", "dataset_id", "role", "text")
     trials = d.select("doc_id", "rep_num", "target")
-    return ft.describer_messages(msgs, trials, keys=("doc_id",), cols=("rep_num", "target"))
+    return ft.describer_messages(msgs, trials, keys=("doc_id",), cols=("rep_num", "target"), feature=feature)
+
+
+def _hedged(phrases=lx.HEDGES):
+    return lambda m: ft.with_hedges(m, phrases).select("doc_id", "dataset_id", "hedge_count")
+
+
+def _token_counts(m):
+    return ft.message_token_counts(m, ["doc_id"])
 
 
 DESCRIBERS_SQL = """, m AS (SELECT doc_id, dataset_id, role, text FROM docs_f),
@@ -44,7 +58,7 @@ TOKENS_SQL = f""", tk AS (SELECT doc_id, rep_num, target, unnest({tokens_sql('te
     bench=True,
 )
 def q_hedge_by_rep(spark, sf_dir):
-    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir))
+    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir, _hedged()))
 
 
 @register(
@@ -55,7 +69,7 @@ def q_hedge_by_rep(spark, sf_dir):
     ),
 )
 def q_hedge_by_rep_dataset(spark, sf_dir):
-    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir), keys=("dataset_id", "rep_num"))
+    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir, _hedged()), keys=("dataset_id", "rep_num"))
 
 
 @register(
@@ -66,7 +80,7 @@ def q_hedge_by_rep_dataset(spark, sf_dir):
     ),
 )
 def q_hedge_frequency(spark, sf_dir):
-    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir), phrases=lx.HEDGES_FREQUENCY)
+    return ft.hedge_by_rep(describers_from_docs(spark, sf_dir, _hedged(lx.HEDGES_FREQUENCY)))
 
 
 _TOKEN_TABLE_SQL = f""", s AS (SELECT doc_id, {sentences_sql('text')} AS sents FROM d),
@@ -78,7 +92,7 @@ _TOKEN_TABLE_SQL = f""", s AS (SELECT doc_id, {sentences_sql('text')} AS sents F
 
 @register("token_table", _with_docs(_TOKEN_TABLE_SQL + "SELECT * FROM tt"))
 def q_token_table(spark, sf_dir):
-    return ft.token_table(describers_from_docs(spark, sf_dir))
+    return ft.token_table(messages_of_docs(spark, sf_dir))
 
 
 @register(
@@ -86,7 +100,7 @@ def q_token_table(spark, sf_dir):
     _with_docs(_TOKEN_TABLE_SQL + f"SELECT *, {lx.pos_sql('token')} AS pos FROM tt"),
 )
 def q_token_pos(spark, sf_dir):
-    return ft.tag_tokens(ft.token_table(describers_from_docs(spark, sf_dir)))
+    return ft.tag_tokens(ft.token_table(messages_of_docs(spark, sf_dir)))
 
 
 _FIRST_SQL = f""", ftk AS (SELECT *, {first_token_sql('text')} AS tok FROM d),
@@ -100,12 +114,13 @@ _FIRST_SQL = f""", ftk AS (SELECT *, {first_token_sql('text')} AS tok FROM d),
 
 
 def firstword_tags_df(spark, sf_dir):
-    return ft.firstword_tags(describers_from_docs(spark, sf_dir))
+    """Flags alone, with rounds attached."""
+    return describers_from_docs(spark, sf_dir, lambda m: ft.firstword_tags(m).select("doc_id", *ft.FLAGS))
 
 
 @register("firstword_tags", _with_docs(_FIRST_SQL + "SELECT * FROM fw"))
 def q_firstword_tags(spark, sf_dir):
-    return firstword_tags_df(spark, sf_dir)
+    return describers_from_docs(spark, sf_dir, ft.firstword_tags)
 
 
 @register(
@@ -117,7 +132,7 @@ SELECT count(*) AS n_messages, CAST(count_if(tc > 1) AS BIGINT) AS n_multi, CAST
     ),
 )
 def q_firstword_audit(spark, sf_dir):
-    return ft.firstword_audit(firstword_tags_df(spark, sf_dir))
+    return ft.firstword_audit(ft.firstword_tags(messages_of_docs(spark, sf_dir)))
 
 
 _LONG_SQL = """, lg AS (
@@ -179,7 +194,7 @@ _PER_DOC_SQL = (
     ),
 )
 def q_pronoun_by_rep(spark, sf_dir):
-    return ft.pronoun_by_rep(describers_from_docs(spark, sf_dir))
+    return ft.pronoun_by_rep(describers_from_docs(spark, sf_dir, _token_counts))
 
 
 @register(
@@ -190,20 +205,20 @@ def q_pronoun_by_rep(spark, sf_dir):
     ),
 )
 def q_nominal_share(spark, sf_dir):
-    return ft.nominal_share(describers_from_docs(spark, sf_dir))
+    return ft.nominal_share(describers_from_docs(spark, sf_dir, _token_counts))
 
 
 @register(
     "nominal_rolling",
     _with_docs(
         _PER_DOC_SQL
-        + """, r AS (SELECT rep_num, round(avg(prop_nominal), 6) AS prop_nominal FROM nz WHERE rep_num IS NOT NULL GROUP BY rep_num)
-SELECT rep_num, prop_nominal, CASE WHEN count(prop_nominal) OVER w = 3 THEN round(avg(prop_nominal) OVER w, 6) END AS rolling
+        + """, r AS (SELECT rep_num, avg(prop_nominal) AS prop_nominal FROM nz WHERE rep_num IS NOT NULL GROUP BY rep_num)
+SELECT rep_num, round(prop_nominal, 6) AS prop_nominal, CASE WHEN count(prop_nominal) OVER w = 3 THEN round(avg(prop_nominal) OVER w, 6) END AS rolling
 FROM r WINDOW w AS (ORDER BY rep_num ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
     ),
 )
 def q_nominal_rolling(spark, sf_dir):
-    return ft.nominal_rolling(describers_from_docs(spark, sf_dir))
+    return ft.nominal_rolling(describers_from_docs(spark, sf_dir, _token_counts))
 
 
 @register(
@@ -216,7 +231,7 @@ UNION ALL SELECT rep_num, 'Hedge Count', round(avg(hedge_count), 6) FROM nz WHER
     ),
 )
 def q_feature_panel(spark, sf_dir):
-    return ft.feature_panel(describers_from_docs(spark, sf_dir))
+    return ft.feature_panel(describers_from_docs(spark, sf_dir, ft.panel_counts))
 
 
 _CAT_VALUES = lx.values_sql(sorted(lx.pronoun_categories().items()), ["word", "category"])
@@ -238,7 +253,7 @@ SELECT c.rep_num, c.category, c.count, n.n_messages, round(c.count / n.n_message
     ),
 )
 def q_pronoun_categories(spark, sf_dir):
-    return ft.pronoun_categories(describers_from_docs(spark, sf_dir))
+    return ft.pronoun_categories(describers_from_docs(spark, sf_dir, ft.message_categories))
 
 
 @register(
@@ -246,7 +261,7 @@ def q_pronoun_categories(spark, sf_dir):
     _with_docs(_PRON_SQL + "SELECT token AS pronoun, count(*) AS count FROM pk WHERE category = 'personal' GROUP BY token"),
 )
 def q_personal_pronouns(spark, sf_dir):
-    return ft.personal_pronouns(describers_from_docs(spark, sf_dir))
+    return ft.personal_pronouns(messages_of_docs(spark, sf_dir))
 
 
 _GENDER_VALUES = lx.values_sql(sorted(lx.gender_of().items()), ["word", "category"])
@@ -267,7 +282,7 @@ FROM {_GRID} g LEFT JOIN gc ON g.target = gc.target AND g.category = gc.category
     ),
 )
 def q_gender_by_target(spark, sf_dir):
-    return ft.gender_by_target(describers_from_docs(spark, sf_dir))
+    return ft.gender_by_target(describers_from_docs(spark, sf_dir, ft.message_genders))
 
 
 @register(

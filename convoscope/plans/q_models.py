@@ -109,7 +109,8 @@ def _cv_sql(model: str, x1: str, x2: str, src: str) -> str:
     mom = ", ".join(f"{v} AS {k}" for k, v in m.items())
     tot = ", ".join(f"sum({c}) OVER () - {c} AS {c}" for c in cols)
     fit = ", ".join(f"{e[c]} AS {c}" for c in ("b0", "b1", "b2", "sigma2"))
-    d = f"(SELECT *, CAST(((CAST(trial_num AS BIGINT) * 2654435761) % {K_FOLDS}) AS INTEGER) AS fold FROM {src})"
+    key = "dataset_id || '/' || game_id || '/' || CAST(trial_num AS VARCHAR) || '/' || CAST(rep_num AS VARCHAR)"
+    d = f"(SELECT *, CAST(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {K_FOLDS} AS INTEGER) AS fold FROM {src})"
     r = f"(CAST(x.total_num_words AS DOUBLE) - (c.b0 + c.b1 * x.{x1} + c.b2 * x.{x2}))"
     return f"""SELECT '{model}' AS model, x.fold, count(*) AS n_test, round(sqrt(avg({r} * {r})), 6) AS rmse,
   round(sum(-0.5 * ln(2 * pi() * c.sigma2) - {r} * {r} / (2 * c.sigma2)), 6) AS log_density
@@ -122,9 +123,10 @@ GROUP BY x.fold"""
     _sql(_cv_sql("linear", "rep_num", "trial_num", "rep") + "\nUNION ALL " + _cv_sql("logarithmic", "log_rep", "log_trial", "repl")),
 )
 def q_form_compare(spark, sf_dir):
-    d = rep_df(spark, sf_dir)
-    lin = md.cross_validate(d, "rep_num", "trial_num", "total_num_words", "linear", "trial_num", K_FOLDS)
-    lg = md.cross_validate(md.with_log_terms(d), "log_rep", "log_trial", "total_num_words", "logarithmic", "trial_num", K_FOLDS)
+    trial = F.concat_ws("/", "dataset_id", "game_id", F.col("trial_num").cast("string"), F.col("rep_num").cast("string"))
+    d = rep_df(spark, sf_dir).withColumn("trial_key", trial)
+    lin = md.cross_validate(d, "rep_num", "trial_num", "total_num_words", "linear", "trial_key", K_FOLDS)
+    lg = md.cross_validate(md.with_log_terms(d), "log_rep", "log_trial", "total_num_words", "logarithmic", "trial_key", K_FOLDS)
     return lin.unionByName(lg)
 
 
@@ -133,15 +135,14 @@ def q_form_compare(spark, sf_dir):
     _sql(
         """, g AS (SELECT * FROM (SELECT dataset_id, regr_count(y, x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
    regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy
-   FROM (SELECT dataset_id, CAST(rep_num AS DOUBLE) AS x, CAST(total_num_words AS DOUBLE) AS y FROM rep) GROUP BY dataset_id)
-   WHERE n > 2 AND sxx > 0),
- gv AS (SELECT *, ((syy - slope * sxy) / (n - 2)) / sxx AS slope_var FROM g),
+   FROM (SELECT dataset_id, CAST(rep_num AS DOUBLE) AS x, CAST(total_num_words AS DOUBLE) AS y FROM rep) GROUP BY dataset_id)),
+ gv AS (SELECT *, CASE WHEN n > 2 AND sxx > 0 THEN greatest(((syy - slope * sxy) / (n - 2)) / sxx, 0.0) END AS slope_var FROM g),
  gp AS (SELECT * FROM gv WHERE slope_var > 0),
  pool AS (SELECT sum(slope / slope_var) / sum(1 / slope_var) AS pooled_slope, coalesce(greatest(var_samp(slope) - avg(slope_var), 0.0), 0.0) AS tau2 FROM gp),
- w AS (SELECT gp.*, pool.pooled_slope, pool.tau2, pool.tau2 / (pool.tau2 + gp.slope_var) AS weight FROM gp JOIN pool ON true)
+ w AS (SELECT gv.*, pool.pooled_slope, pool.tau2, CASE WHEN slope_var > 0 THEN pool.tau2 / (pool.tau2 + gv.slope_var) WHEN slope_var = 0 THEN 1.0 ELSE 0.0 END AS weight FROM gv JOIN pool ON true)
 SELECT dataset_id, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(slope_var, 6) AS slope_var,
   round(pooled_slope, 6) AS pooled_slope, round(tau2, 6) AS tau2, round(weight, 6) AS weight,
-  round(pooled_slope + weight * (slope - pooled_slope), 6) AS shrunk_slope FROM w"""
+  round(pooled_slope + CASE WHEN weight > 0 THEN weight * (slope - pooled_slope) ELSE 0.0 END, 6) AS shrunk_slope FROM w"""
     ),
 )
 def q_group_shrinkage(spark, sf_dir):

@@ -22,7 +22,7 @@ SAMPLE_N = 10
 
 
 def pairs_df(spark, sf_dir):
-    return so.set_pairs(fx.sets_f(spark, sf_dir), max_size=SET_SIZE)
+    return so.set_pairs(fx.sets_f(spark, sf_dir))
 
 
 _PAIRS_SQL = """, pairs AS (SELECT a.set_id, a.set_type, a.idx AS i, b.idx AS j,
@@ -176,9 +176,11 @@ def _gen_sql(kind: str) -> str:
     k = 2 * q
     seed = f"42{kind}"
     head = fx.with_views("", "shapes_f").rstrip()
-    ranked = f""", r AS (SELECT set_id, item_id, row_number() OVER (PARTITION BY set_id ORDER BY h, item_id) AS rk FROM
-   (SELECT CAST(s.range AS INTEGER) AS set_id, p.item_id, md5('{seed}:' || CAST(s.range AS VARCHAR) || ':' || CAST(p.item_id AS VARCHAR)) AS h
-    FROM range(0, {N_SETS}) s CROSS JOIN shapes_f p)),
+    ranked = f""", p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM shapes_f),
+ dr AS (SELECT CAST(s.range AS INTEGER) AS set_id, min(d.range) AS draw,
+   CAST('0x' || substr(md5('{seed}:' || CAST(s.range AS VARCHAR) || ':' || CAST(d.range AS VARCHAR)), 1, 12) AS BIGINT) % (SELECT count(*) FROM shapes_f) AS place
+   FROM range(0, {N_SETS}) s, range(0, {4 * k}) d GROUP BY ALL),
+ r AS (SELECT set_id, item_id, row_number() OVER (PARTITION BY set_id ORDER BY draw) AS rk FROM dr JOIN p USING (place)),
  tops AS (SELECT set_id, item_id AS top, rk AS ti FROM r WHERE rk <= {q}),
  bottoms AS (SELECT set_id, item_id AS bottom, rk - {q} AS bi FROM r WHERE rk > {q} AND rk <= {k})
 """

@@ -12,7 +12,7 @@ from convoscope.plans import fixtures as fx
 from convoscope.plans.registry import register
 from convoscope.plans.sqlparts import in_list
 from convoscope.session import shared_path
-from convoscope.sources.csv import read_csv_dir, write_csv
+from convoscope.sources.csv import read_all, read_csv_dir, write_csv
 
 ID_SUFFIX = {"p0": 6, "p2": 2}
 EXCLUDED = ("p1",)
@@ -173,3 +173,28 @@ def q_scan_csv_roundtrip(spark, sf_dir):
         "dataset_id", F.regexp_extract(F.col("_metadata.file_path"), "dataset_id=([^/]+)/", 1)
     )
     return back.select(*t.columns)
+
+
+@register(
+    "merge_csv_datasets",
+    fx.with_views(
+        """SELECT dataset_id, trial_id, message_number, player_id, role, text,
+  CASE WHEN dataset_id <> 'p3' THEN message_irrelevant END AS message_irrelevant, CASE WHEN dataset_id = 'p2' THEN role END AS note
+FROM messages_f""",
+        "messages_f",
+    ),
+)
+def q_merge_csv_datasets(spark, sf_dir):
+    """messages_f written as one CSV table per dataset, each with a header of its
+    own (another column order, a column more, a column less), then read back
+    and united by name."""
+    m = fx.messages_f(spark, sf_dir)
+    root = shared_path(spark, "csv_datasets", uuid.uuid4().hex)
+    cols = [c for c in m.columns if c != "dataset_id"]
+    headers = {"p0": cols, "p1": cols[::-1], "p2": ["note", *cols], "p3": [c for c in cols if c != "message_irrelevant"]}
+    for dataset, header in headers.items():  # four datasets by definition of the fixture
+        part = m.where(F.col("dataset_id") == dataset).withColumn("note", F.col("role"))
+        write_csv(part.select(*header), f"{root}/{dataset}/messages.csv")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields if f.name != "dataset_id")
+    back = read_all(spark, root, "messages", schema, datasets=list(headers))
+    return back.select(*m.columns, "note")

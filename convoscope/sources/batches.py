@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 def write_batches(df: DataFrame, root: str, batch_col: str = "batch_id") -> None:
     """Write partitioned by batch with dynamic partition overwrite: rerunning a
     batch replaces only that batch (a retried or resumed job is idempotent)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(batch_col).parquet(root)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    # a batch's rows come together first: one file per batch, not one per task and batch
+    rows = df.repartition(batch_col)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).parquet(root)
 
 
 def read_batches(spark: SparkSession, root: str) -> DataFrame:

@@ -32,8 +32,16 @@ def read_table(
 
 
 def dataset_label() -> F.Column:
-    """Dataset name = the directory holding the file."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    """Dataset name = the directory holding the table (a file, or a folder of part files)."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv(?:/[^/]+)?$", 1)
+
+
+def _paths(spark: SparkSession, root: str, tbl_name: str, datasets: Sequence[str] | None) -> list[str]:
+    """The table's file in every dataset directory (file names only, one per dataset)."""
+    if datasets:
+        return [f"{root.rstrip('/')}/{d}/{tbl_name}.csv" for d in datasets]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{tbl_name}.csv").option("recursiveFileLookup", "true")
+    return sorted(r["path"] for r in files.load(root).select("path").collect())
 
 
 def read_all(
@@ -43,17 +51,39 @@ def read_all(
     schema: StructType | str | None = None,
     datasets: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One table stacked over every dataset directory in a single scan, with a
-    ``dataset_id`` column from the path.  When datasets are named, only their
-    paths are listed (pruning before the scan, not a filter after it)."""
-    r = spark.read.options(**_CSV_OPTS)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
-    if datasets:
-        paths = [f"{root.rstrip('/')}/{d}/{tbl_name}.csv" for d in datasets]
-    else:
-        paths = [f"{root.rstrip('/')}/*/{tbl_name}.csv"]
-    df = r.csv(paths)
-    return df.withColumn("dataset_id", dataset_label())
+    """One table stacked over every dataset directory, with ``dataset_id`` from the path.
+
+    Columns are matched by name: files with the same header are one scan, and
+    the scans are united by name, so that another column order changes nothing,
+    a missing column is NULL and an extra one is kept.  ``schema`` names the
+    types of the columns it knows; others are strings.  When datasets are named,
+    only their paths are listed (pruning before the scan, not a filter after)."""
+    known = None
+    if schema is not None:
+        known = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in _paths(spark, root, tbl_name, datasets):
+        header = tuple(spark.read.options(**_CSV_OPTS).csv(path).columns)  # reads the first line
+        by_header.setdefault(header, []).append(path)
+    if not by_header:
+        raise FileNotFoundError(f"no {tbl_name}.csv under {root}")
+    parts = []
+    for header, paths in by_header.items():
+        r = spark.read.options(**_CSV_OPTS)
+        if known is not None:
+            types = {f.name: f.dataType for f in known.fields}
+            r = r.schema(StructType([StructField(c, types.get(c, StringType()), True) for c in header]))
+        else:
+            r = r.option("inferSchema", "true")
+        parts.append(r.csv(paths).withColumn("dataset_id", dataset_label()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if known is not None:
+        extra = [c for c in out.columns if c not in known.fieldNames() and c != "dataset_id"]
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.fields if f.name not in out.columns]
+        out = out.select("*", *none).select(*known.fieldNames(), *extra, *([] if "dataset_id" in known.fieldNames() else ["dataset_id"]))
+    return out
 
 
 def discover_datasets(spark: SparkSession, root: str, tbl_name: str = "conditions") -> DataFrame:
@@ -99,6 +129,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: S
         .option("header", "true")
         .option("nullValue", "")
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

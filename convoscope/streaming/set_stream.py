@@ -32,7 +32,7 @@ def start_set_summaries(
     members_dir: str,
     out_dir: str,
     checkpoint_dir: str,
-    max_set_size: int = 16,
+    max_set_size: int | None = None,
     files_per_batch: int = 1,
     available_now: bool = True,
     schema: str = MEMBER_SCHEMA,

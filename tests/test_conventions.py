@@ -19,6 +19,34 @@ def test_status_goldens(spark):
     assert [got[(4, r)] for r in range(2, 7)] == ["pre", "form", "post", "post", "post"]  # NULL structure joins
 
 
+def test_fan_out_on_ties_is_an_option(spark):
+    tn = spark.createDataFrame([(1, "p0", "A", "thin", 2, 1, later, 0.1) for later in range(2, 7)], TN)
+    ea = spark.createDataFrame([(1, "p0", "A", "thin", 2, 1, 4)] * 2, EA)
+    assert cv.conv_status(tn, ea).count() == 5
+    fanned = cv.conv_status(tn, ea, fan_out=True)
+    assert sorted(r["later"] for r in fanned.collect()) == [2, 3, 4, 4, 5, 6]
+    assert cv.event_time(tn, ea).count() == 5 and cv.event_time(tn, ea, fan_out=True).count() == 10
+
+
+def test_last_round_by_dataset_then_structure(spark):
+    cols = "paper_id string, structure string, player_num long, text string, rep_num int"
+    rows = [("p3", "network-swap", 1, "a", 5), ("p2", "network-swap", 1, "a", 12), ("p0", None, 1, None, 6), ("p0", "thin", None, "a", 6)]
+    base = cv.base_messages(spark.createDataFrame(rows, cols), ("p1",), 6, {"p3": 5}, {"network-swap": 12})
+    got = {(r["paper_id"], r["structure"]): (r["last_rep"], r["text"]) for r in base.collect()}
+    assert got == {("p3", "network-swap"): (5, "a"), ("p2", "network-swap"): (12, "a"), ("p0", None): (6, "")}
+
+
+def test_turns_are_cut_by_trial(spark):
+    cols = "game_id long, paper_id string, target string, structure string, group_size int, stage_num int, rep_num int, trial_num int, message_number int, player_num long, role string, text string"
+    rows = [(1, "p0", "A", "thin", 2, 1, 6, t, n, 10, "describer", w) for t, n, w in ((61, 1, "big"), (61, 2, "bird"), (62, 3, "big"))]
+    base = cv.base_messages(spark.createDataFrame(rows, cols), (), 6)
+    occ = cv.occurrence_per_turn(base, cv.conventions(base))
+    got = sorted((r["trial_num"], r["text"], r["same"], r["base_regex"]) for r in occ.collect())
+    assert got == [(61, "big bird", True, 0), (62, "big", True, 0)]
+    exact = cv.occurrence_per_turn(base, cv.conventions(base), fuzzy=False, role="describer")
+    assert "fuzzy_regex" not in exact.columns and exact.count() == 2
+
+
 def test_earliest_keeps_ties(spark):
     rows = [(1, "A", "p0", "thin", 2, 3, "describer", 10, 1), (1, "A", "p0", "thin", 2, 3, "describer", 11, 1),
             (1, "A", "p0", "thin", 2, 5, "describer", 10, 1), (1, "A", "p0", "thin", 2, 2, "describer", 10, 0)]

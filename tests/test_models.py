@@ -44,3 +44,18 @@ def test_shrinkage_weights_between_0_and_1(spark):
         assert 0 <= r["weight"] <= 1
         lo, hi = sorted([r["slope"], r["pooled_slope"]])
         assert lo - 1e-6 <= r["shrunk_slope"] <= hi + 1e-6
+
+
+def test_shrinkage_keeps_every_group(spark):
+    rows = [("few", 1, 3.0), ("flat", 2, 1.0), ("flat", 2, 2.0), ("flat", 2, 4.0), ("line", 1, 1.0), ("line", 2, 2.0), ("line", 3, 3.0)]
+    rows += [(g, x, 10.0 - s * x + (-1) ** x) for g, s in (("a", 1.0), ("b", 2.0)) for x in range(1, 7)]
+    got = {r["grp"]: r for r in md.group_shrinkage(spark.createDataFrame(rows, "grp string, x int, y double"), "grp", "x", "y").collect()}
+    assert set(got) == {"few", "flat", "line", "a", "b"}
+    assert got["few"]["weight"] == got["flat"]["weight"] == 0.0 and got["few"]["shrunk_slope"] == got["few"]["pooled_slope"]
+    assert got["line"]["weight"] == 1.0 and got["line"]["shrunk_slope"] == 1.0
+
+
+def test_logit_reports_convergence(spark):
+    rows = [("ok", x / 10, int(x * 7 % 10 < x)) for x in range(10) for _ in range(3)] + [("ok", 0.9, 0), ("ok", 0.1, 1)] + [("sep", x / 10, int(x > 4)) for x in range(10)]
+    got = {r["grp"]: r["converged"] for r in md.logit_by_group(spark.createDataFrame(rows, "grp string, x double, hit int"), "grp", "x", "hit").collect()}
+    assert got == {"ok": True, "sep": False}

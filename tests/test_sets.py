@@ -25,20 +25,31 @@ def test_pair_count_is_n_choose_2(spark):
     assert got == {0: 120, 1: 120, 2: 10}
 
 
+def test_sets_of_any_size(spark):
+    p = so.set_pairs(_members(spark, [40, 3]))
+    assert {r[0]: r[1] for r in p.groupBy("set_id").count().collect()} == {0: 780, 1: 3}
+
+
 def test_set_size_guard(spark):
     with pytest.raises(ValueError):
         so.set_pairs(_members(spark, [17]), max_size=16)
 
 
-def test_sampling_equals_brute_force_hash_order(spark):
-    items = spark.range(1, 301).select(F.col("id").alias("item_id"))
-    # a small oversample forces retries for some sets; the answer must not change
-    got = so.sample_per_set(items, n_sets=20, k=8, seed="s", oversample=1.0)
+@pytest.mark.parametrize("n,draws", [(300, None), (300, 8), (9, 8)])
+def test_sampling_equals_brute_force_draws(spark, n, draws):
+    items = spark.range(n).select((F.col("id") * 7 % 1009 + 5).alias("item_id")).repartition(3)
+    # few draws leave some sets short: they draw on
+    got = so.sample_per_set(items, n_sets=20, k=8, seed="s", draws=draws)
     rows = sorted((r["set_id"], r["rank"], r["item_id"]) for r in got.collect())
+    ordered = sorted(r["item_id"] for r in items.collect())
     exp = []
     for s in range(20):
-        hs = sorted((hashlib.md5(f"s:{s}:{i}".encode()).hexdigest(), i) for i in range(1, 301))
-        exp += [(s, r + 1, i) for r, (_, i) in enumerate(hs[:8])]
+        places, j = [], 0
+        while len(places) < 8:
+            p = int(hashlib.md5(f"s:{s}:{j}".encode()).hexdigest()[:12], 16) % n
+            places += [p] if p not in places else []
+            j += 1
+        exp += [(s, r + 1, ordered[p]) for r, p in enumerate(places)]
     assert rows == sorted(exp)
 
 

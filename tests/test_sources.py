@@ -62,3 +62,22 @@ def test_headerless_positional_slice(spark, tmp_path):
     _write(tmp_path / "map.csv", "0,3,4\n1,5,6\n")
     df = cs.read_headerless(spark, str(tmp_path / "map.csv"))
     assert [tuple(r) for r in df.collect()] == [(3, 4), (5, 6)]
+
+
+def test_read_all_unites_by_name(spark, tmp_path):
+    from convoscope.sources.csv import read_all
+
+    for name, body in {
+        "a": "trial_id,text,role\n1,hello,describer\n",
+        "b": 'trial_id,role,text\n2,matcher,"x, y"\n',
+        "c": "trial_id,text,role,extra\n3,bye,matcher,more\n",
+        "d": "role,trial_id\ndescriber,4\n",
+    }.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "messages.csv").write_text(body)
+    want = {(1, "hello", "describer", None, "a"), (2, "x, y", "matcher", None, "b"), (3, "bye", "matcher", "more", "c"), (4, None, "describer", None, "d")}
+    for schema in (None, "trial_id int, text string, role string"):
+        df = read_all(spark, str(tmp_path), "messages", schema)
+        assert {(r.trial_id, r.text, r.role, r.extra, r.dataset_id) for r in df.collect()} == want
+    some = read_all(spark, str(tmp_path), "messages", "trial_id int, text string, role string", datasets=["b", "d"])
+    assert {r.dataset_id for r in some.collect()} == {"b", "d"}
