@@ -11,7 +11,8 @@ DuckDB oracle evaluates the same text.  Wider designs use Spark ML's
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -191,43 +192,7 @@ def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     )
 
 
-# --- ML fits (rows-only checks) -----------------------------------------------------
-
-def linear_fit_ml(df: DataFrame, features: Sequence[str], label: str, model: str) -> DataFrame:
-    """Least squares via Spark ML (normal equations from a distributed
-    aggregate of X'X); coefficients with standard errors."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    data = va.transform(df.select(*features, F.col(label).cast("double").alias("label")))
-    lr = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True)
-    m = lr.fit(data)
-    ses = list(m.summary.coefficientStandardErrors)  # features..., intercept last
-    rows = [(model, "intercept", float(m.intercept), float(ses[-1]))]
-    rows += [(model, f, float(c), float(s)) for f, c, s in zip(features, m.coefficients, ses[:-1])]
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "model string, term string, estimate double, std_error double")
-    return out.select("model", "term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
-
-
-def formula_fit(df: DataFrame, formula: str, model: str) -> DataFrame:
-    """R-style formula (``*`` interactions) through RFormula + LinearRegression;
-    one row per coefficient."""
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import LinearRegression
-
-    rf = RFormula(formula=formula, handleInvalid="skip")
-    prepared = rf.fit(df).transform(df)
-    m = LinearRegression(solver="normal", regParam=0.0).fit(prepared.select("features", "label"))
-    names = [a["name"] for a in sorted(
-        prepared.schema["features"].metadata["ml_attr"]["attrs"].get("numeric", [])
-        + prepared.schema["features"].metadata["ml_attr"]["attrs"].get("binary", []),
-        key=lambda a: a["idx"],
-    )]
-    rows = [(model, "intercept", float(m.intercept))] + [(model, n, float(c)) for n, c in zip(names, m.coefficients)]
-    return df.sparkSession.createDataFrame(rows, "model string, term string, estimate double")
-
+# --- logistic fits per group ----------------------------------------------------------
 
 def _irls(pdf: pd.DataFrame) -> pd.DataFrame:
     """Binomial GLM (logit) by iteratively reweighted least squares on a
@@ -283,3 +248,113 @@ def fit_or_load(estimator, data: DataFrame, path: str, model_cls):
         model = estimator.fit(data)
         model.write().overwrite().save(path)
         return model
+
+
+# --- least squares for any number of terms -------------------------------------------
+
+
+@dataclass
+class Ols:
+    terms: list[str]  # intercept first
+    beta: np.ndarray
+    cov: np.ndarray  # of beta
+    sigma2: float
+    n: int
+
+
+def _products(names: Sequence[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(names) for b in names[i:]]
+
+
+def _solve(names: Sequence[str], n: float, means: np.ndarray, cross: np.ndarray) -> Ols:
+    """Coefficients from centred cross-products of terms and response (the last)."""
+    p = len(names)
+    sxx, sxy, syy = cross[:p, :p], cross[:p, p], cross[p, p]
+    scale = np.sqrt(np.diag(sxx))
+    if n <= p + 1 or (scale <= 0).any() or np.linalg.cond(sxx / np.outer(scale, scale)) > 1e12:
+        raise ValueError(f"the terms {list(names)} are not of full rank in {int(n)} rows")
+    slope = np.linalg.solve(sxx, sxy)
+    sigma2 = float((syy - slope @ sxy) / (n - p - 1))
+    inv = np.linalg.inv(sxx)
+    mx = means[:p]
+    cov = np.zeros((p + 1, p + 1))
+    cov[1:, 1:] = inv
+    cov[0, 1:] = cov[1:, 0] = -mx @ inv
+    cov[0, 0] = 1 / n + mx @ inv @ mx
+    beta = np.concatenate([[means[p] - slope @ mx], slope])
+    return Ols(["intercept", *names], beta, sigma2 * cov, sigma2, int(n))
+
+
+def ols(df: DataFrame, terms: Mapping[str, F.Column], y: F.Column) -> Ols:
+    """Least squares of y on the terms.  Means first, then cross-products around
+    them (raw sums of squares cancel on long tables); both aggregates are one row
+    of (terms + 1)**2 / 2 numbers.  Raises if the terms are not of full rank."""
+    names = list(terms)
+    rows = df.select(*[c.cast("double").alias(k) for k, c in terms.items()], y.cast("double").alias("_y")).dropna()
+    cols = [*names, "_y"]
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
+    n, means = first["n"], np.array([first[c] if first[c] is not None else np.nan for c in cols])
+    if not n:
+        raise ValueError("no rows to fit")
+    at = {c: F.col(c) - F.lit(float(m)) for c, m in zip(cols, means, strict=True)}
+    pairs = _products(cols)
+    sums = rows.agg(*[F.sum(at[a] * at[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
+    cross = np.zeros((len(cols), len(cols)))
+    for i, (a, b) in enumerate(pairs):
+        cross[cols.index(a), cols.index(b)] = cross[cols.index(b), cols.index(a)] = sums[f"s{i}"]
+    return _solve(names, n, means, cross)
+
+
+def ols_table(spark, fit: Ols, model: str) -> DataFrame:
+    rows = [
+        (model, t, float(round(b, 6)), float(round(math.sqrt(v), 6)), fit.n)
+        for t, b, v in zip(fit.terms, fit.beta, np.diag(fit.cov), strict=True)
+    ]
+    return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, n long")
+
+
+def quadratic_terms() -> dict[str, F.Column]:
+    rep, trial = F.col("rep_num"), F.col("trial_num")
+    return {"rep_num": rep, "rep_num2": rep * rep, "trial_num": trial, "trial_num2": trial * trial}
+
+
+def ols_predict(fit: Ols, grid: DataFrame, terms: Mapping[str, F.Column], model: str) -> DataFrame:
+    """Fitted mean with a 95% interval on the grid; the fit travels as literals."""
+    x = [F.lit(1.0), *[c.cast("double") for c in terms.values()]]
+    mean = sum((F.lit(float(b)) * c for b, c in zip(fit.beta, x, strict=True)), F.lit(0.0))
+    var = sum((F.lit(float(fit.cov[i, j])) * a * b for i, a in enumerate(x) for j, b in enumerate(x)), F.lit(0.0))
+    half = F.lit(Z95) * F.sqrt(F.greatest(var, F.lit(0.0)))
+    return grid.select(
+        F.lit(model).alias("model"), "rep_num", F.round("trial_num", 6).alias("trial_num"),
+        F.round(mean, 6).alias("estimate"), F.round(mean - half, 6).alias("q2_5"), F.round(mean + half, 6).alias("q97_5"),
+    )
+
+
+def ols_cross_validate(df: DataFrame, terms: Mapping[str, F.Column], y: str, model: str, fold_key: str, k: int = 5) -> DataFrame:
+    """k-fold check of any terms: each fold's rows are predicted by the fit on the others."""
+    d = df.withColumn("fold", fold_of(fold_key, k)).checkpoint()
+    parts = []
+    for fold in range(k):  # k is a parameter; each pass moves one row of sums
+        fit = ols(d.where(F.col("fold") != fold), terms, F.col(y))
+        x = [F.lit(1.0), *[c.cast("double") for c in terms.values()]]
+        r = F.col(y).cast("double") - sum((F.lit(float(b)) * c for b, c in zip(fit.beta, x, strict=True)), F.lit(0.0))
+        logd = -0.5 * F.log(F.lit(2 * math.pi * fit.sigma2)) - r * r / (2 * fit.sigma2)
+        held = d.where(F.col("fold") == fold).agg(
+            F.count(F.lit(1)).alias("n_test"), F.round(F.sqrt(F.avg(r * r)), 6).alias("rmse"), F.round(F.sum(logd), 6).alias("log_density")
+        )
+        parts.append(held.select(F.lit(model).alias("model"), F.lit(fold).alias("fold"), "n_test", "rmse", "log_density"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def interaction_terms(numeric: Mapping[str, F.Column], factors: Mapping[str, tuple[F.Column, Sequence]]) -> dict[str, F.Column]:
+    """Terms of ``a * b * ...``: each factor as contrasts against its first level, and all products."""
+    groups = [{k: c.cast("double")} for k, c in numeric.items()]
+    for name, (col, levels) in factors.items():
+        groups.append({f"{name}={v}": (col == v).cast("double") for v in levels[1:]})
+    out: dict[str, F.Column] = {}
+    for group in groups:
+        out |= {**group, **{f"{a}:{b}": x * y for a, x in out.items() for b, y in group.items()}}
+    return out

@@ -200,3 +200,82 @@ def pc_extremes(scores: DataFrame, k_pc: int, n: int = 10, key: str = "vec_id",
     top = long.withColumn("rank", F.row_number().over(w_top)).where(F.col("rank") <= n).withColumn("end", F.lit("top"))
     bot = long.withColumn("rank", F.row_number().over(w_bot)).where(F.col("rank") <= n).withColumn("end", F.lit("bottom"))
     return top.unionByName(bot)
+
+
+def covariance(emb: DataFrame, vec: str = "embedding") -> np.ndarray:
+    """d x d sample covariance by Spark ML's distributed aggregate (bounded by the dimension)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import PCA
+
+    v = emb.select(array_to_vector(F.col(vec)).alias("features"))
+    d = len(v.first()["features"])
+    model = PCA(k=d, inputCol="features", outputCol="scores").fit(v)
+    share, axes = model.explainedVariance.toArray(), model.pc.toArray()
+    total = total_variance(emb, vec=vec).first()["total_variance"]
+    n = emb.count()
+    return axes @ np.diag(share * total * n / (n - 1)) @ axes.T
+
+
+def residual_maps(plan: AnchorPlan) -> list[np.ndarray]:
+    """For each step, M with residual = x M before that step (kept steps before it deflated)."""
+    d = plan.anchors.shape[1]
+    out = []
+    for s in range(len(plan.steps)):
+        kept = [t for t in range(s) if plan.keep[t]]
+        out.append(np.eye(d) - plan.b[kept].T @ plan.anchors[kept] if kept else np.eye(d))
+    return out
+
+
+def residual_components(emb: DataFrame, plan: AnchorPlan, k: int = 5, vec: str = "embedding"):
+    """The k leading components of each step's residuals: (share of the total variance, axes
+    as rows, axes on the raw vectors as rows).
+
+    The residuals are a linear map of the vectors, so one covariance of the raw
+    vectors gives the components of every step; nothing is deflated in the data."""
+    cov = covariance(emb, vec)
+    total = np.trace(cov)
+    out = []
+    for m in residual_maps(plan):
+        values, axes = np.linalg.eigh(m.T @ cov @ m)
+        top = np.argsort(-values)[:k]
+        pcs = axes[:, top].T
+        pcs *= np.sign(pcs[np.arange(len(top)), np.abs(pcs).argmax(axis=1)])[:, None]
+        out.append((values[top] / total, pcs, pcs @ m.T))
+    return out
+
+
+def residual_extremes(emb: DataFrame, texts: DataFrame, components, steps, n: int = 10, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Per step and component: the n highest and n lowest uncentred scores, with their texts."""
+    cols = [
+        dot_literal(vec, raw[j]).alias(f"s{s}_pc{j + 1}")
+        for s, (_, _, raw) in zip(steps, components, strict=True)
+        for j in range(len(raw))
+    ]
+    names = [f"s{s}_pc{j + 1}" for s, (_, _, raw) in zip(steps, components, strict=True) for j in range(len(raw))]
+    long = emb.select(key, *cols).unpivot([key], names, "name", "score")
+    ends = []
+    for end, order in (("top", F.desc("score")), ("bottom", F.asc("score"))):
+        w = Window.partitionBy("name").orderBy(order, key)
+        ends.append(long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("end", F.lit(end)))
+    best = ends[0].unionByName(ends[1])
+    step = F.regexp_extract("name", r"s(\d+)_pc(\d+)", 1).cast("int")
+    pc = F.regexp_extract("name", r"s(\d+)_pc(\d+)", 2).cast("int")
+    return texts.join(F.broadcast(best), key).select(  # steps x components x 2n rows
+        step.alias("step"), pc.alias("pc"), "end", "rank", key, F.round("score", 6).alias("score"), "text"
+    )
+
+
+def dims_to_vector(df: DataFrame, prefix: str = "dim_", vec: str = "embedding") -> DataFrame:
+    """Wide columns ``dim_0, dim_1, ...`` (any order) as one array column."""
+    dims = sorted((c for c in df.columns if c.startswith(prefix)), key=lambda c: int(c[len(prefix) :]))
+    rest = [c for c in df.columns if c not in dims]
+    return df.select(*rest, F.array(*[F.col(c).cast("double") for c in dims]).alias(vec))
+
+
+def anchor_words(answers: DataFrame, words: str = "words") -> DataFrame:
+    """One row per word of a comma-separated answer, trimmed, with its position from 1; the
+    first names the dimension."""
+    parts = F.transform(F.split(words, ","), lambda w: F.trim(w))
+    rest = [c for c in answers.columns if c != words]
+    rows = answers.select(*rest, parts.alias("_w"), F.posexplode(parts).alias("_at", "word"))
+    return rows.select(*rest, (F.col("_at") + 1).alias("position"), "word", F.element_at("_w", 1).alias("name"))

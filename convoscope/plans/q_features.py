@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from convoscope.functions import lexicon as lx
 from convoscope.operators import features as ft
+from convoscope.operators.numbering import numbered
 from convoscope.plans import fixtures as fx
 from convoscope.plans.registry import register
 from convoscope.plans.sqlparts import first_token_sql, hedge_sql, in_list, sentences_sql, tokens_sql
@@ -296,3 +297,18 @@ def q_gender_by_target(spark, sf_dir):
 )
 def q_describer_messages(spark, sf_dir):
     return ft.describer_messages(fx.messages_f(spark, sf_dir), fx.trials_f(spark, sf_dir))
+
+
+@register(
+    "message_ids",
+    fx.with_views(
+        """SELECT * EXCLUDE (role) FROM (SELECT dataset_id, trial_id, message_number, role, text,
+  row_number() OVER (ORDER BY dataset_id, trial_id, message_number) AS doc_id FROM messages_f) WHERE role = 'describer'""",
+        "messages_f",
+    ),
+)
+def q_message_ids(spark, sf_dir):
+    """All messages numbered in order from 1, then the describers' kept (ids show the gaps)."""
+    m = fx.messages_f(spark, sf_dir).select("dataset_id", "trial_id", "message_number", "role", "text")
+    n = numbered(m, "dataset_id", "trial_id", "message_number", name="doc_id")
+    return n.withColumn("doc_id", F.col("doc_id") + 1).where(F.col("role") == "describer").drop("role")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from convoscope.operators import chat
 from convoscope.operators import models as md
-from convoscope.operators.joins import attach_row
 from convoscope.plans import fixtures as fx
 from convoscope.plans.q_conventions import occ_turn
 from convoscope.plans.q_star import _STAR_SQL
 from convoscope.plans.q_text import _MERGED_SQL, merged_stage_one
 from convoscope.plans.registry import register
+from convoscope.sources.tables import table
 
 K_FOLDS = 5
 GRID_N = 6
@@ -151,30 +151,33 @@ def q_group_shrinkage(spark, sf_dir):
 
 @register("form_quad_fit")
 def q_form_quad_fit(spark, sf_dir):
-    d = rep_df(spark, sf_dir)
-    # centre before squaring for conditioning (same fitted values as raw powers)
-    mu = d.agg(F.avg("rep_num").alias("mr"), F.avg("trial_num").alias("mt"))
-    d = attach_row(d, mu)
-    d = d.select(
-        (F.col("rep_num") - F.col("mr")).alias("rep_c"),
-        ((F.col("rep_num") - F.col("mr")) ** 2).alias("rep_c2"),
-        (F.col("trial_num") - F.col("mt")).alias("trial_c"),
-        ((F.col("trial_num") - F.col("mt")) ** 2).alias("trial_c2"),
-        "total_num_words",
-    )
-    return md.linear_fit_ml(d, ["rep_c", "rep_c2", "trial_c", "trial_c2"], "total_num_words", "quadratic")
+    fit = md.ols(rep_df(spark, sf_dir), md.quadratic_terms(), F.col("total_num_words"))
+    return md.ols_table(spark, fit, "quadratic")
+
+
+@register("form_quad_pred_grid")
+def q_form_quad_pred_grid(spark, sf_dir):
+    fit = md.ols(rep_df(spark, sf_dir), md.quadratic_terms(), F.col("total_num_words"))
+    return md.ols_predict(fit, md.pred_grid(spark, GRID_N), md.quadratic_terms(), "quadratic")
+
+
+@register("form_quad_compare")
+def q_form_quad_compare(spark, sf_dir):
+    trial = F.concat_ws("/", "dataset_id", "game_id", F.col("trial_num").cast("string"), F.col("rep_num").cast("string"))
+    d = rep_df(spark, sf_dir).withColumn("trial_key", trial)
+    return md.ols_cross_validate(d, md.quadratic_terms(), "total_num_words", "quadratic", "trial_key", K_FOLDS)
 
 
 @register("form_interactions")
 def q_form_interactions(spark, sf_dir):
-    d = rep_df(spark, sf_dir).where(F.col("structure").isNotNull() & (F.col("total_num_words") > 0))
-    d = d.withColumn("log_words", F.ln(F.col("total_num_words").cast("double"))).withColumn(
-        "group_size", F.col("group_size").cast("double")
-    ).withColumn("rep_num", F.col("rep_num").cast("double"))
-    # a factor with a single level has no contrast: it leaves the formula
-    levels = d.agg(*[F.countDistinct(c).alias(c) for c in ("target", "structure", "group_size")]).collect()[0]
-    terms = ["rep_num"] + [c for c in ("target", "group_size", "structure") if levels[c] >= 2]
-    return md.formula_fit(d, "log_words ~ " + " * ".join(terms), "interactions")
+    """log(response) ~ round * size * structure over ``lineitem``, which has rows in every cell:
+    price for words, line number for round, quantity for size, return flag for structure."""
+    d = table(spark, sf_dir, "lineitem")
+    flags = [r[0] for r in d.select("l_returnflag").distinct().orderBy("l_returnflag").limit(50).collect()]
+    terms = md.interaction_terms(
+        {"round": F.col("l_linenumber"), "size": F.col("l_quantity")}, {"structure": (F.col("l_returnflag"), flags)}
+    )
+    return md.ols_table(spark, md.ols(d, terms, F.ln("l_extendedprice")), "interactions")
 
 
 @register("occurrence_logit")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from convoscope.functions.vectors import normalize
 from convoscope.operators import vectors as vx
 from convoscope.plans import fixtures as fx
-from convoscope.plans.q_features import describers_from_docs
+from convoscope.plans.q_features import describers_from_docs, messages_of_docs
 from convoscope.plans.registry import register
+from convoscope.session import shared_path
+from convoscope.sources.csv import read_csv_dir, write_csv
 from convoscope.sources.tables import table
 
 PCA_K = 5
@@ -168,3 +172,42 @@ def q_pc_extremes(spark, sf_dir):
     texts = describers_from_docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
     scores = vx.pca_scores(emb, fixed).join(texts, "vec_id", "inner")
     return vx.pc_extremes(scores, PCA_K).select("pc", "end", "rank", "vec_id", "score", "text")
+
+
+@register("residual_components")
+def q_residual_components(spark, sf_dir):
+    """Leading components of the residuals before each step."""
+    emb, plan = _plan(spark, sf_dir)
+    rows = [
+        (s, j + 1, i, float(round(pcs[j, i], 6)), float(round(share[j], 6)))
+        for s, (share, pcs, _) in zip(plan.steps, vx.residual_components(emb, plan, PCA_K), strict=True)
+        for j in range(len(pcs))
+        for i in range(pcs.shape[1])
+    ]
+    return spark.createDataFrame(rows, "step int, pc int, dim int, loading double, variance_share double")
+
+
+@register("residual_extremes")
+def q_residual_extremes(spark, sf_dir):
+    emb, plan = _plan(spark, sf_dir)
+    texts = messages_of_docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
+    return vx.residual_extremes(emb, texts, vx.residual_components(emb, plan, PCA_K), plan.steps)
+
+
+def _dimension_text_sql() -> str:
+    cols = ", ".join(f"round(p_{s}, 6) AS {n}" for s, n, k in _steps() if k)
+    return f"SELECT fin.vec_id, {cols}, d.text FROM fin JOIN docs_f d ON d.doc_id = fin.vec_id WHERE d.role = 'describer'"
+
+
+@register(
+    "dimension_table",
+    fx.with_views("", "anchors_f", "docs_f").rstrip() + ",\n" + _LONG + "," + _chain_sql() + _dimension_text_sql(),
+)
+def q_dimension_table(spark, sf_dir):
+    """Accepted dimensions joined to the texts, written as CSV and read back."""
+    emb, plan = _plan(spark, sf_dir)
+    texts = messages_of_docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
+    out = vx.anchor_project(emb, plan).join(texts, "vec_id")
+    root = shared_path(spark, "dimensions", uuid.uuid4().hex)
+    write_csv(out, root)
+    return read_csv_dir(spark, root, out.schema)

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from convoscope.operators import models as md
 
@@ -59,3 +61,56 @@ def test_logit_reports_convergence(spark):
     rows = [("ok", x / 10, int(x * 7 % 10 < x)) for x in range(10) for _ in range(3)] + [("ok", 0.9, 0), ("ok", 0.1, 1)] + [("sep", x / 10, int(x > 4)) for x in range(10)]
     got = {r["grp"]: r["converged"] for r in md.logit_by_group(spark.createDataFrame(rows, "grp string, x double, hit int"), "grp", "x", "hit").collect()}
     assert got == {"ok": True, "sep": False}
+
+
+def _frame(spark, n=500, seed=6):
+    rng = np.random.default_rng(seed)
+    rep, trial = rng.integers(1, 7, n), rng.integers(1, 73, n)
+    y = 30 - 2.5 * rep + 0.2 * rep**2 + 0.1 * trial - 0.001 * trial**2 + rng.normal(0, 2, n)
+    rows = [(f"k{i}", int(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(rep, trial, y))]
+    return spark.createDataFrame(rows, "key string, rep_num int, trial_num int, y double"), np.column_stack([np.ones(n), rep, rep**2, trial, trial**2]), y
+
+
+def test_ols_of_any_terms_matches_lstsq(spark):
+    df, X, y = _frame(spark)
+    fit = md.ols(df, md.quadratic_terms(), F.col("y"))
+    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
+    s2 = ((y - X @ beta) ** 2).sum() / (len(y) - 5)
+    assert np.allclose(fit.beta, beta, rtol=1e-6) and np.isclose(fit.sigma2, s2)
+    assert np.allclose(np.diag(fit.cov), s2 * np.diag(np.linalg.inv(X.T @ X)), rtol=1e-5)
+    grid = spark.createDataFrame([(2, 10.0)], "rep_num int, trial_num double")
+    row = md.ols_predict(fit, grid, md.quadratic_terms(), "q").first()
+    x = np.array([1, 2, 4, 10, 100.0])
+    half = md.Z95 * np.sqrt(x @ (s2 * np.linalg.inv(X.T @ X)) @ x)
+    assert np.allclose([row.estimate, row.q2_5, row.q97_5], [x @ beta, x @ beta - half, x @ beta + half], atol=1e-5)
+
+
+def test_quadratic_folds_match_numpy(spark):
+    import hashlib
+
+    df, X, y = _frame(spark)
+    fold = np.array([int(hashlib.md5(f"k{i}".encode()).hexdigest()[:8], 16) % 5 for i in range(len(y))])
+    got = {r.fold: r for r in md.ols_cross_validate(df, md.quadratic_terms(), "y", "q", "key").collect()}
+    for k in range(5):
+        beta, *_ = np.linalg.lstsq(X[fold != k], y[fold != k], rcond=None)
+        r = y[fold == k] - X[fold == k] @ beta
+        assert got[k].n_test == len(r) and np.isclose(got[k].rmse, np.sqrt((r**2).mean()), atol=1e-5)
+
+
+def test_rank_deficient_terms_raise(spark):
+    df, _, _ = _frame(spark)
+    with pytest.raises(ValueError, match="full rank"):
+        md.ols(df, {"a": F.col("rep_num"), "b": F.col("rep_num") * 2}, F.col("y"))
+
+
+def test_interactions_match_lstsq(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    a, f = rng.integers(1, 7, n), rng.choice(["x", "y", "z"], n)
+    y = 1 + a * (0.5 + (f == "y")) + 2 * (f == "z") + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([(int(p), str(q), float(r)) for p, q, r in zip(a, f, y)], "a int, f string, y double")
+    terms = md.interaction_terms({"a": F.col("a")}, {"f": (F.col("f"), ["x", "y", "z"])})
+    assert list(terms) == ["a", "f=y", "f=z", "a:f=y", "a:f=z"]
+    X = np.column_stack([np.ones(n), a, f == "y", f == "z", a * (f == "y"), a * (f == "z")]).astype(float)
+    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
+    assert np.allclose(md.ols(df, terms, F.col("y")).beta, beta, atol=1e-8)

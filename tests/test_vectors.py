@@ -43,3 +43,54 @@ def test_pca_sign_is_canonical(spark):
     idx = np.abs(fixed).argmax(axis=0)
     assert (fixed[idx, range(3)] > 0).all()
     assert (np.diff(explained) <= 1e-12).all()
+
+
+def _matrix(spark):
+    emb = table(spark, SF_SMALL, "embeddings")
+    pdf = emb.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    return emb, np.stack(pdf.embedding.map(lambda v: np.asarray(v, dtype=float))), pdf.vec_id.to_numpy()
+
+
+def _components(x, k):
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    top = np.argsort(-values)[:k]
+    pcs = axes[:, top].T
+    return values[top] / values.sum(), pcs * np.sign(pcs[np.arange(k), np.abs(pcs).argmax(axis=1)])[:, None]
+
+
+def test_components_scores_and_extremes_match_numpy(spark):
+    from __spark_entry__ import queries
+
+    emb, x, ids = _matrix(spark)
+    share, pcs = _components(x, 5)
+    fit = queries()["pca_fit"](spark, SF_SMALL).toPandas().pivot(index="pc", columns="dim", values="loading").to_numpy()
+    assert np.allclose(fit, pcs, atol=1e-4)
+    got = queries()["pca_scores"](spark, SF_SMALL).toPandas().sort_values("vec_id").iloc[:, 1:].to_numpy()
+    assert np.allclose(got, x @ pcs.T, atol=1e-4)
+    ext = queries()["pc_extremes"](spark, SF_SMALL).toPandas()
+    assert set(ext.groupby(["pc", "end"]).size()) == {10}
+    for (_, end), part in ext.sort_values("rank").groupby(["pc", "end"]):
+        s = part.score.to_numpy()
+        assert (np.diff(s) <= 0).all() if end == "top" else (np.diff(s) >= 0).all()
+
+
+def test_residual_components_match_deflated_data(spark):
+    emb, x, _ = _matrix(spark)
+    anchors = fx.anchors_f(spark)
+    plan = vx.plan_anchors(vx.anchor_vectors(emb, anchors), anchors)
+    r, total = x.copy(), np.trace(np.cov(x.T))
+    for (share, pcs, raw), a, keep in zip(vx.residual_components(emb, plan, 3), plan.anchors, plan.keep, strict=True):
+        values, axes = np.linalg.eigh(np.cov(r.T))
+        top = np.argsort(-values)[:3]
+        assert np.allclose(share, values[top] / total, atol=1e-6)
+        assert np.allclose(np.abs((pcs * axes[:, top].T).sum(axis=1)), 1, atol=1e-4)
+        assert np.allclose(x @ raw.T, r @ pcs.T, atol=1e-6)
+        if keep:
+            r = r - np.outer(r @ a, a)
+
+
+def test_wide_dims_and_anchor_words(spark):
+    df = spark.createDataFrame([(1, 0.5, 2.0, 3.0)], "id int, dim_10 double, dim_2 double, dim_0 double")
+    assert vx.dims_to_vector(df).first().embedding == [3.0, 2.0, 0.5]
+    rows = vx.anchor_words(spark.createDataFrame([(1, " big , small,tiny ")], "step int, words string")).collect()
+    assert [(r.step, r.position, r.word, r.name) for r in rows] == [(1, 1, "big", "big"), (1, 2, "small", "big"), (1, 3, "tiny", "big")]
