@@ -14,7 +14,7 @@ blocks, never one task's list.
 
 Defined results: a null text has size 0; a source of size 0 has target 0 and
 nothing taken; a null doc_id is drawn like any other; rows that repeat are
-drawn each; no rows give no rows; other columns pass through.
+drawn each; no rows give no rows; other columns pass through (mix: but for those named like a result).
 """
 
 from __future__ import annotations
@@ -65,10 +65,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     return table.withColumn("target", target)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """docs(doc_id, text, source, ...) -> its rows with size, source_size, target, copies."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    slim = stored(sized.select("doc_id", "source", "size"), "sizes")
+def _drawn(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> row (its columns), size, source_size, target, copies."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    slim = stored(sized.drop("row"), "sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     sources = source_targets(sources, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -116,10 +116,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s_source")) & (F.col("_block") == F.col("_s_block")))
     end = F.col("_start") + F.col("_offset") + F.col("_end")
     copies = F.shiftright(end, UNIT_BITS) - F.shiftright(end - F.col("_each"), UNIT_BITS)
-    return rows.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def _own(docs: DataFrame, *added: str) -> list[Column]:
+    """docs' columns out of ``row``, but for those that give way to a result of the same name."""
+    return [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """docs(doc_id, text, source, ...) -> its rows with size, source_size, target, copies."""
+    added = ("size", "source_size", "target", "copies")
+    return _drawn(docs, weights, cap, seed).select(*_own(docs, *added), *added)
 
 
-def emitted(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+def emitted(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: docs' rows once per copy, with ``copy`` (from 1)."""
-    mixed = mix(docs, weights, cap).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    rows = _drawn(docs, weights, cap, seed).where("copies > 0")
+    return rows.select(*_own(docs, "copy"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))

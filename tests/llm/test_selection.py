@@ -80,10 +80,11 @@ def test_mix_meets_targets(spark, monkeypatch):
 
 
 def test_mix_of_odd_rows(spark):
-    out = mixing.emitted(odd_docs(spark).drop("size", "copies"))
-    assert out.columns == [c for c in odd_docs(spark).columns if c not in ("size", "copies")] + ["copy"]
-    assert out.count() > 0
-    assert mixing.mix(spark.createDataFrame([], SCHEMA).drop("size", "copies")).collect() == []
+    out = mixing.emitted(odd_docs(spark))
+    assert out.columns == [*odd_docs(spark).columns, "copy"] and {r["size"] for r in out.collect()} == {"s"}
+    mixed = mixing.mix(odd_docs(spark))
+    assert mixed.count() == len(odd_rows()) and mixed.where("copies < 0 OR copies > 3").count() == 0
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
 def split_url(url):
