@@ -19,6 +19,8 @@ MARKUP_REPLACEMENTS = [
     ('fill="lightgray"', 'fill="black"'),
     ('stroke="white" strokewidth="1"', 'stroke="black" strokewidth="2"'),
 ]
+# what the test pages hold: every page has this style
+PAGE_REPLACEMENTS = [("<style>p{margin:0}</style>", "<style>p{margin:1em}</style>")]
 MARKUP_PREFIX = "https://"
 
 _OPT = "CASE WHEN option_set IS NOT NULL THEN CAST(len(string_split(option_set, ';')) AS INTEGER) END"
@@ -100,12 +102,12 @@ def q_chat_prompts(spark, sf_dir):
 
 def _markup_sql():
     h = "replace(html, chr(10), ' ')"
-    for old, new in MARKUP_REPLACEMENTS:
+    for old, new in MARKUP_REPLACEMENTS + PAGE_REPLACEMENTS:
         h = f"replace({h}, '{old}', '{new}')"
     return f"""SELECT page_id, url, length(h) AS n_chars, md5(h) AS digest FROM (SELECT page_id, url, {h} AS h FROM pages WHERE starts_with(url, '{MARKUP_PREFIX}'))"""
 
 
 @register("markup_rewrite", _markup_sql())
 def q_markup_rewrite(spark, sf_dir):
-    p = chat.markup_rewrite(table(spark, sf_dir, "pages"), MARKUP_REPLACEMENTS, prefix=MARKUP_PREFIX)
+    p = chat.markup_rewrite(table(spark, sf_dir, "pages"), MARKUP_REPLACEMENTS + PAGE_REPLACEMENTS, prefix=MARKUP_PREFIX)
     return p.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("digest"))

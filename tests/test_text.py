@@ -70,3 +70,18 @@ def test_first_token_equals_first_sentence_token(spark, text):
 def test_tokens_lower_alpha(spark):
     df = spark.createDataFrame([("He's 2 Big-dogs!",)], "t string")
     assert df.select(tokens("t")).collect()[0][0] == ["he", "s", "big", "dogs"]
+
+
+def test_markup_rewrite_changes_the_pages(spark):
+    from convoscope.operators import chat
+    from convoscope.plans.q_text import MARKUP_PREFIX, MARKUP_REPLACEMENTS, PAGE_REPLACEMENTS
+    from convoscope.sources.tables import table
+    from tests.conftest import SF_SMALL
+
+    pages = table(spark, SF_SMALL, "pages")
+    out = chat.markup_rewrite(pages, MARKUP_REPLACEMENTS + PAGE_REPLACEMENTS, prefix=MARKUP_PREFIX)
+    before = {r.page_id: r.html for r in pages.collect()}
+    changed = [r.html != before[r.page_id].replace("\n", " ") for r in out.collect()]
+    assert changed and all(changed)
+    svg = spark.createDataFrame([(1, "https://x", '<path fill="lightgray" stroke="white" strokewidth="1"/>\n')], "page_id int, url string, html string")
+    assert chat.markup_rewrite(svg, MARKUP_REPLACEMENTS, prefix=MARKUP_PREFIX).first().html == '<path fill="black" stroke="black" strokewidth="2"/> '
