@@ -66,10 +66,9 @@ class AnchorPlan:
 def plan_anchors(anchor_long: DataFrame, anchors: DataFrame) -> AnchorPlan:
     """Collect the (bounded) anchor matrix and derive the projection vectors."""
     meta = anchors.select("step", "name", "keep").distinct().orderBy("step").collect()
-    n = anchor_long.count()
-    if n > MAX_ANCHOR_ROWS:
-        raise ValueError(f"anchor matrix too large to plan on the driver: {n} values")
-    rows = anchor_long.select("step", "dim", "value").collect()
+    rows = anchor_long.select("step", "dim", "value").limit(MAX_ANCHOR_ROWS + 1).collect()
+    if len(rows) > MAX_ANCHOR_ROWS:
+        raise ValueError(f"anchor matrix too large to plan on the driver: over {MAX_ANCHOR_ROWS} values")
     steps = [r["step"] for r in meta]
     d = 1 + max(r["dim"] for r in rows)
     idx = {s: i for i, s in enumerate(steps)}

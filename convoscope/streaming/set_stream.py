@@ -11,8 +11,9 @@ a lost executor) resumes exactly where it stopped and rewrites at most the
 interrupted batch -- the same guarantee as the pickled checkpoints, without a
 driver-side loop over sets.
 
-Each file must hold whole sets (all members of a set in one file); a set split
-across micro-batches would be summarised in parts.
+Each file must hold whole sets (all members of a set in one file).  With
+``set_size`` a micro-batch that holds part of a set fails instead of summarising
+the part.
 """
 
 from __future__ import annotations
@@ -36,10 +37,15 @@ def start_set_summaries(
     files_per_batch: int = 1,
     available_now: bool = True,
     schema: str = MEMBER_SCHEMA,
+    set_size: int | None = None,
 ) -> StreamingQuery:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(members_dir)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
+        if set_size is not None:
+            part = batch.groupBy("set_id").count().where(F.col("count") != set_size).first()
+            if part is not None:
+                raise ValueError(f"set {part['set_id']} has {part['count']} of {set_size} members in this micro-batch")
         pairs = so.set_pairs(batch, max_size=max_set_size)
         summary = so.set_summary(pairs).withColumn("batch_id", F.lit(int(epoch_id)))
         write_batches(summary, out_dir)

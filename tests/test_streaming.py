@@ -1,3 +1,5 @@
+import pytest
+
 from convoscope.operators import sets as so
 from convoscope.plans import fixtures as fx
 from convoscope.streaming.set_stream import run_to_completion, stage_members, start_set_summaries
@@ -23,3 +25,12 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     got = spark.read.parquet(f"{root}/out")
     exp = so.set_summary(so.set_pairs(members))
     assert _rows(got) == _rows(exp)
+
+
+def test_a_set_in_parts_is_refused(spark, tmp_path):
+    members = fx.sets_f(spark, SF_SMALL).where("set_id = 3")
+    for k, half in enumerate(("idx < 8", "idx >= 8")):
+        members.where(half).write.parquet(f"{tmp_path}/m/chunk={k}")
+    q = start_set_summaries(spark, f"{tmp_path}/m", f"{tmp_path}/out", f"{tmp_path}/ck", set_size=16)
+    with pytest.raises(Exception, match="of 16 members"):
+        run_to_completion(q)
