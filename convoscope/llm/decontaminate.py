@@ -41,51 +41,62 @@ def hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, codes: str) -> DataFrame:
-    """df with ``place`` (from 0) and ``seed``, one row per position and mask that fits there."""
+def seeds(df: DataFrame, codes: str, *keep: str) -> DataFrame:
+    """``keep``, ``place`` (from 0) and ``seed``: one row per position and mask that fits there.
+
+    Only what is kept travels with the positions, never the text's array."""
     c = F.col(codes)
     shifted = [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
-    at = df.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("place", "near"))
+    at = df.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("place", "near"))
     picked = []
     for k, mask in enumerate(MASKS):
         cols = [F.col(f"near.w{j}") for j, bit in enumerate(mask) if bit == "1"]
         # a mask that runs past the end of the text has a null word there
         picked.append(F.when(cols[-1].isNotNull(), F.xxhash64(F.lit(k), *cols)))
-    return at.select(*df.columns, "place", F.explode(F.array(*picked)).alias("seed")).where("seed IS NOT NULL")
+    return at.select(*keep, "place", F.explode(F.array(*picked)).alias("seed")).where("seed IS NOT NULL")
+
+
+def _equal(part: Column, first: Column) -> Column:
+    """Words of an item's window that equal the words of ``codes`` beside it, which begin at ``first``."""
+    begin = F.greatest(first, F.lit(0))
+    beside = F.slice("codes", begin + 1, F.greatest(F.size(part) - (begin - first), F.lit(0)))
+    against = F.slice(part, begin - first + 1, F.size(part))
+    return F.aggregate(F.arrays_zip(beside.alias("a"), against.alias("b")), F.lit(0), lambda n, x: n + F.when(x.a == x.b, 1).otherwise(0))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) x benchmark(item_id, text) -> doc_id, item_id, matched, compared, hits:
     the best window's equal words and size, and the number of seed hits that confirmed."""
-    items = benchmark.select("item_id", hashes(F.col("text").cast("string")).alias("item"))
-    items = stored(items.where(F.size("item") >= 4), "items")
-    found = seeds(items, "item").select(
-        "seed",
-        "item_id",
-        F.col("place").alias("item_place"),
-        # the window lies around the seed and inside the item
-        F.greatest(F.lit(0), F.least(F.col("place") - 3, F.size("item") - window)).alias("low"),
-        "item",
-    )
-    found = found.withColumn("part", F.slice("item", F.col("low") + 1, window)).drop("item")
-    # the least number of equal words; windows of a few words allow no difference
+    items = benchmark.select("item_id", hashes(F.col("text").cast("string")).alias("item")).where(F.size("item") >= 4)
+    # each seed of an item lies in a window inside the item
+    low = F.greatest(F.lit(0), F.least(F.col("place") - 3, F.size("item") - window))
+    found = seeds(items, "item", "item_id", "item").withColumn("low", low).withColumn("part", F.slice("item", low + 1, window))
+    found = stored(found.withColumn("win", F.xxhash64("item_id", "low", "part")).drop("item"), "seeds")
     size = F.size("part")
-    found = found.withColumn("needed", F.greatest(F.ceil(size * percent / 100), F.least(size, F.lit(7))).cast("int"))
-    found = stored(found, "seeds")
-    if found.count() <= BROADCAST_SEEDS:
-        found = F.broadcast(found)
-    texts = docs.select("doc_id", hashes(F.col("text").cast("string")).alias("codes"))
-    hits = seeds(texts, "codes").join(found, "seed")
-    first = F.col("place") - F.col("item_place") + F.col("low")
-    begin = F.greatest(first, F.lit(0))
-    beside = F.slice("codes", begin + 1, F.greatest(F.size("part") - (begin - first), F.lit(0)))
-    against = F.slice("part", begin - first + 1, F.size("part"))
-    equal = F.aggregate(F.arrays_zip(beside.alias("a"), against.alias("b")), F.lit(0), lambda n, x: n + F.when(x.a == x.b, 1).otherwise(0))
-    hits = hits.select("doc_id", "item_id", "needed", F.size("part").alias("compared"), equal.alias("matched"))
-    return (
-        hits.where("matched >= needed")
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.count("*").alias("hits"))
+    # the least number of equal words; windows of a few words allow no difference
+    needed = F.greatest(F.ceil(size * percent / 100), F.least(size, F.lit(7))).cast("int")
+    windows = stored(found.select("win", "item_id", "part", needed.alias("needed")).dropDuplicates(["win"]), "windows")
+    looked_up = found.select("seed", "win", (F.col("place") - F.col("low")).alias("inset"))
+    if looked_up.count() <= BROADCAST_SEEDS:
+        looked_up, windows = F.broadcast(looked_up), F.broadcast(windows)
+
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row"))
+    hits = seeds(rows.select("row", hashes(F.col("text")).alias("codes")), "codes", "row").join(looked_up, "seed")
+    # where the window begins in the document
+    hits = hits.select("row", "win", (F.col("place") - F.col("inset")).alias("first"), "place", "seed")
+    hits = hits.groupBy("row", "win", "first").agg(F.count_distinct("place", "seed").alias("hits")).join(windows, "win")
+    # as many as a document has words at most
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("win", "item_id", "first", "hits", "part", "needed")).alias("found"))
+    beside = rows.join(stored(hits, "hits").hint("merge"), "row").select("row", "doc_id", hashes(F.col("text")).alias("codes"), "found")
+    judged = F.transform(
+        "found",
+        lambda h: F.struct(h.win, h.item_id, h["first"], h.hits, h.needed, F.size(h.part).alias("compared"), _equal(h.part, h["first"]).alias("matched")),
+    )
+    judged = beside.select("row", "doc_id", F.filter(judged, lambda h: h.matched >= h.needed).alias("h"))
+    each = judged.where(F.size("h") > 0).select("row", "doc_id", F.inline("h")).dropDuplicates(["row", "win", "first"])
+    return each.groupBy("doc_id", "item_id").agg(
+        F.max("matched").alias("matched"), F.max("compared").alias("compared"), F.sum("hits").alias("hits")
     )
 
 
