@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 4_096
 QUERY_ROWS = 4_096
-PAGE, FANOUT = 32, 8
+PAGE, FANOUT = 512, 8
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -112,7 +112,11 @@ def search(tree: MTree, vectors: np.ndarray, ids: np.ndarray, lift: float, query
         rows = tree.rows[page]
         if len(held) == k:
             rows = rows[best_score(np.abs(gap - tree.reach[page])) >= held[0][0]]
-        for score, i in zip((vectors[rows] @ query).tolist(), ids[rows].tolist(), strict=True):
+        scores, found = vectors[rows] @ query, ids[rows]
+        if len(scores) > k + 1:  # no more than k of a page can enter, and the query's own row
+            best = np.lexsort((found, -scores))[: k + 1]
+            scores, found = scores[best], found[best]
+        for score, i in zip(scores.tolist(), found.tolist(), strict=True):
             entry = (int(score), -i)
             if i != own and (len(held) < k or entry > held[0]):
                 heapq.heappushpop(held, entry) if len(held) == k else heapq.heappush(held, entry)

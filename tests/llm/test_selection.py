@@ -21,7 +21,7 @@ def top_k(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block,chunk", [(2048, 4096), (40, 3)])
+@pytest.mark.parametrize("block,chunk", [(4096, 4096), (40, 3)])
 def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(mtree, "BLOCK_ROWS", block)
     monkeypatch.setattr(mtree, "QUERY_ROWS", chunk)
@@ -218,3 +218,21 @@ def test_odd_rows_pass_the_ledger(spark, tmp_path):
     path = shared_path(spark, "llm", f"odd-{hashlib.md5(str(tmp_path).encode()).hexdigest()}")
     assert secret_ledger.scan(odd_docs(spark), path).count() == len(odd_rows())
     assert secret_ledger.redacted(odd_docs(spark), path).columns == odd_docs(spark).columns
+
+
+@pytest.mark.parametrize("page,fanout", [(4, 2), (16, 8), (512, 8)])
+def test_tree_search_equals_brute_force(monkeypatch, page, fanout):
+    import numpy as np
+
+    monkeypatch.setattr(mtree, "PAGE", page)
+    monkeypatch.setattr(mtree, "FANOUT", fanout)
+    rng = np.random.default_rng(page)
+    rows = np.vstack([rng.integers(-50, 50, (300, 5)), np.repeat(rng.integers(-50, 50, (3, 5)), 60, axis=0)]).astype(float)
+    norms = (rows**2).sum(axis=1)
+    tree = mtree.MTree(np.hstack([rows, np.sqrt(norms.max() - norms)[:, None]]))
+    ids = rng.permutation(len(rows))
+    assert sorted(np.concatenate(tree.rows).tolist()) == list(range(len(rows)))
+    for q in [*rows[:20], *rng.integers(-50, 50, (20, 5)).astype(float)]:
+        own = int(ids[3])
+        want = sorted((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != own)[:10]
+        assert sorted((-s, i) for s, i in mtree.search(tree, rows, ids, norms.max(), q, own, 10)) == want
