@@ -113,12 +113,14 @@ def search(tree: MTree, vectors: np.ndarray, ids: np.ndarray, lift: float, query
         if len(held) == k:
             rows = rows[best_score(np.abs(gap - tree.reach[page])) >= held[0][0]]
         scores, found = vectors[rows] @ query, ids[rows]
-        if len(scores) > k + 1:  # no more than k of a page can enter, and the query's own row
-            best = np.lexsort((found, -scores))[: k + 1]
+        others = found != own
+        scores, found = scores[others], found[others]
+        if len(scores) > k:  # no more of a page can enter
+            best = np.lexsort((found, -scores))[:k]
             scores, found = scores[best], found[best]
         for score, i in zip(scores.tolist(), found.tolist(), strict=True):
             entry = (int(score), -i)
-            if i != own and (len(held) < k or entry > held[0]):
+            if len(held) < k or entry > held[0]:
                 heapq.heappushpop(held, entry) if len(held) == k else heapq.heappush(held, entry)
     return [(s, -i) for s, i in held]
 
