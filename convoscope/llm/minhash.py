@@ -212,13 +212,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
         links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = stored(components(links, "centre", "node"), "labels")
-        labelled = members.join(labels, "node", "left").join(centres, "key")
-        mixed = labelled.groupBy("key").agg(
-            F.min(F.coalesce("component", "node")).alias("least"),
-            F.max(F.coalesce("component", "node")).alias("most"),
-            F.max(F.when(F.col("rank") < F.col("centre"), F.col("rank"))).alias("centre"),
-        )
-        centres = mixed.where("least < most AND centre IS NOT NULL").select("key", "centre")
+        # buckets of several components with the centre they had; the table is written, so that its join with
+        # the members can be split on a hot bucket, and what remains is written before its partial maxima
+        labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        mixed = stored(mixed.where("least < most").join(centres, "key").select("key", "centre"), "mixed")
+        remaining = stored(members.join(mixed, "key").where("rank < centre").select("key", "rank"), "remaining")
+        centres = remaining.groupBy("key").agg(F.max("rank").alias("centre"))
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     else:
