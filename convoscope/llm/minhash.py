@@ -12,11 +12,17 @@
    with each other).  Pairs per round are bounded by members, never squared.
 4. Pairs are confirmed on full shingle sets by exact counts.
 5. While a bucket still holds documents of different components, the next
-   centre gets its star; rounds go on until one finds no new link.
-6. Components come from the confirmed links.
-
-With 24 bands of 5 bins a pair at similarity 0.85 shares no band with
-probability (1 - 0.85**5)**24, about 1e-6.
+   centre gets its star; these rounds go on while they find links.
+6. The members of buckets that then still hold different components and untried
+   centres are compared among each other without further rounds: every pair at the
+   wanted similarity shares one of the rarest shingles of each (prefix filter), so
+   only pairs of different components that do, and whose sizes and places in the
+   order of rarity allow the similarity, are confirmed.  No link is lost here.
+7. Components come from the confirmed links.
+
+The number of bands of 5 bins follows from the wanted similarity: a pair at it
+shares no band with probability (1 - s**5)**bands, at most 1e-6 (24 bands at 0.85,
+35 at 0.80).
 
 Defined results: a null or blank text has no shingles, n_shingles 0, and is its
 own component; a text shorter than the shingle is one shingle; a null doc_id
@@ -27,6 +33,7 @@ other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +48,10 @@ from convoscope.llm.tables import row_key, stored
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
+#: A pair at the wanted similarity shares no band with this probability at most.
+LOSS = 1e-6
+#: Counters that the rarity of shingles is read from (their number doesn't decide what is found).
+CELLS = 1 << 20
 PIECE = 2 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -70,26 +81,32 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return keys[fresh], np.concatenate([[0], np.cumsum(fresh)])[first]
 
 
-def _probe(attempt: int, bins: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The least number of bands that keeps to LOSS."""
+    same = min(max(percent, 1), 100) / 100
+    return 1 if same == 1 else math.ceil(math.log(LOSS) / math.log1p(-(same**ROWS)))
+
+
+def _probe(attempt: int, bins: np.ndarray, width: int) -> np.ndarray:
     """The bin that each empty bin looks at in its ``attempt``-th try."""
-    return (tokens.mix(bins.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(attempt), 7) % np.uint64(BINS)).astype(np.int64)
+    return (tokens.mix(bins.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(attempt), 7) % np.uint64(width)).astype(np.int64)
 
 
-def signatures(keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One row of BINS values per text (all EMPTY for a text without shingles)."""
+def signatures(keys: np.ndarray, begin: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One row of ``bins`` values per text (all EMPTY for a text without shingles)."""
     n = len(begin) - 1
-    out = np.full(n * BINS, EMPTY, np.uint64)
+    out = np.full(n * bins, EMPTY, np.uint64)
     text = np.repeat(np.arange(n), np.diff(begin))
-    cell = text * BINS + ((keys >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    cell = text * bins + ((keys >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     lead = np.ones(len(cell), bool)
     lead[1:] = cell[1:] != cell[:-1]  # hashes ascend within a text, so a cell's first is its least
     out[cell[lead]] = keys[lead]
-    out = out.reshape(n, BINS)
+    out = out.reshape(n, bins)
     filled = out != EMPTY
     row, col = np.nonzero(~filled & (np.diff(begin) > 0)[:, None])
     attempt = 0
     while len(row):
-        look = _probe(attempt, col)
+        look = _probe(attempt, col, bins)
         found = filled[row, look]
         out[row[found], col[found]] = out[row[found], look[found]]
         row, col = row[~found], col[~found]
@@ -98,9 +115,9 @@ def signatures(keys: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    n = len(signature)
-    rows = signature.reshape(n, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
+    n, bands = len(signature), signature.shape[1] // ROWS
+    rows = signature.reshape(n, bands, ROWS)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
     for k in range(ROWS):
         key = tokens.mix(key ^ rows[:, :, k], k)
     return key.view(np.int64)
@@ -112,7 +129,7 @@ def _by_piece(batch: pa.RecordBatch):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, count: int = BANDS) -> DataFrame:
     """doc_id, n (set size), fp1 and fp2 (128-bit fingerprint of the set), bands."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +139,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(begin)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(tokens.mix(keys, s), dtype=np.uint64)]) for s in (11, 12)]
                 fp = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
-                bands = band_keys(signatures(keys, begin)).reshape(-1)
+                bands = band_keys(signatures(keys, begin, count * ROWS)).reshape(-1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(fp[0]),
                         pa.array(fp[1]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), pa.array(bands)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, count), pa.int32()), pa.array(bands)),
                     ],
                     ["doc_id", "n", "fp1", "fp2", "bands"],
                 )
@@ -175,10 +192,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("centre", "node", "a", "b").mapInArrow(run, "centre long, node long")
 
 
+def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes(node, component) -> node, component, n, place, shingle: the first shingles of each set in
+    one order of all shingles, rare ones first.  Of two sets at ``percent`` or more the first shingle
+    in common is among them on both sides, whatever the order; a good one makes few sets share one."""
+    spark = nodes.sparkSession
+    named = sets.select(F.col("doc_id").alias("node"), "shingle_set").hint("merge")
+    held = stored(nodes.join(named, "node"), "unsettled")
+
+    def cells(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in found:
+            for packed in batch.column("shingle_set"):
+                np.add.at(n, (np.frombuffer(packed.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["cell", "n"])
+
+    counted = held.select("shingle_set").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    often = np.zeros(CELLS, np.int64)
+    for batch in counted.toArrow().to_batches():  # CELLS rows at most
+        often[batch.column("cell").to_numpy()] = batch.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in found:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                first = []
+                for packed in part.column("shingle_set"):
+                    keys = np.frombuffer(packed.as_buffer(), np.uint64)
+                    # a partner has at least this many of the shingles, so one of the others' number and one is shared
+                    least = -(-percent * len(keys) // 100)
+                    first.append(keys[np.lexsort((keys, often[(keys % np.uint64(CELLS)).astype(np.int64)]))][: len(keys) - least + 1])
+                size = np.array([len(f) for f in first])
+                row = np.repeat(np.arange(len(first)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                n = np.array([len(p.as_buffer()) // 8 for p in part.column("shingle_set")])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("node").take(pa.array(row)),
+                        part.column("component").take(pa.array(row)),
+                        pa.array(n[row], pa.int64()),
+                        pa.array(place, pa.int64()),
+                        pa.array(np.concatenate(first).view(np.int64)),
+                    ],
+                    ["node", "component", "n", "place", "shingle"],
+                )
+
+    return held.mapInArrow(run, "node long, component long, n long, place long, shingle long")
+
+
+def across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes(node, component) -> centre, node: all pairs of different components that can reach ``percent``."""
+    first = stored(rarest(nodes, sets, percent), "rarest")
+    owners = first.select("shingle", "component").distinct()
+    mixed = owners.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    # a large component's own members never meet: components are paired first
+    owners = stored(owners.join(mixed.select("shingle"), "shingle"), "owners")
+    ends = owners.withColumnRenamed("component", "component_a").join(owners.withColumnRenamed("component", "component_b"), "shingle")
+    ends = ends.where("component_a < component_b")
+    of = lambda x: first.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "node", "n", "place")))
+    pairs = ends.join(of("a"), ["shingle", "component_a"]).join(of("b"), ["shingle", "component_b"])
+    # at the first shingle in common, what is left of either set must do for the shingles wanted in common
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    rest = f"(100 + {percent}) * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    return pairs.where(f"{fits} AND {rest}").select(F.col("node_a").alias("centre"), F.col("node_b").alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stored(sketches(docs, width), "sketches")
+    sketch = stored(sketches(docs, width, bands_for(percent)), "sketches")
     classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
 
@@ -196,6 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
     sets = stored(sets, "sets")
 
     links = labels = tested = None
+    joined = lambda links: stored(components(links, "centre", "node"), "labels")
     centres = members.groupBy("key").agg(F.max("rank").alias("centre"))
     while True:
         centres = stored(centres, "centres")
@@ -207,18 +293,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
             pairs = pairs.join(tested, ["centre", "node"], "left_anti")
         pairs = stored(pairs, "pairs")
         new = stored(confirmed(pairs, sets, percent), "links")
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = stored(components(links, "centre", "node"), "labels")
-        labelled = members.join(labels, "node", "left").join(centres, "key")
+        fruitless = new.isEmpty()
+        if not fruitless:
+            links = new if links is None else links.unionByName(new)
+            labels = joined(links)
+        labelled = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left")
+        labelled = labelled.join(centres, "key")
         mixed = labelled.groupBy("key").agg(
             F.min(F.coalesce("component", "node")).alias("least"),
             F.max(F.coalesce("component", "node")).alias("most"),
             F.max(F.when(F.col("rank") < F.col("centre"), F.col("rank"))).alias("centre"),
         )
         centres = mixed.where("least < most AND centre IS NOT NULL").select("key", "centre")
+        if fruitless:
+            break
+    # every bucket with centres left is settled at once, however many rounds its members would take
+    unsettled = stored(members.join(centres, "key").select("node").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        component = F.col("node") if labels is None else F.coalesce("component", "node")
+        unsettled = unsettled if labels is None else unsettled.join(labels, "node", "left")
+        pairs = across(unsettled.select("node", component.alias("component")), sets, percent)
+        pairs = pairs.join(tested, ["centre", "node"], "left_anti").join(
+            tested.select(F.col("node").alias("centre"), F.col("centre").alias("node")), ["centre", "node"], "left_anti"
+        )
+        new = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = joined(links)
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     else:

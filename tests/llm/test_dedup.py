@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from convoscope.llm import batches, lyndon, minhash, substring_dedup, suffix_dedup
 from convoscope.llm.components import components
@@ -158,3 +159,22 @@ def test_densification_fills_every_bin():
     filled = minhash.signatures(keys, np.array([0, 3, 3]))
     assert set(filled[0].tolist()) == set(keys.tolist())
     assert (filled[1] == minhash.EMPTY).all()
+
+
+def test_pairs_inside_a_family_of_look_alikes_are_found(spark, monkeypatch):
+    """All texts share one bucket, whose first centres link to nothing."""
+    rng = np.random.default_rng(8)
+    common = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+    rows = [(k, " ".join([*common, *(f"w{rng.integers(1 << 40)}" for _ in range(60))])) for k in range(30)]
+    rows += [(1000, " ".join(common)), (1001, " ".join(common[:192])), (1002, rows[20][1] + " end")]
+    sketches = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *a: sketches(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 85)
+    assert {i: c for i, c in got.items() if c != i} == {1001: 1000, 1002: 20}
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_bands_keep_to_the_loss(percent):
+    assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= minhash.LOSS
+    assert minhash.bands_for(85) == minhash.BANDS
