@@ -37,11 +37,20 @@ RULES: dict[str, tuple[tuple[str, ...], str, int, int]] = {
     ),
     "access": (("akia",), r"AKIA[A-Z0-9]+", 18, 0),
     "hex": ((), r"[0-9a-f]{16,}", 16, 0),
-    "private_key": (("private key",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
+    "private_key": (
+        ("private key",),
+        # through the matching end line, or without one to the end of the base64 block
+        r"-----BEGIN (?P<of>[A-Z ]*)PRIVATE KEY-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?P=of)PRIVATE KEY-----"
+        r"|(?:(?:\s|\\[rn])*[A-Za-z][A-Za-z0-9-]*:\x20[^\n\\]*)*(?:(?:\s|\\[rn])*[A-Za-z0-9+/]{16,}={0,2})+"
+        r"(?:(?:\s|\\[rn])+[A-Za-z0-9+/]{1,15}={0,2}(?=\x20*(?:[\r\n\"']|\\[rn]|\Z)))?)?",
+        1,
+        0,
+    ),
     "jwt": (("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{30,}", 1, 0),
     "slack": (("xox",), r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
-    "url_login": (("://",), r"[a-z]{2,10}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", 1, 0),
+    "url_login": (("://",), r"[a-z]{2,10}://[^\s/:@]*:[^\s/:@]+@", 1, 0),
 }
 KINDS = list(RULES)
 BASE = KINDS[:3]

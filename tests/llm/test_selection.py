@@ -236,3 +236,31 @@ def test_tree_search_equals_brute_force(monkeypatch, page, fanout):
         own = int(ids[3])
         want = sorted((-int(s), int(i)) for s, i in zip(rows @ q, ids) if i != own)[:10]
         assert sorted((-s, i) for s, i in mtree.search(tree, rows, ids, norms.max(), q, own, 10)) == want
+
+
+BODY = "\n".join("MIIEpAIBAAKCAQEA" + 48 * c for c in "abXY9+/Q") + "\nq8Zx"
+
+
+@pytest.mark.parametrize(
+    "secret",
+    [
+        f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}==\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN ENCRYPTED PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{BODY}\n-----END ENCRYPTED PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\n{BODY}",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{BODY}==",
+        "-----BEGIN PRIVATE KEY-----",
+        "redis://:hunter2xyz@",
+        "https://user:" + "p4" * 100 + "@",
+        "https://" + "u" * 90 + ":pw@",
+    ],
+)
+def test_whole_secrets_are_masked(secret):
+    text = f"before {secret}\nafter it all"
+    assert secret_ledger.masked(text, [s[:2] for s in secret_ledger.find(text)], "[secret]") == "before [secret]\nafter it all"
+
+
+def test_keys_end_where_they_end():
+    key = f"-----BEGIN PRIVATE KEY-----\n{BODY}"
+    text = f"{key}\nsome words\n{key}\n-----END PRIVATE KEY-----\nmore words"
+    assert secret_ledger.masked(text, [s[:2] for s in secret_ledger.find(text)], "*") == "*\nsome words\n*\nmore words"
