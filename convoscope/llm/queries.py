@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoscope.llm import decontaminate, langid_crf, mixing, mtree, secret_ledger, toxicity, url_filter
+from convoscope.llm import (
+    decontaminate,
+    langid_crf,
+    lexical_search,
+    mixing,
+    mtree,
+    product_codes,
+    secret_ledger,
+    site_style,
+    toxicity,
+    url_filter,
+)
 from convoscope.llm.minhash import near_duplicates
 from convoscope.llm.suffix_dedup import remove_repeats
 from convoscope.llm.substring_dedup import remove_repeated_windows
@@ -96,6 +107,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.expr(SPAN_TOTAL).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    books = product_codes.train(rows, "embedding", "vec_id", scale=256, parts=16, entries=64, rounds=2)
+    out = product_codes.encode(rows, books, "embedding", "vec_id", "label", scale=256)
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return out.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_top_k": op1_mtree_top_k,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -107,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_product_codes": op11_product_codes,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_site_style": op13_site_style,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -219,5 +250,80 @@ sums AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN sums USING (r)
+""",
+    "op11_product_codes": """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS entry, x FROM v QUALIFY entry < 64),
+p AS (
+  SELECT vec_id, label, part, list_slice(x, CAST(part * len(x) / 16 + 1 AS BIGINT), CAST((part + 1) * len(x) / 16 AS BIGINT)) AS y
+  FROM v, range(16) AS r(part)),
+c0 AS (
+  SELECT part, entry, list_slice(x, CAST(part * len(x) / 16 + 1 AS BIGINT), CAST((part + 1) * len(x) / 16 AS BIGINT)) AS e
+  FROM k, range(16) AS r(part)),
+a0 AS (
+  SELECT vec_id, label, part, any_value(y) AS y, min({'d': d, 'entry': entry}) AS near
+  FROM (SELECT vec_id, label, part, y, entry,
+               CAST(list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM p JOIN c0 USING (part))
+  GROUP BY vec_id, label, part),
+m0 AS (
+  SELECT part, near.entry AS entry, i, CAST(floor(sum(y[i]) / count(*)) AS BIGINT) AS z
+  FROM a0, unnest(range(1, len(y) + 1)) AS g(i) GROUP BY ALL),
+c1 AS (
+  SELECT c.part, c.entry, coalesce(n.e, c.e) AS e
+  FROM c0 c LEFT JOIN (SELECT part, entry, list(z ORDER BY i) AS e FROM m0 GROUP BY ALL) n USING (part, entry)),
+a1 AS (
+  SELECT vec_id, label, part, any_value(y) AS y, min({'d': d, 'entry': entry}) AS near
+  FROM (SELECT vec_id, label, part, y, entry,
+               CAST(list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM p JOIN c1 USING (part))
+  GROUP BY vec_id, label, part),
+m1 AS (
+  SELECT part, near.entry AS entry, i, CAST(floor(sum(y[i]) / count(*)) AS BIGINT) AS z
+  FROM a1, unnest(range(1, len(y) + 1)) AS g(i) GROUP BY ALL),
+c2 AS (
+  SELECT c.part, c.entry, coalesce(n.e, c.e) AS e
+  FROM c1 c LEFT JOIN (SELECT part, entry, list(z ORDER BY i) AS e FROM m1 GROUP BY ALL) n USING (part, entry)),
+a2 AS (
+  SELECT vec_id, label, part, any_value(y) AS y, min({'d': d, 'entry': entry}) AS near
+  FROM (SELECT vec_id, label, part, y, entry,
+               CAST(list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM p JOIN c2 USING (part))
+  GROUP BY vec_id, label, part),
+o AS (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(near.entry)), 2, '0'), '' ORDER BY part) AS code,
+         CAST(sum(near.d) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM o
+""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS often
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+g AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+tf AS (
+  SELECT doc_id, term, any_value(n) AS n, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
 """,
 }
