@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoscope.llm.tables import row_key, stored
+from convoscope.llm.tables import stored
 
 #: 1: the word counts, 0: it may differ (fixed values).
 MASKS = ("1111", "110101", "1011001")
@@ -101,10 +101,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percen
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that overlap with a benchmark item; rows without an id are judged by text."""
+    """docs without the rows that overlap with a benchmark item; every row is judged by its own text."""
     name = "_row_key"
     while name in [c.lower() for c in docs.columns]:
         name += "_"
-    keyed = docs.withColumn(name, row_key())
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     bad = overlaps(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
     return keyed.join(stored(bad, "contaminated"), name, "left_anti").select(*docs.columns)

@@ -16,8 +16,9 @@
 6. The members of buckets that then still hold different components and untried
    centres are compared among each other without further rounds: every pair at the
    wanted similarity shares one of the rarest shingles of each (prefix filter), so
-   only pairs of different components that do, and whose sizes and places in the
-   order of rarity allow the similarity, are confirmed.  No link is lost here.
+   only pairs of different components that do are confirmed.  Sizes and places in the
+   order of rarity are part of the join key, so that what a whole family has in common
+   brings no pairs.  No link is lost here.
 7. Components come from the confirmed links.
 
 The number of bands of 5 bins follows from the wanted similarity: a pair at it
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from convoscope.llm import tokens
 from convoscope.llm.components import components
-from convoscope.llm.tables import row_key, stored
+from convoscope.llm.tables import stored
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -52,6 +53,8 @@ BINS = BANDS * ROWS
 LOSS = 1e-6
 #: Counters that the rarity of shingles is read from (their number doesn't decide what is found).
 CELLS = 1 << 20
+#: Ratio of neighbouring size classes (finer classes let fewer pairs meet, and cost more rows).
+SIZE_STEP = 1.02
 PIECE = 2 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -244,20 +247,38 @@ def rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """nodes(node, component) -> centre, node: all pairs of different components that can reach ``percent``."""
+    """nodes(node, component) -> centre, node: all pairs of different components that can reach ``percent``.
+
+    A set's shingle at some place of the order leaves ``n - place`` shingles, which bounds the size of a
+    partner whose first shingle in common it can be.  So a row meets only rows of the size classes that its
+    place still allows: the shingles that a whole family has come last in the order, where a set allows
+    hardly any partner, and rows of equal size don't meet there at all."""
     first = stored(rarest(nodes, sets, percent), "rarest")
-    owners = first.select("shingle", "component").distinct()
-    mixed = owners.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    first = stored(first.join(mixed.select("shingle"), "shingle"), "mixed")
+    size_class = lambda n: f"CAST(floor(ln({n}) / ln({SIZE_STEP})) AS INT)"
+    low = f"(n * {percent} + 99) div 100"
+    high = f"least((n - place) * (100 + {percent}) div {percent} - n, n * 100 div {percent})"
+    first = first.withColumn("low", F.expr(low)).withColumn("high", F.expr(high)).where("high >= low")
+    rows = first.select("*", F.expr(size_class("n")).alias("own"), F.expr(f"explode(sequence({size_class('low')}, {size_class('high')}))").alias("other"))
+    rows = rows.select("shingle", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", "component", "node", "n", "place")
+    key = ["shingle", "lower", "upper"]
+    ends = rows.groupBy(*key).agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.min("own").alias("from"), F.max("own").alias("to")
+    )
+    ends = ends.where("least < most AND from = lower AND to = upper").select(*key)
+    rows = stored(rows.join(ends, key), "sized")
     # a large component's own members never meet: components are paired first
-    owners = stored(owners.join(mixed.select("shingle"), "shingle"), "owners")
-    ends = owners.withColumnRenamed("component", "component_a").join(owners.withColumnRenamed("component", "component_b"), "shingle")
-    ends = ends.where("component_a < component_b")
-    of = lambda x: first.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "node", "n", "place")))
-    pairs = ends.join(of("a"), ["shingle", "component_a"]).join(of("b"), ["shingle", "component_b"])
+    owners = lambda x, at: rows.where(f"own = {at}").select(*key, F.col("component").alias(f"component_{x}")).distinct()
+    met = owners("a", "lower").join(owners("b", "upper"), key)
+    met = met.where("component_a < component_b OR (component_a > component_b AND lower < upper)")
+    of = lambda x, at: rows.where(f"own = {at}").select(*key, *(F.col(c).alias(f"{c}_{x}") for c in ("component", "node", "n", "place")))
+    pairs = met.join(of("a", "lower"), [*key, "component_a"]).join(of("b", "upper"), [*key, "component_b"])
     # at the first shingle in common, what is left of either set must do for the shingles wanted in common
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     rest = f"(100 + {percent}) * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
-    return pairs.where(f"{fits} AND {rest}").select(F.col("node_a").alias("centre"), F.col("node_b").alias("node")).distinct()
+    pairs = pairs.where(f"{fits} AND {rest}")
+    return pairs.select(F.least("node_a", "node_b").alias("centre"), F.greatest("node_a", "node_b").alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
@@ -270,14 +291,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
     bands = sketch.where("n > 0").select(F.col("doc_id").alias("rep"), "fp1", "fp2", "n", "bands")
     rows = bands.join(classes, ["rep", "fp1", "fp2", "n"], "left_semi").select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = stored(rows.join(shared, "key"), "members")
+    members = stored(rows.join(shared, "key").distinct(), "members")  # rows that repeat under one id count once
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     # the order in which a bucket's members become centres: most collisions, then smallest id
     members = members.join(degree, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("low")).alias("rank"))
     members = stored(members, "ranked")
     # both grow with the corpus, so they are merged, never broadcast
     nodes = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    sets = full_sets(docs.join(nodes, "doc_id", "left_semi"), width)
+    sets = full_sets(docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), width)
     sets = stored(sets, "sets")
 
     links = labels = tested = None
@@ -338,12 +359,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) ->
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text, ...) with one row of each group of near-duplicates, the one with the
-    smallest id; all columns stay.  Rows without an id go by their text, after all others."""
-    name = "_row_key"
-    while name in [c.lower() for c in docs.columns]:
-        name += "_"
-    keyed = docs.withColumn(name, row_key())
+    smallest id; all columns stay.  Rows without id, and rows whose id has other texts too, go by
+    id and text, after all others; texts without words are linked with nothing and stay."""
+    names = [c.lower() for c in docs.columns]
+    name, many = (next(n for n in (f"{base}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for base in ("_row_key", "_many"))
+    wordless = F.coalesce(F.regexp_replace(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == ""
+    held = docs.where(~wordless)
+    ids = held.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.xxhash64("text").alias("h"))
+    several = ids.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
+    several = stored(several.select(F.col("doc_id").alias(many)), "repeated-ids")
+    keyed = held.join(several.hint("merge"), held["doc_id"] == several[many], "left") if not several.isEmpty() else held.withColumn(many, F.lit(None))
+    by_text = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    key = F.when(F.col("doc_id").isNull() | F.col(many).isNotNull(), by_text).otherwise(F.col("doc_id").cast("long"))
+    keyed = keyed.select(*docs.columns, key.alias(name))
     judged = near_duplicates(keyed.select(F.col(name).alias("doc_id"), "text"), percent, width)
     kept = judged.where("kept").select(F.col("doc_id").alias(name)).distinct()
     kept = stored(kept, "kept").hint("merge")  # grows with the corpus: never broadcast
-    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    one = keyed.join(kept, name, "left_semi").groupBy(name).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return one.unionByName(docs.where(wordless))

@@ -174,6 +174,33 @@ def test_pairs_inside_a_family_of_look_alikes_are_found(spark, monkeypatch):
     assert {i: c for i, c in got.items() if c != i} == {1001: 1000, 1002: 20}
 
 
+def test_a_large_family_of_look_alikes(spark, monkeypatch):
+    """5,000 edited copies of one text, each far from every other; a few have an edited copy of their own."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    rows, alike = [(0, " ".join(base))], {}
+    for k in range(1, 5001):
+        words = list(base)
+        for at in rng.choice(30, 5, replace=False) * 5:
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+        if k % 250 == 0:
+            words[3] += "more"
+            alike[10_000 + k] = k
+            rows.append((10_000 + k, " ".join(words)))
+    written, stored = {}, minhash.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 85).collect()
+    assert {r.doc_id: r.component_id for r in got if not r.kept} == alike
+    assert sum(p.count() for p in written["pairs"]) <= 30 * len(rows)  # about 12,500,000 pairs in all
+
+
 @pytest.mark.parametrize("percent", [70, 80, 85, 95])
 def test_bands_keep_to_the_loss(percent):
     assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= minhash.LOSS

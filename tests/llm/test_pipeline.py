@@ -97,8 +97,32 @@ def test_run_equals_the_stages(spark, planted):
     assert once and sorted(map(key, once)) == sorted(map(key, again))
 
 
+def test_repeated_ids_and_blank_rows(spark, planted):
+    """Rows of one id are judged by their own texts; blank rows are linked with nothing."""
+    path, *_ = planted
+    rng = random.Random(31)
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first().text
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, a + " x"), (None, c), (None, c), (None, None), (None, " "), (None, " "), (4, ""), (4, None)]
+    rows += [(7, item), (7, b + " " + prose(rng, 80)), (None, item), (8, c[:-4])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or ""), 1, 9) for i, t in rows], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, path).collect()]
+    blank = [(i, t) for i, t in rows if not (t or "").strip()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(2, a + " x"), (1, b), (8, c[:-4]), rows[12], (7, item), *blank]))
+    clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, path).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, [r for r in rows if r[1] != item]))
+
+
+def test_empty_tables(spark, planted, tmp_path):
+    path, *_ = planted
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_registered_queries():
     names = sorted(llm.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(llm.QUERIES) | {"pipeline"} <= set(queries())
     assert set(llm.ORACLE_SQL) <= set(oracle_sql()) and "pipeline" not in oracle_sql()
