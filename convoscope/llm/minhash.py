@@ -363,7 +363,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHI
     id and text, after all others; texts without words are linked with nothing and stay."""
     names = [c.lower() for c in docs.columns]
     name, many = (next(n for n in (f"{base}{'_' * k}" for k in range(len(names) + 1)) if n not in names) for base in ("_row_key", "_many"))
-    wordless = F.coalesce(F.regexp_replace(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == ""
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     held = docs.where(~wordless)
     ids = held.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.xxhash64("text").alias("h"))
     several = ids.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
