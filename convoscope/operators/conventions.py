@@ -273,11 +273,10 @@ def sim_boxplot(status: DataFrame) -> DataFrame:
     """Box-plot statistics of ``sim`` per (structure, status): quartiles
     (type 7), whiskers at the most extreme values within 1.5 IQR, outlier count."""
     keys = ["structure", "convention_status"]
-    # the (keys, sim) projection is read by every quantile pass and by the
-    # whisker pass: write it once
+    # read by the quantiles and by the whiskers: written once
     vals = status.select(*keys, "sim").checkpoint()
-    q = exact_quantiles(vals, keys, "sim", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method="linear", checkpointed=True)
-    j = join_null_safe(vals, q, keys, "inner")
+    q = exact_quantiles(vals, keys, "sim", {"q1": 0.25, "median": 0.5, "q3": 0.75}, method="linear").checkpoint()
+    j = join_null_safe(vals, broadcast_if_small(q), keys, "inner")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     agg = j.groupBy(*keys, "n", "q1", "median", "q3").agg(

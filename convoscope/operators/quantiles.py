@@ -1,146 +1,105 @@
-"""Exact quantiles per group, distributed, for groups of any size.
+"""Exact quantiles per group in a fixed number of passes, for groups of any size.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer: a group holding a third of the data would sit in one task's
-memory.  Here a quantile is found by *histogram refinement* instead:
-
-1. one aggregation gives n, min, max per group and the target ranks;
-2. while a target's value range still holds more than ``band`` rows, rows in
-   that range are bucketed into ``buckets`` equal-width buckets and counted
-   (a ``groupBy`` with map-side partial aggregation -- the shuffle carries at
-   most groups x targets x buckets rows); the bucket holding the target rank
-   becomes the new range;
-3. the final range has at most ``band`` rows (or a single value) and is
-   sorted to pick the exact element.
-
-Every step is a deterministic aggregation, so a lost executor just recomputes
-its part; the input projection and the small per-target state are
-checkpointed between passes.
+memory.  Here the wanted ranks are found by *radix selection*.  A double's 64 bits,
+with the lower ones of negative numbers flipped, are a long that sorts as the double
+does.  A pass counts, per group and per prefix that still holds a wanted rank, the
+next 16 bits; running sums of those counts (at most 65,536 rows a prefix) name the
+digit that each rank falls on.  Four passes give all bits of all ranks of all groups.
+Every pass is one aggregate with map-side partial counts; no row is collected or
+sorted, and no number of passes depends on the data.
+
+The passes are one lazy plan over a projection that is written once, so a lost
+executor recomputes its part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoscope.operators.joins import broadcast_if_small, join_null_safe
+from convoscope.operators.joins import join_null_safe
 
+DIGIT = 16
+#: Groups whose open prefixes (two per quantile at most) are broadcast to the rows; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 
-def _ranks(stats: DataFrame, keys: Sequence[str], probs: Mapping[str, float], method: str) -> DataFrame:
-    """Target (0-based) ranks per group: one row per (group, q, side) with ``r``."""
+
+def sortable(v: Column) -> Column:
+    """The 64 bits of a double as a long with the same order (-0.0 counts as 0.0, NaN comes last)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def unsorted(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(key)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def _ranks(probs: Mapping[str, float], method: str) -> dict[str, Column]:
+    """Wanted 0-based ranks in a group of ``n``, as columns named by quantile and side."""
     n = F.col("n")
-    rows = []
+    out: dict[str, Column] = {}
     for name, p in probs.items():
         if method == "lower":
-            rows.append((name, "lo", F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)).cast("long")))
+            out[f"{name}_lo"] = F.greatest(F.ceil(F.lit(p) * n) - 1, F.lit(0)).cast("long")
         elif method == "linear":
-            pos = F.lit(p) * (n - 1)
-            rows.append((name, "lo", F.floor(pos).cast("long")))
-            rows.append((name, "hi", F.ceil(pos).cast("long")))
+            out[f"{name}_lo"] = F.floor(F.lit(p) * (n - 1)).cast("long")
+            out[f"{name}_hi"] = F.ceil(F.lit(p) * (n - 1)).cast("long")
         else:
             raise ValueError(method)
-    parts = [
-        stats.select(*keys, "n", "vmin", "vmax", F.lit(nm).alias("q"), F.lit(side).alias("side"), r.alias("r"))
-        for nm, side, r in rows
-    ]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
     return out
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    method: str = "linear",
-    buckets: int = 4096,
-    band: int = 20000,
-    max_passes: int = 16,
-    checkpointed: bool = False,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], method: str = "linear"
 ) -> DataFrame:
     """One row per group: the keys, ``n`` and a column per entry of ``probs``.
 
     ``method='linear'``: R type 7 / ``percentile_cont`` (interpolated).
     ``method='lower'``: ``percentile_disc`` -- the smallest value whose
     cumulative share reaches p (for p=0.5 and even n, the lower middle).
-    NULL values are ignored; NULL keys form their own group (null-safe joins).
-    With no keys the whole frame is one group; its few target ranges are then
-    attached to the rows as a scalar subquery instead of a join.
-    ``checkpointed=True`` when ``df`` is already materialised (no second write).
+    NULL values are ignored; NULL keys form their own group (null-safe joins);
+    a group without values has no row; without keys there is always one row.
     """
     keys = list(keys)
-    base = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    # every pass reads the (keys, value) projection: write it once to the
-    # checkpoint folder so the passes neither recompute its lineage nor
-    # depend on cached blocks of a lost executor
-    if not checkpointed:
-        base = base.checkpoint()
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-    tk = keys + ["q", "side"]
-    state = _ranks(stats, keys, probs, method).select(
-        *tk, "n", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), F.col("r").alias("r_rel"), F.col("n").alias("cnt")
-    ).checkpoint()
-
-    def in_range(st: DataFrame) -> DataFrame:
-        """Rows of ``base`` inside each target's current [lo, hi] range."""
-        cols = [*tk, "n", "lo", "hi", "r_rel"]
-        if keys:
-            # a few rows per group: broadcast after a count, so that rows of few groups aren't shuffled by group
-            j = join_null_safe(base, broadcast_if_small(st.select(*cols)), keys)
-        else:
-            ranges = st.select(F.collect_list(F.struct(*cols)).alias("t")).scalar()  # one entry per target
-            j = base.select("v", F.explode(ranges).alias("t")).select("v", *[F.col("t")[c].alias(c) for c in cols])
-        return j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-
-    open_cond = (F.col("cnt") > band) & (F.col("lo") < F.col("hi"))
-    for _ in range(max_passes):
-        open_ = state.where(open_cond)
-        if open_.limit(1).count() == 0:
-            break
-        settled = state.where(~open_cond)
-        rows = in_range(open_)
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-        b = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
-        hist = rows.withColumn("b", b).groupBy(*tk, "n", "b", "r_rel").agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax")
-        )
-        # per target at most ``buckets`` rows: a small window
-        w = Window.partitionBy(*tk).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        pick = hist.where((F.col("r_rel") >= F.col("before")) & (F.col("r_rel") < F.col("before") + F.col("c")))
-        picked = pick.select(
-            *tk, "n", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-            (F.col("r_rel") - F.col("before")).alias("r_rel"), F.col("c").alias("cnt"),
-        )
-        state = settled.unionByName(picked).checkpoint()
-    else:
-        if state.where(open_cond).limit(1).count():
-            raise RuntimeError(f"a quantile's band still holds over {band} rows after {max_passes} passes")
-
-    single = state.where(F.col("lo") == F.col("hi")).select(*tk, "n", F.col("lo").alias("val"))
-    multi = state.where(F.col("lo") < F.col("hi"))
-    bands = in_range(multi).groupBy(*tk, "n", "r_rel").agg(F.sort_array(F.collect_list("v")).alias("vals"))
-    picked = bands.select(*tk, "n", F.element_at("vals", (F.col("r_rel") + 1).cast("int")).alias("val"))
-    vals = single.unionByName(picked)
-
-    wide = vals.groupBy(*keys).pivot("q", list(probs)).agg(
-        F.first("n").alias("n"),
-        F.first(F.when(F.col("side") == "lo", F.col("val")), ignorenulls=True).alias("lo"),
-        F.first(F.when(F.col("side") == "hi", F.col("val")), ignorenulls=True).alias("hi"),
-    )
-    first_q = next(iter(probs))
-    out_cols = []
+    v = F.col(value).cast("double")
+    base = df.where(v.isNotNull()).select(*keys, sortable(v).alias("_key")).checkpoint()
+    few = not keys or base.select(*keys).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    wanted = _ranks(probs, method)
+    names = list(wanted)
+
+    def found(counts: DataFrame, within: list[str]) -> DataFrame:
+        """The digits that hold wanted ranks, and the ranks left to go within each."""
+        each = Window.partitionBy(*within).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(each), F.lit(0)))
+        here = {r: F.when((F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_c")), F.col(r) - F.col("_before")) for r in names}
+        return counts.withColumns(here).where(reduce(lambda a, b: a | b, (F.col(r).isNotNull() for r in names)))
+
+    counts = base.groupBy(*keys, F.shiftright("_key", 64 - DIGIT).alias("_digit")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("n", F.sum("_c").over(Window.partitionBy(*keys))).withColumns(wanted)
+    state = found(counts, keys).select(*keys, "n", *names, F.col("_digit").alias("_prefix"))
+    for shift in range(64 - 2 * DIGIT, -1, -DIGIT):
+        rows = base.select(*keys, F.shiftright("_key", shift + DIGIT).alias("_prefix"), F.shiftright("_key", shift).alias("_next"))
+        open_ = F.broadcast(state) if few else state
+        rows = join_null_safe(rows, open_, [*keys, "_prefix"])
+        digit = F.col("_next").bitwiseAND(F.lit((1 << DIGIT) - 1))
+        counts = rows.groupBy(*keys, "_prefix", "n", *names, digit.alias("_digit")).agg(F.count("*").alias("_c"))
+        prefix = F.shiftleft("_prefix", DIGIT) + F.col("_digit")
+        state = found(counts, [*keys, "_prefix"]).select(*keys, "n", *names, prefix.alias("_prefix"))
+    state = state.withColumn("_v", unsorted(F.col("_prefix")))
+    ends = state.groupBy(*keys).agg(F.coalesce(F.first("n"), F.lit(0)).alias("n"), *[F.max(F.when(F.col(r).isNotNull(), F.col("_v"))).alias(r) for r in names])
+    out = []
     for name, p in probs.items():
         lo = F.col(f"{name}_lo")
         if method == "linear":
-            hi = F.col(f"{name}_hi")
-            pos = F.lit(p) * (F.col(f"{name}_n") - 1)
-            out_cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-        else:
-            out_cols.append(lo.alias(name))
-    return wide.select(*keys, F.col(f"{first_q}_n").alias("n"), *out_cols)
+            at = F.lit(p) * (F.col("n") - 1)
+            part = at - F.floor(at)
+            lo = lo * (1 - part) + F.col(f"{name}_hi") * part
+        out.append(lo.alias(name))
+    return ends.select(*keys, "n", *out)

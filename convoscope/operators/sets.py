@@ -108,7 +108,8 @@ def set_select(pairs: DataFrame) -> DataFrame:
     the maxima of its set type."""
     mx = set_maxima(pairs)
     med = exact_quantiles(mx, ["set_type"], "max_similarity", {"median_max": 0.5}, method="linear")
-    med = broadcast_if_small(med.select("set_type", F.round("median_max", 6).alias("median_max")))
+    # one row a set type, written before it is counted and broadcast: nothing runs twice
+    med = broadcast_if_small(med.select("set_type", F.round("median_max", 6).alias("median_max")).checkpoint())
     j = mx.join(med, "set_type")
     return j.withColumn("kept", F.col("max_similarity") < F.col("median_max"))
 
@@ -127,7 +128,7 @@ def kept_stats(selected: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: str, group: str, bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins between the group's min and max, the last bin
     closed; empty bins reported with 0."""
-    rng = broadcast_if_small(df.groupBy(group).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax")))
+    rng = broadcast_if_small(df.groupBy(group).agg(F.min(value).alias("vmin"), F.max(value).alias("vmax")).checkpoint())
     w = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
     b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(value) - F.col("vmin")) / w), F.lit(bins - 1)))
     counted = df.join(rng, group).select(group, b.cast("int").alias("bin")).groupBy(group, "bin").agg(
