@@ -1,11 +1,9 @@
 """Regression summaries of message length over rounds.
 
-Two-predictor least squares is solved in closed form from one pass of moment
-sums (a ``groupBy``/``agg`` with partial aggregation), so a fit over any number
-of rows moves a handful of numbers.  The 3x3 solve is written once as SQL
-expression text (``ols3_exprs``) and evaluated by Spark with ``F.expr`` -- the
-DuckDB oracle evaluates the same text.  Wider designs use Spark ML's
-``LinearRegression`` (normal equations by a distributed tree aggregate).
+Least squares comes from one pass of centred, mergeable moments
+(``operators/moments.py``): a fit over any number of rows moves a handful of
+numbers, and one read serves every form of the curve, every fold of a comparison and
+every prediction.
 """
 
 from __future__ import annotations
@@ -20,85 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoscope.operators.joins import attach_row
+from convoscope.operators.moments import Moments, log_density, merge_all, moment_table
 
 Z95 = 1.959963984540054
 
 
-def moment_sql(x1: str, x2: str, y: str) -> dict[str, str]:
-    """Moment sums as SQL text, inputs promoted to double first (products
-    never overflow).  The same text runs in Spark (``F.expr``) and DuckDB."""
-    X1, X2, Y = (f"CAST({v} AS DOUBLE)" for v in (x1, x2, y))
-    return {
-        "n": "CAST(count(*) AS DOUBLE)",
-        "s1": f"sum({X1})", "s2": f"sum({X2})",
-        "s11": f"sum({X1} * {X1})", "s22": f"sum({X2} * {X2})", "s12": f"sum({X1} * {X2})",
-        "sy": f"sum({Y})", "s1y": f"sum({X1} * {Y})", "s2y": f"sum({X2} * {Y})", "syy": f"sum({Y} * {Y})",
-    }
-
-
-def moment_aggs(x1: str, x2: str, y: str):
-    return [F.expr(e).alias(k) for k, e in moment_sql(x1, x2, y).items()]
-
-
-def ols3_exprs(p: str = "") -> dict[str, str]:
-    """Closed-form OLS y ~ 1 + x1 + x2 from moment columns (prefix ``p``):
-    coefficients, their standard errors, residual variance and R^2."""
-    n, s1, s2, s11, s22, s12 = (f"{p}{c}" for c in ("n", "s1", "s2", "s11", "s22", "s12"))
-    sy, s1y, s2y, syy = (f"{p}{c}" for c in ("sy", "s1y", "s2y", "syy"))
-    c00 = f"({s11} * {s22} - {s12} * {s12})"
-    c01 = f"({s12} * {s2} - {s1} * {s22})"
-    c02 = f"({s1} * {s12} - {s11} * {s2})"
-    c11 = f"({n} * {s22} - {s2} * {s2})"
-    c12 = f"({s1} * {s2} - {n} * {s12})"
-    c22 = f"({n} * {s11} - {s1} * {s1})"
-    det = f"({n} * {c00} + {s1} * {c01} + {s2} * {c02})"
-    b0 = f"(({c00} * {sy} + {c01} * {s1y} + {c02} * {s2y}) / {det})"
-    b1 = f"(({c01} * {sy} + {c11} * {s1y} + {c12} * {s2y}) / {det})"
-    b2 = f"(({c02} * {sy} + {c12} * {s1y} + {c22} * {s2y}) / {det})"
-    sse = f"({syy} - ({b0} * {sy} + {b1} * {s1y} + {b2} * {s2y}))"
-    sigma2 = f"({sse} / ({n} - 3))"
-    sst = f"({syy} - {sy} * {sy} / {n})"
-    return {
-        "b0": b0, "b1": b1, "b2": b2,
-        "se0": f"sqrt({sigma2} * {c00} / {det})",
-        "se1": f"sqrt({sigma2} * {c11} / {det})",
-        "se2": f"sqrt({sigma2} * {c22} / {det})",
-        "sigma2": sigma2,
-        "r2": f"(1 - {sse} / {sst})",
-        # inverse of X'X, for prediction variance
-        "i00": f"({c00} / {det})", "i01": f"({c01} / {det})", "i02": f"({c02} / {det})",
-        "i11": f"({c11} / {det})", "i12": f"({c12} / {det})", "i22": f"({c22} / {det})",
-    }
-
-
-def ols3_fit(df: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
-    """One row: n, b0..b2, se0..se2, sigma2, r2 and the inverse moments."""
-    m = df.agg(*moment_aggs(x1, x2, y))
-    e = ols3_exprs()
-    return m.select("n", *[F.expr(v).alias(k) for k, v in e.items()])
-
-
-def coef_table(fit: DataFrame, model: str, names: Sequence[str]) -> DataFrame:
+def coef_table(spark, fit: Ols, model: str) -> DataFrame:
     """Long table (model, term, estimate, std_error, n, r2), rounded."""
-    parts = []
-    for i, nm in enumerate(names):
-        parts.append(
-            fit.select(
-                F.lit(model).alias("model"), F.lit(nm).alias("term"),
-                F.round(F.col(f"b{i}"), 6).alias("estimate"), F.round(F.col(f"se{i}"), 6).alias("std_error"),
-                F.col("n").cast("bigint").alias("n"), F.round("r2", 6).alias("r2"),
-            )
-        )
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
-
-
-def with_log_terms(df: DataFrame) -> DataFrame:
-    return df.withColumn("log_rep", F.ln(F.col("rep_num").cast("double"))).withColumn(
-        "log_trial", F.ln(F.col("trial_num").cast("double"))
-    )
+    rows = [
+        (model, t, float(round(b, 6)), float(round(math.sqrt(v), 6)), fit.n, float(round(fit.r2, 6)))
+        for t, b, v in zip(fit.terms, fit.beta, np.diag(fit.cov), strict=True)
+    ]
+    return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, n long, r2 double")
 
 
 def pred_grid(spark, n: int = 6, trial_from: float = 6.0, trial_to: float = 66.0) -> DataFrame:
@@ -108,55 +39,12 @@ def pred_grid(spark, n: int = 6, trial_from: float = 6.0, trial_to: float = 66.0
     return g.withColumn("trial_num", F.lit(trial_from) + (F.col("rep_num") - 1) * F.lit(step))
 
 
-def predict(fit: DataFrame, grid: DataFrame, x1, x2, model: str) -> DataFrame:
-    """Fitted mean with a 95% interval, fit +- z * sqrt(sigma2 * x'(X'X)^-1 x).
-    The one-row fit is attached as a scalar subquery."""
-    g = grid.select("*", x1.alias("x1"), x2.alias("x2"))
-    j = attach_row(g, fit)
-    fit_v = F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2")
-    q = (
-        F.col("i00") + 2 * F.col("i01") * F.col("x1") + 2 * F.col("i02") * F.col("x2")
-        + F.col("i11") * F.col("x1") * F.col("x1") + 2 * F.col("i12") * F.col("x1") * F.col("x2")
-        + F.col("i22") * F.col("x2") * F.col("x2")
-    )
-    se = F.sqrt(F.col("sigma2") * q)
-    return j.select(
-        F.lit(model).alias("model"), "rep_num", F.round("trial_num", 6).alias("trial_num"),
-        F.round(fit_v, 6).alias("estimate"),
-        F.round(fit_v - F.lit(Z95) * se, 6).alias("q2_5"),
-        F.round(fit_v + F.lit(Z95) * se, 6).alias("q97_5"),
-    )
-
-
 def fold_of(key, k: int = 5) -> F.Column:
     """Fold of a row by a hash of its own key, which no model uses as a predictor."""
     c = F.col(key) if isinstance(key, str) else key
     return (F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
-def cross_validate(df: DataFrame, x1: str, x2: str, y: str, model: str, fold_key: str, k: int = 5) -> DataFrame:
-    """k-fold out-of-sample check from moments: per fold, training moments =
-    all moments - fold moments; predict the held-out rows; RMSE and summed
-    Gaussian log density (training residual variance)."""
-    d = df.withColumn("fold", fold_of(fold_key, k))
-    fm = d.groupBy("fold").agg(*moment_aggs(x1, x2, y))
-    cols = ["n", "s1", "s2", "s11", "s22", "s12", "sy", "s1y", "s2y", "syy"]
-    tot = fm.agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
-    train = attach_row(fm, tot).select("fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in cols])
-    e = ols3_exprs()
-    coefs = train.select("fold", *[F.expr(e[c]).alias(c) for c in ("b0", "b1", "b2", "sigma2")])
-    j = d.join(F.broadcast(coefs), "fold")  # k rows, bounded by the fold count
-    pred = F.col("b0") + F.col("b1") * F.col(x1) + F.col("b2") * F.col(x2)
-    r = F.col(y).cast("double") - pred
-    logd = -0.5 * F.log(2 * math.pi * F.col("sigma2")) - r * r / (2 * F.col("sigma2"))
-    out = j.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_test"),
-        F.sqrt(F.avg(r * r)).alias("rmse"),
-        F.sum(logd).alias("log_density"),
-    )
-    return out.select(F.lit(model).alias("model"), "fold", "n_test", F.round("rmse", 6).alias("rmse"), F.round("log_density", 6).alias("log_density"))
-
-
 def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Per-group slope of y on x, shrunk toward the precision-weighted pooled
     slope (two-level normal model, method-of-moments between-group variance):
@@ -260,10 +148,7 @@ class Ols:
     cov: np.ndarray  # of beta
     sigma2: float
     n: int
-
-
-def _products(names: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    r2: float
 
 
 def _solve(names: Sequence[str], n: float, means: np.ndarray, cross: np.ndarray) -> Ols:
@@ -282,27 +167,22 @@ def _solve(names: Sequence[str], n: float, means: np.ndarray, cross: np.ndarray)
     cov[0, 1:] = cov[1:, 0] = -mx @ inv
     cov[0, 0] = 1 / n + mx @ inv @ mx
     beta = np.concatenate([[means[p] - slope @ mx], slope])
-    return Ols(["intercept", *names], beta, sigma2 * cov, sigma2, int(n))
+    r2 = 1 - sigma2 * (n - p - 1) / float(syy) if syy > 0 else math.nan
+    return Ols(["intercept", *names], beta, sigma2 * cov, sigma2, int(n), r2)
 
 
 def ols(df: DataFrame, terms: Mapping[str, F.Column], y: F.Column) -> Ols:
-    """Least squares of y on the terms.  Means first, then cross-products around
-    them (raw sums of squares cancel on long tables); both aggregates are one row
-    of (terms + 1)**2 / 2 numbers.  Raises if the terms are not of full rank."""
-    names = list(terms)
-    rows = df.select(*[c.cast("double").alias(k) for k, c in terms.items()], y.cast("double").alias("_y")).dropna()
-    cols = [*names, "_y"]
-    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
-    n, means = first["n"], np.array([first[c] if first[c] is not None else np.nan for c in cols])
-    if not n:
+    """Least squares of y on the terms from centred moments: one read, one row to
+    the driver.  Raises if there are no rows or the terms are not of full rank."""
+    columns = {**terms, "_y": y}
+    return ols_of(Moments.of(columns, moment_table(df, columns).first()))
+
+
+def ols_of(m: Moments) -> Ols:
+    """Least squares of the last column on the others."""
+    if not m.n:
         raise ValueError("no rows to fit")
-    at = {c: F.col(c) - F.lit(float(m)) for c, m in zip(cols, means, strict=True)}
-    pairs = _products(cols)
-    sums = rows.agg(*[F.sum(at[a] * at[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
-    cross = np.zeros((len(cols), len(cols)))
-    for i, (a, b) in enumerate(pairs):
-        cross[cols.index(a), cols.index(b)] = cross[cols.index(b), cols.index(a)] = sums[f"s{i}"]
-    return _solve(names, n, means, cross)
+    return _solve(m.names[:-1], m.n, m.mean, m.cross)
 
 
 def ols_table(spark, fit: Ols, model: str) -> DataFrame:
@@ -313,9 +193,25 @@ def ols_table(spark, fit: Ols, model: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, n long")
 
 
+#: The forms of the curve over rounds and their terms, after the intercept.
+FORMS = {
+    "linear": ["rep_num", "trial_num"],
+    "logarithmic": ["log_rep", "log_trial"],
+    "quadratic": ["rep_num", "rep_num2", "trial_num", "trial_num2"],
+}
+
+
+def form_terms() -> dict[str, F.Column]:
+    """The columns of all forms."""
+    rep, trial = F.col("rep_num").cast("double"), F.col("trial_num").cast("double")
+    return {
+        "rep_num": rep, "trial_num": trial, "log_rep": F.ln(rep), "log_trial": F.ln(trial),
+        "rep_num2": rep * rep, "trial_num2": trial * trial,
+    }
+
+
 def quadratic_terms() -> dict[str, F.Column]:
-    rep, trial = F.col("rep_num"), F.col("trial_num")
-    return {"rep_num": rep, "rep_num2": rep * rep, "trial_num": trial, "trial_num2": trial * trial}
+    return {t: form_terms()[t] for t in FORMS["quadratic"]}
 
 
 def ols_predict(fit: Ols, grid: DataFrame, terms: Mapping[str, F.Column], model: str) -> DataFrame:
@@ -330,23 +226,32 @@ def ols_predict(fit: Ols, grid: DataFrame, terms: Mapping[str, F.Column], model:
     )
 
 
-def ols_cross_validate(df: DataFrame, terms: Mapping[str, F.Column], y: str, model: str, fold_key: str, k: int = 5) -> DataFrame:
-    """k-fold check of any terms: each fold's rows are predicted by the fit on the others."""
-    d = df.withColumn("fold", fold_of(fold_key, k)).checkpoint()
-    parts = []
-    for fold in range(k):  # k is a parameter; each pass moves one row of sums
-        fit = ols(d.where(F.col("fold") != fold), terms, F.col(y))
-        x = [F.lit(1.0), *[c.cast("double") for c in terms.values()]]
-        r = F.col(y).cast("double") - sum((F.lit(float(b)) * c for b, c in zip(fit.beta, x, strict=True)), F.lit(0.0))
-        logd = -0.5 * F.log(F.lit(2 * math.pi * fit.sigma2)) - r * r / (2 * fit.sigma2)
-        held = d.where(F.col("fold") == fold).agg(
-            F.count(F.lit(1)).alias("n_test"), F.round(F.sqrt(F.avg(r * r)), 6).alias("rmse"), F.round(F.sum(logd), 6).alias("log_density")
-        )
-        parts.append(held.select(F.lit(model).alias("model"), F.lit(fold).alias("fold"), "n_test", "rmse", "log_density"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def fold_moments(df: DataFrame, columns: Mapping[str, F.Column], fold_key: str, k: int = 5) -> dict[int, Moments]:
+    """Moments of every fold: all that fits, comparisons and predictions of any form need, from one read."""
+    rows = moment_table(df, columns, [fold_of(fold_key, k).alias("fold")]).collect()  # k rows at most
+    return {r["fold"]: Moments.of(columns, r) for r in rows}
+
+
+def compare_forms(spark, folds: Mapping[int, Moments], forms: Mapping[str, Sequence[str]], y: str) -> DataFrame:
+    """k-fold comparison: model, fold, n_test, rmse, log_density, and per model its summed
+    log density and rank (1: best).  Each fold's rows are predicted by the fit on the others;
+    both come from moments, so no row is read again."""
+    out = []
+    for model, terms in forms.items():
+        names = [*terms, y]
+        for fold, held in sorted(folds.items()):
+            others = [m for f, m in folds.items() if f != fold]
+            if not others:
+                raise ValueError("a comparison needs rows in two folds at least")
+            fit = ols_of(merge_all(others).part(names))
+            sse = held.part(names).squared_error(fit.beta)
+            out.append((model, fold, int(held.n), math.sqrt(sse / held.n), log_density(held.n, sse, fit.sigma2)))
+    total = {m: sum(r[4] for r in out if r[0] == m) for m in forms}
+    rank = {m: 1 + sum(t > total[m] for t in total.values()) for m in forms}
+    rows = [(m, f, n, round(e, 6), round(d, 4), round(total[m], 4), rank[m]) for m, f, n, e, d in out]
+    return spark.createDataFrame(
+        rows, "model string, fold int, n_test long, rmse double, log_density double, model_log_density double, model_rank int"
+    )
 
 
 def interaction_terms(numeric: Mapping[str, F.Column], factors: Mapping[str, tuple[F.Column, Sequence]]) -> dict[str, F.Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoscope.operators import chat
@@ -14,6 +17,7 @@ from convoscope.plans.registry import register
 from convoscope.sources.tables import table
 
 K_FOLDS = 5
+NESTED_ROUNDS = 6
 GRID_N = 6
 
 
@@ -25,8 +29,7 @@ _REP_SQL = """, rep AS (SELECT * FROM (SELECT dataset_id, condition_id, game_id,
    CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS total_num_words
  FROM mm WHERE role = 'describer' AND NOT coalesce(message_irrelevant, false) AND text IS NOT NULL
  GROUP BY dataset_id, condition_id, game_id, trial_num, rep_num, target, group_size, structure, option_size, stage_num)
- WHERE total_num_words IS NOT NULL),
- repl AS (SELECT *, ln(CAST(rep_num AS DOUBLE)) AS log_rep, ln(CAST(trial_num AS DOUBLE)) AS log_trial FROM rep)
+ WHERE total_num_words IS NOT NULL)
 """
 
 
@@ -35,99 +38,180 @@ def _sql(body: str) -> str:
     return head + _STAR_SQL + _MERGED_SQL + _REP_SQL + body
 
 
-def _fit_cte(name: str, x1: str, x2: str, src: str) -> str:
-    m = md.moment_sql(x1, x2, "total_num_words")
-    e = md.ols3_exprs()
-    mom = ", ".join(f"{v} AS {k}" for k, v in m.items())
-    fit = ", ".join(f"{v} AS {k}" for k, v in e.items())
-    return f", {name}_m AS (SELECT {mom} FROM {src}),\n {name} AS (SELECT n, {fit} FROM {name}_m)\n"
+def _terms_sql(model: str) -> list[str]:
+    rep, trial = "CAST(rep_num AS DOUBLE)", "CAST(trial_num AS DOUBLE)"
+    return {
+        "linear": [rep, trial],
+        "logarithmic": [f"ln({rep})", f"ln({trial})"],
+        "quadratic": [rep, f"{rep} * {rep}", trial, f"{trial} * {trial}"],
+    }[model]
+
+
+def _sweep_sql(name: str, src: str, p: int, by: str = "") -> str:
+    """CTEs that fit y on x0..x(p-1) of ``src`` by sweeping the centred cross-products once per term.
+    The last one, ``name``, has n, means m_i and my, slopes b_i, sse, and the inverse as i_i_j."""
+    var = [*(f"x{i}" for i in range(p)), "y"]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    first = ", ".join(f"covar_pop({var[i]}, {var[j]}) * count(*) AS a_{i}_{j}" for i, j in pairs)
+    means = ", ".join(f"avg({v}) AS m{v}" for v in var)
+    keep = key + "n, " + ", ".join(f"m{v}" for v in var)
+    out = [f"{name}_s0 AS (SELECT {key}CAST(count(*) AS DOUBLE) AS n, {means}, {first} FROM {src}{group})"]
+    at = lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+    for k in range(p):
+        d = at(k, k)
+        cells = []
+        for i, j in pairs:
+            if i == k and j == k:
+                e = f"-1 / {d}"
+            elif k in (i, j):
+                e = f"{at(i, j)} / {d}"
+            else:
+                e = f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {d}"
+            cells.append(f"{e} AS {at(i, j)}")
+        out.append(f"{name}_s{k + 1} AS (SELECT {keep}, {', '.join(cells)} FROM {name}_s{k})")
+    slopes = ", ".join(f"{at(i, p)} AS b{i}" for i in range(p))
+    inverse = ", ".join(f"-{at(i, j)} AS i_{i}_{j}" for i in range(p) for j in range(i, p))
+    icpt = "my - (" + " + ".join(f"{at(i, p)} * mx{i}" for i in range(p)) + ")"
+    out.append(
+        f"{name} AS (SELECT {keep}, {icpt} AS b, {slopes}, {inverse}, {at(p, p)} AS sse, {at(p, p)} / (n - {p + 1}) AS sigma2 FROM {name}_s{p})"
+    )
+    return ", " + ",\n ".join(out)
+
+
+def _form_src(model: str, extra: str = "") -> str:
+    cols = ", ".join(f"{t} AS x{i}" for i, t in enumerate(_terms_sql(model)))
+    return f"(SELECT {extra}{cols}, CAST(total_num_words AS DOUBLE) AS y FROM rep)"
+
+
+def _quad(p: int, x: list[str]) -> str:
+    """x' inverse x, from the upper half of the inverse."""
+    return " + ".join(f"{'' if i == j else '2 * '}i_{i}_{j} * {x[i]} * {x[j]}" for i in range(p) for j in range(i, p))
 
 
-def _coef_sql(fit: str, model: str, names) -> str:
-    parts = [
-        f"SELECT '{model}' AS model, '{nm}' AS term, round(b{i}, 6) AS estimate, round(se{i}, 6) AS std_error, CAST(n AS BIGINT) AS n, round(r2, 6) AS r2 FROM {fit}"
-        for i, nm in enumerate(names)
-    ]
-    return "\nUNION ALL ".join(parts)
+def _coef_sql(model: str, r2: bool) -> str:
+    terms = md.FORMS[model]
+    p = len(terms)
+    name = model[:4]
+    end = f", CAST(n AS BIGINT) AS n{', round(1 - sse / syy, 6) AS r2' if r2 else ''} FROM {name}, (SELECT covar_pop(y, y) * count(*) AS syy FROM {_form_src(model)})"
+    means = [f"mx{i}" for i in range(p)]
+    parts = [f"SELECT '{model}' AS model, 'intercept' AS term, round(b, 6) AS estimate, round(sqrt(sigma2 * (1 / n + {_quad(p, means)})), 6) AS std_error{end}"]
+    parts += [f"SELECT '{model}', '{t}', round(b{i}, 6), round(sqrt(sigma2 * i_{i}_{i}), 6){end}" for i, t in enumerate(terms)]
+    return _sweep_sql(name, _form_src(model), p) + "\n" + "\nUNION ALL ".join(parts)
 
 
-LIN_TERMS = ["intercept", "rep_num", "trial_num"]
-LOG_TERMS = ["intercept", "log_rep", "log_trial"]
+def _trial_key() -> F.Column:
+    return F.concat_ws("/", "dataset_id", "game_id", F.col("trial_num").cast("string"), F.col("rep_num").cast("string"))
 
 
-@register("form_lin_fit", _sql(_fit_cte("lin", "rep_num", "trial_num", "rep") + _coef_sql("lin", "linear", LIN_TERMS)), bench=True)
+def _moments(df) -> md.Moments:
+    """Moments of the columns of all forms: one read."""
+    columns = {**md.form_terms(), "total_num_words": F.col("total_num_words")}
+    return md.Moments.of(columns, md.moment_table(df, columns).first())
+
+
+def _fit(moments: md.Moments, model: str) -> md.Ols:
+    return md.ols_of(moments.part([*md.FORMS[model], "total_num_words"]))
+
+
+@register("form_lin_fit", _sql(_coef_sql("linear", True)), bench=True)
 def q_form_lin_fit(spark, sf_dir):
-    return md.coef_table(md.ols3_fit(rep_df(spark, sf_dir), "rep_num", "trial_num", "total_num_words"), "linear", LIN_TERMS)
+    return md.coef_table(spark, _fit(_moments(rep_df(spark, sf_dir)), "linear"), "linear")
 
 
-@register("form_log_fit", _sql(_fit_cte("lg", "log_rep", "log_trial", "repl") + _coef_sql("lg", "logarithmic", LOG_TERMS)))
+@register("form_log_fit", _sql(_coef_sql("logarithmic", True)))
 def q_form_log_fit(spark, sf_dir):
-    d = md.with_log_terms(rep_df(spark, sf_dir))
-    return md.coef_table(md.ols3_fit(d, "log_rep", "log_trial", "total_num_words"), "logarithmic", LOG_TERMS)
+    return md.coef_table(spark, _fit(_moments(rep_df(spark, sf_dir)), "logarithmic"), "logarithmic")
 
 
-def _pred_sql(fit: str, model: str, x1: str, x2: str) -> str:
-    q = (
-        f"(f.i00 + 2 * f.i01 * {x1} + 2 * f.i02 * {x2} + f.i11 * {x1} * {x1} + 2 * f.i12 * {x1} * {x2} + f.i22 * {x2} * {x2})"
-    )
-    fitv = f"(f.b0 + f.b1 * {x1} + f.b2 * {x2})"
-    se = f"sqrt(f.sigma2 * {q})"
-    return f"""SELECT '{model}' AS model, g.rep_num, round(g.trial_num, 6) AS trial_num, round({fitv}, 6) AS estimate,
-  round({fitv} - {md.Z95} * {se}, 6) AS q2_5, round({fitv} + {md.Z95} * {se}, 6) AS q97_5 FROM grid g JOIN {fit} f ON true"""
+@register("form_quad_fit", _sql(_coef_sql("quadratic", False)))
+def q_form_quad_fit(spark, sf_dir):
+    return md.ols_table(spark, _fit(_moments(rep_df(spark, sf_dir)), "quadratic"), "quadratic")
 
 
 _GRID_SQL = f""", grid AS (SELECT CAST(range + 1 AS INTEGER) AS rep_num, 6.0::DOUBLE + range * (60.0::DOUBLE / {GRID_N - 1}) AS trial_num FROM range(0, {GRID_N}))
 """
 
 
-@register(
-    "form_pred_grid",
-    _sql(
-        _fit_cte("lin", "rep_num", "trial_num", "rep")
-        + _fit_cte("lg", "log_rep", "log_trial", "repl")
-        + _GRID_SQL
-        + _pred_sql("lin", "linear", "CAST(g.rep_num AS DOUBLE)", "g.trial_num")
-        + "\nUNION ALL "
-        + _pred_sql("lg", "logarithmic", "ln(CAST(g.rep_num AS DOUBLE))", "ln(g.trial_num)")
-    ),
-)
+def _pred_sql(models) -> str:
+    ctes, parts = "", []
+    for model in models:
+        p, name = len(md.FORMS[model]), model[:4]
+        ctes += _sweep_sql(name, _form_src(model), p)
+        x = [t.replace("rep_num", "g.rep_num").replace("trial_num", "g.trial_num") for t in _terms_sql(model)]
+        mean = "(b + " + " + ".join(f"b{i} * {t}" for i, t in enumerate(x)) + ")"
+        half = f"{md.Z95} * sqrt(sigma2 * (1 / n + {_quad(p, [f'({t} - mx{i})' for i, t in enumerate(x)])}))"
+        parts.append(
+            f"SELECT '{model}' AS model, g.rep_num, round(g.trial_num, 6) AS trial_num, round({mean}, 6) AS estimate, "
+            f"round({mean} - {half}, 6) AS q2_5, round({mean} + {half}, 6) AS q97_5 FROM grid g, {name}"
+        )
+    return ctes + _GRID_SQL + "\nUNION ALL ".join(parts)
+
+
+def _predictions(spark, sf_dir, models):
+    moments, grid = _moments(rep_df(spark, sf_dir)), md.pred_grid(spark, GRID_N)
+    parts = [md.ols_predict(_fit(moments, m), grid, {t: md.form_terms()[t] for t in md.FORMS[m]}, m) for m in models]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("form_pred_grid", _sql(_pred_sql(md.FORMS)))
 def q_form_pred_grid(spark, sf_dir):
-    d = rep_df(spark, sf_dir)
-    grid = md.pred_grid(spark, GRID_N)
-    lin = md.predict(md.ols3_fit(d, "rep_num", "trial_num", "total_num_words"), grid,
-                     F.col("rep_num").cast("double"), F.col("trial_num"), "linear")
-    dl = md.with_log_terms(d)
-    lg = md.predict(md.ols3_fit(dl, "log_rep", "log_trial", "total_num_words"), grid,
-                    F.ln(F.col("rep_num").cast("double")), F.ln(F.col("trial_num")), "logarithmic")
-    return lin.unionByName(lg)
-
-
-def _cv_sql(model: str, x1: str, x2: str, src: str) -> str:
-    m = md.moment_sql(x1, x2, "total_num_words")
-    e = md.ols3_exprs()
-    cols = list(m)
-    mom = ", ".join(f"{v} AS {k}" for k, v in m.items())
-    tot = ", ".join(f"sum({c}) OVER () - {c} AS {c}" for c in cols)
-    fit = ", ".join(f"{e[c]} AS {c}" for c in ("b0", "b1", "b2", "sigma2"))
+    return _predictions(spark, sf_dir, md.FORMS)
+
+
+@register("form_quad_pred_grid", _sql(_pred_sql(["quadratic"])))
+def q_form_quad_pred_grid(spark, sf_dir):
+    return _predictions(spark, sf_dir, ["quadratic"])
+
+
+def _compare_sql(models) -> str:
     key = "dataset_id || '/' || game_id || '/' || CAST(trial_num AS VARCHAR) || '/' || CAST(rep_num AS VARCHAR)"
-    d = f"(SELECT *, CAST(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {K_FOLDS} AS INTEGER) AS fold FROM {src})"
-    r = f"(CAST(x.total_num_words AS DOUBLE) - (c.b0 + c.b1 * x.{x1} + c.b2 * x.{x2}))"
-    return f"""SELECT '{model}' AS model, x.fold, count(*) AS n_test, round(sqrt(avg({r} * {r})), 6) AS rmse,
-  round(sum(-0.5 * ln(2 * pi() * c.sigma2) - {r} * {r} / (2 * c.sigma2)), 6) AS log_density
-FROM {d} x JOIN (SELECT fold, {fit} FROM (SELECT fold, {tot} FROM (SELECT fold, {mom} FROM {d} GROUP BY fold))) c ON x.fold = c.fold
-GROUP BY x.fold"""
+    fold = f"CAST(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {K_FOLDS} AS INTEGER) AS fold, "
+    ctes, parts = "", []
+    for model in models:
+        p, name = len(md.FORMS[model]), model[:4]
+        ctes += f", {name}_d AS {_form_src(model, fold)},\n {name}_t AS (SELECT f.fold AS held, d.* FROM (SELECT DISTINCT fold FROM {name}_d) f JOIN {name}_d d ON d.fold <> f.fold)"
+        ctes += _sweep_sql(name, f"{name}_t", p, "held")
+        r = "(d.y - (c.b + " + " + ".join(f"c.b{i} * d.x{i}" for i in range(p)) + "))"
+        parts.append(
+            f"SELECT '{model}' AS model, d.fold, count(*) AS n_test, sqrt(avg({r} * {r})) AS rmse, "
+            f"sum(-0.5 * ln(2 * pi() * c.sigma2) - {r} * {r} / (2 * c.sigma2)) AS log_density FROM {name}_d d JOIN {name} c ON c.held = d.fold GROUP BY d.fold"
+        )
+    ctes += ", cv AS (" + "\nUNION ALL ".join(parts) + ")"
+    ctes += ", tot AS (SELECT model, sum(log_density) AS t, CAST(rank() OVER (ORDER BY sum(log_density) DESC) AS INTEGER) AS model_rank FROM cv GROUP BY model)"
+    return (
+        ctes + " SELECT model, fold, n_test, round(rmse, 6) AS rmse, round(log_density, 4) AS log_density, "
+        "round(t, 4) AS model_log_density, model_rank FROM cv JOIN tot USING (model)"
+    )
 
 
-@register(
-    "form_compare",
-    _sql(_cv_sql("linear", "rep_num", "trial_num", "rep") + "\nUNION ALL " + _cv_sql("logarithmic", "log_rep", "log_trial", "repl")),
-)
+def _comparison(spark, sf_dir, models):
+    columns = {**md.form_terms(), "total_num_words": F.col("total_num_words")}
+    d = rep_df(spark, sf_dir).withColumn("trial_key", _trial_key())
+    folds = md.fold_moments(d, columns, "trial_key", K_FOLDS)
+    return md.compare_forms(spark, folds, {m: md.FORMS[m] for m in models}, "total_num_words")
+
+
+@register("form_compare", _sql(_compare_sql(md.FORMS)))
 def q_form_compare(spark, sf_dir):
-    trial = F.concat_ws("/", "dataset_id", "game_id", F.col("trial_num").cast("string"), F.col("rep_num").cast("string"))
-    d = rep_df(spark, sf_dir).withColumn("trial_key", trial)
-    lin = md.cross_validate(d, "rep_num", "trial_num", "total_num_words", "linear", "trial_key", K_FOLDS)
-    lg = md.cross_validate(md.with_log_terms(d), "log_rep", "log_trial", "total_num_words", "logarithmic", "trial_key", K_FOLDS)
-    return lin.unionByName(lg)
+    return _comparison(spark, sf_dir, md.FORMS)
+
+
+@register("form_quad_compare", _sql(_compare_sql(["quadratic"])))
+def q_form_quad_compare(spark, sf_dir):
+    return _comparison(spark, sf_dir, ["quadratic"])
+
+
+@register("nested_shrinkage")
+def q_nested_shrinkage(spark, sf_dir):
+    """Intercept and both slopes of every dataset, condition and game, shrunk level by level."""
+    from convoscope.operators import nested
+
+    levels = ["dataset_id", "condition_id", "game_id"]
+    terms = {"rep_num": F.col("rep_num"), "trial_num": F.col("trial_num")}
+    model = nested.fit(rep_df(spark, sf_dir), levels, terms, F.col("total_num_words"), rounds=NESTED_ROUNDS)
+    rounded = [F.round(c, 6).alias(c) for c in model.terms]
+    return nested.coefficients(model).select("level", *levels, "n", *rounded)
 
 
 @register(
@@ -149,25 +233,6 @@ def q_group_shrinkage(spark, sf_dir):
     return md.group_shrinkage(rep_df(spark, sf_dir), "dataset_id", "rep_num", "total_num_words")
 
 
-@register("form_quad_fit")
-def q_form_quad_fit(spark, sf_dir):
-    fit = md.ols(rep_df(spark, sf_dir), md.quadratic_terms(), F.col("total_num_words"))
-    return md.ols_table(spark, fit, "quadratic")
-
-
-@register("form_quad_pred_grid")
-def q_form_quad_pred_grid(spark, sf_dir):
-    fit = md.ols(rep_df(spark, sf_dir), md.quadratic_terms(), F.col("total_num_words"))
-    return md.ols_predict(fit, md.pred_grid(spark, GRID_N), md.quadratic_terms(), "quadratic")
-
-
-@register("form_quad_compare")
-def q_form_quad_compare(spark, sf_dir):
-    trial = F.concat_ws("/", "dataset_id", "game_id", F.col("trial_num").cast("string"), F.col("rep_num").cast("string"))
-    d = rep_df(spark, sf_dir).withColumn("trial_key", trial)
-    return md.ols_cross_validate(d, md.quadratic_terms(), "total_num_words", "quadratic", "trial_key", K_FOLDS)
-
-
 @register("form_interactions")
 def q_form_interactions(spark, sf_dir):
     """log(response) ~ round * size * structure over ``lineitem``, which has rows in every cell:

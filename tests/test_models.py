@@ -11,14 +11,26 @@ def test_closed_form_ols_matches_lstsq(spark):
     x2 = rng.integers(1, 73, 400)
     y = 30 - 2.5 * x1 + 0.1 * x2 + rng.normal(0, 3, 400)
     df = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(x1, x2, y)], "x1 int, x2 int, y double")
-    fit = md.ols3_fit(df, "x1", "x2", "y").collect()[0]
+    fit = md.ols(df, {"x1": F.col("x1"), "x2": F.col("x2")}, F.col("y"))
     X = np.column_stack([np.ones(400), x1, x2])
     beta, *_ = np.linalg.lstsq(X, y, rcond=None)
     resid = y - X @ beta
     s2 = resid @ resid / (400 - 3)
     se = np.sqrt(s2 * np.diag(np.linalg.inv(X.T @ X)))
-    assert np.allclose([fit["b0"], fit["b1"], fit["b2"]], beta, atol=1e-8)
-    assert np.allclose([fit["se0"], fit["se1"], fit["se2"]], se, atol=1e-8)
+    table = md.coef_table(spark, fit, "m").collect()
+    assert np.allclose([r.estimate for r in table], beta, atol=1e-6)
+    assert np.allclose([r.std_error for r in table], se, atol=1e-6)
+    assert np.isclose(table[0].r2, 1 - resid @ resid / ((y - y.mean()) ** 2).sum(), atol=1e-6)
+
+
+def test_fit_far_from_zero(spark):
+    """A response and a term with means a million times their spread."""
+    rng = np.random.default_rng(9)
+    x = 1e6 + rng.normal(size=2000)
+    y = 3e6 + 2 * (x - 1e6) + rng.normal(size=2000) * 0.1
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(7)
+    fit = md.ols(df, {"x": F.col("x")}, F.col("y"))
+    assert abs(fit.beta[1] - 2) < 0.01 and abs(fit.sigma2 - 0.01) < 0.001 and abs(fit.r2 - 0.9975) < 0.001
 
 
 def test_irls_logit(spark):
@@ -90,11 +102,31 @@ def test_quadratic_folds_match_numpy(spark):
 
     df, X, y = _frame(spark)
     fold = np.array([int(hashlib.md5(f"k{i}".encode()).hexdigest()[:8], 16) % 5 for i in range(len(y))])
-    got = {r.fold: r for r in md.ols_cross_validate(df, md.quadratic_terms(), "y", "q", "key").collect()}
+    columns = {**md.form_terms(), "y": F.col("y")}
+    folds = md.fold_moments(df, columns, "key")
+    rows = md.compare_forms(spark, folds, md.FORMS, "y").collect()
+    got = {r.fold: r for r in rows if r.model == "quadratic"}
+    total = 0.0
     for k in range(5):
         beta, *_ = np.linalg.lstsq(X[fold != k], y[fold != k], rcond=None)
+        s2 = ((y[fold != k] - X[fold != k] @ beta) ** 2).sum() / ((fold != k).sum() - 5)
         r = y[fold == k] - X[fold == k] @ beta
+        density = (-0.5 * np.log(2 * np.pi * s2) - r * r / (2 * s2)).sum()
+        total += density
         assert got[k].n_test == len(r) and np.isclose(got[k].rmse, np.sqrt((r**2).mean()), atol=1e-5)
+        assert np.isclose(got[k].log_density, density, atol=1e-3)
+    assert np.isclose(got[0].model_log_density, total, atol=1e-3)
+    assert {r.model: r.model_rank for r in rows}["quadratic"] == 1  # the rows are quadratic
+    assert sorted({r.model: r.model_rank for r in rows}.values()) == [1, 2, 3]
+
+
+def test_forms_share_one_read(spark, tmp_path):
+    df, *_ = _frame(spark)
+    df.write.parquet(f"{tmp_path}/t")
+    columns = {**md.form_terms(), "y": F.col("y")}
+    table = md.moment_table(spark.read.parquet(f"{tmp_path}/t"), columns, [md.fold_of("key").alias("fold")])
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
 
 
 def test_rank_deficient_terms_raise(spark):
