@@ -4,14 +4,10 @@ JVM-side); no Python runs per row."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
-import pandas as pd
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
 def _c(x) -> Column:
@@ -92,126 +88,71 @@ def fuzzy_k(pattern) -> Column:
     return F.ceil(F.length(_c(pattern)) * F.lit(0.1)).cast("int")
 
 
-def fuzzy_quick(pattern, text) -> Column:
-    """The cheap part of approximate containment: TRUE when the pattern occurs
-    exactly or is no longer than its edit budget, FALSE when no pigeonhole
-    piece occurs (then no match is possible), NULL when undecided."""
-    p, t = _c(pattern), F.coalesce(_c(text), F.lit(""))
-    m = F.length(p)
-    k = fuzzy_k(p)
+def _occurrences(text: Column, piece: Column) -> Column:
+    """0-based positions of a piece in the text, overlapping ones too: the text is cut before each
+    occurrence (a look-ahead takes no characters) and the lengths are summed."""
+    literal = F.regexp_replace(piece, "([^A-Za-z0-9 ])", r"\\$1")
+    cuts = F.split(text, F.concat(F.lit("(?=("), literal, F.lit("))")), -1)
+    # a cut yields no empty part in front, so the first part begins with the piece if the text does
+    lengths = F.transform(cuts, F.length)
+    starts = F.aggregate(
+        lengths,
+        F.array(F.lit(0)),
+        lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)),
+    )
+    inner = F.slice(starts, 2, F.greatest(F.size(starts) - 2, F.lit(0)))
+    return F.when(F.startswith(text, piece), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(1)))).otherwise(inner)
 
-    def piece(j):
-        start = F.floor(j * m / (k + 1)).cast("int")
-        end = F.floor((j + 1) * m / (k + 1)).cast("int")
-        return F.substring(p, start + 1, end - start)
 
-    pigeonhole = F.exists(F.sequence(F.lit(0), k), lambda j: F.contains(t, piece(j)))
-    return F.when(F.contains(t, p) | (m <= k), F.lit(True)).when(~pigeonhole, F.lit(False))
+def _nearest(pattern: Column, k: Column, candidates: Column) -> Column:
+    """The least edit distance of the pattern to one of the candidates, NULL if all are above k."""
+    distance = F.transform(candidates, lambda c: F.call_function("levenshtein", pattern, c, k))
+    return F.array_min(F.filter(distance, lambda d: d >= 0))
 
 
 def fuzzy_contains(pattern, text) -> Column:
     """True when some substring of ``text`` is within Levenshtein distance
     k = ceil(0.1 * len(pattern)) of ``pattern`` (approximate containment, all
-    edit costs 1).
-
-    Exact for the <= k decision: a matching substring has a length within
-    m-k..m+k, so every start position and every such length is tried with the
-    banded ``levenshtein(a, b, k)``.  Cheap tests run first: exact containment,
-    a pattern no longer than k (the empty substring matches), and the pigeonhole
-    filter -- cut the pattern into k+1 pieces; a match must contain one of
-    them verbatim.
+    edit costs 1).  NULL patterns give NULL, NULL texts count as empty.
+
+    Exact containment, and a pattern no longer than k (the empty substring
+    matches), are told first.  Else the pattern is cut into k + 1 pieces: k edits
+    leave one of them whole, so every match holds a piece verbatim, and only the
+    places where a piece occurs are looked at.  There the match splits: what stands
+    before the piece must be near some end of the text before it, what follows near
+    some beginning of the text behind it, and both distances together are at most k.
+    A place costs about 4k banded ``levenshtein`` calls, however long the text is.
     """
     p, t = _c(pattern), F.coalesce(_c(text), F.lit(""))
     m = F.length(p)
     k = fuzzy_k(p)
 
-    def piece(j):
-        start = F.floor(j * m / (k + 1)).cast("int")
-        end = F.floor((j + 1) * m / (k + 1)).cast("int")
-        return F.substring(p, start + 1, end - start)
-
-    pigeonhole = F.exists(F.sequence(F.lit(0), k), lambda j: F.contains(t, piece(j)))
-    n = F.length(t)
-    windows = F.exists(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.exists(
-            F.sequence(F.greatest(m - k, F.lit(0)), m + k),
-            lambda ln: F.call_function("levenshtein", p, F.substring(t, i, ln), k) >= 0,
-        ),
-    )
-    return F.when(p.isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.contains(t, p) | (m <= k) | (pigeonhole & windows)
-    )
-
-
-def fuzzy_contains_reference(pattern: str, text: str) -> bool:
-    """Plain dynamic-programming approximate substring match (for tests):
-    min over substrings of the edit distance, compared with k."""
-    import math
-
-    k = math.ceil(0.1 * len(pattern))
-    m = len(pattern)
-    prev = list(range(m + 1))  # column for the empty text prefix
-    best = prev[m]
-    for ch in text:
-        cur = [0] * (m + 1)  # a match may start anywhere: row 0 is free
-        for i in range(1, m + 1):
-            cur[i] = min(prev[i] + 1, cur[i - 1] + 1, prev[i - 1] + (pattern[i - 1] != ch))
-        best = min(best, cur[m])
-        prev = cur
-    return best <= k
-
-
-def approx_within(pattern: str, text: str, k: int) -> bool:
-    """Is some substring of ``text`` within edit distance ``k`` of ``pattern``?
-    Myers' bit-parallel algorithm (search form: a match may start anywhere),
-    one machine-word-style step per text character on Python integers, so a
-    pattern of any length costs O(len(text) * len(pattern) / 64)."""
-    m = len(pattern)
-    if m <= k:
-        return True
-    peq: dict[str, int] = {}
-    for i, ch in enumerate(pattern):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
-    mask = (1 << m) - 1
-    high = 1 << (m - 1)
-    pv, mv, score = mask, 0, m
-    for ch in text:
-        eq = peq.get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & mask)
-        mh = pv & xh
-        if ph & high:
-            score += 1
-        elif mh & high:
-            score -= 1
-        ph = (ph << 1) & mask
-        mh = (mh << 1) & mask
-        pv = mh | (~(xv | ph) & mask)
-        mv = ph & xv
-        if score <= k:
-            return True
-    return False
-
-
-def _fuzzy_long_batch(pattern: pd.Series, text: pd.Series) -> pd.Series:
-    out = []
-    for p, t in zip(pattern, text):
-        if p is None:
-            out.append(None)
-        else:
-            out.append(approx_within(p, t if isinstance(t, str) else "", math.ceil(0.1 * len(p))))
-    return pd.Series(out, dtype=object)
-
-
-_FUZZY_LONG = None
-
-
-def fuzzy_contains_long(pattern, text) -> Column:
-    """Approximate containment for long patterns, Arrow-batched: same rule as
-    ``fuzzy_contains`` (k = ceil(0.1 * len)), decided by ``approx_within``."""
-    global _FUZZY_LONG
-    if _FUZZY_LONG is None:  # built on first use: a UDF needs a live session
-        _FUZZY_LONG = pandas_udf(_fuzzy_long_batch, "boolean")
-    return _FUZZY_LONG(_c(pattern), _c(text))
+    def begin(j):
+        return F.floor(j * m / (k + 1)).cast("int")
+
+    def at_piece(j):
+        length = begin(j + 1) - begin(j)
+        piece = F.substring(p, begin(j) + 1, length)
+        head, tail = F.substring(p, F.lit(1), begin(j)), F.substring(p, begin(j + 1) + 1, m)
+
+        def matches(at):
+            reach = begin(j) + k  # no more of the text in front can take part
+            front = F.substring(t, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, reach))
+            back = F.substring(t, at + length + 1, m - begin(j + 1) + k)
+            # the shortest and longest texts that can be within k edits; none, if too few characters are left
+            ends = lambda part, near: F.when(
+                F.length(part) >= F.length(near) - k,
+                F.sequence(F.greatest(F.length(near) - k, F.lit(0)), F.least(F.length(near) + k, F.length(part))),
+            ).otherwise(F.array().cast("array<int>"))
+            before = F.transform(ends(front, head), lambda n: F.substring(front, F.length(front) - n + 1, n))
+            after = F.transform(ends(back, tail), lambda n: F.substring(back, F.lit(1), n))
+            return F.exists(
+                F.array(_nearest(head, k, before)),
+                lambda d: F.when(d.isNull(), False).otherwise(F.coalesce(d + _nearest(tail, k, after) <= k, F.lit(False))),
+            )
+
+        return F.when(F.contains(t, piece), F.exists(_occurrences(t, piece), matches)).otherwise(F.lit(False))
+
+    seeds = F.exists(F.sequence(F.lit(0), k), at_piece)
+    found = F.when(F.contains(t, p) | (m <= k), F.lit(True)).otherwise(seeds)
+    return F.when(p.isNotNull(), found)

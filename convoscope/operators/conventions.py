@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convoscope.functions.text import clean_text, fuzzy_contains, fuzzy_contains_long, fuzzy_quick
+from convoscope.functions.text import clean_text, fuzzy_contains
 from convoscope.operators.joins import broadcast_if_small, join_null_safe
 from convoscope.operators.quantiles import exact_quantiles
 from convoscope.operators.star import last_round
@@ -55,42 +55,21 @@ def conventions(base: DataFrame) -> DataFrame:
     return out.where(F.col("convention") != "")
 
 
-FUZZY_UDF_MIN_LEN = 64
-
-
-def _flags(joined: DataFrame, dedupe: bool = True, udf_min_len: int = FUZZY_UDF_MIN_LEN, fuzzy: bool = True) -> DataFrame:
+def _flags(joined: DataFrame, dedupe: bool = True, fuzzy: bool = True) -> DataFrame:
     """Exact and approximate containment of the convention in the text.
 
     Without ``fuzzy`` only the exact flag, a built-in expression in the row.
-
     With ``dedupe`` the (text, convention) pairs are matched once and joined
     back: short utterances repeat a lot, and the approximate test is the
-    expensive part of the plan.  Pairs settled by the cheap checks (exact
-    occurrence, pigeonhole filter) and short patterns are decided by built-in
-    expressions; the undecided pairs with patterns of ``udf_min_len`` or more
-    characters -- where the window search grows roughly with m^3 -- go to the
-    bit-parallel matcher in an Arrow-batched UDF (linear in the text)."""
+    expensive part of the plan.  Both flags are built-in expressions."""
+    base = F.contains("text", "convention").cast("int").alias("base_regex")
     if not fuzzy:
-        return joined.withColumn("base_regex", F.contains("text", "convention").cast("int"))
+        return joined.select("*", base)
+    near = fuzzy_contains(F.col("convention"), F.col("text")).cast("int").alias("fuzzy_regex")
     if not dedupe:
-        return joined.withColumn("base_regex", F.contains("text", "convention").cast("int")).withColumn(
-            "fuzzy_regex", fuzzy_contains(F.col("convention"), F.col("text")).cast("int")
-        )
-    pairs = joined.select("text", "convention").distinct()
-    pre = pairs.select(
-        "text", "convention",
-        F.contains("text", "convention").cast("int").alias("base_regex"),
-        fuzzy_quick(F.col("convention"), F.col("text")).alias("quick"),
-    )
-    short = pre.where(F.col("quick").isNotNull() | (F.length("convention") < udf_min_len)).select(
-        "text", "convention", "base_regex",
-        F.coalesce(F.col("quick"), fuzzy_contains(F.col("convention"), F.col("text"))).cast("int").alias("fuzzy_regex"),
-    )
-    long = pre.where(F.col("quick").isNull() & (F.length("convention") >= udf_min_len)).select(
-        "text", "convention", "base_regex",
-        fuzzy_contains_long(F.col("convention"), F.col("text")).cast("int").alias("fuzzy_regex"),
-    )
-    return joined.join(short.unionByName(long), ["text", "convention"], "inner")
+        return joined.select("*", base, near)
+    pairs = joined.select("text", "convention").distinct().select("text", "convention", base, near)
+    return joined.join(pairs, ["text", "convention"], "inner")
 
 
 def _same(joined: DataFrame) -> DataFrame:
@@ -129,9 +108,23 @@ def earliest(occ: DataFrame, flag: str, describer_only: bool) -> DataFrame:
 
 
 def locf(df: DataFrame, value: str, partition: Sequence[str], order: Sequence[str], alias: str) -> DataFrame:
-    """Forward fill: the last non-NULL value so far within the partition."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(alias, F.last(F.col(value), ignorenulls=True).over(w))
+    """Forward fill: the last non-NULL value so far within the partition.
+
+    A segmented scan, so that no partition of the data needs a task of its own: rows
+    are range-partitioned by (partition, order) and written once; each range fills what
+    it holds; the last value that a range has of a partition, one row each, is carried to
+    the ranges behind it.  Rows of equal order are always in one range."""
+    partition, order = list(partition), list(order)
+    ranged = df.repartitionByRange(*partition, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    local = Window.partitionBy("__range", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = ranged.withColumn("__local", F.last(F.col(value), ignorenulls=True).over(local))
+    position = F.struct(*order)
+    last = ranged.groupBy("__range", *partition).agg(F.max_by(value, F.when(F.col(value).isNotNull(), position)).alias("__last"))
+    earlier = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("__range", *partition, F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    out = join_null_safe(filled, carried.where(F.col("__carried").isNotNull()), ["__range", *partition], "left")
+    kept = [c for c in df.columns if c != alias]
+    return out.select(*kept, F.coalesce("__local", "__carried").alias(alias))
 
 
 def survival_locf(occ: DataFrame, flag: str = "fuzzy_regex") -> DataFrame:

@@ -72,10 +72,10 @@ def test_first_share_sums_to_one(spark):
     assert {r["first"] for r in s.collect()} == {"1", "2", "7+", "3"}
 
 
-def test_long_pattern_route_equals_dynamic_programming(spark):
+def test_flags_equal_dynamic_programming(spark):
     import random
 
-    from convoscope.functions.text import fuzzy_contains_reference
+    from tests.approx import fuzzy_contains_reference
 
     random.seed(5)
     rows = []
@@ -84,7 +84,32 @@ def test_long_pattern_route_equals_dynamic_programming(spark):
         t = "".join(random.choice("ab ") for _ in range(random.randint(0, 60)))
         rows.append((t, p, int(fuzzy_contains_reference(p, t))))
     df = spark.createDataFrame(rows, "text string, convention string, expected int")
-    for min_len in (0, 10, 1000):  # everything long / mixed / everything short
-        got = cv._flags(df, udf_min_len=min_len)
+    for dedupe in (True, False):
+        got = cv._flags(df, dedupe)
         assert got.where(F.col("fuzzy_regex") != F.col("expected")).count() == 0
         assert got.count() == len(rows)
+
+
+def test_forward_fill_of_a_group_that_spans_tasks(spark):
+    """Half of all rows are one group; the fill crosses range borders, long gaps and ties."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("hot" if k % 2 else (None if k % 10 == 0 else f"g{k % 7}"), k // 3, k, rng.choice([None] * 30 + [1, 2])) for k in range(6000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, at int, n int, v int").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        out = cv.locf(df, "v", ["g"], ["at", "n"], "filled")
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.columns == ["g", "at", "n", "v", "filled"]
+    want, last = {}, {}
+    for g, at, n, v in sorted(rows, key=lambda r: (r[0] or "", r[0] is None, r[1], r[2])):
+        last[g] = v if v is not None else last.get(g)
+        want[n] = last[g]
+    assert {r.n: r.filled for r in got} == want and len(got) == len(rows)
+    assert len({r.task for r in got if r.g == "hot"}) > 1
+    same = cv.locf(df, "v", ["g"], ["at", "n"], "v")  # in place
+    assert same.columns == ["g", "at", "n", "v"] and {r.n: r.v for r in same.collect()} == want

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from convoscope.functions.text import (
     clean_text,
     fuzzy_contains,
-    fuzzy_contains_reference,
     phrase_count,
     sentences,
     tokens,
     with_first_token,
     word_count,
 )
+from tests.approx import fuzzy_contains_reference
 
 
 def test_clean_text_goldens(spark):
@@ -46,6 +46,31 @@ def test_fuzzy_matches_dynamic_programming(spark):
     assert bad == 0
 
 
+def test_fuzzy_contains_of_any_length(spark):
+    """Patterns of 1 to 300 characters, near and far, at both ends of the text, with signs of regular expressions."""
+    rng = random.Random(7)
+    rows = []
+    for m in [*range(1, 31), 45, 64, 90, 101, 150, 199, 230, 300]:
+        for _ in range(6):
+            letters = rng.choice(["ab", "abcdefghij ", "a.*([\\\\$é漢"])
+            p = "".join(rng.choice(letters) for _ in range(m))
+            q = list(p)
+            for _ in range(rng.randint(0, 4 * (m // 10) + 6)):
+                at = rng.randrange(len(q) + 1)
+                q[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "b"])
+            pad = lambda: "".join(rng.choice(letters) for _ in range(rng.choice([0, 0, 3, 40])))
+            t = pad() + "".join(q) + pad()
+            rows.append((p, t, fuzzy_contains_reference(p, t)))
+    assert 40 < sum(r[2] for r in rows) < len(rows) - 40
+    df = spark.createDataFrame(rows, "p string, t string, e boolean").repartition(8)
+    assert [(r.p, r.t) for r in df.where(fuzzy_contains(F.col("p"), F.col("t")) != F.col("e")).collect()] == []
+
+
+def test_fuzzy_contains_of_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), ("", None), ("abc", None), ("a", "")], "p string, t string")
+    assert [r[0] for r in df.select(fuzzy_contains("p", "t")).collect()] == [None, True, False, True]
+
+
 def test_phrase_count_no_word_boundaries(spark):
     df = spark.createDataFrame([("It is Unlikely, likely maybe MAYBE",), (None,)], "t string")
     got = [r[0] for r in df.select(phrase_count("t", ["likely", "maybe"])).collect()]
