@@ -167,10 +167,12 @@ def with_progress(occ: DataFrame) -> DataFrame:
     return j.withColumn("frac", F.col("rep_num") / F.col("__max")).drop("__max")
 
 
-def occurrence_mean_se(occ: DataFrame) -> DataFrame:
+def occurrence_mean_se(occ: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean and standard error of both flags along the rounds, per condition, or within it also per ``by``
+    (``["game_id"]``: a line per game)."""
     d = with_progress(occ.where(F.col("role") == "describer"))
     d = d.withColumn("grp", F.concat(F.col("structure"), F.col("group_size").cast("string")))
-    agg = d.groupBy("structure", "group_size", "grp", "frac").agg(
+    agg = d.groupBy("structure", "group_size", "grp", *by, "frac").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("base_regex").alias("mean_base"),
         F.stddev_samp("base_regex").alias("sd_base"),
@@ -179,7 +181,7 @@ def occurrence_mean_se(occ: DataFrame) -> DataFrame:
     )
     se = lambda sd: F.round(F.col(sd) / F.sqrt(F.col("n")), 6)
     return agg.select(
-        "structure", "group_size", "grp", F.round("frac", 6).alias("frac"), "n",
+        "structure", "group_size", "grp", *by, F.round("frac", 6).alias("frac"), "n",
         F.round("mean_base", 6).alias("mean_base"), se("sd_base").alias("se_base"),
         F.round("mean_fuzzy", 6).alias("mean_fuzzy"), se("sd_fuzzy").alias("se_fuzzy"),
     )

@@ -13,11 +13,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoscope.operators.joins import attach_row
+from convoscope.operators.joins import attach_row, broadcast_if_small, join_null_safe
 from convoscope.operators.moments import Moments, log_density, merge_all, moment_table
 
 Z95 = 1.959963984540054
@@ -82,46 +81,60 @@ def group_shrinkage(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 # --- logistic fits per group ----------------------------------------------------------
 
-def _irls(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Binomial GLM (logit) by iteratively reweighted least squares on a
-    collapsed group: rows (x, trials, hits).  Small per group: one row per
-    distinct x.  ``converged`` is false where the likelihood has no maximum
-    (all hits or none, or a step function of x) or a step was singular."""
-    x = pdf["frac"].to_numpy(float)
-    n = pdf["trials"].to_numpy(float)
-    h = pdf["hits"].to_numpy(float)
-    X = np.column_stack([np.ones_like(x), x])
-    beta, converged = np.zeros(2), False
-    for _ in range(50):
-        eta = X @ beta
-        mu = 1 / (1 + np.exp(-eta))
-        wts = n * mu * (1 - mu)
-        if np.all(wts < 1e-12):
+#: Newton rounds at most; a group stops by itself once its step is below LOGIT_STEP.
+LOGIT_ROUNDS, LOGIT_STEP = 30, 1e-10
+
+
+def logit_by_groups(df: DataFrame, groups: Mapping[str, F.Column], x: str, flags: Sequence[str]) -> DataFrame:
+    """Logistic fits of 0/1 flags on x, for every flag and every value of every grouping at once.
+
+    Rows: flag, grouping (the name in ``groups``), grp (its value; NULL is a group of its own),
+    intercept, slope, n, converged.  A row without x or without the flag takes no part.
+
+    The rows are read once and collapsed to (flag, grouping, grp, x, trials, hits).  A Newton round is
+    one aggregate over that table for all fits together: each group's gradient and information, five
+    numbers, and its next coefficients from them.  ``converged`` is false where the likelihood has no
+    maximum (all hits or none, or a step function of x) or x is constant; such a group stays where its
+    last regular step left it."""
+    long = df.select(
+        F.col(x).cast("double").alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).cast("double").alias("y")) for f in flags])).alias("f"),
+        F.array(*[F.struct(F.lit(k).alias("grouping"), c.cast("string").alias("grp")) for k, c in groups.items()]).alias("g"),
+    ).where("x IS NOT NULL AND f.y IS NOT NULL")
+    keys = ["flag", "grouping", "grp"]
+    cells = long.select("f.flag", F.inline("g"), "x", "f.y").groupBy(*keys, "x")
+    cells = cells.agg(F.count(F.lit(1)).cast("double").alias("trials"), F.sum("y").alias("hits")).checkpoint()
+    start = cells.groupBy(*keys).agg(F.sum("trials").cast("long").alias("n"))
+    state = start.select(*keys, "n", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit("open").alias("status")).checkpoint()
+    for _ in range(LOGIT_ROUNDS):
+        going = state.where("status = 'open'")
+        if going.isEmpty():
             break
-        z = eta + (h - n * mu) / np.maximum(wts, 1e-12)
-        XtW = X.T * wts
-        try:
-            new = np.linalg.solve(XtW @ X, XtW @ z)
-        except np.linalg.LinAlgError:
-            break
-        if np.max(np.abs(new - beta)) < 1e-10:
-            beta, converged = new, True
-            break
-        beta = new
-    return pd.DataFrame(
-        {"grp": [pdf["grp"].iloc[0]], "intercept": [beta[0]], "slope": [beta[1]], "n": [int(n.sum())], "converged": [converged]}
+        mu = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        # one row a group, written: broadcast after a count
+        rows = join_null_safe(cells, broadcast_if_small(going), keys).withColumn("mu", mu)
+        w = F.col("trials") * F.col("mu") * (1 - F.col("mu"))
+        off = F.col("hits") - F.col("trials") * F.col("mu")
+        sums = rows.groupBy(*keys, "n", "a", "b").agg(
+            F.sum(off).alias("g0"), F.sum(off * F.col("x")).alias("g1"),
+            F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") * F.col("x")).alias("h2"),
+        )
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        regular = (F.col("h0") > 1e-12) & (det > 1e-12 * F.col("h0") * F.col("h2"))
+        da = F.when(regular, (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).otherwise(0.0)
+        db = F.when(regular, (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).otherwise(0.0)
+        near = F.greatest(F.abs(da), F.abs(db)) < LOGIT_STEP
+        status = F.when(~regular, "none").when(near, "done").otherwise("open")
+        moved = sums.select(*keys, "n", (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), status.alias("status"))
+        state = state.where("status <> 'open'").unionByName(moved).checkpoint()
+    return state.select(
+        *keys, F.round("a", 6).alias("intercept"), F.round("b", 6).alias("slope"), "n", (F.col("status") == "done").alias("converged")
     )
 
 
 def logit_by_group(df: DataFrame, group: str, x: str, flag: str) -> DataFrame:
-    """Logistic fit of a 0/1 flag on x per group.  Rows are first collapsed to
-    (group, x, trials, hits) by a partial-aggregating ``groupBy``, so the
-    per-group Python fit sees one row per distinct x, never the raw rows."""
-    c = df.groupBy(F.col(group).alias("grp"), F.col(x).cast("double").alias("frac")).agg(
-        F.count(F.lit(1)).cast("double").alias("trials"), F.sum(F.col(flag).cast("double")).alias("hits")
-    ).where(F.col("grp").isNotNull())
-    out = c.groupBy("grp").applyInPandas(_irls, "grp string, intercept double, slope double, n long, converged boolean")
-    return out.select("grp", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), "n", "converged")
+    """``logit_by_groups`` for one flag and one grouping: grp, intercept, slope, n, converged."""
+    return logit_by_groups(df, {group: F.col(group)}, x, [flag]).drop("flag", "grouping")
 
 
 def fit_or_load(estimator, data: DataFrame, path: str, model_cls):

@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +156,55 @@ def similarity_to_anchors(emb: DataFrame, plan: AnchorPlan, key: str = "vec_id",
     )
 
 
+#: Rows of a block of either side of a rectangular product; a cell multiplies two blocks.
+BLOCK_ROWS = 4_096
+
+
+def top_similar(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vec: str = "embedding") -> DataFrame:
+    """Rectangular similarity of two vector tables: left_id, rank (from 1), right_id, similarity, for every
+    left row its k most similar right rows by dot product (cosine for normalised vectors).
+
+    Both sides are dealt into blocks; the grid of (left block, right block) cells is an equi-join
+    on the block numbers, a cell is one dense product in one task, and it passes on k rows per left row,
+    which the last step merges.  A row is sent once per block of the other side; no pair of rows is ever a
+    row of a table.  Equal similarities go by right_id; rows without id or vector, and vectors of another
+    length than their cell's, take no part; fewer than k right rows give all."""
+    both = {}
+    for name, df, key in (("l", left, left_id), ("r", right, right_id)):
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+        both[name] = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull())).withColumn("dim", F.size("v"))
+    blocks = {name: max(1, -(-df.count() // BLOCK_ROWS)) for name, df in both.items()}
+    dealt = lambda name: F.pmod(F.xxhash64("id"), F.lit(blocks[name])).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(blocks[name] - 1)))
+    cell = ["dim", "row", "col"]
+    lhs = both["l"].select("dim", dealt("l").alias("row"), every("r").alias("col"), "id", "v").groupBy(*cell)
+    rhs = both["r"].select("dim", every("l").alias("row"), dealt("r").alias("col"), "id", "v").groupBy(*cell)
+
+    def product(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        out = {"left": [], "right": [], "similarity": []}
+        if len(a) and len(b):
+            ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+            order = np.argsort(others, kind="stable")
+            others, y = others[order], matrix(b)[order].T
+            x, n = matrix(a), min(k, len(order))
+            for at in range(0, len(ids), 512):
+                scores = np.round(x[at : at + 512] @ y, 9)  # the order of summation must not decide a tie
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                out["left"].append(np.repeat(ids[at : at + 512], n))
+                out["right"].append(others[best].ravel())
+                out["similarity"].append(np.take_along_axis(scores, best, axis=1).ravel())
+        columns = [np.concatenate(c) if c else np.zeros(0) for c in out.values()]
+        types = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(out, columns, types, strict=True)})
+
+    found = lhs.cogroup(rhs).applyInArrow(product, "left long, right long, similarity double")
+    best = Window.partitionBy("left").orderBy(F.desc("similarity"), "right")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.col("left").alias(left_id), "rank", F.col("right").alias(right_id), F.round("similarity", 6).alias("similarity"))
+
+
 # --- PCA ----------------------------------------------------------------------------
 
 def pca(emb: DataFrame, k: int = 5, vec: str = "embedding"):

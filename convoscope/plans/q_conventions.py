@@ -185,6 +185,20 @@ def q_occurrence_mean_se(spark, sf_dir):
     return cv.occurrence_mean_se(occ_turn(spark, sf_dir, "describer"))
 
 
+@register(
+    "occurrence_mean_game",
+    _sql(
+        _PROGRESS_SQL
+        + """SELECT structure, group_size, structure || CAST(group_size AS VARCHAR) AS grp, game_id, round(frac, 6) AS frac, count(*) AS n,
+  round(avg(base_regex), 6) AS mean_base, round(stddev_samp(base_regex) / sqrt(count(*)), 6) AS se_base,
+  round(avg(fuzzy_regex), 6) AS mean_fuzzy, round(stddev_samp(fuzzy_regex) / sqrt(count(*)), 6) AS se_fuzzy
+FROM dp GROUP BY structure, group_size, game_id, frac"""
+    ),
+)
+def q_occurrence_mean_game(spark, sf_dir):
+    return cv.occurrence_mean_se(occ_turn(spark, sf_dir, "describer"), by=["game_id"])
+
+
 @register(
     "occurrence_by_target",
     _sql(

@@ -252,3 +252,13 @@ def q_occurrence_logit(spark, sf_dir):
     occ = with_progress(occ_turn(spark, sf_dir).where(F.col("role") == "describer"))
     occ = occ.withColumn("grp", F.concat(F.col("structure"), F.col("group_size").cast("string")))
     return md.logit_by_group(occ, "grp", "frac", "fuzzy_regex")
+
+
+@register("occurrence_logit_all")
+def q_occurrence_logit_all(spark, sf_dir):
+    """Exact and fuzzy flag, by condition and by target, in one set of Newton rounds."""
+    from convoscope.operators.conventions import with_progress
+
+    occ = with_progress(occ_turn(spark, sf_dir).where(F.col("role") == "describer"))
+    groups = {"condition": F.concat(F.col("structure"), F.col("group_size").cast("string")), "target": F.col("target")}
+    return md.logit_by_groups(occ, groups, "frac", ["base_regex", "fuzzy_regex"])

@@ -196,5 +196,5 @@ def q_merge_csv_datasets(spark, sf_dir):
         part = m.where(F.col("dataset_id") == dataset).withColumn("note", F.col("role"))
         write_csv(part.select(*header), f"{root}/{dataset}/messages.csv")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema.fields if f.name != "dataset_id")
-    back = read_all(spark, root, "messages", schema, datasets=list(headers))
+    back = read_all(spark, root, "messages", schema)  # datasets found by listing
     return back.select(*m.columns, "note")

@@ -146,6 +146,44 @@ def q_cross_similarity(spark, sf_dir):
     return vx.similarity_to_anchors(emb, plan)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TOP_PAGES = 5
+
+
+def letter_vectors(df, text: str):
+    """A unit vector of letter counts: a stand-in for an encoder that runs in Spark and in SQL alike."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = F.array(*[(F.length("_low") - F.length(F.replace(F.col("_low"), F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    # an exploded array of one keeps the counts from being put into every use of them
+    counts = df.select("*", F.explode(F.array(low)).alias("_low")).select("*", F.explode(F.array(counts)).alias("_n")).drop("_low")
+    size = F.sqrt(F.aggregate("_n", F.lit(0.0), lambda s, x: s + x * x))
+    sized = counts.select("*", F.explode(F.array(size)).alias("_size")).where("_size > 0")
+    return sized.withColumn("embedding", F.transform("_n", lambda x: x / F.col("_size"))).drop("_n", "_size")
+
+
+def _letters_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    counts = ", ".join(f"CAST(length({low}) - length(replace({low}, '{c}', '')) AS DOUBLE)" for c in LETTERS)
+    return f"[{counts}]"
+
+
+@register(
+    "text_image_similarity",
+    f"""WITH t AS (SELECT item_id, {_letters_sql('text')} AS n FROM benchmark),
+ p AS (SELECT page_id, {_letters_sql('html')} AS n FROM pages),
+ tu AS (SELECT item_id, n, sqrt(list_dot_product(n, n)) AS s FROM t WHERE list_sum(n) > 0),
+ pu AS (SELECT page_id, n, sqrt(list_dot_product(n, n)) AS s FROM p WHERE list_sum(n) > 0),
+ x AS (SELECT item_id, page_id, round(list_dot_product(tu.n, pu.n) / (tu.s * pu.s), 9) AS c FROM tu, pu)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, page_id, round(c, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, page_id) AS rank FROM x) WHERE rank <= {TOP_PAGES}""",
+)
+def q_text_image_similarity(spark, sf_dir):
+    """Every benchmark text against every page: the pages nearest to each text."""
+    texts = letter_vectors(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")
+    pages = letter_vectors(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return vx.top_similar(texts, pages, TOP_PAGES, "item_id", "page_id")
+
+
 def _pca(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     _model, fixed, explained = vx.pca(emb, PCA_K)

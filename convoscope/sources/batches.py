@@ -3,7 +3,9 @@ batches still to run derived from what is on storage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +43,32 @@ def pending_batches(planned: DataFrame, finished_sets: DataFrame, set_col: str =
     return planned.join(done, batch_col, "left_anti")
 
 
+def batch_plan(rows: DataFrame, batch: Column, set_col: str, cols: Sequence[str]) -> DataFrame:
+    """What the input holds: batch_id, expected (its sets) and a fingerprint of all its rows, which doesn't
+    depend on their order.  A changed, added or missing row changes its batch's fingerprint only."""
+    row = F.xxhash64(*cols).cast("decimal(38,0)")
+    per = rows.groupBy(batch.alias("batch_id"), set_col).agg(F.sum(row).alias("h"), F.count(F.lit(1)).alias("n"))
+    total = F.xxhash64(F.sum(F.xxhash64(set_col, "h", "n").cast("decimal(38,0)")))
+    return per.groupBy("batch_id").agg(F.count(F.lit(1)).alias("expected"), total.alias("fingerprint"))
+
+
+def record_batches(plan: DataFrame, written: DataFrame, manifest: str, set_col: str = "set_id") -> None:
+    """Append to the manifest the planned batches that are wholly written; call it after the data is.
+
+    An append is one commit: its file appears whole or not at all, and a job that ends before it leaves
+    its batches pending."""
+    have = written.groupBy("batch_id").agg(F.countDistinct(set_col).alias("have"))
+    done = plan.join(have, "batch_id").where(F.col("have") == F.col("expected"))
+    done.select("batch_id", "expected", "fingerprint", F.current_timestamp().alias("recorded")).write.mode("append").parquet(manifest)
+
+
+def pending_by_manifest(plan: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Planned batches whose newest record is missing or is of another input."""
+    newest = manifest.groupBy("batch_id").agg(F.max_by(F.struct("expected", "fingerprint"), "recorded").alias("r"))
+    done = newest.select("batch_id", "r.expected", "r.fingerprint")
+    return plan.join(done, ["batch_id", "expected", "fingerprint"], "left_anti")
+
+
 def write_sets_json(members: DataFrame, path: str, keep=("idx", "image"), set_cols=("set_id", "set_type")) -> None:
     """One JSON record per set with its members in index order.  Sets are
     bounded by their size parameter, so one record per set is bounded too."""

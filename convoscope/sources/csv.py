@@ -3,6 +3,7 @@ from the path, pandas-style skipping of over-long lines, and sinks."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,20 @@ def dataset_label() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv(?:/[^/]+)?$", 1)
 
 
+def _listed(spark: SparkSession, root: str, tbl_name: str) -> DataFrame:
+    """(dataset_id, path) of every ``<dataset>/<tbl_name>.csv`` under ``root``, a file or a folder of part
+    files as this library's sink writes them: one listing, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    table = rf"^(.*?/([^/]+)/{re.escape(tbl_name)}\.csv)(?:/[^/]+)?$"
+    found = files.select(F.regexp_extract("path", table, 2).alias("dataset_id"), F.regexp_extract("path", table, 1).alias("path"))
+    return found.where("path <> ''").distinct()
+
+
 def _paths(spark: SparkSession, root: str, tbl_name: str, datasets: Sequence[str] | None) -> list[str]:
-    """The table's file in every dataset directory (file names only, one per dataset)."""
+    """The table's path in every dataset directory (paths only, one per dataset)."""
     if datasets:
         return [f"{root.rstrip('/')}/{d}/{tbl_name}.csv" for d in datasets]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{tbl_name}.csv").option("recursiveFileLookup", "true")
-    return sorted(r["path"] for r in files.load(root).select("path").collect())
+    return sorted(r["path"] for r in _listed(spark, root, tbl_name).select("path").collect())
 
 
 def read_all(
@@ -87,15 +96,8 @@ def read_all(
 
 
 def discover_datasets(spark: SparkSession, root: str, tbl_name: str = "conditions") -> DataFrame:
-    """Dataset directories that hold ``tbl_name``: distinct labels from the paths."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{tbl_name}.csv")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path")
-    )
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("dataset_id")).distinct()
+    """Dataset directories that hold ``tbl_name``, as a file or a folder of part files."""
+    return _listed(spark, root, tbl_name).select("dataset_id").distinct()
 
 
 def count_files(spark: SparkSession, root: str) -> int:

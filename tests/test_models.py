@@ -75,6 +75,30 @@ def test_logit_reports_convergence(spark):
     assert got == {"ok": True, "sep": False}
 
 
+def test_all_logistic_fits_at_once(spark):
+    """Several flags and groupings, NULL groups kept, against Newton's method in numpy."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(900):
+        g, t, x = [None, "a", "b"][k % 3], "ABCD"[k % 4], float(rng.integers(0, 7)) / 6
+        rows.append((g, t, x, int(rng.random() < 1 / (1 + np.exp(1 - 2 * x))), None if k % 50 == 0 else int(rng.random() < 0.4), 1))
+    df = spark.createDataFrame(rows, "g string, t string, x double, one int, two int, every int").repartition(4)
+    got = {(r.flag, r.grouping, r.grp): r for r in md.logit_by_groups(df, {"g": F.col("g"), "t": F.col("t")}, "x", ["one", "two", "every"]).collect()}
+    assert len(got) == 3 * (3 + 4)
+    for (flag, grouping, grp), r in got.items():
+        at, y_at = {"g": 0, "t": 1}[grouping], {"one": 3, "two": 4, "every": 5}[flag]
+        use = [q for q in rows if q[at] == grp and q[y_at] is not None]
+        assert r.n == len(use)
+        if flag == "every":
+            assert not r.converged
+            continue
+        X, y, beta = np.column_stack([np.ones(len(use)), [q[2] for q in use]]), np.array([q[y_at] for q in use], float), np.zeros(2)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-X @ beta))
+            beta = beta + np.linalg.solve(X.T @ (X * (mu * (1 - mu))[:, None]), X.T @ (y - mu))
+        assert r.converged and np.allclose([r.intercept, r.slope], beta, atol=1e-5)
+
+
 def _frame(spark, n=500, seed=6):
     rng = np.random.default_rng(seed)
     rep, trial = rng.integers(1, 7, n), rng.integers(1, 73, n)

@@ -81,3 +81,42 @@ def test_read_all_unites_by_name(spark, tmp_path):
         assert {(r.trial_id, r.text, r.role, r.extra, r.dataset_id) for r in df.collect()} == want
     some = read_all(spark, str(tmp_path), "messages", "trial_id int, text string, role string", datasets=["b", "d"])
     assert {r.dataset_id for r in some.collect()} == {"b", "d"}
+
+
+def test_discovery_finds_files_and_folders_of_part_files(spark, tmp_path):
+    schema = "trial_id int, text string"
+    for name, rows in {"one": [(1, "a"), (2, "b")], "two": [(3, 'quoted, "c"')]}.items():
+        cs.write_csv(spark.createDataFrame(rows, schema).repartition(2), f"{tmp_path}/{name}/messages.csv")
+    _write(tmp_path / "three" / "messages.csv", "trial_id,text\n4,d\n")
+    _write(tmp_path / "four" / "other_messages.csv", "trial_id,text\n5,e\n")
+    assert sorted(r[0] for r in cs.discover_datasets(spark, str(tmp_path), "messages").collect()) == ["one", "three", "two"]
+    got = {tuple(r) for r in cs.read_all(spark, str(tmp_path), "messages", schema).collect()}
+    assert got == {(1, "a", "one"), (2, "b", "one"), (3, 'quoted, "c"', "two"), (4, "d", "three")}
+    with pytest.raises(FileNotFoundError):
+        cs.read_all(spark, str(tmp_path), "nothing", schema)
+
+
+def test_manifest_names_what_is_to_run_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from convoscope.sources import batches as bt
+
+    def plan(rows):
+        df = spark.createDataFrame(rows, "set_id int, x double").repartition(3)
+        return df, bt.batch_plan(df, F.floor(F.col("set_id") / 10).cast("int"), "set_id", ["set_id", "x"])
+
+    rows = [(k, k * 0.5) for k in range(45)]
+    df, planned = plan(rows)
+    assert {r.batch_id: r.expected for r in planned.collect()} == {0: 10, 1: 10, 2: 10, 3: 10, 4: 5}
+    data, manifest = f"{tmp_path}/data", f"{tmp_path}/manifest"
+    out = df.withColumn("batch_id", F.floor(F.col("set_id") / 10).cast("int"))
+    bt.write_batches(out.where("batch_id < 3 AND set_id <> 25"), data)  # batch 2 lost a set, 3 and 4 never ran
+    bt.record_batches(planned, bt.read_batches(spark, data), manifest)
+    pending = lambda p: sorted(r.batch_id for r in bt.pending_by_manifest(p, spark.read.parquet(manifest)).collect())
+    assert pending(planned) == [2, 3, 4]
+    assert pending(plan(rows[::-1])[1]) == [2, 3, 4]  # the order of rows changes nothing
+    assert pending(plan([(k, x + (k == 7)) for k, x in rows])[1]) == [0, 2, 3, 4]  # a changed input reruns its batch
+    bt.write_batches(out.where("batch_id >= 2"), data)
+    bt.record_batches(planned, bt.read_batches(spark, data), manifest)
+    assert pending(planned) == []
+    assert pending(plan(rows[:-1])[1]) == [4]

@@ -94,3 +94,24 @@ def test_wide_dims_and_anchor_words(spark):
     assert vx.dims_to_vector(df).first().embedding == [3.0, 2.0, 0.5]
     rows = vx.anchor_words(spark.createDataFrame([(1, " big , small,tiny ")], "step int, words string")).collect()
     assert [(r.step, r.position, r.word, r.name) for r in rows] == [(1, 1, "big", "big"), (1, 2, "small", "big"), (1, 3, "tiny", "big")]
+
+
+def test_top_similar_equals_brute_force(spark, monkeypatch):
+    from convoscope.operators import vectors as vx
+
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 30)  # several blocks on both sides
+    rng = np.random.default_rng(7)
+    left = [(int(k), [float(x) for x in rng.integers(-3, 4, 5)]) for k in range(70)]
+    right = [(int(k), [float(x) for x in rng.integers(-3, 4, 5)]) for k in range(95)]
+    odd = [(None, [1.0] * 5), (500, None), (501, []), (502, [1.0, None, 1.0, 1.0, 1.0]), (503, [1.0, 2.0])]
+    schema = "id long, embedding array<double>, rank int, col int"
+    frame = lambda rows: spark.createDataFrame([(*r, 1, 2) for r in rows], schema).repartition(3)
+    out = vx.top_similar(frame(left + odd).withColumnRenamed("id", "a"), frame(right + odd[:4]).withColumnRenamed("id", "b"), 4, "a", "b")
+    assert out.columns == ["a", "rank", "b", "similarity"]
+    got = sorted((r.a, r["rank"], r.b, r.similarity) for r in out.collect())
+    want = []
+    for i, x in left:
+        near = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), j) for j, y in right)[:4]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    assert got == sorted(want)
+    assert vx.top_similar(frame([]).withColumnRenamed("id", "a"), frame(right).withColumnRenamed("id", "b"), 4, "a", "b").collect() == []
