@@ -8,8 +8,8 @@ covering radius and its distance to the routing vector above; a vector stores
 its distance to its page's.  A query visits pages by their best possible score;
 the triangle inequality on stored distances skips pages and vectors before any
 distance is computed, and the search ends when no page can beat the k-th score.
-Scores are integers, computed exactly for the vectors that remain; bounds carry
-a margin for rounding.
+Scores are integers, computed exactly for the vectors that remain, in 64-bit or
+Python integers where doubles would round; bounds carry a margin for rounding.
 
 Queries meet every block, in batches of a bounded number; each (block, batch)
 keeps k per query and the last step takes the k best of those.
@@ -17,7 +17,7 @@ keeps k per query and the last step takes the k best of those.
 Defined results: null vectors, empty ones, and those with a null or non-finite
 component take no part; vectors meet those of the same length only; null ids
 take no part; a query never meets rows of its own id; ties go to smaller ids;
-fewer than k candidates give all; no rows give no rows.
+fewer than k candidates give all; no rows give no rows; a score beyond 64 bits raises.
 """
 
 from __future__ import annotations
@@ -81,8 +81,20 @@ class MTree:
         return [(part, self.points[rows[part]].mean(axis=0)) for part in parts if len(part)]
 
 
-def search(tree: MTree, vectors: np.ndarray, ids: np.ndarray, lift: float, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one block for one query."""
+def exact(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides in the number type in which their products are exact: doubles below 2**53, then
+    64-bit integers, then Python integers."""
+    reach = max(abs(int(x)) for x in (vectors.max(), vectors.min())) * max(abs(int(x)) for x in (queries.max(), queries.min()))
+    reach *= vectors.shape[1]
+    kind = np.float64 if reach < 1 << 53 else np.int64 if reach < 1 << 63 else object
+    return vectors.astype(kind), queries.astype(kind)
+
+
+def search(
+    tree: MTree, vectors: np.ndarray, ids: np.ndarray, lift: float, asked: np.ndarray, own: int, k: int
+) -> list[tuple[int, int]]:
+    """The k best (score, id) of one block for one query; ``vectors`` and ``asked`` from ``exact``."""
+    query = asked.astype(np.float64)
     norm = float(query @ query)
     point = np.append(query, 0.0)
     slack = 1e-9 * (norm + lift) + 1e-6
@@ -112,11 +124,12 @@ def search(tree: MTree, vectors: np.ndarray, ids: np.ndarray, lift: float, query
         rows = tree.rows[page]
         if len(held) == k:
             rows = rows[best_score(np.abs(gap - tree.reach[page])) >= held[0][0]]
-        scores, found = vectors[rows] @ query, ids[rows]
+        scores, found = vectors[rows] @ asked, ids[rows]
         others = found != own
         scores, found = scores[others], found[others]
         if len(scores) > k:  # no more of a page can enter
-            best = np.lexsort((found, -scores))[:k]
+            best = np.argsort(found, kind="stable")
+            best = best[np.argsort(-scores[best], kind="stable")][:k]
             scores, found = scores[best], found[best]
         for score, i in zip(scores.tolist(), found.tolist(), strict=True):
             entry = (int(score), -i)
@@ -142,13 +155,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         found: list[tuple[int, int, int]] = []
         if len(left) and len(right):
             dim = key[0].as_py()
-            matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-            base, ids = matrix(left), left["vec_id"].to_numpy()
+            matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            held_, asked = exact(matrix(left), matrix(right))
+            base, ids = matrix(left).astype(np.float64), left["vec_id"].to_numpy()
             norms = (base**2).sum(axis=1)
             lift = float(norms.max())
             tree = MTree(np.hstack([base, np.sqrt(lift - norms)[:, None]]))
-            for q, own in zip(matrix(right), right["vec_id"].to_pylist(), strict=True):
-                found += [(own, i, s) for s, i in search(tree, base, ids, lift, q, own, k)]
+            for q, own in zip(asked, right["vec_id"].to_pylist(), strict=True):
+                found += [(own, i, s) for s, i in search(tree, held_, ids, lift, q, own, k)]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 

@@ -36,6 +36,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block, chunk):
     assert found == {i: x for i, x in top_k(rows, 10).items() if x}
 
 
+@pytest.mark.parametrize("size", [2 * 10**8, 10**9])
+def test_top_k_scores_are_exact_at_any_size(spark, size):
+    """Products beyond 2**53, where doubles round, and close to 2**63."""
+    rng = random.Random(6)
+    rows = [(k, [size + rng.randint(-9, 9) for _ in range(8)]) for k in range(60)]
+    rows += [(100 + k, [rng.choice([-1, 1]) * (size - k) for _ in range(8)]) for k in range(20)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") % 10 == 0, 10).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == top_k(rows, 10)
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, vector array<long>")
     assert mtree.top_k(none, F.col("vec_id") % 10 == 0, 10).collect() == []
