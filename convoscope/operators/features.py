@@ -310,3 +310,28 @@ def tag_with_model(tokens_df: DataFrame, load_model, token: str = "token", out:
             yield pdf
 
     return tokens_df.mapInPandas(run, schema=schema)
+
+
+def parse_with_model(docs: DataFrame, load_parser, doc_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Plug in a trained parser as a table function: doc_col, sentence_id, token_id, token, pos.
+
+    ``load_parser()`` returns a function from a text to its sentences, each a list of (token, tag).  It
+    runs once per task; texts reach it in Arrow batches, and a document gives any number of rows
+    (the parser decides what a sentence and a token are).  Null texts give none."""
+
+    class Parse:
+        def __init__(self):
+            self.parse = None
+
+        def eval(self, value: str):
+            if value is None:
+                return
+            if self.parse is None:
+                self.parse = load_parser()
+            for s, sentence in enumerate(self.parse(value), 1):
+                for t, (token, pos) in enumerate(sentence, 1):
+                    yield s, t, token, pos
+
+    parsed = F.udtf(Parse, returnType="sentence_id int, token_id int, token string, pos string", useArrow=True)
+    rows = docs.select(doc_col, F.col(text).cast("string").alias("__text"))
+    return rows.lateralJoin(parsed(F.col("__text").outer())).select(doc_col, "sentence_id", "token_id", "token", "pos")

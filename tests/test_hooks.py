@@ -57,3 +57,23 @@ def test_mirrored_topk_and_json_sink(spark, tmp_path):
     write_sets_json(members.withColumn("image", F.concat(F.col("idx").cast("string"), F.lit(".png"))), str(tmp_path / "j"))
     back = spark.read.json(str(tmp_path / "j")).collect()
     assert len(back) == 1 and [m["idx"] for m in back[0]["members"]] == [0, 1, 2, 3]
+
+
+def test_parser_hook_equals_the_expression_path(spark):
+    import re
+
+    texts = [(1, "The bird. It sings!\nA the bird"), (2, None), (3, ""), (4, "...no; the END? yes"), (5, "the " * 500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    def load():
+        def parse(text):
+            found = [s for s in re.split(r"[.!?\n]+\s*", text) if s]
+            return [[(t, "DET" if t == "the" else "X") for t in re.findall("[a-z]+", s.lower())] for s in found]
+
+        return parse
+
+    tagged = ft.tag_tokens(ft.token_table(docs), lambda t: F.when(t == "the", "DET").otherwise("X"))
+    got = ft.parse_with_model(docs, load)
+    assert got.columns == ["doc_id", "sentence_id", "token_id", "token", "pos"]
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(tagged) and got.count() > 500
