@@ -190,20 +190,25 @@ ds AS (
   SELECT doc_id, p, mask, concat_ws(' ', w[p + pick[1]], w[p + pick[2]], w[p + pick[3]], w[p + pick[4]]) AS seed
   FROM dw, unnest(generate_series(1, len(w))) AS g(p), m WHERE p + pick[4] <= len(w)),
 si AS (
-  SELECT item_id, p, mask, concat_ws(' ', w[p + pick[1]], w[p + pick[2]], w[p + pick[3]], w[p + pick[4]]) AS seed,
-         greatest(0, least(p - 1 - 3, len(w) - 13)) AS low, least(13, len(w)) AS compared
+  SELECT item_id, p, mask, pick[4] + 1 AS span, concat_ws(' ', w[p + pick[1]], w[p + pick[2]], w[p + pick[3]], w[p + pick[4]]) AS seed
   FROM iw, unnest(generate_series(1, len(w))) AS g(p), m WHERE len(w) >= 4 AND p + pick[4] <= len(w)),
-hits AS (
-  SELECT doc_id, item_id, ds.p - si.p AS shift, low, compared,
-         greatest(CAST(ceil(compared * 80 / 100.0) AS INT), least(compared, 7)) AS needed
-  FROM ds JOIN si USING (mask, seed)),
-v AS (
-  SELECT doc_id, item_id, compared, needed,
-         (SELECT count(*) FROM unnest(generate_series(1, compared)) AS o(j)
-          WHERE low + j + shift >= 1 AND dw.w[low + j + shift] = iw.w[low + j]) AS matched
-  FROM hits JOIN dw USING (doc_id) JOIN iw USING (item_id))
-SELECT doc_id, item_id, CAST(max(matched) AS INT) AS matched, CAST(max(compared) AS INT) AS compared, count(*) AS hits
-FROM v WHERE matched >= needed GROUP BY doc_id, item_id
+hits AS (SELECT doc_id, item_id, ds.p - si.p AS shift, si.p AS place, span FROM ds JOIN si USING (mask, seed)),
+diag AS (
+  SELECT doc_id, item_id, shift, least(13, len(iw.w)) AS compared,
+         list_transform(range(1, len(iw.w) + 1),
+           lambda j: CASE WHEN j + shift >= 1 AND dw.w[j + shift] = iw.w[j] THEN 1 ELSE 0 END) AS same
+  FROM (SELECT DISTINCT doc_id, item_id, shift FROM hits) JOIN dw USING (doc_id) JOIN iw USING (item_id)),
+win AS (
+  SELECT doc_id, item_id, shift, compared, low, list_sum(list_slice(same, low, low + compared - 1)) AS matched
+  FROM diag, unnest(generate_series(1, len(same) - compared + 1)) AS g(low)),
+good AS (SELECT * FROM win WHERE matched >= greatest(ceil(compared * 80 / 100.0), least(compared, 7))),
+inside AS (
+  SELECT doc_id, item_id, count(*) AS hits FROM hits h
+  WHERE EXISTS (SELECT 1 FROM good g WHERE g.doc_id = h.doc_id AND g.item_id = h.item_id AND g.shift = h.shift
+                  AND g.low <= h.place AND h.place + h.span <= g.low + g.compared)
+  GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(max(matched) AS INT) AS matched, CAST(max(compared) AS INT) AS compared, any_value(hits) AS hits
+FROM good JOIN inside USING (doc_id, item_id) GROUP BY doc_id, item_id
 """,
     "op7_minhash_near_dedup": """
 WITH RECURSIVE w AS (

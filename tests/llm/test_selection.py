@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -170,6 +171,37 @@ def test_decontamination_catches_passages(spark, monkeypatch, limit):
     assert decontaminate.overlaps(docs, benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_finds_two_changed_words_wherever_they_stand(spark):
+    """Every pair of places in a 13-word passage from the middle of a long item, at the ends of texts and inside."""
+    rng = random.Random(12)
+    item = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(13):
+        for j in range(i + 1, 13):
+            for begin in (0, 20, 60, 137):
+                words = item[begin : begin + 13]
+                words[i], words[j] = "other", "another"
+                before = [f"x{rng.randrange(500)}" for _ in range(rng.choice([0, 3, 250, 300]))]
+                rows.append((len(rows), " ".join([*before, *words, *["y"] * rng.choice([0, 5])])))
+    clean = [(10_000 + i, " ".join([*item[i : i + 6], *["z"] * 9, *item[i + 30 : i + 37]])) for i in range(100)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item)), (3, "short words here")], "item_id long, text string")
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(4)
+    got = decontaminate.overlaps(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i, _ in rows for k in (1, 2)}
+    assert {(r.matched, r.compared) for r in got} == {(11, 13)}
+
+
+def test_least_hits_equals_enumeration():
+    for size in range(4, 14):
+        needed = decontaminate.needed_words(size, 80)
+        counts = []
+        for gone in itertools.combinations(range(size), size - needed):
+            same = set(range(size)) - set(gone)
+            fits = lambda m, p: all(p + j in same for j, bit in enumerate(m) if bit == "1")
+            counts.append(sum(fits(m, p) for m in decontaminate.MASKS for p in range(size - len(m) + 1)))
+        assert decontaminate.least_hits(size, needed) == min(counts) >= 1
+
+
 SECRETS = [
     (1, 'x Password = "abcdefghijkl" y'),
     (2, "token=secret: abcdefghijklmnop"),
