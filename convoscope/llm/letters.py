@@ -1,4 +1,4 @@
-"""Words of letters in a list of texts, as code points in numpy."""
+"""Words of letters, and words disguised by digits and signs, in a list of texts, as code points in numpy."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from functools import cache
 import numpy as np
 
 PIECE_CHARS = 1 << 20
+#: Signs that stand for letters inside a word, and the letters that some of them look like (fixed values).
+MASKING = "0123456789*@$!#%&+|^~_.-"
+LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 
 
 @cache
@@ -17,6 +20,22 @@ def letter_table() -> np.ndarray:
     return out
 
 
+@cache
+def masking_table() -> np.ndarray:
+    out = np.zeros(0x10000, bool)
+    out[[ord(c) for c in MASKING]] = True
+    return out
+
+
+@cache
+def look_alike_table() -> np.ndarray:
+    """Code point (up to 0xFFFF) -> the letter that it looks like, or itself."""
+    out = np.arange(0x10000, dtype=np.uint32)
+    for sign, letter in LOOK_ALIKE.items():
+        out[ord(sign)] = ord(letter)
+    return out
+
+
 def lowered(texts: list[str | None]) -> list[str]:
     return [(t or "").lower() for t in texts]
 
@@ -48,3 +67,35 @@ def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     last[inner - 1] = letter[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return codes, starts, ends, np.searchsorted(starts, offsets), offsets
+
+
+def disguised_words(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each run of letters and masking signs that begins and ends with a letter or a
+    look-alike and has a sign in it, and the code points with look-alikes turned into letters.
+
+    Texts end to end with ``offsets``, as ``letter_words`` gives them; runs of digits alone are left out.
+    """
+    small = np.minimum(codes, 0xFFFF)
+    letter, sign = letter_table()[small], masking_table()[small]
+    folded = look_alike_table()[small]
+    folded = np.where(folded != small, folded, codes)
+    edge = letter | (sign & (folded != codes))
+    inner = offsets[(offsets > 0) & (offsets < len(codes))]
+    cut = np.zeros(len(codes) + 1, bool)
+    cut[inner] = True
+    part = letter | sign
+    first, last = part.copy(), part.copy()
+    first[1:] &= ~part[:-1] | cut[1:-1]
+    last[:-1] &= ~part[1:] | cut[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # trimmed to the first and last letter or look-alike; a run without letters, or of letters alone, goes
+    at = np.flatnonzero(edge)
+    if not len(at) or not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, folded
+    has = np.searchsorted(at, ends) > np.searchsorted(at, starts)
+    starts, ends = starts[has], ends[has]
+    starts, ends = at[np.searchsorted(at, starts)], at[np.searchsorted(at, ends) - 1] + 1
+    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, sign))
+    mixed = (letters[ends] > letters[starts]) & (signs[ends] > signs[starts])
+    return starts[mixed], ends[mixed], folded

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 NONE, FUZZY, EXACT = 0, 1, 2
+INNER = 2
 
 
 @dataclass
@@ -20,11 +21,13 @@ class Automaton:
     step: np.ndarray  # state, class -> state; state 0 is dead
     inside: np.ndarray  # state: a term has been read in full, without edits, as the word's beginning
     whole: np.ndarray  # state: if the word ends here it is one edit from a term
+    begun: np.ndarray  # state: the word's beginning is one edit, inside the term, from a term
 
 
 def compile_trie(terms: list[str], fuzzy_from: int = 5) -> Automaton:
-    """Terms match a word that begins with them; terms of ``fuzzy_from`` letters or more
-    also match a whole word at one insertion, deletion or substitution."""
+    """Terms match a word that begins with them.  Terms of ``fuzzy_from`` letters or more also match
+    at one insertion, deletion or substitution: a whole word at any place, and the beginning of a
+    longer word if the term's first and last letter are in place."""
     children: list[dict[str, int]] = [{}]
     final, loose, ahead = [False], [False], [False]
     for term in terms:
@@ -43,26 +46,31 @@ def compile_trie(terms: list[str], fuzzy_from: int = 5) -> Automaton:
         if len(term) >= fuzzy_from:
             loose[node] = ahead[node] = True
 
-    def closure(found: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
+    # (node, edits: 0, 1 or INNER for one behind the first letter, was the last letter in place after it?)
+    Found = tuple[int, int, bool]
+    edited = lambda node: INNER if node else 1
+
+    def closure(found: set[Found]) -> frozenset[Found]:
         """Adds the states that skip one letter of a term."""
-        more = {(k, 1) for node, e in found if e == 0 for k in children[node].values() if ahead[k]}
+        more = {(k, edited(node), False) for node, e, _ in found if e == 0 for k in children[node].values() if ahead[k]}
         return frozenset(found | more)
 
-    def follow(state: frozenset[tuple[int, int]], c: str | None) -> frozenset[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
-        for node, e in state:
+    def follow(state: frozenset[Found], c: str | None) -> frozenset[Found]:
+        out: set[Found] = set()
+        for node, e, _ in state:
             if c in children[node]:
-                out.add((children[node][c], e))
+                to = children[node][c]
+                out.add((to, e, e == INNER and loose[to]))
             if e == 0 and ahead[node]:
-                out.add((node, 1))  # a letter too many
-                out.update((k, 1) for k in children[node].values() if ahead[k])  # another letter
-        return closure({(n, e) for n, e in out if e == 0 or ahead[n]})
+                out.add((node, edited(node), False))  # a letter too many
+                out.update((k, edited(node), False) for k in children[node].values() if ahead[k])  # another letter
+        return closure({(n, e, m) for n, e, m in out if e == 0 or ahead[n]})
 
     alphabet = sorted({c for t in terms for c in t if ord(c) < 0xFFFF})
     classes = np.zeros(0x10000, np.int32)
     for k, c in enumerate(alphabet):
         classes[ord(c)] = k + 1
-    number = {frozenset(): 0, (start := closure({(0, 0)})): 1}
+    number = {frozenset(): 0, (start := closure({(0, 0, False)})): 1}
     table, todo = {0: [0] * (len(alphabet) + 1)}, [start]
     while todo:
         state = todo.pop()
@@ -78,8 +86,9 @@ def compile_trie(terms: list[str], fuzzy_from: int = 5) -> Automaton:
     return Automaton(
         classes,
         np.array([table[k] for k in range(len(number))], np.int32),
-        np.array([any(final[n] and e == 0 for n, e in s) for s in order]),
-        np.array([any(loose[n] and e == 1 for n, e in s) for s in order]),
+        np.array([any(final[n] and e == 0 for n, e, _ in s) for s in order]),
+        np.array([any(loose[n] and e > 0 for n, e, _ in s) for s in order]),
+        np.array([any(m for _, _, m in s) for s in order]),
     )
 
 
@@ -95,6 +104,7 @@ def match(machine: Automaton, codes: np.ndarray, starts: np.ndarray, ends: np.nd
         state = machine.step[state, machine.classes[np.minimum(codes[at], 0xFFFF)]]
         at = at + 1
         exact = machine.inside[state]
+        out[alive[machine.begun[state]]] = FUZZY
         out[alive[exact]] = EXACT
         over = at >= stop
         out[alive[over & ~exact & machine.whole[state]]] = FUZZY

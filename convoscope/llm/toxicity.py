@@ -4,11 +4,13 @@
    labelled documents lack.  They are counted in Spark over a bounded sample of
    the labelled rows (``SAMPLE_ROWS``), near copies counted once.
 2. The terms' trie, intersected with the Levenshtein automaton of one edit,
-   becomes one table (``levenshtein``) that every word of every text runs through.
+   becomes one table (``levenshtein``) that every word of every text runs through:
+   runs of letters, and runs in which digits or signs stand for letters (signs
+   that look like a letter are read as it, others cost the edit).
 3. Each hit is weighed in the window of text around it: a hit inside quotation
    marks or after a word of reporting counts as quotation, one near a word of
    address counts for more.
-4. A logistic regression on four sums per document (exact or misspelled, abuse
+4. A logistic regression on four sums per document (all or misspelled hits, abuse
    or quotation) and on whether each is over zero, fitted on the same sample,
    gives the score.
 
@@ -36,10 +38,8 @@ from convoscope.llm.tables import stored
 
 #: Labelled rows that lexicon and weights are fitted on, at most (about; chosen by a hash of the id).
 SAMPLE_ROWS = 20_000
-#: Candidate beginnings that come to the driver, at most: those in most toxic documents.
-CANDIDATES = 20_000
-TERMS = 200
-SHORTEST, LONGEST = 3, 12
+#: Letters of the beginnings that are counted; longer words are known by their first LONGEST letters.
+SHORTEST, LONGEST = 3, 16
 WINDOW = 60
 OPENING, CLOSING = "\"“„«‘", "\"”“»’"
 #: Words of reporting and of address (fixed values).
@@ -69,15 +69,14 @@ def _words(text: str) -> set[str]:
     return set(re.findall(r"[^\W\d_]+", text))
 
 
-def stem_rows(sample: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+def stem_rows(sample: DataFrame) -> DataFrame:
     """(stem, docs): in how many of the sample's texts some word begins with each stem."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             count: Counter[str] = Counter()
             for text in letters.lowered(batch.column("text").to_pylist()):
-                stems = _stems(_words(text))
-                count.update(stems if only is None else stems & only)
+                count.update(_stems(_words(text)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["stem", "docs"]
             )
@@ -120,25 +119,27 @@ def lexicon(sample: DataFrame) -> list[str]:
         return []
     stems = stored(stem_rows(once.where("toxic = 1")), "toxicity-stems")
     tried = stems.count()
-    pos = {r["stem"]: r["docs"] for r in stems.where("docs > 2").orderBy(F.desc("docs"), "stem").limit(CANDIDATES).collect()}
-    neg = {r["stem"]: r["docs"] for r in stem_rows(once.where("toxic = 0"), frozenset(pos)).collect()}
     base = bad / (bad + good)
-
-    def evidence(s: str) -> float:
-        """Bound on minus the log of the chance that a stem without meaning looks this toxic."""
-        p, n = pos[s], pos[s] + neg.get(s, 0)
-        return p * np.log(p / n / base) + ((n - p) * np.log((n - p) / n / (1 - base)) if n > p else 0.0)
-
     # of all stems tried, a tenth of one is expected to pass by chance
-    needed = lambda s: np.log(10 * (len(SEEDS) if s in SEEDS else tried))
-    pure = {s for s in pos if pos[s] >= 4 * neg.get(s, 0) and evidence(s) >= needed(s)}
+    needed = F.when(F.col("stem").isin(*SEEDS), float(np.log(10 * len(SEEDS)))).otherwise(float(np.log(10 * tried)))
+    p = F.col("docs").cast("double")
+    # what a stem could show at most, if no other document had it
+    able = stems.where((F.col("docs") > 2) & (p * float(-np.log(base)) >= needed))
+    others = stem_rows(once.where("toxic = 0")).withColumnRenamed("docs", "others")
+    both = able.join(others, "stem", "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    n = p + F.col("others")
+    # bound on minus the log of the chance that a stem without meaning looks this toxic
+    rest = F.when(F.col("others") > 0, F.col("others") * F.log(F.col("others") / n / (1 - base))).otherwise(0.0)
+    shown = both.where((p >= 4 * F.col("others")) & (p * F.log(p / n / base) + rest >= needed))
+    pos = {r["stem"]: r["docs"] for r in shown.select("stem", "docs").collect()}
+    pure = set(pos)
     # a beginning that nearly always goes on the same way gives way to the longer one
     kept = [s for s in pure if not any(t[:-1] == s and pos[t] >= 0.9 * pos[s] for t in pure if len(t) == len(s) + 1)]
     terms: list[str] = []
     for s in sorted(kept, key=lambda s: (len(s), -pos[s], s)):
         if not any(s.startswith(t) for t in terms):
             terms.append(s)
-    return sorted(terms, key=lambda s: (-pos[s], s))[:TERMS]
+    return sorted(terms, key=lambda s: (-pos[s], s))
 
 
 def context(text: str, start: int, end: int) -> tuple[bool, float]:
@@ -155,18 +156,29 @@ def context(text: str, start: int, end: int) -> tuple[bool, float]:
 
 
 def features(texts: list[str | None], machine: levenshtein.Automaton) -> np.ndarray:
-    """Per text: log of one plus the weighed hits, by (exact, misspelled) x (abuse, quotation),
-    then 1 where there is such a hit."""
+    """Per text: log of one plus the weighed hits, by (all, misspelled) x (abuse, quotation),
+    then 1 where there is such a hit.
+
+    Misspelled hits count among all, so they weigh like others until labels tell otherwise."""
     low = letters.lowered(texts)
     out = np.zeros((len(low), FEATURES // 2))
     for a, b in letters.pieces(low):
-        codes, starts, ends, begin, offsets = letters.letter_words(low[a:b])
+        codes, starts, ends, _, offsets = letters.letter_words(low[a:b])
         kind = levenshtein.match(machine, codes, starts, ends)
         hits = np.flatnonzero(kind)
-        text_of = np.searchsorted(begin, hits, side="right") - 1
-        for h, k in zip(hits.tolist(), text_of.tolist(), strict=True):
-            quoted, weight = context(low[a + k], int(starts[h] - offsets[k]), int(ends[h] - offsets[k]))
-            out[a + k, 2 * (kind[h] == levenshtein.FUZZY) + quoted] += weight
+        found = list(zip(starts[hits].tolist(), ends[hits].tolist(), kind[hits].tolist(), strict=True))
+        # disguised words count as misspelled, unless a run of letters in them has hit by itself
+        starts, ends, folded = letters.disguised_words(codes, offsets)
+        masked = np.flatnonzero(levenshtein.match(machine, folded, starts, ends))
+        before = np.array([h[0] for h in found], np.int64)
+        alone = np.searchsorted(before, starts[masked]) == np.searchsorted(before, ends[masked])
+        found += [(s, e, levenshtein.FUZZY) for s, e in zip(starts[masked[alone]].tolist(), ends[masked[alone]].tolist(), strict=True)]
+        text_of = np.searchsorted(offsets, [h[0] for h in found], side="right") - 1
+        for (s, e, how), k in zip(found, text_of.tolist(), strict=True):
+            quoted, weight = context(low[a + k], s - int(offsets[k]), e - int(offsets[k]))
+            out[a + k, int(quoted)] += weight
+            if how == levenshtein.FUZZY:
+                out[a + k, 2 + quoted] += weight
     return np.hstack([np.log1p(out), out > 0])
 
 
@@ -220,13 +232,13 @@ def _scores(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarr
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, score, abuse, quotation (logs of one plus weighed hits)."""
+    """docs(doc_id, text) -> doc_id, score, abuse, quotation (logs of one plus the weighed hits)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             score, x = _scores(batch.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score), pa.array(x[:, 0] + x[:, 2]), pa.array(x[:, 1] + x[:, 3])],
+                [batch.column("doc_id"), pa.array(score), pa.array(x[:, 0]), pa.array(x[:, 1])],
                 ["doc_id", "score", "abuse", "quotation"],
             )
 
