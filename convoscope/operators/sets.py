@@ -3,7 +3,7 @@ per-set summaries, keep/reject selection, batches.
 
 A set's members and pairs are one task's work, as its size is a parameter of
 how sets are generated; ``check_set_sizes`` enforces a bound where the caller
-names one.
+names one.  Similarities are ranked, compared and returned unrounded.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def set_pairs(members: DataFrame, max_size: int | None = None, key: str = "idx",
     later = F.slice("m", F.col("at") + 2, F.size("m"))
     p = first.select("set_id", "set_type", "a", F.explode(later).alias("b")).where("a.k < b.k")
     return p.select(
-        "set_id", "set_type", F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.round(dot("a.v", "b.v"), 6).alias("similarity")
+        "set_id", "set_type", F.col("a.k").alias("i"), F.col("b.k").alias("j"), dot("a.v", "b.v").alias("similarity")
     )
 
 
@@ -68,7 +68,7 @@ def topk_pairs_mirrored(
     pairs = set_pairs(members, max_size, key=key, vec=vec)
     swapped = pairs.select("set_id", "set_type", F.col("j").alias("i"), F.col("i").alias("j"), "similarity")
     diag = members.select(
-        "set_id", "set_type", F.col(key).alias("i"), F.col(key).alias("j"), F.round(dot(vec, vec) - 1, 6).alias("similarity")
+        "set_id", "set_type", F.col(key).alias("i"), F.col(key).alias("j"), (dot(vec, vec) - 1).alias("similarity")
     )
     full = pairs.unionByName(swapped).unionByName(diag)
     w = Window.partitionBy("set_id").orderBy(F.desc("similarity"), "i", "j")
@@ -85,7 +85,7 @@ def set_summary(pairs: DataFrame) -> DataFrame:
     pairs are bounded (see ``check_set_sizes``), so one exact aggregate per set."""
     return pairs.groupBy("set_id", "set_type").agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        F.round(F.avg("similarity"), 6).alias("mean_similarity"),
+        F.avg("similarity").alias("mean_similarity"),
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY similarity)").alias("median_similarity"),
@@ -96,7 +96,7 @@ def global_pair_median(pairs: DataFrame) -> DataFrame:
     """Lower median over all pairs of each set type -- an unbounded group, so
     the distributed exact quantile."""
     q = exact_quantiles(pairs, ["set_type"], "similarity", {"median_similarity": 0.5}, method="lower")
-    return q.select("set_type", F.col("n").alias("n_pairs"), F.round("median_similarity", 6).alias("median_similarity"))
+    return q.select("set_type", F.col("n").alias("n_pairs"), "median_similarity")
 
 
 def set_maxima(pairs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def set_select(pairs: DataFrame) -> DataFrame:
     mx = set_maxima(pairs)
     med = exact_quantiles(mx, ["set_type"], "max_similarity", {"median_max": 0.5}, method="linear")
     # one row a set type, written before it is counted and broadcast: nothing runs twice
-    med = broadcast_if_small(med.select("set_type", F.round("median_max", 6).alias("median_max")).checkpoint())
+    med = broadcast_if_small(med.select("set_type", "median_max").checkpoint())
     j = mx.join(med, "set_type")
     return j.withColumn("kept", F.col("max_similarity") < F.col("median_max"))
 
@@ -119,7 +119,7 @@ def kept_stats(selected: DataFrame) -> DataFrame:
     return selected.groupBy("set_type").agg(
         F.count_if(F.col("kept")).alias("n_kept"),
         F.count_if(~F.col("kept")).alias("n_rejected"),
-        F.round(F.avg(k), 6).alias("mean_kept_max"),
+        F.avg(k).alias("mean_kept_max"),
         F.min(k).alias("min_kept_max"),
         F.max(k).alias("max_kept_max"),
     )
@@ -139,8 +139,8 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 10) -> DataFram
     ww = (F.col("vmax") - F.col("vmin")) / F.lit(float(bins))
     return out.select(
         group, "bin",
-        F.round(F.col("vmin") + F.col("bin") * ww, 6).alias("lo"),
-        F.round(F.col("vmin") + (F.col("bin") + 1) * ww, 6).alias("hi"),
+        (F.col("vmin") + F.col("bin") * ww).alias("lo"),
+        (F.col("vmin") + (F.col("bin") + 1) * ww).alias("hi"),
         F.coalesce("count", F.lit(0)).alias("count"),
     )
 

@@ -27,67 +27,79 @@ def pairs_df(spark, sf_dir):
 
 
 _PAIRS_SQL = """, pairs AS (SELECT a.set_id, a.set_type, a.idx AS i, b.idx AS j,
-   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+   list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
    FROM sets_f a JOIN sets_f b ON a.set_id = b.set_id AND a.idx < b.idx),
  mx AS (SELECT set_id, set_type, max(similarity) AS max_similarity FROM pairs GROUP BY set_id, set_type),
- med AS (SELECT set_type, round(median(max_similarity), 6) AS median_max FROM mx GROUP BY set_type),
+ med AS (SELECT set_type, median(max_similarity) AS median_max FROM mx GROUP BY set_type),
  sel AS (SELECT mx.*, med.median_max, mx.max_similarity < med.median_max AS kept FROM mx JOIN med USING (set_type))
 """
 
 
-def _sql(body: str) -> str:
+def _sql(body: str, *rounded: str) -> str:
+    """``body`` over the pairs; the columns ``rounded`` are rounded in its result, and only there."""
+    if rounded:
+        body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounded)}) FROM ({body})"
     return fx.with_views("", "sets_f").rstrip() + _PAIRS_SQL + body
 
 
-@register("set_pairs", _sql("SELECT * FROM pairs"), bench=True)
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+@register("set_pairs", _sql("SELECT * FROM pairs", "similarity"), bench=True)
 def q_set_pairs(spark, sf_dir):
-    return pairs_df(spark, sf_dir)
+    return _rounded(pairs_df(spark, sf_dir))
 
 
 @register(
     "set_ranked_pairs",
     _sql(
         """SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY similarity DESC, i, j) AS rank_desc,
-  row_number() OVER (PARTITION BY set_id ORDER BY similarity ASC, i, j) AS rank_asc FROM pairs"""
+  row_number() OVER (PARTITION BY set_id ORDER BY similarity ASC, i, j) AS rank_asc FROM pairs""",
+        "similarity",
     ),
 )
 def q_set_ranked_pairs(spark, sf_dir):
-    return so.ranked_pairs(pairs_df(spark, sf_dir))
+    return _rounded(so.ranked_pairs(pairs_df(spark, sf_dir)))
 
 
 @register(
     "set_topk_pairs",
     _sql(
-        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY similarity DESC, i, j) AS rank FROM pairs) WHERE rank <= 2"
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY similarity DESC, i, j) AS rank FROM pairs) WHERE rank <= 2",
+        "similarity",
     ),
 )
 def q_set_topk_pairs(spark, sf_dir):
-    return so.topk_pairs(pairs_df(spark, sf_dir), n=2)
+    return _rounded(so.topk_pairs(pairs_df(spark, sf_dir), n=2))
 
 
 @register(
     "set_pair_lookup",
-    _sql(f"SELECT * FROM pairs WHERE set_id = {LOOKUP[0]} AND i = {min(LOOKUP[1:])} AND j = {max(LOOKUP[1:])}"),
+    _sql(f"SELECT * FROM pairs WHERE set_id = {LOOKUP[0]} AND i = {min(LOOKUP[1:])} AND j = {max(LOOKUP[1:])}", "similarity"),
 )
 def q_set_pair_lookup(spark, sf_dir):
-    return so.pair_lookup(pairs_df(spark, sf_dir), *LOOKUP)
+    return _rounded(so.pair_lookup(pairs_df(spark, sf_dir), *LOOKUP))
 
 
-_SUMMARY_SQL = """SELECT set_id, set_type, count(*) AS n_pairs, round(avg(similarity), 6) AS mean_similarity, min(similarity) AS min_similarity,
+_SUMMARY_SQL = """SELECT set_id, set_type, count(*) AS n_pairs, avg(similarity) AS mean_similarity, min(similarity) AS min_similarity,
   max(similarity) AS max_similarity, quantile_disc(similarity, 0.5) AS median_similarity FROM pairs GROUP BY set_id, set_type"""
 
 
-@register("set_summary", _sql(_SUMMARY_SQL))
+_SUMMARY_ROUNDED = ("mean_similarity", "min_similarity", "max_similarity", "median_similarity")
+
+
+@register("set_summary", _sql(_SUMMARY_SQL, *_SUMMARY_ROUNDED))
 def q_set_summary(spark, sf_dir):
-    return so.set_summary(pairs_df(spark, sf_dir))
+    return _rounded(so.set_summary(pairs_df(spark, sf_dir)))
 
 
 @register(
     "global_pair_median",
-    _sql("SELECT set_type, count(*) AS n_pairs, round(quantile_disc(similarity, 0.5), 6) AS median_similarity FROM pairs GROUP BY set_type"),
+    _sql("SELECT set_type, count(*) AS n_pairs, quantile_disc(similarity, 0.5) AS median_similarity FROM pairs GROUP BY set_type", "median_similarity"),
 )
 def q_global_pair_median(spark, sf_dir):
-    return so.global_pair_median(pairs_df(spark, sf_dir))
+    return _rounded(so.global_pair_median(pairs_df(spark, sf_dir)))
 
 
 @register(
@@ -102,24 +114,27 @@ SELECT g.set_type, g.bin, round(g.vmin + g.bin * ((g.vmax - g.vmin) / 10.0), 6)
     ),
 )
 def q_sim_histogram(spark, sf_dir):
-    return so.histogram(so.set_maxima(pairs_df(spark, sf_dir)), "max_similarity", "set_type", bins=10)
+    return _rounded(so.histogram(so.set_maxima(pairs_df(spark, sf_dir)), "max_similarity", "set_type", bins=10))
 
 
-@register("set_select", _sql("SELECT * FROM sel"))
+@register("set_select", _sql("SELECT * FROM sel", "max_similarity", "median_max"))
 def q_set_select(spark, sf_dir):
-    return so.set_select(pairs_df(spark, sf_dir))
+    return _rounded(so.set_select(pairs_df(spark, sf_dir)))
 
 
 @register(
     "set_kept_stats",
     _sql(
         """SELECT set_type, CAST(count_if(kept) AS BIGINT) AS n_kept, CAST(count_if(NOT kept) AS BIGINT) AS n_rejected,
-  round(avg(CASE WHEN kept THEN max_similarity END), 6) AS mean_kept_max, min(CASE WHEN kept THEN max_similarity END) AS min_kept_max,
-  max(CASE WHEN kept THEN max_similarity END) AS max_kept_max FROM sel GROUP BY set_type"""
+  avg(CASE WHEN kept THEN max_similarity END) AS mean_kept_max, min(CASE WHEN kept THEN max_similarity END) AS min_kept_max,
+  max(CASE WHEN kept THEN max_similarity END) AS max_kept_max FROM sel GROUP BY set_type""",
+        "mean_kept_max",
+        "min_kept_max",
+        "max_kept_max",
     ),
 )
 def q_set_kept_stats(spark, sf_dir):
-    return so.kept_stats(so.set_select(pairs_df(spark, sf_dir)))
+    return _rounded(so.kept_stats(so.set_select(pairs_df(spark, sf_dir))))
 
 
 @register(
@@ -172,7 +187,8 @@ WHERE batch_id % {LEFT_OUT} = 1 OR (batch_id % {HALF} = 0 AND expected > 1)"""
 def q_set_pending_batches(spark, sf_dir):
     """A run that was cut short: the plan comes from all sets of the input, some batches were never
     written, some hold every second set only, and the manifest names what is whole."""
-    summ = so.set_summary(pairs_df(spark, sf_dir)).withColumn("batch_id", so.batch_of("set_id", BATCH_SIZE)).checkpoint()
+    # rounded, so that a mean summed in another order has the same fingerprint
+    summ = _rounded(so.set_summary(pairs_df(spark, sf_dir))).withColumn("batch_id", so.batch_of("set_id", BATCH_SIZE)).checkpoint()
     plan = bt.batch_plan(summ, F.col("batch_id"), "set_id", [c for c in summ.columns if c != "batch_id"]).checkpoint()
     root = shared_path(spark, "set_batches", uuid.uuid4().hex)
     place = F.row_number().over(Window.partitionBy("batch_id").orderBy("set_id"))  # BATCH_SIZE rows each
@@ -214,7 +230,7 @@ def q_gen_sets_noncomp(spark, sf_dir):
     return so.gen_sets_noncomp(fx.shapes_f(spark, sf_dir), N_SETS, SET_SIZE, seed="42noncomp")
 
 
-@register("set_summary_stream", _sql(_SUMMARY_SQL))
+@register("set_summary_stream", _sql(_SUMMARY_SQL, *_SUMMARY_ROUNDED))
 def q_set_summary_stream(spark, sf_dir):
     """The set summaries computed incrementally: members staged as files of
     whole sets in the shared folder, consumed by a file-source stream
@@ -225,4 +241,4 @@ def q_set_summary_stream(spark, sf_dir):
     stage_members(fx.sets_f(spark, sf_dir), f"{root}/members", sets_per_file=BATCH_SIZE)
     q = start_set_summaries(spark, f"{root}/members", f"{root}/summaries", f"{root}/_checkpoint", max_set_size=SET_SIZE)
     run_to_completion(q)
-    return bt.read_batches(spark, f"{root}/summaries").drop("batch_id")
+    return _rounded(bt.read_batches(spark, f"{root}/summaries").drop("batch_id"))

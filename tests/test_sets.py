@@ -75,3 +75,13 @@ def test_batch_sink_is_idempotent(spark, tmp_path):
     back = bt.read_batches(spark, root)
     assert back.count() == 3
     assert bt.newest_batch(back).collect()[0][0] == 1
+
+
+def test_similarities_are_ranked_unrounded(spark):
+    """Two pairs that differ beyond the sixth place: the larger comes first, and decides what is kept."""
+    rows = [(0, 0, "s", [1.0, 0.0]), (0, 1, "s", [0.5, 0.0]), (0, 2, "s", [0.5 + 2.0**-24, 0.0])]
+    rows += [(1, 0, "s", [1.0, 0.0]), (1, 1, "s", [0.5 + 2.0**-23, 0.0])]
+    pairs = so.set_pairs(spark.createDataFrame(rows, "set_id long, idx int, set_type string, embedding array<double>"))
+    first = so.topk_pairs(pairs, n=1).where("set_id = 0").first()
+    assert (first.i, first.j, first.similarity) == (0, 2, 0.5 + 2.0**-24)
+    assert {r.set_id: r.kept for r in so.set_select(pairs).collect()} == {0: True, 1: False}
