@@ -10,7 +10,13 @@ text's language is the one with the largest sum over its words.
 
 Training sequences splice words of two labelled texts, so that transitions see
 switches; texts and labels of a bounded sample (``SAMPLE_ROWS``) are read, the
-rest of the rows only predicted.
+rest of the rows only predicted.  A sampled text gives blocks of neighbouring
+words, drawn over its whole length by a hash.
+
+A long text is cut into segments.  A segment's effect on the chain is one
+languages x languages matrix; these are made for all segments in step, carried
+from segment to segment in both directions, and every segment then runs on its
+own from exactly the state that the whole chain has there.
 
 Defined results: a null text, or one without letters, is ``und`` with score
 0.0; a null doc_id is predicted like any other; rows that repeat are predicted
@@ -20,6 +26,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +38,13 @@ from pyspark.sql import functions as F
 from convoscope.llm import letters, tokens
 from convoscope.llm.tables import stored
 
-#: Labelled rows fitted on, at most (about; chosen by a hash of the id), and the words taken from each.
+#: Labelled rows fitted on, at most (about; chosen by a hash of the id), and the blocks of words drawn from each.
 SAMPLE_ROWS = 2_000
-SAMPLE_WORDS = 400
+SAMPLE_BLOCKS = 16
 SLOTS = 1 << 16
-HALF = 25  # words of one text in a training sequence
+HALF = 25  # words of a block: one text's share of a training sequence
+CHAINS = 200  # sequences in a gradient step
+SEGMENT = 1_024  # words of a long text that are stepped through one by one
 EPOCHS, RATE, RIDGE = 12, 0.3, 1e-6
 
 
@@ -84,24 +93,61 @@ def emissions(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.zeros((0, k), weights.dtype), np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
+def in_step(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of chains from long to short, where each begins, and how many hold a word t, for every t."""
+    order = np.argsort(-counts, kind="stable")
+    length = counts[order]
+    longest = int(length[0]) if len(length) else 0
+    return order, (np.cumsum(counts) - counts)[order], np.searchsorted(-length, -np.arange(longest), side="left")
+
+
+def carried(near: np.ndarray, move: np.ndarray, chains: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each segment from the words before it and from those after it (its first and last word's factors).
+
+    ``chains``: the number of segments of each chain; ``segments``: words of each segment.
+    """
+    k = move.shape[0]
+    order, begin, active = in_step(segments)
+    effect = np.broadcast_to(np.eye(k, dtype=near.dtype), (len(segments), k, k)).copy()
+    for t, m in enumerate(active):
+        effect[:m] = (effect[:m] if t == 0 else effect[:m] @ move) * near[begin[:m] + t][:, None, :]
+        effect[:m] /= effect[:m].sum(axis=(1, 2), keepdims=True)
+    effect[order] = effect.copy()
+    before, after = np.ones((len(segments), k), near.dtype), np.ones((len(segments), k), near.dtype)
+    for end, n in zip(np.cumsum(chains).tolist(), chains.tolist(), strict=True):
+        for s in range(end - n + 1, end):
+            before[s] = (before[s - 1] @ effect[s - 1]) @ move
+            before[s] /= before[s].sum()
+        for s in range(end - 2, end - n - 1, -1):
+            after[s] = move @ (effect[s + 1] @ after[s + 1])
+            after[s] /= after[s].sum()
+    return before, after
+
+
 def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Language probabilities of every word of chains laid end to end, all chains in step.
 
-    With ``pairs`` also the expected number of each transition.
+    With ``pairs`` (of short chains) also the expected number of each transition.
     """
     k = moves.shape[0]
     near = np.exp(scores - scores.max(axis=1, keepdims=True))
     move = np.exp(moves).astype(near.dtype)
-    begin = np.cumsum(counts) - counts
-    order = np.argsort(-counts, kind="stable")
-    begin, length = begin[order], counts[order]
+    entering = leaving = np.ones((len(counts), k), near.dtype)
+    if not pairs and len(counts) and counts.max() > SEGMENT:
+        chains = -(-counts // SEGMENT)
+        last = np.cumsum(chains) - 1
+        segments = np.full(int(chains.sum()), SEGMENT, np.int64)
+        segments[last] = counts - (chains - 1) * SEGMENT
+        entering, leaving = carried(near, move, chains, segments)
+        counts = segments
+    order, begin, active = in_step(counts)
+    longest = len(active)
+    entering, leaving = entering[order], leaving[order]
     alpha = np.empty_like(near)
-    longest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(longest), side="left")  # chains longer than t come first
     state = None
     for t in range(longest):
         at = begin[: active[t]] + t
-        state = near[at] if t == 0 else (state[: active[t]] @ move) * near[at]
+        state = (entering if t == 0 else state[: active[t]] @ move) * near[at]
         state /= state.sum(axis=1, keepdims=True)
         alpha[at] = state
     gamma = np.empty_like(near)
@@ -119,9 +165,9 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
             beta = message @ move.T
             beta /= beta.sum(axis=1, keepdims=True)
             if m > later:
-                beta = np.concatenate([beta, np.ones((m - later, k), near.dtype)])
+                beta = np.concatenate([beta, leaving[later:m]])
         else:
-            beta = np.ones((m, k), near.dtype)
+            beta = leaving[:m]
         g = alpha[at] * beta
         gamma[at] = g / g.sum(axis=1, keepdims=True)
     return (gamma, expected) if pairs else gamma
@@ -130,8 +176,7 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
 def sequences(texts: list[str], labels: np.ndarray, seed: int = 7):
     """Training chains: HALF words of one text, then HALF of another, in a fixed random order."""
     codes, starts, ends, begin, _ = letters.letter_words(texts)
-    ends_of = np.minimum(begin[1:], begin[:-1] + SAMPLE_WORDS)
-    blocks = [(a, min(a + HALF, e), y) for s, e, y in zip(begin[:-1], ends_of, labels, strict=True) for a in range(int(s), int(e), HALF)]
+    blocks = [(a, min(a + HALF, e), y) for s, e, y in zip(begin[:-1], begin[1:], labels, strict=True) for a in range(int(s), int(e), HALF)]
     np.random.default_rng(seed).shuffle(blocks)
     words = np.concatenate([np.arange(a, b) for a, b, _ in blocks]) if blocks else np.zeros(0, np.int64)
     truth = np.concatenate([np.full(b - a, y) for a, b, y in blocks]).astype(np.int64) if blocks else np.zeros(0, np.int64)
@@ -141,7 +186,7 @@ def sequences(texts: list[str], labels: np.ndarray, seed: int = 7):
 
 
 def train(texts: list[str], langs: list[str]) -> Model:
-    """Adagrad on the chains' log-likelihood, in a few hundred words per step."""
+    """Adagrad on the chains' log-likelihood, CHAINS sequences a step; a step touches only slots that occur in it."""
     languages = sorted(set(langs))
     k = len(languages)
     weights, moves = np.zeros((SLOTS, k)), np.zeros((k, k))
@@ -151,36 +196,45 @@ def train(texts: list[str], langs: list[str]) -> Model:
     tri, first, whole = word_slots(codes, starts, ends)
     n = np.append(first[1:], len(tri)) - first
     seen_w, seen_m = np.full((SLOTS, k), 1e-8), np.full((k, k), 1e-8)
-    group = 200
     edges = np.concatenate([[0], np.cumsum(counts)])
+    steps = []
+    for g in range(0, len(counts), CHAINS):  # a step's slots, once each, and where its features stand among them
+        chain = counts[g : g + CHAINS]
+        a, b = edges[g], edges[g + len(chain)]
+        t0, t1 = first[a], first[b] if b < len(first) else len(tri)
+        slots, place = np.unique(np.concatenate([tri[t0:t1], whole[a:b].ravel()]), return_inverse=True)
+        word = np.concatenate([np.repeat(np.arange(b - a), n[a:b]), np.repeat(np.arange(b - a), whole.shape[1])])
+        inside = np.ones(b - a, bool)
+        inside[edges[g : g + len(chain)] - a] = False
+        steps.append((chain, truth[a:b], slots, place, word, np.flatnonzero(inside)))
     for _ in range(EPOCHS):
-        for g in range(0, len(counts), group):
-            chain = counts[g : g + group]
-            a, b = edges[g], edges[g + len(chain)]
-            t0, t1 = first[a], first[b] if b < len(first) else len(tri)
-            scores = np.add.reduceat(weights[tri[t0:t1]], first[a:b] - t0, axis=0) + weights[whole[a:b]].sum(axis=1)
+        for chain, y, slots, place, word, at in steps:
+            now = weights[slots]
+            scores = np.stack([np.bincount(word, now[place, j], len(y)) for j in range(k)], axis=1)
             gamma, expected = forward_backward(scores, chain, moves, pairs=True)
-            y = truth[a:b]
-            gamma[np.arange(b - a), y] -= 1
-            slope = np.empty((SLOTS, k))
-            per_letter = np.repeat(gamma, n[a:b], axis=0)
-            for j in range(k):
-                slope[:, j] = np.bincount(tri[t0:t1], per_letter[:, j], SLOTS)
-                for c in range(whole.shape[1]):
-                    slope[:, j] += np.bincount(whole[a:b, c], gamma[:, j], SLOTS)
-            inside = np.ones(b - a, bool)
-            inside[edges[g : g + len(chain)] - a] = False
-            at = np.flatnonzero(inside)
+            gamma[np.arange(len(y)), y] -= 1
+            slope = np.stack([np.bincount(place, gamma[word, j], len(slots)) for j in range(k)], axis=1)
             np.add.at(expected, (y[at - 1], y[at]), -1.0)
-            slope = slope / (b - a) + RIDGE * weights
-            expected /= b - a
-            seen_w += slope**2
+            slope = slope / len(y) + RIDGE * now
+            expected /= len(y)
+            seen_w[slots] += slope**2
             seen_m += expected**2
-            weights -= RATE * slope / np.sqrt(seen_w)
+            weights[slots] = now - RATE * slope / np.sqrt(seen_w[slots])
             moves -= RATE * expected / np.sqrt(seen_m)
     return Model(languages, weights.astype(np.float32), moves.astype(np.float32))
 
 
+def drawn_words(text: str) -> str:
+    """Words of SAMPLE_BLOCKS blocks of a lower-cased text (all, if it has no more), in the text's order."""
+    _, starts, ends, _, _ = letters.letter_words([text])
+    blocks = -(-len(starts) // HALF)
+    chosen = np.arange(blocks)
+    if blocks > SAMPLE_BLOCKS:
+        chosen = np.sort(np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).choice(blocks, SAMPLE_BLOCKS, replace=False))
+    words = [(a, b) for c in chosen.tolist() for a, b in zip(starts[c * HALF : (c + 1) * HALF].tolist(), ends[c * HALF : (c + 1) * HALF].tolist(), strict=True)]
+    return " ".join(text[a:b] for a, b in words)
+
+
 def fit(labelled: DataFrame) -> Model:
     """Model from labelled(doc_id, text, lang); reads about SAMPLE_ROWS rows, chosen by a hash of the id."""
     labelled = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -189,10 +243,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:  # only the words that training reads travel
-            texts = []
-            for text in letters.lowered(batch.column("text").to_pylist()):
-                _, starts, ends, _, _ = letters.letter_words([text])
-                texts.append(" ".join(text[a:b] for a, b in zip(starts[:SAMPLE_WORDS].tolist(), ends[:SAMPLE_WORDS].tolist(), strict=True)))
+            texts = [drawn_words(text) for text in letters.lowered(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang")], ["doc_id", "words", "lang"])
 
     rows = chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, words string, lang string")

@@ -1,10 +1,11 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from convoscope.llm import langid_crf, levenshtein, toxicity
+from convoscope.llm import langid_crf, levenshtein, queries, toxicity
 from tests.llm.odd import LANGS, SCHEMA, odd_docs, prose
 
 
@@ -117,6 +118,71 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(gamma, want) and np.allclose(expected, pairs)
 
 
+def test_segments_of_long_chains_equal_the_whole_chain(monkeypatch):
+    rng = np.random.default_rng(1)
+    counts = np.array([3, 95, 1, 40, 7, 8, 14])
+    scores, moves = rng.normal(size=(counts.sum(), 4)) * 2, rng.normal(size=(4, 4))
+    want = langid_crf.forward_backward(scores, counts, moves)
+    for size in (1, 7, 13, 94):
+        monkeypatch.setattr(langid_crf, "SEGMENT", size)
+        assert np.allclose(langid_crf.forward_backward(scores, counts, moves), want)
+    monkeypatch.setattr(langid_crf, "SEGMENT", 1_024)
+    long = np.array([300_000])  # no sum runs away, and no step for each word
+    gamma = langid_crf.forward_backward(rng.normal(size=(300_000, 3)).astype(np.float32) * 5, long, moves[:3, :3])
+    assert np.allclose(gamma.sum(axis=1), 1, atol=1e-5)
+
+
+def test_training_words_come_from_the_whole_text():
+    words = [f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(5_000)]
+    got = [words.index(w) for w in langid_crf.drawn_words(" ".join(words)).split()]
+    assert len(got) == langid_crf.SAMPLE_BLOCKS * langid_crf.HALF and got == sorted(got)
+    assert got[0] < 2_000 and got[-1] > 3_000 and all(k - k % 25 in got for k in got)
+    assert langid_crf.drawn_words(" ".join(words[:390])) == " ".join(words[:390])
+    assert langid_crf.drawn_words("") == "" == langid_crf.drawn_words(" 12 ")
+
+
+def plain_shares(text, model):
+    """Mean language probabilities of a text, word by word in plain Python."""
+    mask, k = (1 << 64) - 1, len(model.languages)
+    slot = lambda x, kind: ((x + kind) * 0x9E3779B97F4A7C15 & mask) >> 48
+    three = lambda a, b, c: (a * 0x110000 + b) * 0x110000 + c & mask
+    found = [[ord(c) for c in m] for m in re.findall(r"[^\W\d_]+", text.lower())]
+    scores = []
+    for w in found:
+        table = langid_crf.tokens.powers(langid_crf.tokens.WORD_BASE, len(w))
+        word = sum(int(x) for x in langid_crf.tokens.mix(np.array(w, np.uint64)) * table[: len(w)]) & mask
+        pad, front, back = [0, *w, 0], [*w, 0, 0], [*w[::-1], 0, 0]
+        slots = [slot(three(*pad[i : i + 3]), 1) for i in range(len(w))]
+        slots += [slot(three(*front[:3]), 2), slot(three(*back[:3]), 3), slot(word, 4)]
+        scores.append(model.weights[slots].astype(float).sum(axis=0))
+    move = np.exp(model.moves.astype(float))
+    ahead, behind = [np.exp(scores[0])], [np.ones(k)]
+    for x in scores[1:]:
+        ahead.append(ahead[-1] / ahead[-1].sum() @ move * np.exp(x))
+    for x in scores[:0:-1]:
+        behind.append(move @ (np.exp(x) * behind[-1] / behind[-1].sum()))
+    each = [a * b / (a * b).sum() for a, b in zip(ahead, behind[::-1], strict=True)]
+    return dict(zip(model.languages, np.mean(each, axis=0), strict=True))
+
+
+def test_language_query_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid_crf.fit(docs.where(queries._remainder(4) != 2))
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    assert len(got) == len(rows)
+    learned = {r.lang for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    for r in rows:
+        out = got[r.doc_id]
+        assert out.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (out.lang_pred, out.score) == ("und", 0.0)
+            continue
+        shares = plain_shares(r.text, model)
+        assert out.lang_pred in learned and abs(out.score - max(shares.values())) < 1e-3
+        assert shares[out.lang_pred] > max(shares.values()) - 1e-3
+
+
 def test_language_id_on_held_out_and_switched_text(spark):
     rng = random.Random(9)
     rows = [(k, prose(rng, rng.randint(20, 60), lang), lang) for k in range(300) for lang in [rng.choice(list(LANGS))]]
