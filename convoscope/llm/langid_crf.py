@@ -142,13 +142,14 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
         counts = segments
     order, begin, active = in_step(counts)
     longest = len(active)
+    every = np.ones((k, 1), near.dtype)  # a product with it sums a row
     entering, leaving = entering[order], leaving[order]
     alpha = np.empty_like(near)
     state = None
     for t in range(longest):
         at = begin[: active[t]] + t
         state = (entering if t == 0 else state[: active[t]] @ move) * near[at]
-        state /= state.sum(axis=1, keepdims=True)
+        state /= state @ every
         alpha[at] = state
     gamma = np.empty_like(near)
     expected = np.zeros((k, k))
@@ -160,16 +161,16 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
             later = active[t + 1]
             message = near[begin[:later] + t + 1] * beta[:later]
             if pairs:
-                joint = alpha[at[:later]][:, :, None] * move[None] * message[:, None, :]
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                state = alpha[at[:later]]
+                expected += move * (state.T @ (message / ((state @ move * message) @ every)))
             beta = message @ move.T
-            beta /= beta.sum(axis=1, keepdims=True)
+            beta /= beta @ every
             if m > later:
                 beta = np.concatenate([beta, leaving[later:m]])
         else:
             beta = leaving[:m]
         g = alpha[at] * beta
-        gamma[at] = g / g.sum(axis=1, keepdims=True)
+        gamma[at] = g / (g @ every)
     return (gamma, expected) if pairs else gamma
 
 
