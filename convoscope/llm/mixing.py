@@ -10,7 +10,9 @@ depend on the order in which Spark adds.  A source's documents run in blocks of
 a bounded number of rows, by size within a block; each block starts where the
 one before ended, one random offset per source is added, and a document is
 emitted once per whole number that its stretch crosses.  A hot source is many
-blocks, never one task's list.
+blocks, never one task's list.  A row's block is drawn from its id, or from its
+text where the id is missing; within a block equal sizes go by id, then by the
+text's hash, so that a rerun draws the same rows.
 
 Defined results: a null text has size 0; a source of size 0 has target 0 and
 nothing taken; a null doc_id is drawn like any other; rows that repeat are
@@ -67,7 +69,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
 
 def _drawn(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
     """docs(doc_id, text, source, ...) -> row (its columns), size, source_size, target, copies."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    own = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), own.alias("_own"), F.struct("*").alias("row"))
     slim = stored(sized.drop("row"), "sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     sources = source_targets(sources, weights, cap)
@@ -84,7 +87,7 @@ def _drawn(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> Data
 
     def placed(df: DataFrame) -> DataFrame:
         found = df.join(sources, F.col("source").eqNullSafe(F.col("_source")))
-        block = draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % F.col("_blocks")
+        block = draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("_own"))) % F.col("_blocks")
         return found.withColumn("_block", block).drop("_source", "_blocks")
 
     # where each block starts: blocks in groups, groups in their source
@@ -111,7 +114,7 @@ def _drawn(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> Data
     )
     # sizes rise in one block and fall in the next, so that what is drawn stays near the expected words throughout
     swing = F.when(F.col("_block") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    run = Window.partitionBy("source", "_block").orderBy(swing, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("source", "_block").orderBy(swing, "doc_id", "_own").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed(sized).withColumn("_end", F.sum("_each").over(run))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s_source")) & (F.col("_block") == F.col("_s_block")))
     end = F.col("_start") + F.col("_offset") + F.col("_end")

@@ -157,7 +157,7 @@ WHERE rank <= 10
 """,
     "op3_source_mix": """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS own, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'),
            lambda x: x <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -175,11 +175,11 @@ t AS (
          CAST('0x' || substr(md5('mix|' || coalesce('=' || source, '')), 1, 6) AS BIGINT) AS off
   FROM c, level),
 e AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.off,
+  SELECT d.doc_id, d.source, d.size, d.own, t.source_size, t.target, t.off,
          CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216) ELSE 0 END AS BIGINT) AS each,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) % CAST(ceil(documents / 1000) AS BIGINT) AS block
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), d.own)), 1, 6) AS BIGINT) % CAST(ceil(documents / 1000) AS BIGINT) AS block
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, off + CAST(sum(each) OVER (PARTITION BY source ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e)
+p AS (SELECT *, off + CAST(sum(each) OVER (PARTITION BY source ORDER BY block, CASE WHEN block % 2 = 0 THEN size ELSE -size END, doc_id, own ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e)
 SELECT doc_id, size, source_size, target, ((stop >> 24) - ((stop - each) >> 24)) * size AS taken FROM p
 """,
     "op6_decontamination": """

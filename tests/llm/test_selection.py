@@ -93,6 +93,24 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert [tuple(r) for r in sorted(again, key=key)] == [tuple(r) for r in sorted(got, key=key)]
 
 
+def test_mix_of_a_source_without_ids(spark, monkeypatch):
+    """Rows without id are dealt to many blocks, and ties of size and id are drawn alike in every run."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(None, f"w{k} " + "x " * rng.randint(0, 3), "hot") for k in range(3_000)]
+    rows += [(7, f"y{k} z", "hot") for k in range(100)] + [(k, "a b c", "other") for k in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    window = []
+    real = mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: window.append((name, out := real(df, name))) or out)
+    drawn = lambda df: sorted((r.source, r.doc_id or -1, r.text, r.copies) for r in mixing.mix(df).collect())
+    first = drawn(docs)
+    hot = dict(window)["blocks"].where("source = 'hot'")
+    each = dict(window)["targets"].where("_source = 'hot'").first()["_each"]
+    assert hot.count() > 50 and hot.selectExpr("max(_sum)").first()[0] <= 200 * each
+    assert drawn(docs.repartition(3, "text")) == first and len(first) == len(rows)
+
+
 def test_mix_of_odd_rows(spark):
     out = mixing.emitted(odd_docs(spark))
     assert out.columns == [*odd_docs(spark).columns, "copy"] and {r["size"] for r in out.collect()} == {"s"}
