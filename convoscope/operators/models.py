@@ -276,3 +276,68 @@ def interaction_terms(numeric: Mapping[str, F.Column], factors: Mapping[str, tup
     for group in groups:
         out |= {**group, **{f"{a}:{b}": x * y for a, x in out.items() for b, y in group.items()}}
     return out
+
+
+#: A term whose spread, given the terms before it, is below this share of its own adds nothing: it is aliased.
+ALIASED = 1e-9
+
+
+def factor_fit(df: DataFrame, numeric: Mapping[str, F.Column], factors: Mapping[str, F.Column], y: F.Column, contrast: str) -> DataFrame:
+    """Least squares of y on ``a * b * ... * factor * factor ...``, for factors of any number of levels.
+
+    With every product of the factors in the model, each cell (combination of levels that occurs) has
+    coefficients of its own; only the error variance is shared.  So one grouped aggregate of centred
+    moments per cell replaces the wide design, and nothing but cells leaves the scan.  Rows: the factors,
+    term (``intercept``, the numeric names, their products as ``a:b``), n (rows of the cell), estimate,
+    std_error, difference and difference_error: the estimate less that of the first level of ``contrast``
+    in the same levels of the other factors, which is the model's interaction coefficient.
+
+    A term that the cell's rows can't tell from those before it is aliased: NULL estimate, and no
+    difference.  The first level's own difference is NULL.  Without a degree of freedom left over all
+    cells the errors are NULL.  Rows with a NULL in any term, factor or y are left out.
+    """
+    terms = interaction_terms(numeric, {})
+    p = len(terms)
+    named = df.select(*[c.alias(k) for k, c in factors.items()], *[c.alias(f"_t{i}") for i, c in enumerate([*terms.values(), y])])
+    columns = {f"_t{i}": F.col(f"_t{i}") for i in range(p + 1)}
+    found = moment_table(named.dropna(subset=list(factors)), columns, list(factors)).checkpoint()  # one row a cell
+    at = lambda i, j: F.col(f"c_{min(i, j)}_{max(i, j)}")
+    cells = found
+    for k in range(p):
+        clear = F.col(f"c_{k}_{k}") > F.lit(ALIASED) * F.col(f"s{k}")
+        if k == 0:
+            cells = cells.withColumns({f"s{i}": F.col(f"c_{i}_{i}") for i in range(p)})
+        cells = cells.withColumn(f"ok{k}", clear)
+        swept = {}
+        for i in range(p + 1):
+            for j in range(i, p + 1):
+                if i == j == k:
+                    e = -1 / at(k, k)
+                elif k in (i, j):
+                    e = at(i, j) / at(k, k)
+                else:
+                    e = at(i, j) - at(i, k) * at(k, j) / at(k, k)
+                swept[f"c_{i}_{j}"] = F.when(F.col(f"ok{k}"), e).otherwise(at(i, j))
+        cells = cells.withColumns(swept)
+    none = F.lit(0.0)
+    ok = [F.col(f"ok{i}") for i in range(p)]
+    lean = sum((F.when(ok[i], at(i, p) * F.col(f"m{i}")).otherwise(none) for i in range(p)), none)
+    spread = sum((F.when(ok[i] & ok[j], -at(i, j) * F.col(f"m{i}") * F.col(f"m{j}")).otherwise(none) for i in range(p) for j in range(p)), none)
+    rows = [F.struct(F.lit("intercept").alias("term"), (F.col(f"m{p}") - lean).alias("b"), (1 / F.col("n") + spread).alias("v"))]
+    rows += [F.struct(F.lit(t).alias("term"), F.when(ok[i], at(i, p)).alias("b"), F.when(ok[i], -at(i, i)).alias("v")) for i, t in enumerate(terms)]
+    used = sum((o.cast("long") for o in ok), F.lit(1).cast("long"))
+    cells = cells.select(*factors, "n", F.array(*rows).alias("rows"), F.greatest(at(p, p), none).alias("sse"), (F.col("n") - used).alias("free"))
+    cells = cells.checkpoint()
+    shared = cells.agg(F.when(F.sum("free") > 0, F.sum("sse") / F.sum("free")).alias("sigma2"))
+    fixed = [k for k in factors if k != contrast]
+    first = cells.groupBy(*fixed).agg(F.min_by("rows", contrast).alias("base"), F.min(contrast).alias("base_level"))
+    both = join_null_safe(cells, first, fixed) if fixed else attach_row(cells, first)
+    both = attach_row(both, shared).select("*", F.posexplode("rows").alias("place", "r")).withColumn("z", F.element_at("base", F.col("place") + 1))
+    other = F.col(contrast) != F.col("base_level")
+    return both.select(
+        *factors, "r.term", "n",
+        F.round("r.b", 6).alias("estimate"),
+        F.round(F.sqrt(F.col("sigma2") * F.col("r.v")), 6).alias("std_error"),
+        F.when(other, F.round(F.col("r.b") - F.col("z.b"), 6)).alias("difference"),
+        F.when(other, F.round(F.sqrt(F.col("sigma2") * (F.col("r.v") + F.col("z.v"))), 6)).alias("difference_error"),
+    )

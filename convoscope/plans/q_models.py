@@ -245,6 +245,59 @@ def q_form_interactions(spark, sf_dir):
     return md.ols_table(spark, md.ols(d, terms, F.ln("l_extendedprice")), "interactions")
 
 
+def _factor_sql(names: list[str], keys: list[str], contrast: str) -> str:
+    """CTEs and query over ``src`` (keys, x0.., y): per cell a sweep that passes over aliased terms."""
+    p, key = len(names), ", ".join(keys)
+    var = [*(f"x{i}" for i in range(p)), "y"]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    at = lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+    means = ", ".join(f"avg({v}) AS m{i}" for i, v in enumerate(var))
+    first = ", ".join(f"covar_pop({var[i]}, {var[j]}) * count(*) AS {at(i, j)}" for i, j in pairs)
+    ctes = [f"w0 AS (SELECT {key}, count(*) AS n, {means}, {first}, {', '.join(f'var_pop({v}) * count(*) AS s{i}' for i, v in enumerate(var[:p]))} FROM src GROUP BY {key})"]
+    keep = f"{key}, n, " + ", ".join([*(f"m{i}" for i in range(p + 1)), *(f"s{i}" for i in range(p))])
+    for k in range(p):
+        clear, cells = f"{at(k, k)} > {md.ALIASED} * s{k}", []
+        for i, j in pairs:
+            if i == j == k:
+                e = f"-1 / {at(k, k)}"
+            elif k in (i, j):
+                e = f"{at(i, j)} / {at(k, k)}"
+            else:
+                e = f"{at(i, j)} - {at(i, k)} * {at(k, j)} / {at(k, k)}"
+            cells.append(f"CASE WHEN {clear} THEN {e} ELSE {at(i, j)} END AS {at(i, j)}")
+        flags = ", ".join([*(f"ok{i}" for i in range(k)), f"{clear} AS ok{k}"])
+        ctes.append(f"w{k + 1} AS (SELECT {keep}, {flags}, {', '.join(cells)} FROM w{k})")
+    lean = " + ".join(f"CASE WHEN ok{i} THEN {at(i, p)} * m{i} ELSE 0 END" for i in range(p))
+    spread = " + ".join(f"CASE WHEN ok{i} AND ok{j} THEN -{at(i, j)} * m{i} * m{j} ELSE 0 END" for i in range(p) for j in range(p))
+    used = " + ".join(f"CAST(ok{i} AS INTEGER)" for i in range(p))
+    parts = [f"SELECT {key}, n, 'intercept' AS term, m{p} - ({lean}) AS b, 1 / n + {spread} AS v FROM w{p}"]
+    parts += [f"SELECT {key}, n, '{t}', CASE WHEN ok{i} THEN {at(i, p)} END, CASE WHEN ok{i} THEN -{at(i, i)} END FROM w{p}" for i, t in enumerate(names)]
+    ctes.append(f"shared AS (SELECT CASE WHEN sum(n - 1 - ({used})) > 0 THEN sum(greatest({at(p, p)}, 0)) / sum(n - 1 - ({used})) END AS sigma2 FROM w{p})")
+    ctes.append("long AS (" + " UNION ALL ".join(parts) + ")")
+    fixed = ", ".join(["term", *(k for k in keys if k != contrast)])
+    win = f"OVER (PARTITION BY {fixed} ORDER BY {contrast})"
+    ctes.append(f"based AS (SELECT *, first_value(b) {win} AS b0, first_value(v) {win} AS v0, first_value({contrast}) {win} <> {contrast} AS other FROM long)")
+    return ", " + ",\n ".join(ctes) + f"""
+SELECT {key}, term, n, round(b, 6) AS estimate, round(sqrt(sigma2 * v), 6) AS std_error,
+  CASE WHEN other THEN round(b - b0, 6) END AS difference, CASE WHEN other THEN round(sqrt(sigma2 * (v + v0)), 6) END AS difference_error
+FROM based, shared"""
+
+
+@register(
+    "form_target_interactions",
+    _sql(
+        """, src AS (SELECT target, structure, rep_num::DOUBLE AS x0, group_size::DOUBLE AS x1, rep_num::DOUBLE * group_size AS x2, ln(total_num_words) AS y
+ FROM rep WHERE target IS NOT NULL AND structure IS NOT NULL AND rep_num IS NOT NULL AND group_size IS NOT NULL)"""
+        + _factor_sql(["rep_num", "group_size", "rep_num:group_size"], ["target", "structure"], "target")
+    ),
+)
+def q_form_target_interactions(spark, sf_dir):
+    """log(words) ~ round * target * size * structure, per trial."""
+    numeric = {"rep_num": F.col("rep_num"), "group_size": F.col("group_size")}
+    factors = {"target": F.col("target"), "structure": F.col("structure")}
+    return md.factor_fit(rep_df(spark, sf_dir), numeric, factors, F.ln("total_num_words"), contrast="target")
+
+
 @register("occurrence_logit")
 def q_occurrence_logit(spark, sf_dir):
     from convoscope.operators.conventions import with_progress

@@ -170,3 +170,44 @@ def test_interactions_match_lstsq(spark):
     X = np.column_stack([np.ones(n), a, f == "y", f == "z", a * (f == "y"), a * (f == "z")]).astype(float)
     beta, *_ = np.linalg.lstsq(X, y, rcond=None)
     assert np.allclose(md.ols(df, terms, F.col("y")).beta, beta, atol=1e-8)
+
+
+def test_factor_fit_equals_the_wide_design(spark):
+    """Differences are the interaction coefficients of the full design, errors included."""
+    rng = np.random.default_rng(5)
+    n = 600
+    a, b, f, g = rng.integers(1, 7, n), rng.integers(2, 6, n), rng.choice(["x", "y", "z"], n), rng.choice(["p", "q"], n)
+    y = 1 + a * (0.5 + (f == "y")) + 2 * (f == "z") * (g == "q") - 0.3 * a * b * (g == "p") + rng.normal(0, 0.5, n)
+    rows = [(int(i), int(j), str(k), str(m), float(v)) for i, j, k, m, v in zip(a, b, f, g, y, strict=True)]
+    rows += [(None, 2, "x", "p", 9.0), (1, 2, None, "p", 9.0), (1, 2, "x", None, 9.0), (1, 2, "x", "p", None)]
+    df = spark.createDataFrame(rows, "a int, b int, f string, g string, y double")
+    fit = lambda d: md.factor_fit(d, {"a": F.col("a"), "b": F.col("b")}, {"f": F.col("f"), "g": F.col("g")}, F.col("y"), "f")
+    got = {(r.f, r.g, r.term): r for r in fit(df).collect()}
+    assert len(got) == 3 * 2 * 4
+    lines = np.column_stack([np.ones(n), a, b, a * b]).astype(float)
+    names = ["intercept", "a", "b", "a:b"]
+    blocks = [(k, m) for m in "pq" for k in "xyz"]
+    # x is the base of each g; y and z enter as differences from it
+    X = np.column_stack([lines * ((g == m) & ((f == k) | (k == "x")))[:, None] for k, m in blocks])
+    beta, sse, *_ = np.linalg.lstsq(X, y, rcond=None)
+    errors = np.sqrt(np.diag(np.linalg.inv(X.T @ X)) * sse[0] / (n - X.shape[1]))
+    for c, (k, m) in enumerate(blocks):
+        for i, t in enumerate(names):
+            r = got[k, m, t]
+            value, error = (r.estimate, r.std_error) if k == "x" else (r.difference, r.difference_error)
+            assert abs(value - beta[4 * c + i]) < 2e-6 and abs(error - errors[4 * c + i]) < 2e-6
+            assert (r.difference is None) == (k == "x") and r.n == ((f == k) & (g == m)).sum()
+
+
+def test_factor_fit_names_aliased_terms(spark):
+    rows = [(k, 3, "one", float(2 * k)) for k in range(1, 5)] + [(2, k, "two", float(k)) for k in range(1, 4)] + [(1, 1, "single", 5.0)]
+    df = spark.createDataFrame(rows, "a int, b int, f string, y double")
+    fit = lambda d: md.factor_fit(d, {"a": F.col("a"), "b": F.col("b")}, {"f": F.col("f")}, F.col("y"), "f")
+    got = {(r.f, r.term): r.estimate for r in fit(df).collect()}
+    assert got == {
+        ("one", "intercept"): 0.0, ("one", "a"): 2.0, ("one", "b"): None, ("one", "a:b"): None,
+        ("two", "intercept"): 0.0, ("two", "a"): None, ("two", "b"): 1.0, ("two", "a:b"): None,
+        ("single", "intercept"): 5.0, ("single", "a"): None, ("single", "b"): None, ("single", "a:b"): None,
+    }
+    assert fit(df.limit(0)).collect() == []
+    assert {r.std_error for r in fit(df.where("f = 'single'")).collect()} == {None}
