@@ -15,7 +15,7 @@ def _toward_min(edges: DataFrame) -> DataFrame:
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
 
 
 def components(links: DataFrame, low: str, high: str) -> DataFrame:
@@ -24,20 +24,17 @@ def components(links: DataFrame, low: str, high: str) -> DataFrame:
     Only nodes that have a link come back.  Each pass is a grouped minimum
     joined back to the edges, so a hub with millions of links is one aggregated
     key and never one task's list; the number of passes grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain.  The edges are done when they are stars: no
+    node then has two centres or is a centre and a leaf.
     """
-    edges = links.select(F.least(low, high).alias("u"), F.greatest(low, high).alias("v")).where("u < v").distinct()
-    edges = stored(edges, "edges")
-    before = None
+    edges = links.select(F.least(low, high).alias("u"), F.greatest(low, high).alias("v")).where("u < v")
     while True:
-        large = _toward_min(_both(edges)).where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        # a pass makes an edge of each edge, so those that come up again may wait for its end
+        down = _toward_min(_both(edges)).where("v > u AND m < v").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _toward_min(down)
-        edges = small.select(F.col("m").alias("u"), F.col("v")).unionByName(small.select(F.col("m").alias("u"), F.col("u").alias("v")))
+        edges = small.select("m", F.explode(F.array("u", "v")).alias("v")).withColumnRenamed("m", "u")
         edges = stored(edges.where("u < v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    root = edges.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
-    return root.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        named = edges.select(F.col("u").alias("component"), F.explode(F.array("u", "v")).alias("node"))
+        ends = named.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        if ends.where("least < most").isEmpty():
+            return named.select("node", "component").distinct()

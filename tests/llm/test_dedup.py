@@ -1,5 +1,6 @@
 import hashlib
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -201,6 +202,41 @@ def test_a_large_family_of_look_alikes(spark, monkeypatch):
     assert sum(p.count() for p in written["pairs"]) <= 30 * len(rows)  # about 12,500,000 pairs in all
 
 
+def test_few_tables_are_written(spark, monkeypatch):
+    """Each table costs a stage over all partitions, however few its rows: at most two a round, two for the components."""
+    rng = np.random.default_rng(12)
+    common = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+    rows = [(k, " ".join([*common, *(f"w{rng.integers(1 << 40)}" for _ in range(60))])) for k in range(20)]
+    rows += [(100 + k, f"{rows[0][1]} end{k}") for k in range(5)] + [(200, rows[9][1] + " end")]
+    sketches, stored, written = minhash.sketches, minhash.stored, Counter()
+    monkeypatch.setattr(minhash, "sketches", lambda *a: sketches(*a).withColumn("bands", F.array(F.lit(1).cast("long"))))
+
+    def counting(df, name):
+        written[name] += 1
+        return stored(df, name)
+
+    for module in (minhash, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "stored", counting)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 85)
+    assert got[104] == 0 and got[200] == 9
+    rounds = written["pairs"] - 1  # the last ones are those across buckets
+    assert rounds >= 1 and written["buckets"] <= rounds and written["edges"] <= 2
+    assert sum(written.values()) <= 2 * rounds + 10
+
+
+def test_pairs_are_judged_on_full_sets(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, n)) for n in (1, 4, 5, 30, 30, 300)]
+    rows = list(enumerate(texts)) + [(6, texts[5] + " x"), (7, texts[3] + " " + texts[3])]
+    sets = minhash.full_sets(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "centre long, node long")
+    of = {i: shingle_set(t) for i, t in rows}
+    for percent in (20, 50, 99):
+        got = {(r.centre, r.node) for r in minhash.judged(pairs, sets, percent).where("same").collect()}
+        assert got == {(a, b) for a in of for b in of if a < b and 100 * len(of[a] & of[b]) >= percent * len(of[a] | of[b])}
+
+
 @pytest.mark.parametrize("percent", [70, 80, 85, 95])
 def test_bands_keep_to_the_loss(percent):
     assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= minhash.LOSS
